@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opslens.sources.tables import spread
+
 _M = "((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 14)"
 
 # Column -> (tables it needs beside lineitem, SQL expression).
@@ -60,7 +62,7 @@ def ops(spark: SparkSession, sf_dir: str, columns: Sequence[str] = OPS_COLUMNS)
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needed = {table for c in columns for table in COLUMNS[c][0]}
-    rows = read("lineitem")
+    rows = spread(read("lineitem"))
     for table, (key, pointer) in _JOINS.items():
         if table in needed:
             rows = rows.join(read(table), F.col(pointer) == F.col(key), "left")

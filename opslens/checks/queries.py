@@ -82,8 +82,10 @@ def _privacy_tables(spark, sf_dir):
 
 def _privacy_modes(spark, sf_dir):
     table = ops(spark, sf_dir)
-    rows = [(mode, privacy.mode_description(mode), list(privacy.find_sensitive(table, mode, all_reasons=False)))
-            for mode in privacy.MODE_DESCRIPTIONS]
+    by_value = privacy.value_reasons(table, table.columns)
+    excluded = lambda mode: list(privacy.combine(
+        table.columns, privacy.header_reasons(table.columns, mode), by_value))
+    rows = [(mode, privacy.mode_description(mode), excluded(mode)) for mode in privacy.MODE_DESCRIPTIONS]
     return spark.createDataFrame(rows, "mode string, description string, excluded array<string>").select(
         "mode", "description", F.array_join("excluded", ", ").alias("excluded"))
 

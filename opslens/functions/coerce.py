@@ -5,8 +5,6 @@ Nothing here raises on bad input; what cannot be read becomes NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F, types as T
 
 # The number spellings that count as readable.
@@ -18,23 +16,19 @@ TRUTHY = ("1", "true", "yes", "y")
 # Words that mark a fulfilment status as delayed.
 DELAY_WORDS = ("delay", "late", "exception")
 
-ISO = "iso"
-
-# Readable date layouts, by name: the shape a text must have before it is parsed, and the Spark
-# datetime pattern. The shape test keeps every row from going through every parser, and stops
-# Spark's lenient cast from reading "10:00" as today. Month comes before day.
-_TIME = "[ H:mm[:ss]]"
-_TIME_SHAPE = r"( \d{1,2}:\d{2}(:\d{2})?)?"
-DATE_FORMATS: dict[str, tuple[str, str | None]] = {
-    ISO: (r"^\d{4}-", None),
-    "yyyy/M/d": (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_TIME_SHAPE}$", f"yyyy/M/d{_TIME}"),
-    "M/d/yyyy": (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_TIME_SHAPE}$", f"M/d/yyyy{_TIME}"),
-    "M-d-yyyy": (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}{_TIME_SHAPE}$", f"M-d-yyyy{_TIME}"),
-    "yyyyMMdd": (r"^\d{8}$", "yyyyMMdd"),
-    "MMM d, yyyy": (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    "MMMM d, yyyy": (r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    "d MMM yyyy": (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    "d-MMM-yyyy": (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
+# Readable date layouts by name, and the shape a text in that layout has. Month comes before day.
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?"
+_MONTH = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|"
+          r"Nov(?:ember)?|Dec(?:ember)?)")
+DATE_SHAPES: dict[str, str] = {
+    "iso": r"^\d{4}-",
+    "yyyy/M/d": rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_CLOCK}$",
+    "M/d/yyyy": rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}$",
+    "M-d-yyyy": rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}{_CLOCK}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "MMM d, yyyy": rf"^{_MONTH} \d{{1,2}}, \d{{4}}$",
+    "d MMM yyyy": rf"^\d{{1,2}} {_MONTH} \d{{4}}$",
+    "d-MMM-yyyy": rf"^\d{{1,2}}-{_MONTH}-\d{{4}}$",
 }
 
 
@@ -54,8 +48,26 @@ def to_number(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     return F.lit(None).cast("double")
 
 
-def to_ts(c: Column, dtype: T.DataType = T.StringType(), formats: Sequence[str] = tuple(DATE_FORMATS),
-          single_format: str | None = None) -> Column:
+def _numeric_date(text: Column) -> Column:
+    """Read dates written in digits: each layout is first rewritten to year-month-day.
+
+    The rewriting is nested, so ``text`` stands in the plan once however many layouts there are. What
+    does not start like a year is emptied, because the cast would read "10:00" as today.
+    """
+    iso = F.regexp_replace(text, rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{4}}){_CLOCK}$", "$4-$1-$3$5")
+    iso = F.regexp_replace(iso, rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){_CLOCK}$", "$1-$2-$3$4")
+    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.regexp_replace(iso, r"(?s)^(?!\d{4}-).*$", "").try_cast("timestamp")
+
+
+def _named_date(text: Column) -> Column:
+    """Read dates with an English month name."""
+    named = rf"^(?:{_MONTH} (\d{{1,2}}), (\d{{4}})|(\d{{1,2}})([ -]){_MONTH}\5(\d{{4}}))$"
+    plain = F.regexp_replace(F.regexp_replace(text, named, "$3$7-$1$6-$2$4"), r"-([A-Z][a-z]{2})[a-z]+-", "-$1-")
+    return F.when(text.rlike(named), F.try_to_timestamp(plain, F.lit("yyyy-MMM-d")))
+
+
+def to_ts(c: Column, dtype: T.DataType = T.StringType(), single_format: str | None = None) -> Column:
     """Read a column as TIMESTAMP; what no layout fits becomes NULL.
 
     ``single_format`` names the one layout to accept, as when a file's first value decides it.
@@ -64,12 +76,8 @@ def to_ts(c: Column, dtype: T.DataType = T.StringType(), formats: Sequence[str]
         return c.cast("timestamp")
     if isinstance(dtype, (T.IntegralType, T.StringType)):
         text = F.trim(c.cast("string"))
-        parsed = None
-        for name in [single_format] if single_format else formats:
-            shape, layout = DATE_FORMATS[name]
-            value = text.try_cast("timestamp") if layout is None else F.try_to_timestamp(text, F.lit(layout))
-            parsed = F.when(text.rlike(shape), value) if parsed is None else parsed.when(text.rlike(shape), value)
-        return parsed
+        read = F.coalesce(_numeric_date(text), _named_date(text))
+        return F.when(text.rlike(DATE_SHAPES[single_format]), read) if single_format else read
     return F.lit(None).cast("timestamp")
 
 

@@ -38,11 +38,15 @@ def exact_quantile(counts: DataFrame, rows: DataFrame, value: str, p: float, by:
     brackets the wanted rank; everything below the bracket is added up to a single row, so only the
     distinct values inside it (about 0.04% of a group) are put in order.
     """
-    margin = 2 / _ACCURACY
+    # The sketch is off by at most one part in _ACCURACY; the margin is twice that. Groups too small for
+    # the spare part to be worth several ranks are taken whole.
+    margin, small = 2 / _ACCURACY, F.count(F.lit(1)) < 4 * _ACCURACY
     ends = F.percentile_approx(
         value, F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))), F.lit(_ACCURACY))
-    size = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), ends[0].alias("lo"), ends[1].alias("hi")).alias("__b"))
+    size = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.struct(
+        F.count(F.lit(1)).alias("n"),
+        F.when(small, F.min(value)).otherwise(ends[0]).alias("lo"),
+        F.when(small, F.max(value)).otherwise(ends[1]).alias("hi")).alias("__b"))
     if by:
         marked = attach(counts, size, by, value)
     else:

@@ -22,8 +22,9 @@ def product_chart(ops: Operations) -> DataFrame:
 def weekly_trend(ops: Operations) -> DataFrame:
     """Revenue per week, labelled by the Sunday it ends on; empty weeks in between show 0."""
     sunday = F.date_add(F.date_trunc("week", F.col(t.TS)).cast("date"), 6)
-    weeks = ops.rows.where(F.col(t.TS).isNotNull()).groupBy(*ops.by, sunday.alias("week_end")).agg(
+    weeks = ops.rows.groupBy(*ops.by, sunday.alias("week_end")).agg(
         money_sum(revenue_of(ops)).alias("revenue"))
+    # Rows without a date form a week of their own, whose empty sequence drops it below.
     following = F.lead("week_end").over(Window.partitionBy(*ops.by).orderBy("week_end"))
     until = F.coalesce(F.date_sub(following, 7), F.col("week_end"))
     filled = weeks.withColumn("until", until).select(*ops.by, "revenue", F.posexplode(

@@ -136,20 +136,22 @@ def weekly_change(ops: Operations) -> DataFrame:
 
     The bounds are exact instants: [latest - 6 days, latest] and [latest - 13 days, latest - 6 days).
     """
-    rows = ops.rows.where(F.col(t.TS).isNotNull()).withColumn("_amount", revenue_of(ops))
+    rows = ops.rows.withColumn("_amount", revenue_of(ops))
     six, thirteen = F.expr("interval 144 hours"), F.expr("interval 312 hours")
     if ops.by:
         # Summed per instant first, so a group with most of the rows is small before it meets its latest date.
         daily = rows.groupBy(*ops.by, t.TS).agg(money_sum(F.col("_amount")).alias("_amount"))
-        recent = attach(daily, rows.groupBy(*ops.by).agg(F.max(t.TS).alias("latest")), ops.by, t.TS)
+        dated = attach(daily, rows.groupBy(*ops.by).agg(F.max(t.TS).alias("latest")), ops.by, t.TS)
     else:
-        recent = rows.withColumn("latest", rows.agg(F.max(t.TS)).scalar())
-    recent = recent.where(F.col(t.TS) >= F.col("latest") - thirteen)
-    current = F.col(t.TS) >= F.col("latest") - six
-    sums = recent.groupBy(*ops.by).agg(
-        F.count(F.lit(1)).alias("n"),
-        money_sum(F.when(current, F.col("_amount"))).alias("cur"),
-        money_sum(F.when(~current, F.col("_amount"))).alias("prev"))
+        dated = rows.withColumn("latest", rows.agg(F.max(t.TS)).scalar())
+        if ops.stored:
+            # Two weeks of a stored date column can be found without reading the rest.
+            dated = dated.where(F.col(t.TS) >= F.col("latest") - thirteen)
+    since = lambda days: F.col(t.TS) >= F.col("latest") - days
+    sums = dated.groupBy(*ops.by).agg(
+        F.count(t.TS).alias("n"),
+        money_sum(F.when(since(six), F.col("_amount"))).alias("cur"),
+        money_sum(F.when(since(thirteen) & ~since(six), F.col("_amount"))).alias("prev"))
     change = F.when(F.col("prev") != 0, (F.col("cur") - F.col("prev")) / F.col("prev") * 100)
     seen = lambda c: F.when(F.col("n") > 0, c)
     return sums.select(

@@ -101,12 +101,29 @@ def header_reasons(columns: Sequence[str], standard: str) -> dict[str, str]:
     return reasons
 
 
+# Length of the shortest value a pattern fits; shorter texts need no search.
+_SHORTEST = {"email": 6, "phone": 10, "ssn": 11, "card": 13, "postal": 5}
+
+
+def value_pattern(rule: str) -> str:
+    """A rule's pattern for searching. Digits and word edges are Unicode-aware.
+
+    For e-mail, one character before the "@" decides as well as the whole run of them, and the run is not
+    rescanned from each of its characters; matches end at the same place after the same "@".
+    """
+    return EMAIL.replace("+@", "@", 1) if rule == "email" else "(?U)" + VALUE_RULES[rule][0]
+
+
+def may_match(c: Column, rule: str) -> Column:
+    """A cheap test that every text holding a value of the rule's kind passes."""
+    long_enough = F.length(c) >= _SHORTEST[rule]
+    needed = {"email": "@", "ssn": "-"}.get(rule)
+    return long_enough & c.contains(needed) if needed else long_enough
+
+
 def value_match(c: Column, rule: str) -> Column:
-    """True where a text holds a value of the rule's kind. Digits and word edges are Unicode-aware."""
-    if rule == "email":
-        # One character before the "@" decides as well as the whole run of them, without rescanning the run.
-        return c.contains("@") & c.rlike(EMAIL.replace("+@", "@", 1))
-    return c.rlike("(?U)" + VALUE_RULES[rule][0])
+    """True where a text holds a value of the rule's kind."""
+    return may_match(c, rule) & c.rlike(value_pattern(rule))
 
 
 def _whole_number_match(c: Column, rule: str) -> Column | None:
@@ -180,43 +197,56 @@ def _identifiers(df: DataFrame, candidates: Sequence[str], counted: Mapping) ->
     return {r["column"] for r in reduce(DataFrame.union, distinct).collect() if r["n"] > limit}
 
 
-def find_sensitive(df: DataFrame, standard: str = BASELINE, mode: str = "full",
-                   order_by: Sequence[str] | None = None, sample_size: int = 50,
-                   skip: Sequence[str] = (), all_reasons: bool = True) -> dict[str, list[str]]:
-    """Columns that look sensitive, with every reason, in column order. Runs one or two jobs.
+def value_reasons(df: DataFrame, columns: Sequence[str], mode: str = "full",
+                  order_by: Sequence[str] | None = None, sample_size: int = 50) -> dict[str, list[str]]:
+    """What the values of each column give away, whatever its privacy mode. Runs one or two jobs.
 
     ``mode="full"`` tests every value of every row. ``mode="sample"`` tests the first ``sample_size``
     values of each column under ``order_by``, joined by spaces, so a match may straddle two values.
-    ``all_reasons=False`` skips value tests for columns whose header already decides. Columns in
-    ``skip`` are left alone.
     """
     if mode not in ("full", "sample"):
         raise ValueError(f"unknown scan mode {mode!r}")
     if mode == "sample" and not order_by:
         raise ValueError("a sample needs order_by: rows have no order of their own")
-    columns = [c for c in df.columns if c not in skip]
-    by_header = header_reasons(columns, standard)
-    tested = columns if all_reasons else [c for c in columns if c not in by_header]
-    ids = _identifier_fields(df, tested)
+    if not columns:
+        return {}
+    ids = _identifier_fields(df, columns)
     # A text column of numbers only would have been read as numbers, so it is no identifier text.
     extra = [F.count(F.lit(1)).alias("rows")] if ids else []
     for i, name in enumerate(ids):
         c = F.col(f"`{name}`")
         extra += [F.count(c).alias(f"filled{i}"), F.bool_or(~is_number_text(c)).alias(f"text{i}")]
     if mode == "full":
-        hits, counted = _value_hits(df, tested, extra)
+        hits, counted = _value_hits(df, columns, extra)
     else:
-        hits = _sample_hits(df, tested, order_by, sample_size)
+        hits = _sample_hits(df, columns, order_by, sample_size)
         _, counted = _value_hits(df, [], extra)
     identifiers = _identifiers(df, ids, counted)
-    findings = {}
-    for col in columns:
-        reasons = [by_header[col]] if col in by_header else []
-        reasons += [reason for rule, (_, _, reason) in VALUE_RULES.items() if hits.get((col, rule))]
-        reasons += [IDENTIFIER_REASON] if col in identifiers else []
-        if reasons:
-            findings[col] = reasons
-    return findings
+    reasons = {
+        col: [reason for rule, (_, _, reason) in VALUE_RULES.items() if hits.get((col, rule))]
+        + ([IDENTIFIER_REASON] if col in identifiers else [])
+        for col in columns
+    }
+    return {col: found for col, found in reasons.items() if found}
+
+
+def combine(columns: Sequence[str], by_header: Mapping[str, str], by_value: Findings) -> dict[str, list[str]]:
+    """Flagged columns in column order, the header reason first."""
+    return {col: ([by_header[col]] if col in by_header else []) + list(by_value.get(col, []))
+            for col in columns if col in by_header or col in by_value}
+
+
+def find_sensitive(df: DataFrame, standard: str = BASELINE, skip: Sequence[str] = (), all_reasons: bool = True,
+                   **sampling) -> dict[str, list[str]]:
+    """Columns that look sensitive, with every reason, in column order; ``skip`` names columns to leave alone.
+
+    ``all_reasons=False`` skips value tests for columns whose header already decides. The remaining
+    options are those of ``value_reasons``.
+    """
+    columns = [c for c in df.columns if c not in skip]
+    by_header = header_reasons(columns, standard)
+    tested = columns if all_reasons else [c for c in columns if c not in by_header]
+    return combine(columns, by_header, value_reasons(df, tested, **sampling))
 
 
 def scan(df: DataFrame, standard: str = BASELINE, **options) -> DataFrame:

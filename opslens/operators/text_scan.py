@@ -6,16 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslens.operators.privacy import EMAIL, VALUE_RULES, value_match
+from opslens.operators.privacy import VALUE_RULES, may_match, value_match, value_pattern
 
 
 def value_count(c: Column, rule: str) -> Column:
     """How many values of the rule's kind a text holds; missing text holds none."""
-    if rule == "email":
-        # Same matches as the full pattern: both end at the same place after the same "@".
-        hits = F.when(c.contains("@"), F.regexp_count(c, F.lit(EMAIL.replace("+@", "@", 1))))
-    else:
-        hits = F.regexp_count(c, F.lit("(?U)" + VALUE_RULES[rule][0]))
+    hits = F.when(may_match(c, rule), F.regexp_count(c, F.lit(value_pattern(rule))))
     return F.coalesce(hits, F.lit(0))
 
 

@@ -22,11 +22,15 @@ _KEYS = {"order_id": ORDER_ID, "product": PRODUCT, "category": CATEGORY, "suppli
 
 @dataclass(frozen=True)
 class Operations:
-    """Typed rows, the concept map they were read under, and the keys results are grouped by."""
+    """Typed rows, the concept map they were read under, and the keys results are grouped by.
+
+    ``stored`` says that the typed columns lie in files, so that filters on them are worth pushing down.
+    """
 
     rows: DataFrame
     concepts: ConceptMap
     by: tuple[str, ...] = ()
+    stored: bool = False
 
     def has(self, *concepts: str) -> bool:
         return all(self.concepts.get(c) for c in concepts)

@@ -80,7 +80,7 @@ def _publish(spark: SparkSession, job: ReportingJob) -> str:
     # The source is parsed once more, here; everything below reads these columns from Parquet.
     read = read_columns(safe, concepts)
     staged = saved(safe.select("*", *read.values()), job.table("safe_operations"))
-    ops = Operations(staged.select(*by, *key_columns(staged, concepts), *read), concepts, by)
+    ops = Operations(staged.select(*by, *key_columns(staged, concepts), *read), concepts, by, stored=True)
     flat = staged.drop(*read)
 
     findings_table(spark, findings).write.mode("overwrite").parquet(job.table("sensitive_columns"))

@@ -90,6 +90,15 @@ def read_table(spark: SparkSession, source: str, kind: str = "csv", **options) -
     raise ValueError(f"unknown source kind {kind!r}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows that arrive in fewer splits than there are cores, as from one file that cannot be split.
+
+    An input that already comes in enough splits is left as it is, so no large table is shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 12) -> DataFrame:
     """The first ``n`` rows under an explicit order."""
     return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)
