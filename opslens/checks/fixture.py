@@ -62,7 +62,7 @@ def ops(spark: SparkSession, sf_dir: str, columns: Sequence[str] = OPS_COLUMNS)
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needed = {table for c in columns for table in COLUMNS[c][0]}
-    rows = spread(read("lineitem"))
+    rows = spread(read("lineitem"), "l_orderkey", "l_linenumber")
     for table, (key, pointer) in _JOINS.items():
         if table in needed:
             rows = rows.join(read(table), F.col(pointer) == F.col(key), "left")

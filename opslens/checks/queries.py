@@ -9,16 +9,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.checks.fixture import OPS_COLUMNS, SAFE_COLUMNS, STRICT_COLUMNS, ops
+from opslens.checks.fixture import SAFE_COLUMNS, STRICT_COLUMNS, ops
 from opslens.functions.coerce import is_blank, is_delayed, is_truthy, to_number, to_ts
 from opslens.functions.numbers import rounded
 from opslens.operators import dashboard, kpis as k, privacy, quality, report, star, text_scan
-from opslens.operators import typed as t
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
 from opslens.sources.staging import shared_folder, stage
-from opslens.sources.tables import preview, read_csv
+from opslens.sources.tables import preview, read_csv, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,28 +33,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _operations(spark, sf_dir, columns: Sequence[str] = SAFE_COLUMNS, by: Sequence[str] = ()) -> Operations:
-    """Typed rows of the fixture as it looks after the privacy split."""
-    return typed(ops(spark, sf_dir, (*columns, *by)), infer_columns(columns), by)
+def _operations(spark, sf_dir, *needed: str, columns: Sequence[str] = SAFE_COLUMNS, by: Sequence[str] = ()) -> Operations:
+    """Typed rows of the fixture as it looks after the privacy split, with the columns a query needs."""
+    return typed(ops(spark, sf_dir, (*(needed or columns), *by)), infer_columns(columns), by)
 
 
 def _staged(spark, sf_dir, by: Sequence[str] = ()) -> Operations:
     """The same, written once, for queries that read it many times."""
     found = _operations(spark, sf_dir, by=by)
-    return replace(found, rows=stage(found.rows))
+    return replace(found, rows=stage(found.rows), stored=True)
 
 
-def _kpi_columns(*columns: str) -> Query:
-    return lambda spark, sf_dir: k.totals(_operations(spark, sf_dir)).select(*columns)
+def _kpi_columns(needed: str, *columns: str) -> Query:
+    return lambda spark, sf_dir: k.totals(_operations(spark, sf_dir, needed)).select(*columns)
 
 
 def _kpi_date_range(spark, sf_dir):
-    return k.totals(_operations(spark, sf_dir)).select(
+    return k.totals(_operations(spark, sf_dir, "order_date")).select(
         F.col("date_range.start").alias("start_date"), F.col("date_range.end").alias("end_date"))
 
 
-def _strict(spark, sf_dir, by=()):
-    return _operations(spark, sf_dir, STRICT_COLUMNS, by)
+def _strict(spark, sf_dir, *needed, by=()):
+    return _operations(spark, sf_dir, *needed, columns=STRICT_COLUMNS, by=by)
 
 
 def _privacy_findings(standard: str) -> Query:
@@ -146,10 +145,16 @@ def _blank_and_flag(spark, sf_dir):
     ).groupBy("blank_product", "returned", "is_late").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _star(name: str) -> Query:
-    def run(spark, sf_dir):
-        return star.star_schema(ops(spark, sf_dir, SAFE_COLUMNS), infer_columns(SAFE_COLUMNS))[name]
-    return run
+def _dim_date(spark, sf_dir):
+    return star.dim_date(ops(spark, sf_dir, ("order_date",)), "order_date")
+
+
+def _dim(column: str) -> Query:
+    return lambda spark, sf_dir: star.dim_values(ops(spark, sf_dir, (column,)), column)
+
+
+def _fact_operations(spark, sf_dir):
+    return star.star_schema(ops(spark, sf_dir, SAFE_COLUMNS), infer_columns(SAFE_COLUMNS))[star.FACT]
 
 
 def _quality_schema_only(spark, sf_dir):
@@ -158,7 +163,7 @@ def _quality_schema_only(spark, sf_dir):
 
 
 def _quality(by=()) -> Query:
-    return lambda spark, sf_dir: quality.validate(_operations(spark, sf_dir, by=by)).withColumnRenamed(
+    return lambda spark, sf_dir: quality.validate(_operations(spark, sf_dir, *CHECKED, by=by)).withColumnRenamed(
         "check", "check_name")
 
 
@@ -178,7 +183,8 @@ def _kpi_cards(spark, sf_dir):
 
 
 def _summary_cards(spark, sf_dir):
-    return dashboard.summary_cards(k.totals(_operations(spark, sf_dir)), len(EXCLUDED), len(SAFE_COLUMNS))
+    pack = k.totals(_operations(spark, sf_dir, "revenue", "shipping_status"))
+    return dashboard.summary_cards(pack, len(EXCLUDED), len(SAFE_COLUMNS))
 
 
 def _payloads(spark, sf_dir, by=()):
@@ -223,21 +229,45 @@ def _kpi_by_region(spark, sf_dir):
         "weekly_revenue_change_percent", "current_week_revenue", "previous_week_revenue")
 
 
-def _ranked(build, name: str, by=()) -> Query:
+PRODUCT_REVENUE = ("product", "revenue")
+DATE_REVENUE = ("order_date", "revenue")
+SUPPLIER_STATUS = ("supplier", "shipping_status")
+CHECKED = ("order_date", "transaction_id", "revenue", "units_sold", "product")
+
+
+def _ranked(build, *needed: str, by=()) -> Query:
     def run(spark, sf_dir):
-        found = build(_operations(spark, sf_dir, by=by))
+        found = build(_operations(spark, sf_dir, *needed, by=by))
         return found.select(*by, F.col("rank").cast("bigint").alias("position"), *[
             c for c in found.columns if c not in (*by, "rank")])
     return run
 
 
-def _rounded_chart(build, by=()) -> Query:
-    return lambda spark, sf_dir: build(_operations(spark, sf_dir, by=by)).withColumn(
+def _rounded_chart(build, *needed: str, by=()) -> Query:
+    return lambda spark, sf_dir: build(_operations(spark, sf_dir, *needed, by=by)).withColumn(
         "revenue", rounded(F.col("revenue"), 2))
 
 
 def _strict_suppliers(by=()) -> Query:
-    return lambda spark, sf_dir: k.supplier_delays(_strict(spark, sf_dir, by)).select(*by, "supplier", "delay_rate")
+    return lambda spark, sf_dir: k.supplier_delays(
+        _strict(spark, sf_dir, "supplier", "delivery_days", by=by)).select(*by, "supplier", "delay_rate")
+
+
+def _by_duration(build, by=()) -> Query:
+    return lambda spark, sf_dir: build(_strict(spark, sf_dir, "delivery_days", by=by))
+
+
+def _weekly_change(by=()) -> Query:
+    return lambda spark, sf_dir: k.weekly_change(_operations(spark, sf_dir, *DATE_REVENUE, by=by))
+
+
+def _supplier_percent(spark, sf_dir):
+    return dashboard.supplier_chart(_operations(spark, sf_dir, *SUPPLIER_STATUS)).select(
+        "supplier", rounded(F.col("delay_percent"), 2).alias("delay_percent"))
+
+
+def _status_mix(spark, sf_dir):
+    return dashboard.status_mix(_operations(spark, sf_dir, "shipping_status")).withColumnRenamed("count", "n")
 
 
 def _runs(spark, sf_dir):
@@ -260,39 +290,37 @@ def _run_table(spark, sf_dir):
 
 
 def _pii_in(table: str, keys: Sequence[str]) -> Query:
-    return lambda spark, sf_dir: text_scan.scan_text(_table(spark, sf_dir, table), keys, "text")
+    return lambda spark, sf_dir: text_scan.scan_text(spread(_table(spark, sf_dir, table), *keys), keys, "text")
 
 
 def _text_hit_rates(spark, sf_dir):
-    return text_scan.text_hit_rates(_table(spark, sf_dir, "documents"), ["text", "source"])
+    return text_scan.text_hit_rates(spread(_table(spark, sf_dir, "documents"), "doc_id"), ["text", "source"])
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
-        "kpi_revenue": _kpi_columns("total_revenue", "avg_order_value", "row_count", "order_count"),
+        "kpi_revenue": _kpi_columns("revenue", "total_revenue", "avg_order_value", "row_count", "order_count"),
         "kpi_date_range": _kpi_date_range,
-        "kpi_return_rate": _kpi_columns("return_rate"),
-        "kpi_delay_rate": _kpi_columns("delay_rate"),
-        "kpi_delay_rate_p75": lambda spark, sf_dir: k.delay_rate_by_duration(_strict(spark, sf_dir)),
-        "delay_threshold": lambda spark, sf_dir: k.delay_threshold(_strict(spark, sf_dir)),
-        "delay_threshold_by_region": lambda spark, sf_dir: k.delay_threshold(_strict(spark, sf_dir, REGION)),
-        "delay_rate_p75_by_region": lambda spark, sf_dir: k.delay_rate_by_duration(_strict(spark, sf_dir, REGION)),
-        "top_products": _ranked(k.top_products, "product"),
-        "top_categories": _ranked(k.top_categories, "category"),
-        "top_products_by_region": _ranked(k.top_products, "product", REGION),
-        "inventory_risks": _ranked(k.inventory_risks, "product"),
-        "supplier_delay_risks": _ranked(k.supplier_delays, "supplier"),
+        "kpi_return_rate": _kpi_columns("return_flag", "return_rate"),
+        "kpi_delay_rate": _kpi_columns("shipping_status", "delay_rate"),
+        "kpi_delay_rate_p75": _by_duration(k.delay_rate_by_duration),
+        "delay_threshold": _by_duration(k.delay_threshold),
+        "delay_threshold_by_region": _by_duration(k.delay_threshold, REGION),
+        "delay_rate_p75_by_region": _by_duration(k.delay_rate_by_duration, REGION),
+        "top_products": _ranked(k.top_products, *PRODUCT_REVENUE),
+        "top_categories": _ranked(k.top_categories, "category", "revenue"),
+        "top_products_by_region": _ranked(k.top_products, *PRODUCT_REVENUE, by=REGION),
+        "inventory_risks": _ranked(k.inventory_risks, "product", "inventory_on_hand"),
+        "supplier_delay_risks": _ranked(k.supplier_delays, *SUPPLIER_STATUS),
         "supplier_delay_risks_p75": _strict_suppliers(),
         "supplier_delay_risks_p75_by_region": _strict_suppliers(REGION),
-        "supplier_delay_percent": lambda spark, sf_dir: dashboard.supplier_chart(_operations(spark, sf_dir)).select(
-            "supplier", rounded(F.col("delay_percent"), 2).alias("delay_percent")),
-        "weekly_change": lambda spark, sf_dir: k.weekly_change(_operations(spark, sf_dir)),
-        "weekly_change_by_region": lambda spark, sf_dir: k.weekly_change(_operations(spark, sf_dir, by=REGION)),
-        "weekly_trend": _rounded_chart(dashboard.weekly_trend),
-        "weekly_trend_by_region": _rounded_chart(dashboard.weekly_trend, REGION),
-        "dashboard_top_products": _rounded_chart(dashboard.product_chart),
-        "status_mix": lambda spark, sf_dir: dashboard.status_mix(_operations(spark, sf_dir)).withColumnRenamed(
-            "count", "n"),
+        "supplier_delay_percent": _supplier_percent,
+        "weekly_change": _weekly_change(),
+        "weekly_change_by_region": _weekly_change(REGION),
+        "weekly_trend": _rounded_chart(dashboard.weekly_trend, *DATE_REVENUE),
+        "weekly_trend_by_region": _rounded_chart(dashboard.weekly_trend, *DATE_REVENUE, by=REGION),
+        "dashboard_top_products": _rounded_chart(dashboard.product_chart, *PRODUCT_REVENUE),
+        "status_mix": _status_mix,
         "quality_checks": _quality(),
         "quality_checks_by_region": _quality(REGION),
         "quality_schema_only": _quality_schema_only,
@@ -321,9 +349,13 @@ def queries() -> dict[str, Query]:
         "pii_in_documents": _pii_in("documents", ["doc_id"]),
         "pii_in_conversations": _pii_in("conversations", ["conv_id", "turn"]),
         "text_hit_rates": _text_hit_rates,
+        "dim_date": _dim_date,
+        "dim_product": _dim("product"),
+        "dim_category": _dim("category"),
+        "dim_channel": _dim("channel"),
+        "dim_supplier": _dim("supplier"),
+        "fact_operations": _fact_operations,
     }
-    for name in ("dim_date", "dim_product", "dim_category", "dim_channel", "dim_supplier", "fact_operations"):
-        found[name] = _star(name)
     for short, mode in MODES.items():
         found[f"privacy_findings_{short}"] = _privacy_findings(mode)
     return found

@@ -23,7 +23,9 @@ def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], spread_on: str)
         *[c for c in lookup.columns if c not in by],
         F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__slot"),
     )
-    left = df.withColumn("__salt", F.pmod(F.xxhash64(spread_on), F.lit(_SALTS)).cast("int"))
+    # The default is never used; it tells the optimizer that no salt is missing.
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_on), F.lit(_SALTS)).cast("int"), F.lit(0))
+    left = df.withColumn("__salt", salt)
     on = F.col("__salt") == F.col("__slot")
     for b, k in zip(by, keys):
         on = on & F.col(b).eqNullSafe(F.col(k))

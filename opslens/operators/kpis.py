@@ -206,9 +206,9 @@ def kpi_parts(ops: Operations) -> list[DataFrame]:
 def kpis(ops: Operations) -> DataFrame:
     """The whole KPI pack, one row per group. Metrics whose concept is missing are NULL."""
     pack = one_row_per_group(kpi_parts(ops), ops.by)
-    for name in KPI_COLUMNS[:-1]:
-        if name not in pack.columns:
-            pack = pack.withColumn(name, F.lit(None).cast(LIST_TYPES.get(name, "double")))
+    absent = {name: F.lit(None).cast(LIST_TYPES.get(name, "double"))
+              for name in KPI_COLUMNS[:-1] if name not in pack.columns}
+    pack = pack.withColumns(absent) if absent else pack
     risks = risk_flags(F.col("weekly_revenue_change_percent"), F.col("delay_rate"), F.col("return_rate"),
                        F.col("inventory_risks"))
     return pack.withColumn("risk_summary", risks).select(*ops.by, *KPI_COLUMNS)

@@ -15,6 +15,9 @@ NA_TOKENS = (
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# An input in fewer splits than this may keep most of a cluster waiting.
+FEW_SPLITS = 8
+
 _CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": ""}
 
 
@@ -90,13 +93,14 @@ def read_table(spark: SparkSession, source: str, kind: str = "csv", **options) -
     raise ValueError(f"unknown source kind {kind!r}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows that arrive in fewer splits than there are cores, as from one file that cannot be split.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out rows that arrive in a handful of splits, as from one file that cannot be split.
 
-    An input that already comes in enough splits is left as it is, so no large table is shuffled here.
+    ``keys`` are columns to deal by; without them rows go round in turn, which first sorts them so that a
+    retry deals alike. A larger input is left as it comes, so no large table is shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 12) -> DataFrame:

@@ -58,8 +58,8 @@ def test_read_table_kinds(spark, tmp_path, sf_dir):
 def test_preview_and_spread(spark):
     df = spark.range(100).repartition(2)
     assert [r.id for r in preview(df, ["id"], 3).collect()] == [0, 1, 2]
-    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 64)
+    assert spread(df).rdd.getNumPartitions() == 8
+    wide = spark.range(0, 100, 1, 9)
     assert spread(wide) is wide
 
 
