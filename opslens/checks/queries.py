@@ -81,9 +81,10 @@ def _privacy_tables(spark, sf_dir):
 
 def _privacy_modes(spark, sf_dir):
     table = ops(spark, sf_dir)
-    by_value = privacy.value_reasons(table, table.columns)
+    hits = privacy.value_rules_hit(table, table.columns)
+    identifiers = privacy.identifier_columns(table, table.columns)
     excluded = lambda mode: list(privacy.combine(
-        table.columns, privacy.header_reasons(table.columns, mode), by_value))
+        table.columns, privacy.header_reasons(table.columns, mode), hits, identifiers))
     rows = [(mode, privacy.mode_description(mode), excluded(mode)) for mode in privacy.MODE_DESCRIPTIONS]
     return spark.createDataFrame(rows, "mode string, description string, excluded array<string>").select(
         "mode", "description", F.array_join("excluded", ", ").alias("excluded"))

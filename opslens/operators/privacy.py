@@ -150,25 +150,38 @@ def _column_match(field: T.StructField, rule: str) -> Column | None:
     return value_match(plain_text(c, dtype), rule)
 
 
-def _identifier_fields(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    return [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, T.StringType)
-            and any(part in f.name.lower().strip() for part in IDENTIFIER_HEADERS)]
+def _rule_tests(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], Column]:
+    """An aggregate per (column, rule) that says whether any value matches."""
+    fields = [f for f in df.schema.fields if f.name in columns]
+    tests = {(f.name, rule): _column_match(f, rule) for f in fields for rule in VALUE_RULES}
+    return {pair: F.bool_or(match) for pair, match in tests.items() if match is not None}
+
+
+def _identifier_facts(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], Column]:
+    """Aggregates that tell which text columns with an identifier's header can have too many distinct values."""
+    names = [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, T.StringType)
+             and any(part in f.name.lower().strip() for part in IDENTIFIER_HEADERS)]
+    facts = {}
+    for name in names:
+        c = F.col(f"`{name}`")
+        facts[name, "rows"] = F.count(F.lit(1))
+        facts[name, "filled"] = F.count(c)
+        # A text column of numbers only would have been read as numbers, so it is no identifier text.
+        facts[name, "text"] = F.bool_or(~is_number_text(c))
+    return facts
 
 
-def _value_hits(df: DataFrame, columns: Sequence[str], extra: Sequence[Column]) -> tuple[dict, dict]:
-    """One pass over all rows: which (column, rule) pairs match anywhere, plus extra aggregates."""
-    fields = {f.name: f for f in df.schema.fields}
-    wanted = [(col, rule, _column_match(fields[col], rule)) for col in columns for rule in VALUE_RULES]
-    wanted = [w for w in wanted if w[2] is not None]
-    checks = [F.bool_or(match).alias(f"hit{i}") for i, (_, _, match) in enumerate(wanted)]
-    if not checks and not extra:
-        return {}, {}
-    row = df.agg(*checks, *extra).first().asDict()
-    return {(col, rule): bool(row[f"hit{i}"]) for i, (col, rule, _) in enumerate(wanted)}, row
+def _one_pass(df: DataFrame, aggregates: Mapping[tuple[str, str], Column]) -> dict[tuple[str, str], object]:
+    """All aggregates in one job; one row comes back."""
+    if not aggregates:
+        return {}
+    row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates.values())]).first()
+    return {name: row[f"a{i}"] for i, name in enumerate(aggregates)}
 
 
-def _sample_hits(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sample_size: int) -> dict:
-    """Which rules match the first values of each column, read as one text joined by spaces."""
+def _sample_hits(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
+                 sample_size: int) -> set[tuple[str, str]]:
+    """The pairs that match the first values of each column, read as one text joined by spaces."""
     types = {f.name: f.dataType for f in df.schema.fields}
     order = [F.col(f"`{o}`") for o in order_by]
     samples = []
@@ -182,71 +195,68 @@ def _sample_hits(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     texts = reduce(DataFrame.union, samples).groupBy("i").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list("value")), lambda v: v["text"]), " ").alias("joined"))
     found = texts.select("i", *[value_match(F.col("joined"), rule).alias(rule) for rule in VALUE_RULES]).collect()
-    return {(columns[r["i"]], rule): r[rule] for r in found for rule, (_, needed, _) in VALUE_RULES.items()
-            if not needed or any(part in columns[r["i"]].lower() for part in needed)}
+    return {(columns[r["i"]], rule) for r in found for rule, (_, needed, _) in VALUE_RULES.items()
+            if r[rule] and (not needed or any(part in columns[r["i"]].lower() for part in needed))}
 
 
-def _identifiers(df: DataFrame, candidates: Sequence[str], counted: Mapping) -> set[str]:
-    """Candidates with more distinct values than the limit; counted exactly, and only where that is possible."""
-    limit = max(IDENTIFIER_FLOOR, counted["rows"] * IDENTIFIER_SHARE) if candidates else 0
-    possible = [c for i, c in enumerate(candidates) if counted[f"filled{i}"] > limit and counted[f"text{i}"]]
+def identifier_columns(df: DataFrame, columns: Sequence[str], facts: Mapping | None = None) -> list[str]:
+    """Text columns with an identifier's header and more distinct values than the limit, counted exactly.
+
+    ``facts`` are the answers to ``_identifier_facts`` where a pass has found them already.
+    """
+    wanted = _identifier_facts(df, columns)
+    found = _one_pass(df, wanted) if facts is None else facts
+    limit = lambda c: max(IDENTIFIER_FLOOR, found[c, "rows"] * IDENTIFIER_SHARE)
+    names = dict.fromkeys(name for name, _ in wanted)
+    possible = [c for c in names if found[c, "text"] and found[c, "filled"] > limit(c)]
     if not possible:
-        return set()
+        return []
     distinct = [df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct()
                 .agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n")) for c in possible]
-    return {r["column"] for r in reduce(DataFrame.union, distinct).collect() if r["n"] > limit}
+    return [r["column"] for r in reduce(DataFrame.union, distinct).collect() if r["n"] > limit(r["column"])]
 
 
-def value_reasons(df: DataFrame, columns: Sequence[str], mode: str = "full",
-                  order_by: Sequence[str] | None = None, sample_size: int = 50) -> dict[str, list[str]]:
-    """What the values of each column give away, whatever its privacy mode. Runs one or two jobs.
+def value_rules_hit(df: DataFrame, columns: Sequence[str]) -> set[tuple[str, str]]:
+    """The (column, value rule) pairs that match in some row; every value is tested, in one pass."""
+    return {pair for pair, hit in _one_pass(df, _rule_tests(df, columns)).items() if hit}
 
-    ``mode="full"`` tests every value of every row. ``mode="sample"`` tests the first ``sample_size``
-    values of each column under ``order_by``, joined by spaces, so a match may straddle two values.
-    """
-    if mode not in ("full", "sample"):
-        raise ValueError(f"unknown scan mode {mode!r}")
-    if mode == "sample" and not order_by:
-        raise ValueError("a sample needs order_by: rows have no order of their own")
-    if not columns:
-        return {}
-    ids = _identifier_fields(df, columns)
-    # A text column of numbers only would have been read as numbers, so it is no identifier text.
-    extra = [F.count(F.lit(1)).alias("rows")] if ids else []
-    for i, name in enumerate(ids):
-        c = F.col(f"`{name}`")
-        extra += [F.count(c).alias(f"filled{i}"), F.bool_or(~is_number_text(c)).alias(f"text{i}")]
-    if mode == "full":
-        hits, counted = _value_hits(df, columns, extra)
-    else:
-        hits = _sample_hits(df, columns, order_by, sample_size)
-        _, counted = _value_hits(df, [], extra)
-    identifiers = _identifiers(df, ids, counted)
+
+def combine(columns: Sequence[str], by_header: Mapping[str, str], hits: set[tuple[str, str]],
+            identifiers: Sequence[str]) -> dict[str, list[str]]:
+    """Every reason of every flagged column: header, value rules, identifier; in column order."""
     reasons = {
-        col: [reason for rule, (_, _, reason) in VALUE_RULES.items() if hits.get((col, rule))]
+        col: ([by_header[col]] if col in by_header else [])
+        + [reason for rule, (_, _, reason) in VALUE_RULES.items() if (col, rule) in hits]
         + ([IDENTIFIER_REASON] if col in identifiers else [])
         for col in columns
     }
     return {col: found for col, found in reasons.items() if found}
 
 
-def combine(columns: Sequence[str], by_header: Mapping[str, str], by_value: Findings) -> dict[str, list[str]]:
-    """Flagged columns in column order, the header reason first."""
-    return {col: ([by_header[col]] if col in by_header else []) + list(by_value.get(col, []))
-            for col in columns if col in by_header or col in by_value}
-
+def find_sensitive(df: DataFrame, standard: str = BASELINE, mode: str = "full",
+                   order_by: Sequence[str] | None = None, sample_size: int = 50,
+                   skip: Sequence[str] = (), all_reasons: bool = True) -> dict[str, list[str]]:
+    """Columns that look sensitive, with every reason, in column order. Runs one or two jobs.
 
-def find_sensitive(df: DataFrame, standard: str = BASELINE, skip: Sequence[str] = (), all_reasons: bool = True,
-                   **sampling) -> dict[str, list[str]]:
-    """Columns that look sensitive, with every reason, in column order; ``skip`` names columns to leave alone.
-
-    ``all_reasons=False`` skips value tests for columns whose header already decides. The remaining
-    options are those of ``value_reasons``.
+    ``mode="full"`` tests every value of every row. ``mode="sample"`` tests the first ``sample_size``
+    values of each column under ``order_by``, joined by spaces, so a match may straddle two values.
+    ``all_reasons=False`` skips value tests for columns whose header already decides. Columns in
+    ``skip`` are left alone.
     """
+    if mode not in ("full", "sample"):
+        raise ValueError(f"unknown scan mode {mode!r}")
+    if mode == "sample" and not order_by:
+        raise ValueError("a sample needs order_by: rows have no order of their own")
     columns = [c for c in df.columns if c not in skip]
     by_header = header_reasons(columns, standard)
     tested = columns if all_reasons else [c for c in columns if c not in by_header]
-    return combine(columns, by_header, value_reasons(df, tested, **sampling))
+    tests = _rule_tests(df, tested) if mode == "full" else {}
+    facts = _one_pass(df, {**tests, **_identifier_facts(df, tested)})
+    if mode == "full":
+        hits = {pair for pair in tests if facts[pair]}
+    else:
+        hits = _sample_hits(df, tested, order_by, sample_size) if tested else set()
+    return combine(columns, by_header, hits, identifier_columns(df, tested, facts))
 
 
 def scan(df: DataFrame, standard: str = BASELINE, **options) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from opslens.operators import dashboard, kpis as k, quality, report, star
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
-from opslens.operators.privacy import BASELINE, find_sensitive, findings_table, split
+from opslens.operators.privacy import BASELINE, find_sensitive, findings_table
 from opslens.operators.typed import Operations, key_columns, read_columns
 from opslens.plans import run_log
 from opslens.sources.sinks import write_json, write_report
@@ -64,36 +64,45 @@ class ReportingJob:
         return f"{self.destination}/{name}"
 
 
-def _publish(spark: SparkSession, job: ReportingJob) -> str:
-    by = tuple(job.by)
-    raw = job.source if isinstance(job.source, DataFrame) else read_table(
-        spark, job.source, job.source_type, **job.source_options)
-    table = normalize_columns(raw)
-    findings = find_sensitive(table, job.privacy_standard)
-    exposed = [b for b in by if b in findings]
+@dataclass(frozen=True)
+class SafeModel:
+    """What a scan decided: the findings, the columns that stay, and their meaning."""
+
+    findings: dict[str, list[str]]
+    columns: list[str]
+    concepts: dict[str, str | None]
+
+    def rows(self, table: DataFrame, *more: str) -> DataFrame:
+        """The safe columns, the typed readings of them, and ``more`` columns as they are."""
+        safe = table.select(*[F.col(f"`{c}`") for c in (*self.columns, *more)])
+        return safe.select("*", *read_columns(safe, self.concepts).values())
+
+
+def safe_model(job: ReportingJob, columns: Sequence[str], findings: dict[str, list[str]]) -> SafeModel:
+    exposed = [b for b in job.by if b in findings]
     if exposed:
         raise ValueError(f"group keys {exposed} hold sensitive data under {job.privacy_standard}")
-    safe, _ = split(table, findings)
-    business = [c for c in safe.columns if c not in by]
-    concepts = infer_columns(business)
-
-    # The source is parsed once more, here; everything below reads these columns from Parquet.
-    read = read_columns(safe, concepts)
-    staged = saved(safe.select("*", *read.values()), job.table("safe_operations"))
-    ops = Operations(staged.select(*by, *key_columns(staged, concepts), *read), concepts, by, stored=True)
-    flat = staged.drop(*read)
-
-    findings_table(spark, findings).write.mode("overwrite").parquet(job.table("sensitive_columns"))
-    concept_table(spark, concepts).withColumnsRenamed(
-        {"business concept": "concept", "detected column": "column"}).write.mode("overwrite").parquet(
-        job.table("concepts"))
+    safe = [c for c in columns if c not in findings]
+    return SafeModel(findings, safe, infer_columns([c for c in safe if c not in job.by]))
+
+
+def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: DataFrame) -> str:
+    """Compute and write every output from the staged rows; returns the status of the run."""
+    by, concepts = tuple(job.by), model.concepts
+    flat = staged.select(*[F.col(f"`{c}`") for c in model.columns])
+    read = [c for c in staged.columns if c not in model.columns]
+    ops = Operations(staged.select(*by, *key_columns(flat, concepts), *read), concepts, by, stored=True)
+
+    findings_table(spark, model.findings).withColumnRenamed("why flagged", "why_flagged").write.mode(
+        "overwrite").parquet(job.table("sensitive_columns"))
+    concept_table(spark, concepts).toDF("concept", "column").write.mode("overwrite").parquet(job.table("concepts"))
     checks = saved(quality.check_list(ops, job.validations), job.table("checks"))
     for name, df in star.star_schema(flat, concepts).items():
         df.write.mode("overwrite").parquet(job.table(name))
     pack = saved(k.kpis(ops), job.table("kpis"))
 
     charts = {
-        "summary_cards": dashboard.summary_cards(pack, len(findings), len(safe.columns), by),
+        "summary_cards": dashboard.summary_cards(pack, len(model.findings), len(model.columns), by),
         "kpi_cards": dashboard.kpi_cards(pack, by),
     }
     if ops.has("product", "revenue"):
@@ -107,25 +116,38 @@ def _publish(spark: SparkSession, job: ReportingJob) -> str:
     for name, df in charts.items():
         df.write.mode("overwrite").parquet(job.table(name))
 
-    payloads = report.payload(pack, checks, list(findings), job.privacy_standard, by)
+    payloads = report.payload(pack, checks, list(model.findings), job.privacy_standard, by)
     write_json(payloads, job.table("payload"))
     write_report(report.report_text(payloads, by, job.report_sections, job.footer), job.table("report"), by)
     failed = checks.select(F.explode("checks").alias("c")).where("c.severity = 'High'").limit(1).count()
     return run_log.NEEDS_REVIEW if failed else run_log.SUCCESSFUL
 
 
-def run_pipeline(spark: SparkSession, job: ReportingJob) -> Row:
-    """Run every step, write each output table, append one row to the run log and return it.
-
-    A run needs review when a check of high severity found rows, or when a step failed.
-    """
+def logged(spark: SparkSession, job: ReportingJob, work: Callable[[], str]) -> Row:
+    """Do the work, append one row to the run log and return it; a failure is logged and raised."""
     started, clock = datetime.now(timezone.utc), time.monotonic()
     status = run_log.NEEDS_REVIEW
     try:
-        status = _publish(spark, job)
+        status = work()
     finally:
         entry = spark.createDataFrame([(
             job.dataset, job.business_area, job.privacy_standard, job.schedule, started, status,
             time.monotonic() - clock, job.output)], run_log.RUN_LOG_SCHEMA)
         entry.write.mode("append").parquet(job.table("run_log"))
     return entry.first()
+
+
+def run_pipeline(spark: SparkSession, job: ReportingJob) -> Row:
+    """Run every step, write each output table, append one row to the run log and return it.
+
+    A run needs review when a check of high severity found rows, or when a step failed.
+    """
+    def work() -> str:
+        raw = job.source if isinstance(job.source, DataFrame) else read_table(
+            spark, job.source, job.source_type, **job.source_options)
+        table = normalize_columns(raw)
+        model = safe_model(job, table.columns, find_sensitive(table, job.privacy_standard))
+        # The source is parsed once more, here; everything after reads these columns from Parquet.
+        return publish(spark, job, model, saved(model.rows(table), job.table("safe_operations")))
+
+    return logged(spark, job, work)

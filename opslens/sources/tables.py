@@ -18,7 +18,7 @@ NA_TOKENS = (
 # An input in fewer splits than this may keep most of a cluster waiting.
 FEW_SPLITS = 8
 
-_CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": ""}
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": ""}
 
 
 def _unique_headers(names: Sequence[str | None]) -> list[str]:
@@ -34,7 +34,7 @@ def _unique_headers(names: Sequence[str | None]) -> list[str]:
 
 def csv_headers(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """The header row of a CSV file or folder."""
-    first = spark.read.options(**_CSV_OPTIONS, header=False, sep=sep, inferSchema=False).csv(path).head(1)
+    first = spark.read.options(**CSV_OPTIONS, header=False, sep=sep, inferSchema=False).csv(path).head(1)
     if not first:
         raise ValueError(f"no header row in {path}")
     return _unique_headers(list(first[0]))
@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", na_tokens: Sequence
     # Where the names are the file's own, every file of a folder is checked against them.
     plain = all("." not in h and not h.startswith("Unnamed: ") for h in headers)
     raw = spark.read.schema(schema).options(
-        **_CSV_OPTIONS, header=True, sep=sep, multiLine=multi_line, enforceSchema=not plain).csv(path)
+        **CSV_OPTIONS, header=True, sep=sep, multiLine=multi_line, enforceSchema=not plain).csv(path)
     df = missing_tokens(raw, na_tokens)
     return narrow_numbers(df) if infer_types else df
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from opslens.plans.pipeline import ReportingJob, run_pipeline
-from opslens.sources.tables import _CSV_OPTIONS, csv_headers, missing_tokens
+from opslens.operators.columns import normalize_columns
+from opslens.operators.privacy import combine, header_reasons, identifier_columns, value_rules_hit
+from opslens.plans.pipeline import ReportingJob, SafeModel, logged, publish, safe_model
+from opslens.sources.staging import saved
+from opslens.sources.tables import CSV_OPTIONS, csv_headers, missing_tokens
 
 BATCH = "refresh_batch"
 
@@ -19,24 +23,70 @@ def _new_rows(spark: SparkSession, job: ReportingJob) -> DataFrame:
         return spark.readStream.schema(spark.read.parquet(job.source).schema).parquet(job.source)
     if job.source_type == "csv":
         schema = StructType([StructField(h, StringType()) for h in csv_headers(spark, job.source)])
-        return missing_tokens(spark.readStream.schema(schema).options(**_CSV_OPTIONS, header=True).csv(job.source))
+        return missing_tokens(spark.readStream.schema(schema).options(**CSV_OPTIONS, header=True).csv(job.source))
     raise ValueError(f"cannot follow a source of kind {job.source_type!r}")
 
 
-def refresh_stream(spark: SparkSession, job: ReportingJob) -> StreamingQuery:
-    """Take in the files that arrived since the last refresh, then run the job on all rows so far.
+def _findings(spark: SparkSession, job: ReportingJob, batch: int, new: DataFrame, history: DataFrame) -> dict:
+    """Findings over all rows so far: the new rows are scanned, earlier batches left their hits behind."""
+    columns = [c for c in history.columns if c != BATCH]
+    hits = spark.createDataFrame(sorted(value_rules_hit(new, columns)), "column string, rule string")
+    hits.write.mode("overwrite").parquet(f"{job.table('value_hits')}/{BATCH}={batch}")
+    known = spark.read.schema(hits.schema).parquet(job.table("value_hits")).distinct().collect()
+    return combine(columns, header_reasons(columns, job.privacy_standard), {(r["column"], r["rule"]) for r in known},
+                   identifier_columns(history, columns))
 
-    Each batch of new rows is kept in its own folder and written over if the batch is retried, so a
-    lost driver or executor adds no row twice. The query stops when it has caught up; whatever keeps
-    the schedule starts it again.
+
+def _batches(rows: DataFrame) -> set[int]:
+    return {r[0] for r in rows.select(BATCH).distinct().collect()}
+
+
+def _staged(spark: SparkSession, job: ReportingJob, batch: int, model: SafeModel, history: DataFrame) -> DataFrame:
+    """Typed safe rows of all batches. Only batches not staged yet are read.
+
+    The folder is named after the safe columns, so when a scan changes them everything is staged anew.
     """
-    history = job.table("history")
+    layout = hashlib.sha256("\n".join(model.columns).encode()).hexdigest()[:16]
+    path = job.table(f"safe_operations/{layout}")
+    schema = model.rows(history, BATCH).schema
+    done = _batches(spark.read.schema(schema).parquet(path)) if _exists(spark, path) else set()
+    todo = (_batches(history) - done) | {batch}
+    model.rows(history.where(F.col(BATCH).isin(*todo)), BATCH).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+    return spark.read.schema(schema).parquet(path).drop(BATCH)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def refresh_stream(spark: SparkSession, job: ReportingJob, checkpoint: str | None = None) -> StreamingQuery:
+    """Take in the files that arrived since the last refresh and bring every output up to date.
+
+    Only new rows are parsed and scanned; the outputs are then computed from the typed rows of all
+    batches. Each batch has folders of its own that are written over if it is retried, so a lost driver
+    or executor adds no row twice. The query stops when it has caught up; whatever keeps the schedule
+    starts it again. ``checkpoint`` is the folder that remembers which files were taken in.
+    """
+    path = job.table("history")
 
     def take_in(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{history}/{BATCH}={batch}")
-        everything = spark.read.parquet(history).drop(BATCH)
-        run_pipeline(spark, replace(job, source=everything))
+        def work() -> str:
+            new = saved(normalize_columns(rows), f"{path}/{BATCH}={batch}")
+            schema = StructType([*new.schema.fields, StructField(BATCH, LongType())])
+            history = spark.read.schema(schema).parquet(path)
+            findings = _findings(spark, job, batch, new, history)
+            model = safe_model(job, new.columns, findings)
+            return publish(spark, job, model, _staged(spark, job, batch, model, history))
+
+        logged(spark, job, work)
 
     return (_new_rows(spark, job).writeStream.foreachBatch(take_in)
-            .option("checkpointLocation", job.table("refresh_checkpoint"))
+            .option("checkpointLocation", checkpoint or job.table("refresh_checkpoint"))
             .trigger(availableNow=True).start())

@@ -166,6 +166,49 @@ def test_refresh_takes_in_new_files_once(spark, tmp_path):
     assert spark.read.parquet(job.table("run_log")).count() == 2
 
 
+def test_refresh_stages_anew_when_a_column_turns_out_sensitive(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "1.csv", "date,revenue,note,return_flag\n2026-01-05,10,fine,yes\n")
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"))
+    refresh(spark, job)
+    assert spark.read.parquet(job.table("sensitive_columns")).count() == 0
+    write(source / "2.csv", "date,revenue,note,return_flag\n2026-01-06,5,a@b.co,no\n")
+    row = refresh(spark, job)
+    assert (row.row_count, row.total_revenue, row.return_rate) == (2, 15.0, 0.5)
+    assert spark.read.parquet(job.table("sensitive_columns")).first().column == "note"
+    write(source / "3.csv", "date,revenue,note,return_flag\n2026-01-07,1,fine,no\n")
+    row = refresh(spark, job)
+    assert (row.row_count, row.total_revenue) == (3, 16.0)
+    assert spark.read.parquet(job.table("sensitive_columns")).first().column == "note"
+    assert dict(spark.read.parquet(job.table("summary_cards")).collect())["Safe analytics columns"] == "3"
+
+
+def test_refresh_can_be_retried(spark, tmp_path):
+    """A batch that failed after its rows were kept is taken in again without doubling them."""
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "1.csv", "date,revenue\n2026-01-05,10\n")
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"))
+    refresh(spark, job)
+    refresh_stream(spark, job, str(tmp_path / "forgotten")).awaitTermination()
+    assert spark.read.parquet(job.table("kpis")).first().row_count == 1
+
+
+def test_refresh_equals_the_whole_job(spark, sf_dir, tmp_path):
+    source = str(tmp_path / "in")
+    table = ops(spark, sf_dir)
+    table.where("revenue < '4'").write.option("header", True).csv(source)
+    job = ReportingJob(source=source, destination=str(tmp_path / "out"))
+    refresh(spark, job)
+    table.where("revenue >= '4'").write.mode("append").option("header", True).csv(source)
+    found = refresh(spark, job)
+    whole = ReportingJob(source=source, destination=str(tmp_path / "whole"))
+    run_pipeline(spark, whole)
+    assert found == spark.read.parquet(whole.table("kpis")).first()
+    assert spark.read.parquet(job.table("checks")).first() == spark.read.parquet(whole.table("checks")).first()
+
+
 def test_refresh_of_events(spark, sf_dir, tmp_path):
     source = str(tmp_path / "in")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
