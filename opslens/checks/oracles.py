@@ -312,6 +312,29 @@ RUNS = ("select event_type as dataset, 'E-commerce operations' as business_area,
 LATEST = f"select * from ({RUNS}) qualify row_number() over (partition by dataset order by last_run desc) = 1"
 
 
+def job_tables() -> str:
+    """Row counts of the tables the whole job writes."""
+    counts = {
+        "safe_operations": "count(*)", "fact_operations": "count(*)", "dim_date": "count(distinct cast(ts as date))",
+        **{f"dim_{c}": f"count(distinct {c})" for c in ("product", "category", "channel", "supplier")},
+        "sensitive_columns": "case when bool_or(contains(contact, '@')) then 3 else 2 end",
+        "product_chart": "least(10, count(distinct product))", "status_mix": "count(distinct shipping_status)",
+        "supplier_chart": "least(5, count(distinct supplier))", "kpis": "1", "run_log": "1",
+        "weekly_trend": "cast(date_diff('day', min(date_trunc('week', ts)), max(date_trunc('week', ts))) / 7 + 1 as bigint)",
+    }
+    return typed(" union all ".join(
+        f"select '{name}' as table_name, cast({n} as bigint) as n" + ("" if n == "1" else " from t")
+        for name, n in counts.items()))
+
+
+def refreshed() -> str:
+    return f"""
+with t as (select ts, cast(value as decimal(18,4)) as rev, false as returned, false as late from events),
+{totals()},{weekly()}
+select start_date, end_date, row_count, total_revenue, avg_order_value, weekly_revenue_change_percent,
+  current_week_revenue, previous_week_revenue from totals, week"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "kpi_revenue": typed("select total_revenue, avg_order_value, row_count, order_count from totals", "," + totals()),
@@ -410,6 +433,8 @@ def oracle_sql() -> dict[str, str]:
         "pii_in_documents": text_counts("documents", "doc_id"),
         "pii_in_conversations": text_counts("conversations", "conv_id, turn"),
         "text_hit_rates": hit_rates(),
+        "reporting_job": job_tables(),
+        "refresh_job": refreshed(),
         "dim_date": typed("select distinct cast(ts as date) as date, strftime(ts, '%Y-%m') as month, "
                           "cast(weekofyear(ts) as integer) as week from t where ts is not null"),
         "fact_operations": typed("select ts as order_date, product, category, channel, supplier, units_sold, revenue, "

@@ -16,8 +16,10 @@ from opslens.operators import dashboard, kpis as k, privacy, quality, report, st
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
+from opslens.plans.pipeline import ReportingJob, run_pipeline
 from opslens.sources.staging import shared_folder, stage
 from opslens.sources.tables import preview, read_csv, spread
+from opslens.streaming.refresh import refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -298,6 +300,33 @@ def _text_hit_rates(spark, sf_dir):
     return text_scan.text_hit_rates(spread(_table(spark, sf_dir, "documents"), "doc_id"), ["text", "source"])
 
 
+def _reporting_job(spark, sf_dir):
+    """The whole job over the fixture: rows of each table it leaves behind."""
+    job = ReportingJob(source=ops(spark, sf_dir), destination=f"{shared_folder(spark)}/opslens-job-{uuid.uuid4().hex}")
+    run_pipeline(spark, job)
+    written = ("safe_operations", star.FACT, star.DIM_DATE, *star.DIMENSIONS, "sensitive_columns", "product_chart",
+               "weekly_trend", "status_mix", "supplier_chart", "kpis", "run_log")
+    counts = [spark.read.parquet(job.table(name)).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
+              for name in written]
+    return reduce(DataFrame.union, counts)
+
+
+def _refresh_job(spark, sf_dir):
+    """The event stream arriving in two drops, a refresh after each."""
+    folder = f"{shared_folder(spark)}/opslens-refresh-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("revenue"), F.col("event_type").alias("status"))
+    job = ReportingJob(source=f"{folder}/in", destination=f"{folder}/out", source_type="parquet")
+    first = F.col("date") < "2024-01-20"
+    for drop in (events.where(first), events.where(~first)):
+        drop.write.mode("append").parquet(job.source)
+        refresh_stream(spark, job).awaitTermination()
+    return spark.read.parquet(job.table("kpis")).select(
+        F.col("date_range.start").alias("start_date"), F.col("date_range.end").alias("end_date"), "row_count",
+        "total_revenue", "avg_order_value", "weekly_revenue_change_percent", "current_week_revenue",
+        "previous_week_revenue")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "kpi_revenue": _kpi_columns("revenue", "total_revenue", "avg_order_value", "row_count", "order_count"),
@@ -350,6 +379,8 @@ def queries() -> dict[str, Query]:
         "pii_in_documents": _pii_in("documents", ["doc_id"]),
         "pii_in_conversations": _pii_in("conversations", ["conv_id", "turn"]),
         "text_hit_rates": _text_hit_rates,
+        "reporting_job": _reporting_job,
+        "refresh_job": _refresh_job,
         "dim_date": _dim_date,
         "dim_product": _dim("product"),
         "dim_category": _dim("category"),

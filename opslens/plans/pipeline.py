@@ -14,7 +14,7 @@ from opslens.operators.columns import concept_table, infer_columns, normalize_co
 from opslens.operators.privacy import BASELINE, find_sensitive, findings_table
 from opslens.operators.typed import Operations, key_columns, read_columns
 from opslens.plans import run_log
-from opslens.sources.sinks import write_json, write_report
+from opslens.sources.sinks import write_json, write_report, write_tables
 from opslens.sources.staging import saved
 from opslens.sources.tables import read_table
 
@@ -93,28 +93,24 @@ def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: Da
     read = [c for c in staged.columns if c not in model.columns]
     ops = Operations(staged.select(*by, *key_columns(flat, concepts), *read), concepts, by, stored=True)
 
-    findings_table(spark, model.findings).withColumnRenamed("why flagged", "why_flagged").write.mode(
-        "overwrite").parquet(job.table("sensitive_columns"))
-    concept_table(spark, concepts).toDF("concept", "column").write.mode("overwrite").parquet(job.table("concepts"))
     checks = saved(quality.check_list(ops, job.validations), job.table("checks"))
-    for name, df in star.star_schema(flat, concepts).items():
-        df.write.mode("overwrite").parquet(job.table(name))
     pack = saved(k.kpis(ops), job.table("kpis"))
-
-    charts = {
+    tables = {
+        "sensitive_columns": findings_table(spark, model.findings).toDF("column", "why_flagged"),
+        "concepts": concept_table(spark, concepts).toDF("concept", "column"),
+        **star.star_schema(flat, concepts),
         "summary_cards": dashboard.summary_cards(pack, len(model.findings), len(model.columns), by),
         "kpi_cards": dashboard.kpi_cards(pack, by),
     }
     if ops.has("product", "revenue"):
-        charts["product_chart"] = dashboard.product_chart(ops)
+        tables["product_chart"] = dashboard.product_chart(ops)
     if ops.has("date", "revenue"):
-        charts["weekly_trend"] = dashboard.weekly_trend(ops)
+        tables["weekly_trend"] = dashboard.weekly_trend(ops)
     if ops.has("shipping_status"):
-        charts["status_mix"] = dashboard.status_mix(ops)
+        tables["status_mix"] = dashboard.status_mix(ops)
     if ops.has("supplier", "shipping_status") or ops.has("supplier", "delivery_days"):
-        charts["supplier_chart"] = dashboard.supplier_chart(ops)
-    for name, df in charts.items():
-        df.write.mode("overwrite").parquet(job.table(name))
+        tables["supplier_chart"] = dashboard.supplier_chart(ops)
+    write_tables(tables, job.destination)
 
     payloads = report.payload(pack, checks, list(model.findings), job.privacy_standard, by)
     write_json(payloads, job.table("payload"))

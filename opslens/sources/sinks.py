@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
 
+def write_tables(tables: Mapping[str, DataFrame], folder: str, at_once: int = 4) -> None:
+    """Write each table as Parquet to its own folder; a few jobs run side by side, as most are small."""
+    def write(item: tuple[str, DataFrame]) -> None:
+        item[1].write.mode("overwrite").parquet(f"{folder}/{item[0]}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(write, tables.items()))
+
+
 def write_json(payloads: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write payload structs as JSON, one document per line, NULL fields kept."""
     columns = [c for c in payloads.columns if c != "payload"]

@@ -122,6 +122,15 @@ def test_job_for_many_businesses(spark, sf_dir, tmp_path):
     assert len(glob.glob(job.table("report/region=*"))) == 5
 
 
+def test_job_over_awkward_headers(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "Date,Qty,Qty,Sales.EUR,Key No,Item Product,Region (x)\n"
+                                     "2026-01-05,1,2,10.5,k1,axe,n\nJan 6 2026,x,2,1,k2,,s\n")
+    job = ReportingJob(source=path, destination=str(tmp_path / "out"), by=("region_(x)",))
+    run_pipeline(spark, job)
+    assert {r["region_(x)"]: r.total_revenue for r in spark.read.parquet(job.table("kpis")).collect()} == {"n": 10.5, "s": 1.0}
+    assert spark.read.parquet(job.table("fact_operations")).columns == ["date", "item_product", "qty", "sales.eur"]
+
+
 def test_sensitive_group_keys_are_refused_and_logged(spark, tmp_path):
     df = spark.createDataFrame([("a", "1")], "name string, revenue string")
     job = ReportingJob(source=df, destination=str(tmp_path), by=("name",))
