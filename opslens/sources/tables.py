@@ -49,11 +49,13 @@ def missing_tokens(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> DataF
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", na_tokens: Sequence[str] = NA_TOKENS,
-             multi_line: bool = False, infer_types: bool = False) -> DataFrame:
+             multi_line: bool = False, infer_types: bool = False, order_column: str | None = None) -> DataFrame:
     """Read CSV with a header row, every column as text, tokens for "missing" as NULL.
 
     Files are read in splits; ``multi_line=True`` is for quoted line breaks and reads each file whole.
     ``infer_types=True`` takes one more pass and turns columns that hold only numbers into numbers.
+    ``order_column`` names a column to add that sorts rows as they stand in the files, for previews and
+    for samples of first values.
     """
     headers = csv_headers(spark, path, sep)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
@@ -61,6 +63,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", na_tokens: Sequence
     plain = all("." not in h and not h.startswith("Unnamed: ") for h in headers)
     raw = spark.read.schema(schema).options(
         **CSV_OPTIONS, header=True, sep=sep, multiLine=multi_line, enforceSchema=not plain).csv(path)
+    if order_column:
+        raw = raw.withColumn(order_column, F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row")))
     df = missing_tokens(raw, na_tokens)
     return narrow_numbers(df) if infer_types else df
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.checks.fixture import OPS_COLUMNS, ops
+from opslens.operators.privacy import find_sensitive
 from opslens.operators.quality import CHECKS
 from opslens.plans.pipeline import STEPS, ReportingJob, run_pipeline
 from opslens.plans.run_log import RUN_LOG_SCHEMA, latest_runs, run_table
@@ -42,6 +43,26 @@ def test_csv_quoted_line_breaks(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, path, multi_line=True).collect()] == [("x\ny", "1")]
 
 
+def test_csv_rows_keep_their_file_order(spark, tmp_path):
+    write(tmp_path / "b.csv", "k,size\n" + "".join(f"{i},v\n" for i in range(5000, 9000)))
+    write(tmp_path / "a.csv", "k,size\n" + "".join(f"{i},v\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        df = read_csv(spark, str(tmp_path), order_column="place")
+        assert df.rdd.getNumPartitions() > 4
+        assert [r.k for r in df.orderBy("place").collect()] == [str(i) for i in range(9000)]
+        assert [r.k for r in preview(df, ["place"]).collect()] == [str(i) for i in range(12)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sample_of_first_values_in_file_order(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "size\n250\n300\n1200\n")
+    df = read_csv(spark, path, order_column="place")
+    found = find_sensitive(df, mode="sample", order_by=["place"], skip=["place"])
+    assert found == {"size": ["sample values look like phone numbers"]}
+
+
 def test_every_missing_token(spark, tmp_path):
     path = write(tmp_path / "a.csv", "a,k\n" + "".join(f"{token},k\n" for token in NA_TOKENS))
     assert read_csv(spark, path).where("a is not null").count() == 0
