@@ -58,9 +58,27 @@ from placed
 """
 
 
+CHAT = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped as (
+  select *, regexp_replace(regexp_replace(text, '<(\\*)(\||/?s>|</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') as body
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|turn|>' || role || chr(10) || body || '<|end|>' || chr(10)))::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by the query's name."""
     return {
         "op5_mix_sources": MIX.format(columns="doc_id, size, source_size, target, copies * size as taken, copies"),
         "op7_shards": SHARDS,
+        "op9_chat": CHAT,
     }

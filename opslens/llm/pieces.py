@@ -65,6 +65,16 @@ def _piece(key: str) -> str:
     return key if key == "\n" else key[1:] if key[:1] == MARK else " " + key
 
 
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of about CHUNK bytes, of one text at least."""
+    upto = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(texts))]))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK, side="right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
 class _Numbers(dict):
     """Numbers keys as they are first looked up."""
 
@@ -91,6 +101,7 @@ class PieceEncoder:
         self._numbers = _Numbers()
         self._flat = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 16, np.int64)
+        self._chars = np.zeros(1 << 16, np.int64)
         self._known = 0
         self._numbered(["\n", "", MARK], plain=False)
 
@@ -118,9 +129,14 @@ class PieceEncoder:
         if end > len(self._flat):
             self._flat = np.concatenate([self._flat[:start], np.zeros(max(len(self._flat), end), np.uint32)])
         if self._known + len(new) >= len(self._starts):
-            self._starts = np.concatenate([self._starts, np.zeros(len(self._starts) + len(new), np.int64)])
+            more = np.zeros(len(self._starts) + len(new), np.int64)
+            self._starts, self._chars = np.concatenate([self._starts, more]), np.concatenate([self._chars, more])
         self._flat[start:end] = ids
         self._starts[self._known + 1 : self._known + len(new) + 1] = start + np.cumsum(sizes)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        bare = np.fromiter((k[:1] == MARK or k == "\n" for k in new), bool, len(new))
+        marked = np.fromiter((k[:1] == MARK for k in new), bool, len(new))
+        self._chars[self._known : self._known + len(new)] = lengths - marked + ~bare
         self._known += len(new)
 
     def _numbered(self, keys: list[str], plain: bool) -> np.ndarray:
@@ -134,11 +150,10 @@ class PieceEncoder:
         """Number of ids of each piece."""
         if len(self._numbers) > KEPT:
             self._clear()
-        numbers = self._numbered([_key(p) for p in parts], plain=False)
-        return self._starts[numbers + 1] - self._starts[numbers]
+        return self._sized(self._numbered([_key(p) for p in parts], plain=False))[1]
 
-    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has."""
+    def _parsed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts in order, and how many each text has."""
         if len(self._numbers) > KEPT:
             self._clear()
         odd = np.asarray(pc.match_substring_regex(texts, IRREGULAR))
@@ -158,6 +173,15 @@ class PieceEncoder:
             both = np.empty(len(place), np.int64)
             both[place], both[~place] = more, numbers
             numbers = both
+        return numbers, sizes
+
+    def _sized(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and ids of pieces."""
+        return self._chars[numbers], self._starts[numbers + 1] - self._starts[numbers]
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        numbers, sizes = self._parsed(texts)
         starts = self._starts[numbers]
         lengths = self._starts[numbers + 1] - starts
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -165,22 +189,30 @@ class PieceEncoder:
         at += np.repeat(starts - ends[:-1], lengths)
         return self._flat[at], np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
 
+    def measure(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text in order, the characters and the ids of each of its pieces."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for some in _portions(texts):
+            if len(some) == 1 and len(text := some[0].as_py()) > CHUNK:
+                found = [self._sized(self._parsed(pa.array([part], pa.large_string()))[0]) for part in chunks(text)]
+                yield np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                continue
+            numbers, sizes = self._parsed(some)
+            chars, ids = self._sized(numbers)
+            ends = np.cumsum(sizes)
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                yield chars[a:b], ids[a:b]
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (ids of some texts one after the other, their numbers of ids); a very long text comes in parts, all but
         the last with the number -1 and alone. Null texts are empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        upto = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(texts))]))
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK, side="right")) - 1)
-            some = texts.slice(at, end - at)
-            if len(some) == 1 and upto[end] - upto[at] > CHUNK:
-                *head, tail = chunks(some[0].as_py())
+        for some in _portions(pc.fill_null(texts.cast(pa.large_string()), "")):
+            if len(some) == 1 and len(text := some[0].as_py()) > CHUNK:
+                *head, tail = chunks(text)
                 for part in head:
                     yield self._together(pa.array([part], pa.large_string()))[0], np.array([-1])
                 some = pa.array([tail], pa.large_string())
             yield self._together(some)
-            at = end
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import mixing, sharding, token_files
+from opslens.llm import chat, edit_counts, fingerprints, mixing, sharding, token_files
 from opslens.llm.staging import shared_folder, staged, table
 
 
@@ -41,7 +41,40 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = (op3_token_files, op5_mix_sources, op7_shards)
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.edited_fingerprints(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and one of control strings, as read back from their formatted pieces."""
+    rows = table(spark, sf_dir, "conversations")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    folder = shared_folder(spark, "chat")
+    chat.write(chat.canonical_rows(rows).unionByName(own), folder)
+    return chat.digests(spark.read.parquet(folder))
+
+
+def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document before and after three edits: its middle third's first 40 characters replaced by its
+    own first 24, a line put in at its middle, its last 10 characters cut off."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    edit = lambda start, end, text: F.struct(start.alias("start"), end.alias("end"), text.alias("replacement"))
+    edits = F.array(
+        edit(F.floor(n / 3), F.floor(n / 3) + 40, F.substring("text", 1, 24)),
+        edit(F.floor(n / 2), F.floor(n / 2), F.lit("\nOne more line.\n")),
+        edit(n - 10, n + 100, F.lit("")))
+    return edit_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), vocabulary())
+
+
+QUERIES = (op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op9_chat, op10_edited_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
