@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, edit_counts, fingerprints, mixing, sharding, token_files
+from opslens.llm import chat, decontamination, edit_counts, fingerprints, main_text, mixing, sharding, token_files
 from opslens.llm.staging import shared_folder, staged, table
 
 
@@ -17,6 +17,16 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return main_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, with the places of those passages."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the token files written for them."""
     folder = shared_folder(spark, "token-files")
@@ -74,7 +84,7 @@ def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), vocabulary())
 
 
-QUERIES = (op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op9_chat, op10_edited_counts)
+QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op9_chat, op10_edited_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
