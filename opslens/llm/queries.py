@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, decontamination, edit_counts, fingerprints, main_text, mixing, sharding, token_files
+from opslens.llm import chat, decontamination, edit_counts, fingerprints, jaccard_join, main_text, mixing, sharding, token_files
 from opslens.llm.staging import shared_folder, staged, table
 
 
@@ -57,6 +57,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of each document."""
+    return jaccard_join.near_components(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -84,7 +89,7 @@ def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), vocabulary())
 
 
-QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op9_chat, op10_edited_counts)
+QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op8_near_copies, op9_chat, op10_edited_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
