@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, decontamination, edit_counts, fingerprints, jaccard_join, main_text, mixing, sharding, token_files
+from opslens.llm import chat, decontamination, edit_counts, fingerprints, jaccard_join, main_text, mixing, sharding, token_files, toxicity
 from opslens.llm.staging import shared_folder, staged, table
 
 
@@ -51,6 +51,20 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The model learned from the labels that are not held out."""
+    return toxicity.trained(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text."""
     docs = table(spark, sf_dir, "documents")
@@ -89,7 +103,7 @@ def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), vocabulary())
 
 
-QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op5_mix_sources, op6_fingerprints, op7_shards, op8_near_copies, op9_chat, op10_edited_counts)
+QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op4_toxicity, op5_mix_sources, op6_fingerprints, op7_shards, op8_near_copies, op9_chat, op10_edited_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
