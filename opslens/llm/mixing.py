@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslens.llm.staging import packed, unpacked
 
-#: Characters of a hexadecimal digest that name a hash bucket: 256 buckets for each source and size class.
-BUCKET_DIGITS = 2
+#: Characters of a hexadecimal digest that name a hash bucket: 16 buckets for each source and size class.
+BUCKET_DIGITS = 1
+#: Leading binary digits of a size that name its class: classes are 1/16 of their size wide or less.
+CLASS_DIGITS = 5
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,9 +33,9 @@ def source_key(source: Column) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """Sortable name of a size's quarter of an octave: the number of binary digits and the first three of them."""
+    """Sortable name of a size's class: the number of its binary digits and the first few of them."""
     digits = F.bin(size)
-    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 3))
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, CLASS_DIGITS))
 
 
 def shuffle_key(doc_id: Column, seed: str) -> Column:
@@ -46,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
 
     Sources in the order of ``sk`` weigh ``weights``, repeating, and share the sum of all sizes. With sources ordered by
     ``cap * size / weight``, those at the front stop at ``cap * size``; the first that does not, fixes the level that all
-    later ones get for each unit of weight. One row per source passes through one task, as the rank of a source by name
+    later ones get for each unit of weight. Levels rise up to that source and fall after it, so it is the largest. One row per source passes through one task, as the rank of a source by name
     is a single sequence.
     """
     named = Window.orderBy("sk")
@@ -61,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
         / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).cast("double")
     )
     levels = ranked.withColumn("level", level).withColumn("stops", F.col("most") <= F.col("level") * F.col("weight"))
-    shared = F.min(F.when(~F.col("stops"), F.col("level"))).over(everything)
+    shared = F.max(F.when(~F.col("stops"), F.col("level"))).over(everything)
     return levels.withColumn("shared", shared).select(
         "sk", "source_size",
         F.when(F.col("stops"), F.col("most").cast("double")).otherwise(F.col("shared") * F.col("weight")).alias("target"))

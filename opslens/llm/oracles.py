@@ -5,7 +5,7 @@ with sized as (
   select *, coalesce('0' || source, '1') as sk, md5('mix/' || coalesce(doc_id::varchar, '')) as k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
   from documents),
-strata as (select *, lpad(length(bin(size))::varchar, 2, '0') || substr(bin(size), 1, 3) as cls, substr(k, 1, 2) as bucket from sized),
+strata as (select *, lpad(length(bin(size))::varchar, 2, '0') || substr(bin(size), 1, 5) as cls, substr(k, 1, 1) as bucket from sized),
 sources as (select sk, sum(size)::bigint as source_size from sized group by sk),
 weighed as (
   select sk, source_size, 3 * source_size as most, [5, 2, 1][((row_number() over (order by sk) - 1) % 3 + 1)::int] as weight from sources),
@@ -17,7 +17,7 @@ levels as (
 targets as (
   select sk, source_size,
          case when most <= level * weight then most::double
-              else min(case when most > level * weight then level end) over () * weight end as target
+              else max(case when most > level * weight then level end) over () * weight end as target
   from levels),
 rates as (
   select *, case when source_size > 0 then target / source_size else 0.0::double end as rate,
