@@ -88,7 +88,7 @@ def _filled(record: Column) -> Column:
     for f in _record_type().fields:
         if isinstance(f.dataType, T.ArrayType):
             for inner in f.dataType.elementType.names:
-                there = F.coalesce(F.exists(record[f.name], lambda x, i=inner: x[i].isNotNull()), F.lit(False))
+                there = F.size(F.array_compact(record[f.name][inner])) > 0
                 found.append(F.when(there, F.lit(f"{f.name}[].{inner}")))
         else:
             found.append(F.when(record[f.name].isNotNull(), F.lit(f.name)))

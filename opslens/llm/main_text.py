@@ -153,30 +153,35 @@ def _apart(node: Node) -> bool:
     return any(WORDS.search(BESIDE.sub("", a.get(x, ""))) for x in ("class", "id"))
 
 
-def prune(node: Node, inside: bool = False) -> None:
+def prune(root: Node) -> None:
     """Take everything out that never is text of an article. A header inside an article keeps its headings alone."""
-    kept = []
-    for c in node.children:
-        if isinstance(c, Node):
-            own_header = bool(c.attrs) and bool(OWN_HEADER.search(c.attrs.get("class", "")))
-            if c.name == "header" or own_header:
-                if not inside and not own_header:
-                    c.parent = None
+    waiting = [(root, False)]
+    while waiting:
+        node, inside = waiting.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, Node):
+                own_header = bool(c.attrs) and bool(OWN_HEADER.search(c.attrs.get("class", "")))
+                if c.name == "header" or own_header:
+                    if not inside and not own_header:
+                        continue
+                    c.children = _headings(c)
+                elif _apart(c):
                     continue
-                c.children = _headings(c)
-            elif _apart(c):
-                c.parent = None
-                continue
-            prune(c, inside or c.name in ARTICLE)
-        kept.append(c)
-    node.children = kept
+                waiting.append((c, inside or c.name in ARTICLE))
+            kept.append(c)
+        node.children = kept
 
 
 def _headings(node: Node) -> list[Node]:
-    found = []
-    for c in node.elements():
-        if not _apart(c):
-            found += [c] if c.name in HEADINGS else _headings(c)
+    """Headings below an element, in page order."""
+    found, stack = [], node.elements()[::-1]
+    while stack:
+        c = stack.pop()
+        if c.name in HEADINGS:
+            found.append(c)
+        elif not _apart(c):
+            stack += c.elements()[::-1]
     return found
 
 
