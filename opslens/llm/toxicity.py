@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +32,15 @@ DECAY = 0.6
 SPAN = 6
 #: Letters of a word that are compared at once; longer words are cut into overlapping parts.
 LONGEST = 22
-LANDMARKS = 240
+LANDMARKS = 200
 #: Labelled texts that a model is fitted on at most, of each class; taken by a hash of the id.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Characters scored together, and words whose margins a worker keeps.
 CHUNK = 2_000_000
 KEPT = 500_000
 THRESHOLD = 0.7
+#: Margin from which a word surely counts as toxic.
+SURE = 0.6
 #: Weight of disguised forms of toxic words in training, against the words.
 VIRTUAL = 0.05
 
@@ -109,25 +110,41 @@ def _normalized(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return weights / np.maximum(own, 1e-12)
 
 
-def features(words: list[str], directions: np.ndarray) -> np.ndarray:
-    """Products of the words' normalized subsequence counts with the columns of ``directions`` (one row for each code)."""
-    found = np.zeros((len(words), directions.shape[1]), np.float32)
-    step = max(1, 200_000 // max(1, directions.shape[1]))
+@dataclass
+class Spread:
+    """Normalized subsequence counts of some words, a column for each; ``row`` says where a code's counts are, row 0 is empty."""
+
+    row: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Spread:
+        codes, weights = _codes(words)
+        weights = _normalized(codes, weights)
+        used = np.unique(codes[weights > 0])
+        row = np.zeros(_CLASSES**3, np.int32)
+        row[used] = np.arange(1, len(used) + 1)
+        counts = np.zeros((len(used) + 1, len(words)), np.float32)
+        np.add.at(counts, (row[codes], np.arange(len(words))[:, None]), weights)
+        counts[0] = 0
+        return cls(row, counts)
+
+    def direction(self, weights: np.ndarray) -> np.ndarray:
+        """Weight of each code in a weighted sum of the words."""
+        return (self.counts @ weights.astype(np.float32))[self.row]
+
+
+def features(words: list[str], spread: Spread) -> np.ndarray:
+    """Kernel of words with the words of ``spread``."""
+    found = np.zeros((len(words), spread.counts.shape[1]), np.float32)
+    step = 500
     for i in range(0, len(words), step):
         codes, weights = _codes(words[i : i + step])
         weights = _normalized(codes, weights).astype(np.float32)
+        rows = spread.row[codes]
         for k in range(codes.shape[1]):
-            if weights[:, k].any():
-                found[i : i + step] += weights[:, k, None] * directions[codes[:, k]]
-    return found
-
-
-def _spread(words: list[str]) -> np.ndarray:
-    """Normalized subsequence counts of words, a column for each."""
-    codes, weights = _codes(words)
-    weights = _normalized(codes, weights)
-    found = np.zeros((_CLASSES**3, len(words)), np.float32)
-    np.add.at(found, (codes, np.arange(len(words))[:, None]), weights)
+            if rows[:, k].any():
+                found[i : i + step] += weights[:, k, None] * spread.counts[rows[:, k]]
     return found
 
 
@@ -177,19 +194,19 @@ class Model:
 
 
 def summary(margins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What a text's score is made of, from the margins of its words one after the other: the largest, how many are positive or
-    near it, and their share."""
+    """What a text's score is made of, from the margins of its words one after the other: the largest, how many are positive and
+    surely so, and their share."""
     n = len(sizes)
     found = np.zeros((n, 5))
     full = np.flatnonzero(sizes > 0)
     if len(full):
         starts = (np.cumsum(sizes) - sizes)[full]
         add = lambda x: np.add.reduceat(x, starts)
-        positive, near = add((margins > 0).astype(float)), add(np.clip(margins + 0.5, 0, None))
+        positive, sure = add((margins > 0).astype(float)), add((margins > SURE).astype(float))
         found[full] = np.stack([
-            np.maximum.reduceat(np.clip(margins, -2, 3), starts), np.log1p(positive), np.log1p(near), positive / np.sqrt(sizes[full]),
+            np.maximum.reduceat(np.clip(margins, -1, 1), starts), np.log1p(positive), np.log1p(sure), sure / np.sqrt(sizes[full]),
             np.log1p(sizes[full])], axis=1)
-    found[sizes == 0, 0] = -2
+    found[sizes == 0, 0] = -1
     return found
 
 
@@ -262,67 +279,76 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.curve[0] + x @ self.model.curve[1:], -30, 30)))
 
 
+def _bags(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of some texts, and the distinct (text, word) pairs as two arrays of numbers."""
+    number: dict[str, int] = {}
+    docs, words = [], []
+    for at in range(0, len(texts), 250):
+        distinct, numbers, sizes = tokens(pa.array([t or "" for t in texts[at : at + 250]], pa.large_string()))
+        own = [[number.setdefault(w, len(number)) for w in parts(t)] for t in distinct]
+        many = np.array([len(x) for x in own], np.int64)
+        flat, ends = np.array([w for x in own for w in x], np.int64), np.cumsum(many)
+        doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), many[numbers])
+        last = np.cumsum(many[numbers])
+        place = np.arange(len(doc)) + np.repeat((ends - many)[numbers] - (last - many[numbers]), many[numbers])
+        pairs = np.unique(np.stack([doc, flat[place]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
+        docs.append((pairs[0] + at).astype(np.int32))
+        words.append(pairs[1].astype(np.int32))
+    none = [np.zeros(0, np.int32)]
+    return list(number), np.concatenate(docs or none), np.concatenate(words or none)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts. Without texts of both classes every score is the share of toxic ones."""
+    """A model from labelled texts. Without texts of both classes every score is about the share of toxic ones."""
     y = np.array(toxic, bool)
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     flat = Model(np.zeros(_CLASSES**3, np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     if y.all() or not y.any():
         return flat
-    distinct, numbers, sizes = tokens(pa.array([t or "" for t in texts], pa.large_string()))
-    own = [parts(t) for t in distinct]
-    held = [{w for k in set(run.tolist()) for w in own[k]} for run in np.split(numbers, np.cumsum(sizes)[:-1])]
-    bad, good = Counter(), Counter()
-    for words, label in zip(held, y.tolist(), strict=True):
-        (bad if label else good).update(words)
+    words, doc, word = _bags(texts)
     n_bad, n_good = int(y.sum()), int((~y).sum())
+    bad = np.bincount(word[y[doc]], minlength=len(words))
+    good = np.bincount(word[~y[doc]], minlength=len(words))
     # how many standard errors a word's rate among toxic texts lies above its rate among others
-    def apart(word: str) -> float:
-        b, g = bad[word], good[word]
-        p = (b + g + 1) / (n_bad + n_good + 2)
-        return (b / n_bad - g / n_good) / np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good))
-
-    strong = sorted((w for w in bad if bad[w] >= 3 and apart(w) > 4 and bad[w] / n_bad > 4 * good[w] / n_good), key=lambda w: (-apart(w), w))[:LANDMARKS]
+    p = (bad + good + 1) / (n_bad + n_good + 2)
+    apart = (bad / n_bad - good / n_good) / np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good))
+    names = np.array(words, object)
+    by = lambda *keys: np.lexsort((names.astype(str), *keys))
+    strong = [k for k in by(-apart) if bad[k] >= 3 and apart[k] > 4 and bad[k] / n_bad > 4 * good[k] / n_good][:LANDMARKS]
     if not strong:
         return flat
-    common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))]
-    clean = common[:2000] + common[2000 :: max(1, len(common) // 12000)]
-    taken = set(strong)
-    clean = [w for w in clean if w not in taken]
-    landmarks = strong + clean[:: max(1, len(clean) // LANDMARKS)][:LANDMARKS]
-    spread = _spread(landmarks)
-    used = spread[spread.any(axis=1)]
-    kernel = used.T @ used
+    common = by(-good)[: int((good > 0).sum())]
+    common = common[~np.isin(common, strong)]
+    clean = [*common[:2000], *common[2000 :: max(1, len(common) // 12000)]]
+    landmarks = [*strong, *clean[:: max(1, len(clean) // LANDMARKS)][:LANDMARKS]]
+    spread = Spread.of([words[k] for k in landmarks])
+    kernel = spread.counts.T @ spread.counts
     values, vectors = np.linalg.eigh(kernel + 1e-6 * np.eye(len(landmarks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    variants = {v for w in strong for v in disguised(w)} - good.keys() - bad.keys()
-    positive, negative = list(strong), dict.fromkeys(clean)
-    at = {w: i for i, w in enumerate(dict.fromkeys([*positive, *negative, *sorted(variants)]))}
-    virtual = [at[v] for v in sorted(variants)]
-    x = features(list(at), spread) @ root
+    known = set(words)
+    virtual = features(sorted({v for k in strong for v in disguised(words[k])} - known), spread) @ root
+    positive, negative = list(strong), list(clean)
     for step in range(2):
-        rows = [at[w] for w in [*positive, *negative]]
+        x = features([words[k] for k in [*positive, *negative]], spread) @ root
         labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        times = np.array([float(bad[w]) for w in positive] + [1.0 + np.log1p(good[w]) for w in negative])
+        times = np.concatenate([bad[positive], 1.0 + np.log1p(good[negative])])
         weight = np.where(labels > 0, times / times[labels > 0].sum(), times / times[labels < 0].sum()) * len(labels) / 2
         # disguised words, as virtual examples, weigh VIRTUAL as much as the words themselves
         shade = np.full(len(virtual), VIRTUAL * weight[labels > 0].sum() / max(1, len(virtual)))
-        v = _machine(np.concatenate([x[rows], x[virtual]]), np.append(labels, np.ones(len(virtual))), np.append(weight, shade))
-        model = Model((spread @ (root @ v[:-1]).astype(np.float32)).astype(np.float32), float(v[-1]), np.zeros(6))
+        v = _machine(np.concatenate([x, virtual]), np.append(labels, np.ones(len(virtual))), np.append(weight, shade))
+        model = Model(spread.direction(root @ v[:-1]), float(v[-1]), np.zeros(6))
         if step == 1:
             break
-        every = sorted({w for words in held for w in words})
-        margin = dict(zip(every, model.margins(every).tolist(), strict=True))
+        margin = model.margins(words)
         # words of clean texts on the wrong side, and the best word of each toxic text that has none
-        wrong = [w for w in every if margin[w] > -0.3 and good[w] and bad[w] / n_bad <= 2 * good[w] / n_good]
-        best = [max(words, key=lambda w: (margin[w], w)) for words, label in zip(held, y.tolist(), strict=True) if label and words]
-        more = [w for w in dict.fromkeys(best) if margin[w] > -0.5 and not good[w]]
-        negative = dict.fromkeys([*negative, *wrong])
-        positive = [w for w in dict.fromkeys(positive + more) if w not in negative]
-        new = [w for w in dict.fromkeys([*positive, *negative]) if w not in at]
-        at |= {w: i for i, w in enumerate(new, len(at))}
-        if new:
-            x = np.concatenate([x, features(new, spread) @ root])
+        wrong = np.flatnonzero((margin > -0.3) & (good > 0) & (bad / n_bad <= 2 * good / n_good))
+        order = np.lexsort((word, -margin[word], doc))
+        first = np.append(True, np.diff(doc[order]) > 0) if len(order) else np.zeros(0, bool)
+        best = np.unique(word[order[first]][y[doc[order[first]]]])
+        more = best[(margin[best] > 0) & (good[best] == 0)]
+        negative = list(dict.fromkeys([*negative, *wrong.tolist()]))
+        taken = set(negative)
+        positive = [k for k in dict.fromkeys([*positive, *more.tolist()]) if k not in taken]
     summaries = Scorer(model).summaries(pa.array([t or "" for t in texts], pa.large_string()))
     model.curve = _logistic(summaries, y.astype(float))
     return model

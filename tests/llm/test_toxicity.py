@@ -28,7 +28,7 @@ def slow_kernel(a, b):
 
 def test_kernel():
     words = ["idiot", "idiiot", "banana", "xy", "anthropomorphization", "élan"]
-    got = t.features(words, t._spread(words))
+    got = t.features(words, t.Spread.of(words))
     expected = [[slow_kernel(a, b) for b in words] for a in words]
     assert np.allclose(got, expected, atol=1e-4)
 
@@ -56,11 +56,10 @@ def test_held_out_accuracy(rows):
     score, y = scorer.scores(pa.array([r.text for r in out], pa.large_string())), np.array([r.toxic for r in out]) == 1
     said = score >= t.THRESHOLD
     assert (said & y).sum() / y.sum() > 0.85 and (said & y).sum() / said.sum() > 0.92 and (said & ~y).mean() < 0.01
-    plain = out[0].text[:300]
     clean = "The of and is onent thor reand ble tion. " * 5
     texts = [clean + x for x in ("", " an idiot", " an i.d.i.o.t", " an i d i o t", " an idiiot", " an id-iot")]
     scores = scorer.scores(pa.array(texts, pa.large_string()))
-    assert scores[0] < 0.3 and (scores[1:] > scores[0] + 0.2).all() and plain
+    assert scores[0] < 0.3 and (scores[1:] > scores[0] + 0.2).all()
     assert scorer.scores(pa.array([None, ""], pa.large_string())).tolist() == scorer.scores(pa.array(["", ""], pa.large_string())).tolist()
 
 
