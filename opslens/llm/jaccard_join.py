@@ -152,9 +152,8 @@ def _reaching(threshold: int):
 def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The links among candidate pairs (a, b) of nodes."""
     shown = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens"))
-    near = pairs.join(shown("a"), "a").join(shown("b"), "b").where(
-        _sizes_fit(F.col("a_n"), F.col("b_n"), threshold)
-        & _may_reach(F.col("a_n"), F.col("a_tokens"), F.col("b_n"), F.col("b_tokens"), threshold))
+    may = _may_reach(F.col("a_n"), F.col("a_tokens"), F.col("b_n"), F.col("b_tokens"), threshold)
+    near = pairs.join(shown("a"), "a").join(shown("b"), "b").where(may)
     near = staged(near.select("a", "b"), "near-pairs")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     texts = staged(_texts(slim, nodes, wanted), "near-texts")
@@ -275,9 +274,10 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
 
     shown = nodes.where("size(tokens) > 0").select("node", "n", F.slice("tokens", 1, prefix_length(F.col("n"), threshold).cast("int")).alias("prefix"))
     entries = shown.select("node", "n", F.explode("prefix").alias("token"))
-    several = entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("node").alias("first")).where("holders > 1")
+    several = entries.groupBy("token").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n")).alias("first")).where("holders > 1")
     held = staged(entries.join(several.select("token", "first"), "token"), "held-tokens")
-    stars = held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    fit = held.where("node <> first.node").where(_sizes_fit(F.col("n"), F.col("first.n"), threshold))
+    stars = staged(fit.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verified(slim, nodes, stars, threshold)
 
     def with_components(rows: DataFrame) -> DataFrame:
