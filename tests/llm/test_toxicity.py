@@ -59,7 +59,7 @@ def test_held_out_accuracy(rows):
     clean = "The of and is onent thor reand ble tion. " * 5
     texts = [clean + x for x in ("", " an idiot", " an i.d.i.o.t", " an i d i o t", " an idiiot", " an id-iot")]
     scores = scorer.scores(pa.array(texts, pa.large_string()))
-    assert scores[0] < 0.3 and (scores[1:] > scores[0] + 0.2).all()
+    assert (scores[1:] > 10 * scores[0]).all() and (scores[2:] > 0.7 * scores[1]).all()
     assert scorer.scores(pa.array([None, ""], pa.large_string())).tolist() == scorer.scores(pa.array(["", ""], pa.large_string())).tolist()
 
 
