@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from opslens.checks.fixture import OPS_COLUMNS, SAFE_COLUMNS, ops_sql
+from opslens.checks.fixture import OPS_COLUMNS, PEOPLE, SAFE_COLUMNS, ops_sql
 
+# Patterns and reasons, written here once more so that the results do not rest on the library.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -14,6 +15,8 @@ NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)\s*$"
 EMAIL_REASON = "sample values look like email addresses"
 PHONE_REASON = "sample values look like phone numbers"
 SSN_REASON = "sample values look like SSNs"
+CARD_REASON = "sample values may contain payment-card-like numbers"
+POSTAL_REASON = "sample values look like postal/address information"
 KEY_REASON = "high-cardinality identifier-like field"
 
 MODES = {
@@ -131,13 +134,14 @@ def p75(select: str, by: str = "") -> str:
 
 
 def findings(columns: dict[str, str], headers: dict[str, str], mode: str, source: str,
-             extra: str = "", identifiers: tuple[str, ...] = ()) -> str:
+             extra: str = "", identifiers: tuple[str, ...] = (), cards: tuple[str, ...] = (), postal: tuple[str, ...] = ()) -> str:
     """(column, why_flagged) rows: header reasons given, value rules tested on every row of ``source``."""
     parts = []
     for column, text in columns.items():
         reasons = [f"'column name matched ''{headers[column]}'' under {mode}'"] if column in headers else []
         reasons += [f"case when bool_or(regexp_matches({text}, '{p}')) then '{reason}' end"
-                    for p, reason in ((EMAIL, EMAIL_REASON), (PHONE, PHONE_REASON), (SSN, SSN_REASON))]
+                    for p, reason in ((EMAIL, EMAIL_REASON), (PHONE, PHONE_REASON), (SSN, SSN_REASON),
+                                      *[(CARD, CARD_REASON)] * (column in cards), *[(POSTAL, POSTAL_REASON)] * (column in postal))]
         if column in identifiers:
             reasons.append(
                 f"case when count(distinct {text}) > greatest(20, count(*) * 0.8) "
@@ -156,6 +160,16 @@ def ops_findings(mode: str) -> str:
         columns, headers, mode, "ops", identifiers=("transaction_id", "order_id"))
 
 
+def people_findings() -> str:
+    """Strict findings over the columns made for the rarer rules; ``batch_no`` and ``area_no`` hold the same kinds of values as
+    ``card_no`` and ``zip_area`` under headers that announce neither."""
+    source = "select " + ", ".join(f"{sql.format(text='varchar')} as {c}" for c, sql in PEOPLE.items()) + " from customer"
+    headers = {"member_ref": "member", "order_id": "order_id", "card_no": "card", "zip_area": "zip"}
+    return f"with people as ({source}) " + findings(
+        {c: c for c in PEOPLE}, headers, MODES["strict"], "people", identifiers=("order_id", "invoice_id"),
+        cards=("card_no",), postal=("zip_area",))
+
+
 def table_findings() -> str:
     tables = {
         "customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], {"c_name": "name"}),
@@ -312,7 +326,7 @@ RUNS = ("select event_type as dataset, 'E-commerce operations' as business_area,
 LATEST = f"select * from ({RUNS}) qualify row_number() over (partition by dataset order by last_run desc) = 1"
 
 
-def job_tables() -> str:
+def job_tables(extra: dict[str, str] | None = None, without: tuple[str, ...] = ()) -> str:
     """Row counts of the tables the whole job writes."""
     counts = {
         "safe_operations": "count(*)", "fact_operations": "count(*)", "dim_date": "count(distinct cast(ts as date))",
@@ -322,19 +336,44 @@ def job_tables() -> str:
         "supplier_chart": "least(5, count(distinct supplier))", "kpis": "1", "run_log": "1",
         "weekly_trend": "cast(date_diff('day', min(date_trunc('week', ts)), max(date_trunc('week', ts))) / 7 + 1 as bigint)",
     }
+    counts = {name: n for name, n in (counts | (extra or {})).items() if name not in without}
     return typed(" union all ".join(
         f"select '{name}' as table_name, cast({n} as bigint) as n" + ("" if n == "1" else " from t")
         for name, n in counts.items()))
 
 
+#: After the second run nothing is left of the column that the stricter mode drops, nor of the first run.
+RERUN = {"sensitive_columns": "case when bool_or(contains(contact, '@')) then 4 else 3 end", "checks": "1", "concepts": "13 + 0 * count(*)",
+         "summary_cards": "5 + 0 * count(*)", "kpi_cards": "4 + 0 * count(*)", "runs": "1"}
+
+
+EVENTS = "select case when event_id % 17 <> 0 then ts end as ts, value, event_id from events"
+
+
 def refreshed() -> str:
     return f"""
-with t as (select ts, cast(value as decimal(18,4)) as rev, false as returned, false as late from events),
+with t as (select ts, cast(value as decimal(18,4)) as rev, false as returned, false as late from ({EVENTS})),
 {totals()},{weekly()}
 select start_date, end_date, row_count, total_revenue, avg_order_value, weekly_revenue_change_percent,
   current_week_revenue, previous_week_revenue from totals, week"""
 
 
+def turned_sensitive() -> str:
+    return (f"select count(*) as row_count, {r('sum(cast(value as decimal(18,4)))', 2)} as total_revenue, 'channel,date,revenue' as fact_columns, "
+            "'note' as sensitive, cast(2 as bigint) as folders_held from events")
+
+
+def by_region(name: str) -> str:
+    select = {
+        "fact_operations": "select region, ts as order_date, product, category, channel, supplier, units_sold, revenue, "
+                           "inventory_on_hand, delivery_days, shipping_status, return_flag from t",
+        "dim_product": "select distinct region, product from t where product is not null",
+        "dim_date": "select distinct region, cast(ts as date) as date, strftime(ts, '%Y-%m') as month, "
+                    "cast(weekofyear(ts) as integer) as week from t where ts is not null",
+    }
+    return typed(select[name])
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "kpi_revenue": typed("select total_revenue, avg_order_value, row_count, order_count from totals", "," + totals()),
@@ -435,6 +474,15 @@ def oracle_sql() -> dict[str, str]:
         "text_hit_rates": hit_rates(),
         "reporting_job": job_tables(),
         "refresh_job": refreshed(),
+        "job_rerun_stricter": job_tables(RERUN, without=("status_mix", "run_log")),
+        "job_with_sample": f"select * from ({sample_findings()}) where \"column\" <> 'contact'",
+        "job_payload": typed("select total_revenue, row_count, return_rate, cast(9 as bigint) as headings from totals", "," + totals()),
+        "refresh_turns_sensitive": turned_sensitive(),
+        "csv_inferred_types": "select cast(o_orderkey as bigint) as k, cast(o_orderkey as bigint) + 1000000000000000000 as id19, "
+                              "cast(cast(o_orderkey as hugeint) + 10000000000000000000000000 as varchar) as id26, "
+                              "cast(cast(o_totalprice as decimal(18,2)) as varchar) as price from orders",
+        "privacy_rules": people_findings(),
+        **{f"{name}_by_region": by_region(name) for name in ("fact_operations", "dim_product", "dim_date")},
         "dim_date": typed("select distinct cast(ts as date) as date, strftime(ts, '%Y-%m') as month, "
                           "cast(weekofyear(ts) as integer) as week from t where ts is not null"),
         "fact_operations": typed("select ts as order_date, product, category, channel, supplier, units_sold, revenue, "

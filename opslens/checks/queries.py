@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.checks.fixture import SAFE_COLUMNS, STRICT_COLUMNS, ops
+from opslens.checks.fixture import PEOPLE, SAFE_COLUMNS, STRICT_COLUMNS, ops
 from opslens.functions.coerce import is_blank, is_delayed, is_truthy, to_number, to_ts
 from opslens.functions.numbers import rounded
 from opslens.operators import dashboard, kpis as k, privacy, quality, report, star, text_scan
@@ -17,8 +17,9 @@ from opslens.operators.columns import concept_table, infer_columns, normalize_co
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
 from opslens.plans.pipeline import ReportingJob, run_pipeline
-from opslens.sources.staging import shared_folder, stage
-from opslens.sources.tables import preview, read_csv, spread
+from opslens.sources.runs import RUNS, listed, run_folder
+from opslens.sources.staging import shared_folder
+from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +42,9 @@ def _operations(spark, sf_dir, *needed: str, columns: Sequence[str] = SAFE_COLUM
 
 
 def _staged(spark, sf_dir, by: Sequence[str] = ()) -> Operations:
-    """The same, written once, for queries that read it many times."""
+    """The same, kept by Spark while a query reads it many times; nothing is left on disk behind it."""
     found = _operations(spark, sf_dir, by=by)
-    return replace(found, rows=stage(found.rows), stored=True)
+    return replace(found, rows=found.rows.persist())
 
 
 def _kpi_columns(needed: str, *columns: str) -> Query:
@@ -116,7 +117,7 @@ def _normalized_preview(spark, sf_dir):
 
 
 def _csv_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/opslens-csv-{uuid.uuid4().hex}"
+    path = _folder(spark, "csv")
     written = ops(spark, sf_dir).write.options(
         header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     written.csv(path)
@@ -160,6 +161,11 @@ def _fact_operations(spark, sf_dir):
     return star.star_schema(ops(spark, sf_dir, SAFE_COLUMNS), infer_columns(SAFE_COLUMNS))[star.FACT]
 
 
+def _star_by_region(name: str) -> Query:
+    columns = (*SAFE_COLUMNS, "region")
+    return lambda spark, sf_dir: star.star_schema(ops(spark, sf_dir, columns), infer_columns(SAFE_COLUMNS), REGION)[name]
+
+
 def _quality_schema_only(spark, sf_dir):
     table = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
     return quality.validate(typed(table, infer_columns(table.columns))).withColumnRenamed("check", "check_name")
@@ -293,31 +299,74 @@ def _run_table(spark, sf_dir):
 
 
 def _pii_in(table: str, keys: Sequence[str]) -> Query:
-    return lambda spark, sf_dir: text_scan.scan_text(spread(_table(spark, sf_dir, table), *keys), keys, "text")
+    return lambda spark, sf_dir: text_scan.scan_text(_table(spark, sf_dir, table), keys, "text")
 
 
 def _text_hit_rates(spark, sf_dir):
-    return text_scan.text_hit_rates(spread(_table(spark, sf_dir, "documents"), "doc_id"), ["text", "source"])
+    return text_scan.text_hit_rates(_table(spark, sf_dir, "documents"), ["text", "source"])
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/opslens-{name}-{uuid.uuid4().hex}"
+
+
+def _counts(spark, job: ReportingJob, names: Sequence[str]) -> DataFrame:
+    return reduce(DataFrame.union, [
+        spark.read.parquet(job.table(name)).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name in names])
 
 
 def _reporting_job(spark, sf_dir):
     """The whole job over the fixture: rows of each table it leaves behind."""
-    job = ReportingJob(source=ops(spark, sf_dir), destination=f"{shared_folder(spark)}/opslens-job-{uuid.uuid4().hex}")
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "job"))
+    run_pipeline(spark, job)
+    return _counts(spark, job, (
+        "safe_operations", star.FACT, star.DIM_DATE, *star.DIMENSIONS, "sensitive_columns", "product_chart",
+        "weekly_trend", "status_mix", "supplier_chart", "kpis", "run_log"))
+
+
+def _job_rerun_stricter(spark, sf_dir):
+    """What readers find after the job has run under the baseline and then under a mode that drops one column more."""
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "rerun"))
+    run_pipeline(spark, job)
+    stricter = replace(job, privacy_standard=privacy.GDPR)
+    run_pipeline(spark, stricter)
+    runs = listed(spark, f"{job.destination}/{RUNS}")
+    tables = [name for name in listed(spark, run_folder(job.destination, runs[-1])) if name not in ("payload", "report")]
+    return _counts(spark, stricter, tables).union(spark.range(1).select(F.lit("runs"), F.lit(len(runs)).cast("long")))
+
+
+def _job_with_sample(spark, sf_dir):
+    """The job with a privacy scan of the first values only, one column left alone."""
+    scan = {"mode": "sample", "order_by": ["transaction_id", "contact", "revenue"], "skip": ["contact"]}
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "sample"), scan=scan)
+    run_pipeline(spark, job)
+    return spark.read.parquet(job.table("sensitive_columns"))
+
+
+def _job_payload(spark, sf_dir):
+    """The payload and the report as a reader finds them in their files."""
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "payload"))
     run_pipeline(spark, job)
-    written = ("safe_operations", star.FACT, star.DIM_DATE, *star.DIMENSIONS, "sensitive_columns", "product_chart",
-               "weekly_trend", "status_mix", "supplier_chart", "kpis", "run_log")
-    counts = [spark.read.parquet(job.table(name)).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
-              for name in written]
-    return reduce(DataFrame.union, counts)
+    sent = spark.read.schema("purpose string, metrics struct<total_revenue:double,row_count:bigint,return_rate:double>").json(
+        job.table("payload"))
+    lines = spark.read.text(job.table("report")).agg(
+        F.count_if(F.col("value").startswith("#")).alias("headings"), F.count_if(F.col("value").contains("new gear")).alias("named"))
+    one = lambda df, c: df.select(c).scalar()
+    return sent.select("metrics.total_revenue", "metrics.row_count", "metrics.return_rate", one(lines, "headings").alias("headings"))
+
+
+def _event_rows(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 17 != 0, F.col("ts").cast("timestamp")).alias("date"), F.col("value").alias("revenue"),
+        F.col("event_type").alias("status"), "event_id")
 
 
 def _refresh_job(spark, sf_dir):
-    """The event stream arriving in two drops, a refresh after each."""
-    folder = f"{shared_folder(spark)}/opslens-refresh-{uuid.uuid4().hex}"
-    events = _table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("revenue"), F.col("event_type").alias("status"))
-    job = ReportingJob(source=f"{folder}/in", destination=f"{folder}/out", source_type="parquet")
-    first = F.col("date") < "2024-01-20"
+    """The event stream arriving in two drops, a refresh after each; some dates are missing."""
+    folder = _folder(spark, "refresh")
+    events = _event_rows(spark, sf_dir).drop("event_id")
+    job = ReportingJob(source=f"{folder}/in", destination=f"{folder}/out", source_type="parquet", private=f"{folder}/private")
+    first = F.coalesce(F.col("date") < "2024-01-20", F.lit(False))
     for drop in (events.where(first), events.where(~first)):
         drop.write.mode("append").parquet(job.source)
         refresh_stream(spark, job).awaitTermination()
@@ -327,6 +376,49 @@ def _refresh_job(spark, sf_dir):
         "previous_week_revenue")
 
 
+def _refresh_turns_sensitive(spark, sf_dir):
+    """Two drops with semicolons, the second with its columns in another order and one more, whose notes hold addresses:
+    what readers find then."""
+    folder = _folder(spark, "sensitive")
+    events = _event_rows(spark, sf_dir).withColumn("revenue", F.col("revenue").cast("decimal(18,4)").cast("string"))
+    job = ReportingJob(source=f"{folder}/in", destination=f"{folder}/out", private=f"{folder}/private", source_options={"sep": ";"})
+    even = F.col("event_id") % 2 == 0
+    note = F.concat(F.lit("user"), F.col("event_id").cast("string"), F.lit("@example.com"))
+    drops = (events.where(even).select("date", "revenue", F.lit("fine").alias("note")),
+             events.where(~even).select(note.alias("note"), "revenue", F.lit("x").alias("channel"), "date"))
+    for drop in drops:
+        drop.write.mode("append").options(header=True, sep=";").csv(job.source)
+        refresh_stream(spark, job).awaitTermination()
+    names = lambda df: F.lit(",".join(sorted(df.columns)))
+    fact, flagged = spark.read.parquet(job.table(star.FACT)), spark.read.parquet(job.table("sensitive_columns"))
+    held = len(listed(spark, f"{job.destination}/{RUNS}")) + len(listed(spark, f"{job.private}/typed"))
+    return spark.read.parquet(job.table("kpis")).select(
+        "row_count", "total_revenue", names(fact).alias("fact_columns"),
+        flagged.agg(F.array_join(F.sort_array(F.collect_list("column")), ",").alias("c")).scalar().alias("sensitive"),
+        F.lit(held).cast("long").alias("folders_held"))
+
+
+def _csv_inferred_types(spark, sf_dir):
+    """Long whole numbers written as CSV and read back with types inferred."""
+    path = _folder(spark, "csv-types")
+    big = lambda digits: (F.col("o_orderkey") + F.lit(str(10 ** digits)).cast("decimal(38,0)")).cast("string")
+    _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("k"), big(18).alias("id19"), big(25).alias("id26"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price")).write.options(header=True).csv(path)
+    return read_csv(spark, path, infer_types=True).select(
+        "k", "id19", F.col("id26").cast("string").alias("id26"), F.col("price").cast("decimal(18,2)").cast("string").alias("price"))
+
+
+def _people(spark, sf_dir):
+    """Customers with values that the rarer privacy rules are about, and others that come near."""
+    return _table(spark, sf_dir, "customer").selectExpr(*(f"{sql.format(text='string')} as `{c}`" for c, sql in PEOPLE.items()))
+
+
+def _privacy_rules(spark, sf_dir):
+    found = privacy.find_sensitive(_people(spark, sf_dir), privacy.STRICT)
+    return privacy.findings_table(spark, found).withColumnRenamed("why flagged", "why_flagged")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "kpi_revenue": _kpi_columns("revenue", "total_revenue", "avg_order_value", "row_count", "order_count"),
@@ -381,6 +473,15 @@ def queries() -> dict[str, Query]:
         "text_hit_rates": _text_hit_rates,
         "reporting_job": _reporting_job,
         "refresh_job": _refresh_job,
+        "job_rerun_stricter": _job_rerun_stricter,
+        "job_with_sample": _job_with_sample,
+        "job_payload": _job_payload,
+        "refresh_turns_sensitive": _refresh_turns_sensitive,
+        "csv_inferred_types": _csv_inferred_types,
+        "privacy_rules": _privacy_rules,
+        "fact_operations_by_region": _star_by_region(star.FACT),
+        "dim_product_by_region": _star_by_region("dim_product"),
+        "dim_date_by_region": _star_by_region(star.DIM_DATE),
         "dim_date": _dim_date,
         "dim_product": _dim("product"),
         "dim_category": _dim("category"),

@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 DASH = "—"
 
-# Amounts below this are summed as decimals with ten places; a sum then holds 10^10 times more.
-_EXACT_LIMIT = 1e15
+# Amounts are summed with so many decimal places; the digits before the point that are left bound an amount.
+_PLACES = 16
+_LARGEST = 10.0 ** (38 - _PLACES - 2)
 
 
 def fixed(x: Column, places: int) -> Column:
@@ -26,7 +27,7 @@ def rounded(x: Column, places: int) -> Column:
     size = F.abs(x)
     return (
         F.when(size == half, F.signum(x) * round(half, places))
-        .when(size < _EXACT_LIMIT, F.replace(fixed(x, places), F.lit(","), F.lit("")).cast("double"))
+        .when(size < float("inf"), F.replace(fixed(x, places), F.lit(","), F.lit("")).cast("double"))
         .otherwise(x)
     )
 
@@ -34,13 +35,14 @@ def rounded(x: Column, places: int) -> Column:
 def money_sum(x: Column) -> Column:
     """Sum of DOUBLE amounts that does not depend on the order rows arrive in.
 
-    Amounts are added as decimals; the few too large for that (or infinite) are added as doubles.
-    NULL amounts count as nothing, and a group without amounts sums to 0.
+    Amounts are added as decimals with 16 places; what lies beyond them is rounded. A finite amount of 10^20 or more is an
+    error. Infinite amounts make an infinite sum. NULL amounts count as nothing, a group without amounts sums to 0.
     """
-    small = F.abs(x) < _EXACT_LIMIT
-    exact = F.sum(F.when(small, x.try_cast("decimal(25,10)"))).cast("double")
-    stray = F.sum(F.when(~small, x))
-    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(stray, F.lit(0.0))
+    size = F.abs(x)
+    amount = (F.when(size < _LARGEST, x.try_cast(f"decimal(38,{_PLACES})"))
+              .when(size < float("inf"), F.raise_error(F.concat(F.lit("amount out of range: "), x.cast("string"))).cast(f"decimal(38,{_PLACES})")))
+    endless = F.sum(F.when(size == float("inf"), x))
+    return F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)) + F.coalesce(endless, F.lit(0.0))
 
 
 def money_text(x: Column) -> Column:

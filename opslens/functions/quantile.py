@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ACCURACY = 10_000
 _SALTS = 32
+_SLICES = 4096
 
 
-def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], spread_on: str) -> DataFrame:
+def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], *spread_on: str) -> DataFrame:
     """Join one ``lookup`` row per group onto ``df`` without piling a large group into one task.
 
     Both sides are joined on the group keys plus a salt taken from ``spread_on``; every lookup row
-    is repeated once per salt. ``df`` is expected to be aggregated already by the keys and
-    ``spread_on``, so its values differ within a group and the salt spreads them.
+    is repeated once per salt. ``df`` is expected to be aggregated already by the keys and the
+    columns ``spread_on``, so its values differ within a group and the salt spreads them.
     """
     keys = [f"__key{i}" for i in range(len(by))]
     right = lookup.select(
@@ -24,7 +25,7 @@ def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], spread_on: str)
         F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__slot"),
     )
     # The default is never used; it tells the optimizer that no salt is missing.
-    salt = F.coalesce(F.pmod(F.xxhash64(spread_on), F.lit(_SALTS)).cast("int"), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_on), F.lit(_SALTS)).cast("int"), F.lit(0))
     left = df.withColumn("__salt", salt)
     on = F.col("__salt") == F.col("__slot")
     for b, k in zip(by, keys):
@@ -32,40 +33,63 @@ def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], spread_on: str)
     return left.join(right, on).drop("__salt", "__slot", *keys)
 
 
+def _joined(df: DataFrame, facts: DataFrame, by: Sequence[str], spread_on: str) -> DataFrame:
+    """``df`` with the group's row of ``facts`` as the struct ``__f``."""
+    packed = facts.select(*by, F.struct(*[c for c in facts.columns if c not in by]).alias("__f"))
+    return attach(df, packed, by, spread_on)
+
+
 def exact_quantile(counts: DataFrame, rows: DataFrame, value: str, p: float, by: Sequence[str] = (),
                    alias: str = "quantile") -> DataFrame:
     """Linearly interpolated quantile of ``value``, one row per group.
 
-    ``counts`` holds (by..., value, n), ``rows`` the values themselves. A sketch over ``rows``
-    brackets the wanted rank; everything below the bracket is added up to a single row, so only the
-    distinct values inside it (about 0.04% of a group) are put in order.
+    ``counts`` holds (by..., value, n), ``rows`` the values themselves. Values are cut into three zones by a sketch's bracket
+    around the wanted rank. The zones are counted exactly, so the rank's zone is known whatever the sketch is worth. That
+    zone is cut into equal slices, which are counted as well, and only the slice that holds the rank is put in order.
+    The value behind the rank is the smallest one above.
     """
-    # The sketch is off by at most one part in _ACCURACY; the margin is twice that. Groups too small for
-    # the spare part to be worth several ranks are taken whole.
-    margin, small = 2 / _ACCURACY, F.count(F.lit(1)) < 4 * _ACCURACY
+    if not by:
+        whole = lambda df: df.withColumn("__all", F.lit(0))
+        return exact_quantile(whole(counts), whole(rows), value, p, ("__all",), alias).drop("__all")
+    v, f = F.col(value), F.col("__f")
+    margin = 2 / _ACCURACY
     ends = F.percentile_approx(
         value, F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))), F.lit(_ACCURACY))
-    size = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.when(small, F.min(value)).otherwise(ends[0]).alias("lo"),
-        F.when(small, F.max(value)).otherwise(ends[1]).alias("hi")).alias("__b"))
-    if by:
-        marked = attach(counts, size, by, value)
-    else:
-        marked = counts.withColumn("__b", size.scalar())
-    v, b = F.col(value), F.col("__b")
-    inside = marked.where(v <= b["hi"]).groupBy(*by, F.when(v >= b["lo"], v).alias("__v")).agg(
-        F.sum("n").alias("__n"), F.max(b["n"]).alias("__size"))
-    order = Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first())
-    running = inside.withColumn("__upto", F.sum("__n").over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rank = (F.col("__size") - 1) * F.lit(p)
-    low, part = F.floor(rank), rank - F.floor(rank)
-    picked = running.groupBy(*by).agg(
-        F.min(F.when(F.col("__upto") > low, F.col("__v"))).alias("__low"),
-        F.min(F.when(F.col("__upto") > F.ceil(rank), F.col("__v"))).alias("__high"),
-        F.max(part).alias("__part"))
-    return picked.select(*by, _between(F.col("__low"), F.col("__high"), F.col("__part")).alias(alias))
+    known = counts.where(v.isNotNull())
+    bracket = rows.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("size"), ends.alias("ends"), F.min(value).alias("least"), F.max(value).alias("most"))
+    bracket = bracket.withColumns({
+        "lo": F.col("ends")[0], "hi": F.col("ends")[1], "rank": (F.col("size") - 1) * F.lit(p), "at": F.floor((F.col("size") - 1) * F.lit(p))}).drop("ends")
+    marked = _joined(known, bracket, by, value)
+    zone = F.when(v < f["lo"], 0).when(v <= f["hi"], 1).otherwise(2)
+    zones = marked.groupBy(*by).agg(
+        F.first("__f").alias("b"), *[F.coalesce(F.sum(F.when(zone == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)])
+    at = F.col("b.at")
+    below, inside = at < F.col("n0"), at < F.col("n0") + F.col("n1")
+    facts = zones.select(
+        *by, "b.rank", "b.at", "b.lo", "b.hi", F.when(below, 0).when(inside, 1).otherwise(2).alias("zone"),
+        F.when(below, 0).when(inside, F.col("n0")).otherwise(F.col("n0") + F.col("n1")).alias("before"),
+        F.when(below, F.col("b.least")).when(inside, F.col("b.lo")).otherwise(F.col("b.hi")).alias("start"),
+        F.when(below, F.col("b.lo")).when(inside, F.col("b.hi")).otherwise(F.col("b.most")).alias("stop"))
+    chosen = _joined(known, facts, by, value)
+    here = F.when(v < f["lo"], 0).when(v <= f["hi"], 1).otherwise(2) == f["zone"]
+    part = (v - f["start"]) / (f["stop"] - f["start"])
+    slice_of = F.when((f["stop"] > f["start"]) & (part >= 0), F.least(F.floor(part * _SLICES), F.lit(_SLICES - 1))).otherwise(0)
+    sliced = chosen.where(here).withColumn("__slice", F.coalesce(slice_of.cast("long"), F.lit(0)))
+    slices = sliced.groupBy(*by, "__slice").agg(F.sum("n").alias("__n"), F.first("__f").alias("__s"))
+    ahead = F.sum("__n").over(Window.partitionBy(*by).orderBy("__slice"))  # _SLICES rows of a group at most
+    held = slices.withColumn("__upto", F.col("__s.before") + ahead).where(
+        (F.col("__upto") > F.col("__s.at")) & (F.col("__upto") - F.col("__n") <= F.col("__s.at")))
+    picked = held.select(*by, F.col("__slice").alias("slice"), (F.col("__upto") - F.col("__n")).alias("before"), "__s.at", "__s.rank")
+    last = _joined(sliced.drop("__f"), picked, by, value).where(F.col("__slice") == f["slice"])
+    running = f["before"] + F.sum("n").over(Window.partitionBy(*by).orderBy(value))
+    found = last.withColumn("__upto", running).where((F.col("__upto") > f["at"])).groupBy(*by).agg(
+        F.min(F.struct(v.alias("low"), F.col("__upto").alias("upto"), f["rank"].alias("rank"))).alias("__p")).select(*by, "__p.*")
+    # the next value above, wherever it lies
+    above = _joined(known, found, by, value).groupBy(*by).agg(
+        F.first("__f").alias("__f"), F.min(F.when(v > f["low"], v)).alias("next"))
+    high = F.when(f["upto"] > F.ceil(f["rank"]), f["low"]).otherwise(F.col("next"))
+    return above.select(*by, _between(f["low"], F.coalesce(high, f["low"]), f["rank"] - F.floor(f["rank"])).alias(alias))
 
 
 def _between(low: Column, high: Column, part: Column) -> Column:

@@ -81,7 +81,7 @@ def _long_deliveries(ops: Operations, *keys: str) -> DataFrame:
     counts = ops.rows.groupBy(*ops.by, *keys, t.DAYS).agg(F.count(F.lit(1)).alias("n"))
     limit = delay_threshold(ops)
     if ops.by:
-        return attach(counts, limit, ops.by, t.DAYS).withColumn("late", F.col(t.DAYS) > F.col("p75_days"))
+        return attach(counts, limit, ops.by, *keys, t.DAYS).withColumn("late", F.col(t.DAYS) > F.col("p75_days"))
     return counts.withColumn("late", F.col(t.DAYS) > limit.scalar())
 
 

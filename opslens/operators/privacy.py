@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from opslens.functions.coerce import is_number_text, plain_text
 
@@ -157,12 +156,16 @@ def _rule_tests(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str],
     return {pair: F.bool_or(match) for pair, match in tests.items() if match is not None}
 
 
+def _identifier_names(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Text columns with an identifier's header."""
+    return [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, T.StringType)
+            and any(part in f.name.lower().strip() for part in IDENTIFIER_HEADERS)]
+
+
 def _identifier_facts(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], Column]:
     """Aggregates that tell which text columns with an identifier's header can have too many distinct values."""
-    names = [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, T.StringType)
-             and any(part in f.name.lower().strip() for part in IDENTIFIER_HEADERS)]
     facts = {}
-    for name in names:
+    for name in _identifier_names(df, columns):
         c = F.col(f"`{name}`")
         facts[name, "rows"] = F.count(F.lit(1))
         facts[name, "filled"] = F.count(c)
@@ -181,39 +184,61 @@ def _one_pass(df: DataFrame, aggregates: Mapping[tuple[str, str], Column]) -> di
 
 def _sample_hits(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  sample_size: int) -> set[tuple[str, str]]:
-    """The pairs that match the first values of each column, read as one text joined by spaces."""
+    """The pairs that match the first values of each column, read as one text joined by spaces. One scan: the values of a
+    row are stacked, and each task keeps the first of each column before anything is shuffled."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    order = [F.col(f"`{o}`") for o in order_by]
-    samples = []
-    for i, col in enumerate(columns):
-        c = F.col(f"`{col}`")
-        first = df.where(c.isNotNull()).orderBy(*order).limit(sample_size)
-        samples.append(first.select(
-            F.lit(i).alias("i"),
-            F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order)], plain_text(c, types[col]).alias("text"))
-            .alias("value")))
-    texts = reduce(DataFrame.union, samples).groupBy("i").agg(F.array_join(
+    order = [F.col(f"`{o}`").alias(f"o{j}") for j, o in enumerate(order_by)]
+    cells = [F.struct(F.lit(i).alias("i"), plain_text(F.col(f"`{c}`"), types[c]).alias("text")) for i, c in enumerate(columns)]
+    stacked = df.select(*order, F.explode(F.array(*cells)).alias("cell")).select(
+        "cell.i", F.struct(*[f"o{j}" for j in range(len(order))], F.col("cell.text").alias("text")).alias("value"))
+    place = F.row_number().over(Window.partitionBy("i").orderBy("value"))
+    first = stacked.where("value.text is not null").withColumn("place", place).where(F.col("place") <= sample_size)
+    texts = first.groupBy("i").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list("value")), lambda v: v["text"]), " ").alias("joined"))
     found = texts.select("i", *[value_match(F.col("joined"), rule).alias(rule) for rule in VALUE_RULES]).collect()
     return {(columns[r["i"]], rule) for r in found for rule, (_, needed, _) in VALUE_RULES.items()
             if r[rule] and (not needed or any(part in columns[r["i"]].lower() for part in needed))}
 
 
-def identifier_columns(df: DataFrame, columns: Sequence[str], facts: Mapping | None = None) -> list[str]:
-    """Text columns with an identifier's header and more distinct values than the limit, counted exactly.
+def identifier_facts(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, int, int, bool | None]]:
+    """(column, rows, filled, whether any value is not a number) of the columns with an identifier's header; one pass."""
+    found = _one_pass(df, _identifier_facts(df, columns))
+    return [(c, found[c, "rows"], found[c, "filled"], found[c, "text"]) for c in _identifier_names(df, columns)]
 
-    ``facts`` are the answers to ``_identifier_facts`` where a pass has found them already.
-    """
-    wanted = _identifier_facts(df, columns)
-    found = _one_pass(df, wanted) if facts is None else facts
-    limit = lambda c: max(IDENTIFIER_FLOOR, found[c, "rows"] * IDENTIFIER_SHARE)
-    names = dict.fromkeys(name for name, _ in wanted)
-    possible = [c for c in names if found[c, "text"] and found[c, "filled"] > limit(c)]
+
+def identifier_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, hash) of the distinct values of the given identifier columns, in one scan for all of them."""
+    names = _identifier_names(df, columns)
+    cells = [F.struct(F.lit(c).alias("column"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias("hash"))
+             for c in names]
+    empty = F.array().cast("array<struct<column:string,hash:bigint>>")
+    stacked = df.select(F.explode(F.array(*cells) if cells else empty).alias("c")).select("c.column", "c.hash")
+    return stacked.where("hash is not null").distinct()
+
+
+def identifiers_among(facts: Mapping[str, tuple[int, int, bool | None]], values: DataFrame) -> list[str]:
+    """Columns with more distinct values than the limit. ``facts``: rows, filled and text of each column."""
+    limit = {c: max(IDENTIFIER_FLOOR, rows * IDENTIFIER_SHARE) for c, (rows, _, _) in facts.items()}
+    possible = [c for c, (_, filled, text) in facts.items() if text and filled > limit[c]]
     if not possible:
         return []
-    distinct = [df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct()
-                .agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n")) for c in possible]
-    return [r["column"] for r in reduce(DataFrame.union, distinct).collect() if r["n"] > limit(r["column"])]
+    counts = values.where(F.col("column").isin(possible)).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    large = {r["column"] for r in counts.collect() if r["n"] > limit[r["column"]]}
+    return [c for c in facts if c in large]
+
+
+def identifier_columns(df: DataFrame, columns: Sequence[str], facts: Mapping | None = None) -> list[str]:
+    """Text columns with an identifier's header and more distinct values than the limit.
+
+    ``facts`` are the answers to ``_identifier_facts`` where a pass has found them already. Values are told apart by
+    64-bit hashes.
+    """
+    found = _one_pass(df, _identifier_facts(df, columns)) if facts is None else facts
+    names = _identifier_names(df, columns)
+    known = {c: (found[c, "rows"], found[c, "filled"], found[c, "text"]) for c in names}
+    limit = lambda rows: max(IDENTIFIER_FLOOR, rows * IDENTIFIER_SHARE)
+    possible = [c for c, (rows, filled, text) in known.items() if text and filled > limit(rows)]
+    return identifiers_among(known, identifier_values(df, possible)) if possible else []
 
 
 def value_rules_hit(df: DataFrame, columns: Sequence[str]) -> set[tuple[str, str]]:

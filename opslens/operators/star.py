@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.functions.coerce import plain_text, to_ts
 from opslens.operators.columns import ConceptMap
@@ -22,35 +24,39 @@ FACT = "fact_operations"
 DIM_DATE = "dim_date"
 
 
-def fact_operations(df: DataFrame, concepts: ConceptMap) -> DataFrame:
-    """The mapped columns, each once, the date parsed and the rest as they came."""
+def _keys(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{b}`") for b in by]
+
+
+def fact_operations(df: DataFrame, concepts: ConceptMap, by: Sequence[str] = ()) -> DataFrame:
+    """The group keys and the mapped columns, each once, the date parsed and the rest as they came."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    wanted = list(dict.fromkeys(concepts[c] for c in FACT_CONCEPTS if concepts.get(c) in types))
+    wanted = list(dict.fromkeys(concepts[c] for c in FACT_CONCEPTS if concepts.get(c) in types and concepts[c] not in by))
     date = concepts.get("date")
     columns = [to_ts(F.col(f"`{c}`"), types[c]).alias(c) if c == date else F.col(f"`{c}`") for c in wanted]
-    return df.select(*columns) if columns else df
+    return df.select(*_keys(by), *columns) if columns else df
 
 
-def dim_date(df: DataFrame, date_column: str) -> DataFrame:
-    """Distinct dates with month label and ISO week."""
+def dim_date(df: DataFrame, date_column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct dates of each group with month label and ISO week."""
     parsed = to_ts(F.col(f"`{date_column}`"), df.schema[date_column].dataType)
-    dates = df.select(parsed.cast("date").alias("date")).where("date is not null").distinct()
-    return dates.select("date", F.date_format("date", "yyyy-MM").alias("month"), F.weekofyear("date").alias("week"))
+    dates = df.select(*_keys(by), parsed.cast("date").alias("date")).where("date is not null").distinct()
+    return dates.select(*_keys(by), "date", F.date_format("date", "yyyy-MM").alias("month"), F.weekofyear("date").alias("week"))
 
 
-def dim_values(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-missing values of one column as text."""
+def dim_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-missing values of one column as text, for each group."""
     text = plain_text(F.col(f"`{column}`"), df.schema[column].dataType)
-    return df.select(text.alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()
+    return df.select(*_keys(by), text.alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()
 
 
-def star_schema(df: DataFrame, concepts: ConceptMap) -> dict[str, DataFrame]:
+def star_schema(df: DataFrame, concepts: ConceptMap, by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """All tables of the model by name; a dimension without a mapped column is absent."""
     tables = {}
     if concepts.get("date") in df.columns:
-        tables[DIM_DATE] = dim_date(df, concepts["date"])
+        tables[DIM_DATE] = dim_date(df, concepts["date"], by)
     for name, concept in DIMENSIONS.items():
         if concepts.get(concept) in df.columns:
-            tables[name] = dim_values(df, concepts[concept])
-    tables[FACT] = fact_operations(df, concepts)
+            tables[name] = dim_values(df, concepts[concept], by)
+    tables[FACT] = fact_operations(df, concepts, by)
     return tables

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opslens.functions.coerce import is_delayed, is_truthy, to_number, to_ts
 from opslens.operators.columns import ConceptMap
 
-# Names of the typed columns. The leading underscore keeps them apart from source columns.
-TS, ORDER_ID, PRODUCT, CATEGORY = "_ts", "_order_id", "_product", "_category"
-SUPPLIER, STATUS, UNITS, REVENUE = "_supplier", "_status", "_units", "_revenue"
-INVENTORY, DAYS, RETURNED, DELAYED = "_inventory", "_days", "_returned", "_delayed"
+# Names of the typed columns. No normal header holds a space, so these cannot meet a source column.
+TS, ORDER_ID, PRODUCT, CATEGORY = "typed ts", "typed order_id", "typed product", "typed category"
+SUPPLIER, STATUS, UNITS, REVENUE = "typed supplier", "typed status", "typed units", "typed revenue"
+INVENTORY, DAYS, RETURNED, DELAYED = "typed inventory", "typed days", "typed returned", "typed delayed"
 
 # Concepts used as they come: concept -> name.
 _KEYS = {"order_id": ORDER_ID, "product": PRODUCT, "category": CATEGORY, "supplier": SUPPLIER,

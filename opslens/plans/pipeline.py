@@ -14,9 +14,10 @@ from opslens.operators.columns import concept_table, infer_columns, normalize_co
 from opslens.operators.privacy import BASELINE, find_sensitive, findings_table
 from opslens.operators.typed import Operations, key_columns, read_columns
 from opslens.plans import run_log
+from opslens.sources.runs import current_run, new_run, publish_run, remove, run_folder
 from opslens.sources.sinks import write_json, write_report, write_tables
 from opslens.sources.staging import saved
-from opslens.sources.tables import read_table
+from opslens.sources.tables import check_csv, read_table
 
 # The steps of a run, in order.
 STEPS = (
@@ -25,11 +26,17 @@ STEPS = (
     "generate_report", "publish_or_export_report",
 )
 DEFAULT_NAME = "weekly_operations_report"
+RUN_LOG = "run_log"
 
 
 @dataclass(frozen=True)
 class ReportingJob:
-    """What to read, under which privacy mode, and where the results go (a folder all executors share)."""
+    """What to read, under which privacy mode, and where the results go (a folder all executors share).
+
+    ``scan`` holds options of the privacy scan (mode, order_by, sample_size, skip). ``fault_limit`` is how many rows of a
+    CSV source may be unplaceable before the job stops. ``private`` is the folder where a refresh keeps raw rows; it
+    must lie outside the destination.
+    """
 
     source: str | DataFrame
     destination: str
@@ -45,6 +52,9 @@ class ReportingJob:
     by: Sequence[str] = ()
     footer: bool = False
     source_options: dict = field(default_factory=dict)
+    scan: dict = field(default_factory=dict)
+    fault_limit: int = 0
+    private: str | None = None
 
     def plan(self) -> dict:
         """The job as plain data, with its steps and governance flags."""
@@ -61,7 +71,10 @@ class ReportingJob:
         }
 
     def table(self, name: str) -> str:
-        return f"{self.destination}/{name}"
+        """Where readers find an output: in the run published last; the run log is common to all runs."""
+        if name == RUN_LOG:
+            return f"{self.destination}/{RUN_LOG}"
+        return f"{run_folder(self.destination, current_run(SparkSession.active(), self.destination))}/{name}"
 
 
 @dataclass(frozen=True)
@@ -86,19 +99,20 @@ def safe_model(job: ReportingJob, columns: Sequence[str], findings: dict[str, li
     return SafeModel(findings, safe, infer_columns([c for c in safe if c not in job.by]))
 
 
-def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: DataFrame) -> str:
-    """Compute and write every output from the staged rows; returns the status of the run."""
+def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: DataFrame, run: str) -> str:
+    """Compute and write every output of a run from the staged rows, then publish it; returns the run's status."""
+    folder = run_folder(job.destination, run)
     by, concepts = tuple(job.by), model.concepts
     flat = staged.select(*[F.col(f"`{c}`") for c in model.columns])
     read = [c for c in staged.columns if c not in model.columns]
     ops = Operations(staged.select(*by, *key_columns(flat, concepts), *read), concepts, by, stored=True)
 
-    checks = saved(quality.check_list(ops, job.validations), job.table("checks"))
-    pack = saved(k.kpis(ops), job.table("kpis"))
+    checks = saved(quality.check_list(ops, job.validations), f"{folder}/checks")
+    pack = saved(k.kpis(ops), f"{folder}/kpis")
     tables = {
         "sensitive_columns": findings_table(spark, model.findings).toDF("column", "why_flagged"),
         "concepts": concept_table(spark, concepts).toDF("concept", "column"),
-        **star.star_schema(flat, concepts),
+        **star.star_schema(staged.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*by, *model.columns))]), concepts, by),
         "summary_cards": dashboard.summary_cards(pack, len(model.findings), len(model.columns), by),
         "kpi_cards": dashboard.kpi_cards(pack, by),
     }
@@ -110,11 +124,12 @@ def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: Da
         tables["status_mix"] = dashboard.status_mix(ops)
     if ops.has("supplier", "shipping_status") or ops.has("supplier", "delivery_days"):
         tables["supplier_chart"] = dashboard.supplier_chart(ops)
-    write_tables(tables, job.destination)
+    write_tables(tables, folder)
 
     payloads = report.payload(pack, checks, list(model.findings), job.privacy_standard, by)
-    write_json(payloads, job.table("payload"))
-    write_report(report.report_text(payloads, by, job.report_sections, job.footer), job.table("report"), by)
+    write_json(payloads, f"{folder}/payload")
+    write_report(report.report_text(payloads, by, job.report_sections, job.footer), f"{folder}/report", by)
+    publish_run(spark, job.destination, run)
     failed = checks.select(F.explode("checks").alias("c")).where("c.severity = 'High'").limit(1).count()
     return run_log.NEEDS_REVIEW if failed else run_log.SUCCESSFUL
 
@@ -129,7 +144,7 @@ def logged(spark: SparkSession, job: ReportingJob, work: Callable[[], str]) -> R
         entry = spark.createDataFrame([(
             job.dataset, job.business_area, job.privacy_standard, job.schedule, started, status,
             time.monotonic() - clock, job.output)], run_log.RUN_LOG_SCHEMA)
-        entry.write.mode("append").parquet(job.table("run_log"))
+        entry.write.mode("append").parquet(job.table(RUN_LOG))
     return entry.first()
 
 
@@ -139,11 +154,19 @@ def run_pipeline(spark: SparkSession, job: ReportingJob) -> Row:
     A run needs review when a check of high severity found rows, or when a step failed.
     """
     def work() -> str:
-        raw = job.source if isinstance(job.source, DataFrame) else read_table(
-            spark, job.source, job.source_type, **job.source_options)
-        table = normalize_columns(raw)
-        model = safe_model(job, table.columns, find_sensitive(table, job.privacy_standard))
-        # The source is parsed once more, here; everything after reads these columns from Parquet.
-        return publish(spark, job, model, saved(model.rows(table), job.table("safe_operations")))
+        run = new_run()
+        try:
+            if job.source_type == "csv" and not isinstance(job.source, DataFrame):
+                check_csv(spark, job.source, job.fault_limit, **job.source_options)
+            raw = job.source if isinstance(job.source, DataFrame) else read_table(
+                spark, job.source, job.source_type, **job.source_options)
+            table = normalize_columns(raw)
+            model = safe_model(job, table.columns, find_sensitive(table, job.privacy_standard, **job.scan))
+            # The source is parsed once more, here; everything after reads these columns from Parquet.
+            staged = saved(model.rows(table), f"{run_folder(job.destination, run)}/safe_operations")
+            return publish(spark, job, model, staged, run)
+        except BaseException:
+            remove(spark, run_folder(job.destination, run))
+            raise
 
     return logged(spark, job, work)

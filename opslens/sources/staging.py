@@ -1,27 +1,13 @@
-"""Staged tables: results written once to a shared folder and read back, so several readers share one pass."""
+"""Tables written once to a folder and read back, so that several readers share one pass."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a temporary one only on a single machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    return saved(df, f"{shared_folder(spark)}/opslens-stage-{uuid.uuid4().hex}")
+    """The folder that the session names for intermediate files; where it names none, the warehouse, which executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:

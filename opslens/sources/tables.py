@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,9 +17,6 @@ NA_TOKENS = (
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# An input in fewer splits than this may keep most of a cluster waiting.
-FEW_SPLITS = 8
-
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": ""}
 
 
@@ -27,12 +26,15 @@ def _unique_headers(names: Sequence[str | None]) -> list[str]:
     result = []
     for i, name in enumerate(names):
         text = (name or "").lstrip("﻿") or f"Unnamed: {i}"
-        result.append(f"{text}.{seen[text]}" if seen[text] else text)
-        seen[text] += 1
+        unique = text
+        while unique in result or unique != text and unique in names:
+            seen[text] += 1
+            unique = f"{text}.{seen[text]}"
+        result.append(unique)
     return result
 
 
-def csv_headers(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+def csv_headers(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> list[str]:
     """The header row of a CSV file or folder."""
     first = spark.read.options(**CSV_OPTIONS, header=False, sep=sep, inferSchema=False).csv(path).head(1)
     if not first:
@@ -48,7 +50,7 @@ def missing_tokens(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> DataF
     return df.select(*[clean(f) for f in df.schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", na_tokens: Sequence[str] = NA_TOKENS,
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", na_tokens: Sequence[str] = NA_TOKENS,
              multi_line: bool = False, infer_types: bool = False, order_column: str | None = None) -> DataFrame:
     """Read CSV with a header row, every column as text, tokens for "missing" as NULL.
 
@@ -72,22 +74,63 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", na_tokens: Sequence
 
 
 def narrow_numbers(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every value is a number to BIGINT or DOUBLE. Runs one job."""
+    """Cast text columns whose every value is a number to BIGINT, DECIMAL(38,0) or DOUBLE. Runs one job.
+
+    Whole numbers stay exact at any length: those too long for a decimal stay text.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    whole = r"^\s*[+-]?\d{1,18}\s*$"
+    whole = r"^\s*[+-]?\d+\s*$"
     tests = []
     for i, name in enumerate(names):
         c = F.col(f"`{name}`")
-        tests += [F.bool_and(is_number_text(c)).alias(f"number{i}"), F.bool_and(c.rlike(whole)).alias(f"whole{i}")]
+        fits = lambda kind: F.bool_and(F.trim(c).try_cast(kind).isNotNull() | c.isNull())
+        tests += [F.bool_and(is_number_text(c)).alias(f"number{i}"), F.bool_and(c.rlike(whole)).alias(f"whole{i}"),
+                  fits("bigint").alias(f"bigint{i}"), fits("decimal(38,0)").alias(f"decimal{i}")]
     found = df.agg(*tests).first()
-    kinds = {name: "bigint" if found[f"whole{i}"] else "double" if found[f"number{i}"] else None
-             for i, name in enumerate(names)}
+    kinds = {}
+    for i, name in enumerate(names):
+        if found[f"whole{i}"]:
+            kinds[name] = "bigint" if found[f"bigint{i}"] else "decimal(38,0)" if found[f"decimal{i}"] else None
+        elif found[f"number{i}"]:
+            kinds[name] = "double"
     return df.select(*[
         F.trim(F.col(f"`{c}`")).try_cast(kinds[c]).alias(c) if kinds.get(c) else F.col(f"`{c}`") for c in df.columns])
 
 
+def csv_faults(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = False, **_) -> DataFrame:
+    """Rows a CSV reader cannot place, counted in one pass over the text: ``surplus`` rows have more fields than the first
+    file's header, ``broken`` lines hold an open quote (none are counted if quoted line breaks are read)."""
+    paths = [path] if isinstance(path, str) else list(path)
+    width = len(csv_headers(spark, paths[0], sep))
+    fields = ", ".join(f"c{i} string" for i in range(width + 1))
+    lines = spark.read.text(paths)
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    broken = (quotes % 2 == 1) & F.lit(not multi_line)
+    surplus = F.from_csv(line, fields, {**CSV_OPTIONS, "sep": sep})[f"c{width}"].isNotNull() & (quotes % 2 == 0)
+    return lines.agg(F.count_if(surplus).alias("surplus"), F.count_if(broken).alias("broken"))
+
+
+def check_csv(spark: SparkSession, path: str | Sequence[str], limit: int = 0, **options) -> None:
+    """Raise if more rows than ``limit`` cannot be placed."""
+    found = csv_faults(spark, path, **{k: v for k, v in options.items() if k in ("sep", "multi_line")}).first()
+    if found.surplus + found.broken > limit:
+        raise ValueError(f"{found.surplus} rows of {path} have surplus fields and {found.broken} lines open quotes; "
+                         f"{limit} are allowed (multi_line=True reads quoted line breaks)")
+
+
+def read_csv_files(spark: SparkSession, paths: Sequence[str], sep: str = ",", **options) -> DataFrame:
+    """Read CSV files that may differ in their headers: columns are matched by name, one missing in a file is NULL there."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:  # one short job for each file
+        for path, header in zip(paths, pool.map(lambda p: tuple(csv_headers(spark, p, sep)), paths)):
+            by_header.setdefault(header, []).append(path)
+    tables = [read_csv(spark, files, sep=sep, **options) for files in by_header.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def read_table(spark: SparkSession, source: str, kind: str = "csv", **options) -> DataFrame:
     """Read a CSV path, a Parquet path, or a catalog table."""
     if kind == "csv":
@@ -99,16 +142,6 @@ def read_table(spark: SparkSession, source: str, kind: str = "csv", **options) -
     raise ValueError(f"unknown source kind {kind!r}")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal out rows that arrive in a handful of splits, as from one file that cannot be split.
-
-    ``keys`` are columns to deal by; without them rows go round in turn, which first sorts them so that a
-    retry deals alike. A larger input is left as it comes, so no large table is shuffled here.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
-    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
-
-
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 12) -> DataFrame:
     """The first ``n`` rows under an explicit order."""
     return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)

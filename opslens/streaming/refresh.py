@@ -4,89 +4,109 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from opslens.operators.columns import normalize_columns
-from opslens.operators.privacy import combine, header_reasons, identifier_columns, value_rules_hit
+from opslens.operators.privacy import (
+    combine, header_reasons, identifier_facts, identifier_values, identifiers_among, value_rules_hit)
 from opslens.plans.pipeline import ReportingJob, SafeModel, logged, publish, safe_model
+from opslens.sources.runs import listed, new_run, remove, run_folder
 from opslens.sources.staging import saved
-from opslens.sources.tables import CSV_OPTIONS, csv_headers, missing_tokens
+from opslens.sources.tables import check_csv, read_csv_files
 
 BATCH = "refresh_batch"
+FILES_AT_ONCE = 1000
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+_FACTS = "column string, rows long, filled long, text boolean"
 
-def _new_rows(spark: SparkSession, job: ReportingJob) -> DataFrame:
-    if job.source_type == "parquet":
-        return spark.readStream.schema(spark.read.parquet(job.source).schema).parquet(job.source)
-    if job.source_type == "csv":
-        schema = StructType([StructField(h, StringType()) for h in csv_headers(spark, job.source)])
-        return missing_tokens(spark.readStream.schema(schema).options(**CSV_OPTIONS, header=True).csv(job.source))
-    raise ValueError(f"cannot follow a source of kind {job.source_type!r}")
-
-
-def _findings(spark: SparkSession, job: ReportingJob, batch: int, new: DataFrame, history: DataFrame) -> dict:
-    """Findings over all rows so far: the new rows are scanned, earlier batches left their hits behind."""
-    columns = [c for c in history.columns if c != BATCH]
-    hits = spark.createDataFrame(sorted(value_rules_hit(new, columns)), "column string, rule string")
-    hits.write.mode("overwrite").parquet(f"{job.table('value_hits')}/{BATCH}={batch}")
-    known = spark.read.schema(hits.schema).parquet(job.table("value_hits")).distinct().collect()
-    return combine(columns, header_reasons(columns, job.privacy_standard), {(r["column"], r["rule"]) for r in known},
-                   identifier_columns(history, columns))
-
-
-def _batches(rows: DataFrame) -> set[int]:
-    return {r[0] for r in rows.select(BATCH).distinct().collect()}
 
+def _new_files(spark: SparkSession, job: ReportingJob) -> DataFrame:
+    """Paths of new files; their content is not read here."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", FILES_AT_ONCE)
+    return files.load(job.source).select("path")
 
-def _staged(spark: SparkSession, job: ReportingJob, batch: int, model: SafeModel, history: DataFrame) -> DataFrame:
-    """Typed safe rows of all batches. Only batches not staged yet are read.
 
-    The folder is named after the safe columns, so when a scan changes them everything is staged anew.
-    """
-    layout = hashlib.sha256("\n".join(model.columns).encode()).hexdigest()[:16]
-    path = job.table(f"safe_operations/{layout}")
+def _read(spark: SparkSession, job: ReportingJob, paths: list[str]) -> DataFrame:
+    """The rows of new files, columns matched by name, with the reader and the options of the whole job."""
+    if job.source_type == "parquet":
+        return spark.read.option("mergeSchema", True).parquet(*paths)
+    check_csv(spark, paths, job.fault_limit, **job.source_options)
+    return read_csv_files(spark, paths, **job.source_options)
+
+
+def _batches(spark: SparkSession, path: str) -> set[int]:
+    """Numbers of the batches kept in a folder, from the names of its partitions."""
+    prefix = f"{BATCH}="
+    return {int(name.removeprefix(prefix)) for name in listed(spark, path) if name.startswith(prefix)}
+
+
+def _findings(spark: SparkSession, job: ReportingJob, batch: int, new: DataFrame, columns: list[str]) -> dict:
+    """Findings over all rows so far. Only new rows are scanned: earlier batches left their hits, their counts and the
+    hashes of their identifiers' distinct values behind."""
+    here = lambda name: f"{job.private}/{name}"
+    keep = lambda df, name: df.write.mode("overwrite").parquet(f"{here(name)}/{BATCH}={batch}")
+    scanned = [c for c in new.columns if c not in job.scan.get("skip", ())]
+    keep(spark.createDataFrame(sorted(value_rules_hit(new, scanned)), "column string, rule string"), "value_hits")
+    keep(spark.createDataFrame(identifier_facts(new, scanned), _FACTS), "identifier_facts")
+    keep(identifier_values(new, scanned), "identifier_values")
+    hits = spark.read.schema("column string, rule string").parquet(here("value_hits")).distinct().collect()
+    facts = spark.read.schema(_FACTS).parquet(here("identifier_facts")).groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.bool_or("text").alias("text")).collect()
+    values = spark.read.schema("column string, hash long").parquet(here("identifier_values"))
+    known = {r["column"]: (r["rows"], r["filled"], r["text"]) for r in facts}
+    by_header = header_reasons([c for c in columns if c not in job.scan.get("skip", ())], job.privacy_standard)
+    return combine(columns, by_header, {(r["column"], r["rule"]) for r in hits}, identifiers_among(known, values))
+
+
+def _typed(spark: SparkSession, job: ReportingJob, batch: int, model: SafeModel, history: DataFrame, layout: str) -> DataFrame:
+    """Typed safe rows of all batches. Only batches not typed yet under this layout of columns are read."""
+    path = f"{job.private}/typed/{layout}"
     schema = model.rows(history, BATCH).schema
-    done = _batches(spark.read.schema(schema).parquet(path)) if _exists(spark, path) else set()
-    todo = (_batches(history) - done) | {batch}
+    todo = (_batches(spark, f"{job.private}/history") - _batches(spark, path)) | {batch}
     model.rows(history.where(F.col(BATCH).isin(*todo)), BATCH).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
     return spark.read.schema(schema).parquet(path).drop(BATCH)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
-
-
 def refresh_stream(spark: SparkSession, job: ReportingJob, checkpoint: str | None = None) -> StreamingQuery:
     """Take in the files that arrived since the last refresh and bring every output up to date.
 
-    Only new rows are parsed and scanned; the outputs are then computed from the typed rows of all
-    batches. Each batch has folders of its own that are written over if it is retried, so a lost driver
-    or executor adds no row twice. The query stops when it has caught up; whatever keeps the schedule
-    starts it again. ``checkpoint`` is the folder that remembers which files were taken in.
+    Raw rows, and what earlier scans found, are kept under ``job.private``, which must be given and lie outside the
+    destination. Only new files are read, parsed and scanned; a column is found by its name, one that a file lacks is NULL
+    there, and one that is new is NULL in earlier rows. Outputs are computed from the typed rows of all batches and
+    published as a whole. Each batch has folders of its own that are written over if it is retried, so a lost driver or
+    executor adds no row twice. The query stops when it has caught up; whatever keeps the schedule starts it again.
+    ``checkpoint`` is the folder that remembers which files were taken in.
     """
-    path = job.table("history")
+    if job.source_type not in ("csv", "parquet"):
+        raise ValueError(f"cannot follow a source of kind {job.source_type!r}")
+    if not job.private or f"{job.private}/".startswith(f"{job.destination.rstrip('/')}/"):
+        raise ValueError("a refresh needs a private folder outside the destination for raw rows")
+    path = f"{job.private}/history"
 
-    def take_in(rows: DataFrame, batch: int) -> None:
+    def take_in(files: DataFrame, batch: int) -> None:
         def work() -> str:
-            new = saved(normalize_columns(rows), f"{path}/{BATCH}={batch}")
-            schema = StructType([*new.schema.fields, StructField(BATCH, LongType())])
-            history = spark.read.schema(schema).parquet(path)
-            findings = _findings(spark, job, batch, new, history)
-            model = safe_model(job, new.columns, findings)
-            return publish(spark, job, model, _staged(spark, job, batch, model, history))
+            paths = [r["path"] for r in files.collect()]  # FILES_AT_ONCE at most
+            new = saved(normalize_columns(_read(spark, job, paths)), f"{path}/{BATCH}={batch}")
+            history = spark.read.option("mergeSchema", True).parquet(path)
+            columns = [c for c in history.columns if c != BATCH]
+            model = safe_model(job, columns, _findings(spark, job, batch, new, columns))
+            layout = hashlib.sha256("\n".join(model.columns).encode()).hexdigest()[:16]
+            run = new_run()
+            try:
+                status = publish(spark, job, model, _typed(spark, job, batch, model, history, layout), run)
+            except BaseException:
+                remove(spark, run_folder(job.destination, run))
+                raise
+            for other in listed(spark, f"{job.private}/typed"):
+                if other != layout:
+                    remove(spark, f"{job.private}/typed/{other}")
+            return status
 
         logged(spark, job, work)
 
-    return (_new_rows(spark, job).writeStream.foreachBatch(take_in)
-            .option("checkpointLocation", checkpoint or job.table("refresh_checkpoint"))
+    return (_new_files(spark, job).writeStream.foreachBatch(take_in)
+            .option("checkpointLocation", checkpoint or f"{job.private}/refresh_checkpoint")
             .trigger(availableNow=True).start())

@@ -12,8 +12,8 @@ from opslens.operators.privacy import find_sensitive
 from opslens.operators.quality import CHECKS
 from opslens.plans.pipeline import STEPS, ReportingJob, run_pipeline
 from opslens.plans.run_log import RUN_LOG_SCHEMA, latest_runs, run_table
-from opslens.sources.staging import shared_folder, stage
-from opslens.sources.tables import NA_TOKENS, preview, read_csv, read_table, spread
+from opslens.sources.staging import shared_folder
+from opslens.sources.tables import NA_TOKENS, check_csv, csv_faults, preview, read_csv, read_csv_files, read_table
 from opslens.streaming.refresh import refresh_stream
 
 
@@ -76,17 +76,43 @@ def test_read_table_kinds(spark, tmp_path, sf_dir):
         read_table(spark, "x", "xls")
 
 
-def test_preview_and_spread(spark):
+def test_preview(spark):
     df = spark.range(100).repartition(2)
     assert [r.id for r in preview(df, ["id"], 3).collect()] == [0, 1, 2]
-    assert spread(df).rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 9)
-    assert spread(wide) is wide
 
 
-def test_staging_uses_the_shared_folder(spark):
+def test_the_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert stage(spark.range(5)).count() == 5
+
+
+def test_whole_numbers_stay_exact_at_any_length(spark, tmp_path):
+    long = "1" * 45
+    path = write(tmp_path / "a.csv", f"a,b,c\n1234567890123456789,{2**70},{long}\n1234567890123456788,5,7\n")
+    df = read_csv(spark, path, infer_types=True)
+    assert df.dtypes == [("a", "bigint"), ("b", "decimal(38,0)"), ("c", "string")]
+    assert [(r.a, int(r.b), r.c) for r in df.collect()] == [(1234567890123456789, 2**70, long), (1234567890123456788, 5, "7")]
+
+
+def test_headers_that_repeat_a_made_up_name(spark, tmp_path):
+    assert read_csv(spark, write(tmp_path / "a.csv", "a,a.1,a\n1,2,3\n")).columns == ["a", "a.1", "a.2"]
+
+
+def test_rows_that_cannot_be_placed_are_counted(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'a,b\n1,2\n1,2,3\n4\n"x,\ny",5\n"q ""z"", w",6\n')
+    found = csv_faults(spark, path).first()
+    assert (found.surplus, found.broken) == (1, 2)
+    with pytest.raises(ValueError, match="1 rows .* surplus"):
+        check_csv(spark, path)
+    check_csv(spark, path, 3)
+    job = ReportingJob(source=path, destination=str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="surplus"):
+        run_pipeline(spark, job)
+
+
+def test_files_of_other_column_orders(spark, tmp_path):
+    paths = [write(tmp_path / "1.csv", "a,b\n1,2\n"), write(tmp_path / "2.csv", "b,a\n4,3\n"), write(tmp_path / "3.csv", "c,a\n9,5\n")]
+    rows = read_csv_files(spark, paths).orderBy("a").collect()
+    assert [(r.a, r.b, r.c) for r in rows] == [("1", "2", None), ("3", "4", None), ("5", None, "9")]
 
 
 @pytest.fixture(scope="module")
@@ -149,7 +175,7 @@ def test_job_over_awkward_headers(spark, tmp_path):
     job = ReportingJob(source=path, destination=str(tmp_path / "out"), by=("region_(x)",))
     run_pipeline(spark, job)
     assert {r["region_(x)"]: r.total_revenue for r in spark.read.parquet(job.table("kpis")).collect()} == {"n": 10.5, "s": 1.0}
-    assert spark.read.parquet(job.table("fact_operations")).columns == ["date", "item_product", "qty", "sales.eur"]
+    assert spark.read.parquet(job.table("fact_operations")).columns == ["region_(x)", "date", "item_product", "qty", "sales.eur"]
 
 
 def test_sensitive_group_keys_are_refused_and_logged(spark, tmp_path):
@@ -187,7 +213,7 @@ def test_refresh_takes_in_new_files_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     write(source / "1.csv", "Date,Revenue,SKU\n2026-01-05,10,a\n2026-01-06,n/a,b\n")
-    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"))
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
     assert refresh(spark, job).total_revenue == 10.0
     write(source / "2.csv", "Date,Revenue,SKU\n2026-01-07,5.5,a\n")
     row = refresh(spark, job)
@@ -200,7 +226,7 @@ def test_refresh_stages_anew_when_a_column_turns_out_sensitive(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     write(source / "1.csv", "date,revenue,note,return_flag\n2026-01-05,10,fine,yes\n")
-    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"))
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
     refresh(spark, job)
     assert spark.read.parquet(job.table("sensitive_columns")).count() == 0
     write(source / "2.csv", "date,revenue,note,return_flag\n2026-01-06,5,a@b.co,no\n")
@@ -219,7 +245,7 @@ def test_refresh_can_be_retried(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     write(source / "1.csv", "date,revenue\n2026-01-05,10\n")
-    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"))
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
     refresh(spark, job)
     refresh_stream(spark, job, str(tmp_path / "forgotten")).awaitTermination()
     assert spark.read.parquet(job.table("kpis")).first().row_count == 1
@@ -229,7 +255,7 @@ def test_refresh_equals_the_whole_job(spark, sf_dir, tmp_path):
     source = str(tmp_path / "in")
     table = ops(spark, sf_dir)
     table.where("revenue < '4'").write.option("header", True).csv(source)
-    job = ReportingJob(source=source, destination=str(tmp_path / "out"))
+    job = ReportingJob(source=source, destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
     refresh(spark, job)
     table.where("revenue >= '4'").write.mode("append").option("header", True).csv(source)
     found = refresh(spark, job)
@@ -244,7 +270,7 @@ def test_refresh_of_events(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("ts").alias("date"), F.col("value").alias("revenue"), F.col("event_type").alias("status"))
     events.where("date < '2024-01-15'").write.parquet(source)
-    job = ReportingJob(source=source, destination=str(tmp_path / "out"), source_type="parquet")
+    job = ReportingJob(source=source, destination=str(tmp_path / "out"), private=str(tmp_path / "private"), source_type="parquet")
     first = refresh(spark, job)
     events.where("date >= '2024-01-15'").write.mode("append").parquet(source)
     second = refresh(spark, job)
