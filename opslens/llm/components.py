@@ -20,6 +20,11 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
         F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _print(links: DataFrame) -> tuple:
+    """Number and sum of hashes of distinct links, which stand for the set of them."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node that links lead to.
 
@@ -27,12 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     path. A node with a third of all links is a sum and a join that may split, never a group in one task.
     """
     both = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = staged(both, "links")
-    while not now.isEmpty():
-        stars = staged(_stars(_stars(now, True), False), "stars")
-        same = stars.count() == now.count() and stars.exceptAll(now).isEmpty()
-        now = stars
-        if same:
-            break
+    now, before = staged(both, "links"), None
+    while (print_of_now := _print(now)) != before:
+        now, before = staged(_stars(_stars(now, True), False), "stars"), print_of_now
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
