@@ -10,8 +10,11 @@ of documents with equal sets, in these steps:
 3.  Only tokens that still hold several components can link more. Those with many components (passages that unrelated
     documents share) are the frequent class: they go last in the order, so prefixes that hold them are extended by rarer tokens,
     and only where the rarer tokens run out are pairs of frequent tokens indexed.
-4.  A rare token or a pair gives all candidates between its components if it has few holders; the rare case of one with
-    many is compared block by block, and only pairs that may reach the threshold leave a block.
+4.  Documents of little but frequent tokens (large groups of copies that are not all alike) go to their most shared pair each,
+    and those that meet there are compared by whole sets, block by block; only the links that hold a block's components
+    together leave it, never all pairs.
+5.  What is left open gives candidates between components: of a token or pair with few holders directly, of the others
+    block by block again.
 
 A candidate is first held against what both visible prefixes prove about the difference of the sets, which nearly all false
 ones fail; the others are compared by the whole texts' sets. No step sends a token's holders to one task.
@@ -34,7 +37,7 @@ from opslens.llm.staging import staged
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
 #: Components of a token above which it is frequent, and holders up to which candidates are paired directly.
-FREQUENT = 24
+FREQUENT = 12
 #: Frequent tokens known to every task at most, the most frequent first; the others count as rare and are compared in blocks.
 KNOWN = 200_000
 #: Holders in a side of a block.
@@ -221,46 +224,55 @@ def _extended(slim: DataFrame, nodes: DataFrame, entries: DataFrame, frequent: D
 
 def _direct(holders: DataFrame, threshold: int) -> DataFrame:
     """Pairs between the components of keys with few holders."""
-    side = lambda c: holders.select("key", "pair", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_component"))
-    met = side("a").join(side("b"), ["key", "pair"]).where("a < b and a_component <> b_component")
+    side = lambda c: holders.select("key", "pair", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_component"), F.col("family").alias(f"{c}_family"))
+    met = side("a").join(side("b"), ["key", "pair"]).where("a < b and a_component <> b_component and a_family <> b_family")
     return met.where(_sizes_fit(F.col("a_n"), F.col("b_n"), threshold)).select("a", "b").distinct()
 
 
-def _block_pairs(threshold: int):
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["left"]], rows[~rows["left"]]
-        own = key[-1] == key[-2]
+def _block_links(threshold: int):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between two blocks of documents, or within one, that hold them together: no more than there are documents."""
+        rows = rows.sort_values("node", ignore_index=True)
+        n, left = rows["n"].to_numpy(), rows["left"].to_numpy()
+        sizes = rows["tokens"].map(len).to_numpy()
+        tokens, inverse, times = np.unique(np.concatenate(rows["tokens"].to_list()), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(rows)), sizes)
+        shared = times[inverse] > 1  # only tokens of several documents count in an intersection
+        column = np.cumsum(times > 1) - 1
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        width = int((times > 1).sum())
+        for start in range(0, width, 4096):
+            part = np.zeros((len(rows), min(4096, width - start)), np.float32)
+            here = shared & (column[inverse] >= start) & (column[inverse] < start + 4096)
+            part[doc[here], column[inverse[here]] - start] = 1
+            common += part @ part.T
+        union = n[:, None] + n[None, :] - common
+        own = left.all()
+        linked = (100 * common >= threshold * union) & (own | (left[:, None] != left[None, :]))
+        group = rows["component"].to_numpy().copy()
         found = []
-        sets = [np.array(t, np.int64) for t in right["tokens"]]
-        for node, n, component, tokens in zip(left["node"], left["n"], left["component"], left["tokens"], strict=True):
-            x = np.array(tokens, np.int64)
-            for other, m, c, y in zip(right["node"], right["n"], right["component"], sets, strict=True):
-                if c == component or own and other <= node or min(n, m) * 100 < max(n, m) * threshold:
-                    continue
-                upto = min(x[-1], y[-1])
-                s, t = x[: np.searchsorted(x, upto, side="right")], y[: np.searchsorted(y, upto, side="right")]
-                apart = len(s) + len(t) - 2 * len(np.intersect1d(s, t, assume_unique=True))
-                if apart * (100 + threshold) <= (n + m) * (100 - threshold):
-                    found.append((min(node, other), max(node, other)))
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            if group[i] != group[j]:
+                found.append((rows["node"][i], rows["node"][j]))
+                group[group == group[j]] = group[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return compare
 
 
-def _in_blocks(holders: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that may reach the threshold between the components of keys with many holders: holders are dealt into blocks, and
-    each pair of blocks is a group of 2 * BLOCK rows or so."""
-    sizes = holders.groupBy("key", "pair").agg(F.count("*").alias("of"))
-    dealt = (holders.join(sizes, ["key", "pair"])
-             .withColumn("blocks", F.ceil(F.col("of") / BLOCK))
+def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The links that join the components of (key, node, n, component) with a key in common: the holders of a key are dealt into
+    blocks, and each pair of blocks is compared by whole sets in a task of its own, 2 * BLOCK documents or so."""
+    sizes = holders.groupBy("key").agg(F.count("*").alias("of"))
+    dealt = (holders.join(sizes, "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK))
              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    paired = dealt.select(
-        "key", "pair", "node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
-    sides = paired.select(
-        "key", "pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component",
-        F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("own") < F.col("other")))).alias("left"))
-    full = sides.join(nodes.select("node", "n", "tokens"), "node")
-    return full.groupBy("key", "pair", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long").distinct()
+    sides = dealt.select(
+        "key", "node", "n", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"),
+        "node", "n", "component")
+    texts = _texts(slim, nodes, holders.select("node").distinct())
+    sets = staged(texts.mapInArrow(_whole_sets, "node long, n long, tokens array<long>, whole boolean").select("node", "tokens"), "block-sets")
+    return staged(sides.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "block-links")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -280,32 +292,47 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
     stars = staged(fit.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verified(slim, nodes, stars, threshold)
 
+    components_now = staged(components(links), "components")
+
     def with_components(rows: DataFrame) -> DataFrame:
-        joined = rows.join(components_now, "node", "left")
-        return joined.withColumn("component", F.coalesce("component", "node"))
+        return rows.join(components_now, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    components_now = staged(components(links), "components")
     placed = staged(with_components(held.select("token", "node", "n")), "placed-tokens")
-    open_tokens = placed.groupBy("token").agg(F.count("*").alias("holders"), F.countDistinct("component").alias("components")).where("components > 1")
+    open_tokens = placed.groupBy("token").agg(F.countDistinct("component").alias("components")).where("components > 1")
     open_tokens = staged(open_tokens, "open-tokens")
     frequent = open_tokens.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token")
     frequent = staged(frequent, "frequent-tokens")
     holders = (placed.join(open_tokens.select("token"), "token", "left_semi").join(F.broadcast(frequent), "token", "left_anti")
-               .select(F.col("token").alias("key"), F.lit(False).alias("pair"), "node", "n", "component"))
+               .select(F.col("token").alias("key"), F.lit(False).alias("pair"), "node", "n"))
+    families = holders.select("node", F.col("node").alias("family")).where("false")
     if not frequent.isEmpty():
         more = _extended(slim, nodes, held, frequent, threshold)
+        # documents of little but frequent tokens: each goes to its most shared pair, and all that meet there are compared
+        pairs = with_components(more.where("pair"))
+        shared = pairs.groupBy("key").agg(F.countDistinct("component").alias("times")).where("times > 1")
+        chosen = pairs.join(shared, "key").groupBy("node", "n", "component").agg(F.max(F.struct("times", "key")).alias("most"))
+        members = staged(chosen.select(F.col("most.key").alias("key"), "node", "n", "component"), "families")
+        links = links.unionByName(_in_blocks(members, slim, nodes, threshold))
+        components_now = staged(components(links), "components")
+        families = members.select("node", F.col("key").alias("family"))
         # a token that an extended prefix adds may stand in other prefixes too
         others = entries.withColumnRenamed("token", "key").join(more.where("not pair").select("key").distinct(), "key", "left_semi")
         met = others.select("key", F.lit(False).alias("pair"), "node", "n").unionByName(more)
-        holders = holders.unionByName(with_components(met).select("key", "pair", "node", "n", "component")).distinct()
-    sums = holders.groupBy("key", "pair").agg(F.count("*").alias("of"), F.min("component").alias("c"), F.max("component").alias("d"))
-    holders = staged(holders.join(sums.where("c <> d").drop("c", "d"), ["key", "pair"]), "holders")
-    few, many = holders.where(F.col("of") <= FREQUENT).drop("of"), holders.where(F.col("of") > FREQUENT).drop("of")
-    pairs = _direct(few, threshold)
+        holders = holders.unionByName(met.select("key", "pair", "node", "n")).distinct()
+    # nothing more is to be found where all holders are of one component, or of one family
+    placed_now = with_components(holders).join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    placed_now = staged(placed_now, "placed-holders")
+    sums = placed_now.groupBy("key", "pair").agg(
+        F.count("*").alias("of"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("component", "family")])
+    open_keys = sums.where("min_component <> max_component and min_family <> max_family").select("key", "pair", "of")
+    holders = staged(placed_now.join(open_keys, ["key", "pair"]), "holders")
+    few, many = holders.where(F.col("of") <= FREQUENT), holders.where(F.col("of") > FREQUENT)
+    pairs = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(_verified(slim, nodes, pairs, threshold))
     if not many.isEmpty():
-        pairs = pairs.unionByName(_in_blocks(many, nodes, threshold)).distinct()
-    pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "candidates")
-    return sketches, nodes, links.unionByName(_verified(slim, nodes, pairs, threshold))
+        keys = many.withColumn("key", F.xxhash64("key", "pair")).select("key", "node", "n", "component")
+        links = links.unionByName(_in_blocks(keys, slim, nodes, threshold))
+    return sketches, nodes, links
 
 
 def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:

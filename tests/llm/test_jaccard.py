@@ -63,7 +63,7 @@ def corpus():
     return [*rows, (len(rows), None), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("frequent, known, block", [(24, 200_000, 256), (2, 5, 3)])
+@pytest.mark.parametrize("frequent, known, block", [(12, 200_000, 256), (2, 200_000, 4), (2, 5, 3)])
 def test_components_of_near_copies(spark, monkeypatch, frequent, known, block):
     monkeypatch.setattr(j, "FREQUENT", frequent)
     monkeypatch.setattr(j, "KNOWN", known)
