@@ -431,8 +431,8 @@ def oracle_sql() -> dict[str, str]:
                               "from part order by p_partkey limit 12",
         "csv_roundtrip": f"select {', '.join(_csv_text(c) for c in OPS_COLUMNS)} from ({ops_sql()})",
         "numeric_coercion": typed("select transaction_id, units, cast(read_revenue as double) as revenue from t"),
-        "date_coercion": "select o_orderkey, case when o_orderkey % 5 < 4 then cast(o_orderdate as date) end as parsed, "
-                         "case when o_orderkey % 5 = 1 then cast(o_orderdate as date) end as parsed_strict from orders",
+        "date_coercion": "select o_orderkey, case when o_orderkey % 13 < 12 then cast(o_orderdate as date) end as parsed, "
+                         "case when o_orderkey % 13 in (1, 10, 11) then cast(o_orderdate as date) end as parsed_strict from orders",
         "blank_and_flag": typed("select product is null or trim(product) = '' as blank_product, returned, late as is_late, "
                                 "count(*) as n from t group by all"),
         "risk_flags": whole("select cast(row_number() over (order by n) - 1 as integer) as seq, risk from flags"),

@@ -130,12 +130,13 @@ def _numeric_coercion(spark, sf_dir):
 
 
 def _date_coercion(spark, sf_dir):
-    """Order dates written in four layouts, read back."""
+    """Order dates written in many layouts, read back; one key in thirteen has a clock time alone."""
     dates = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
-    layouts = ["yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "MMM d, yyyy"]
+    layouts = ["yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "MMM d, yyyy", "M/d/yy", "yyyy.MM.dd", "d MMMM yyyy", "dd-MMM-yy",
+               "EEE, dd MMM yyyy", "yyyy/MM/dd'T'HH:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy HH:mm:ss.SSS"]
     written = F.lit("10:00")
     for i, layout in enumerate(layouts):
-        written = F.when(F.col("o_orderkey") % 5 == i, F.date_format("d", layout)).otherwise(written)
+        written = F.when(F.col("o_orderkey") % 13 == i, F.date_format("d", layout)).otherwise(written)
     return dates.select("o_orderkey", written.alias("raw")).select(
         "o_orderkey", to_ts(F.col("raw")).cast("date").alias("parsed"),
         to_ts(F.col("raw"), single_format="M/d/yyyy").cast("date").alias("parsed_strict"))

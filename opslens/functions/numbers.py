@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+from opslens.functions.coerce import double_text
 
 DASH = "—"
 
 # Amounts are summed with so many decimal places; the digits before the point that are left bound an amount.
-_PLACES = 16
+_PLACES = 14
 _LARGEST = 10.0 ** (38 - _PLACES - 2)
 
 
@@ -35,7 +37,7 @@ def rounded(x: Column, places: int) -> Column:
 def money_sum(x: Column) -> Column:
     """Sum of DOUBLE amounts that does not depend on the order rows arrive in.
 
-    Amounts are added as decimals with 16 places; what lies beyond them is rounded. A finite amount of 10^20 or more is an
+    Amounts are added as decimals with 14 places; what lies beyond them is rounded. A finite amount of 10^22 or more is an
     error. Infinite amounts make an infinite sum. NULL amounts count as nothing, a group without amounts sums to 0.
     """
     size = F.abs(x)
@@ -58,3 +60,23 @@ def percent_text(x: Column) -> Column:
 def count_text(n: Column) -> Column:
     """"1,234"."""
     return F.format_number(n, 0)
+
+
+_MARK = "\u0001"
+
+
+def _marked(c: Column, kind: T.DataType) -> Column:
+    """A value whose DOUBLEs are replaced by their marked decimal text."""
+    if isinstance(kind, T.DoubleType):
+        return F.concat(F.lit(_MARK), double_text(c))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _marked(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_marked(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def json_text(c: Column, kind: T.DataType, pretty: bool = False) -> Column:
+    """A struct as JSON with NULL fields kept and DOUBLEs written out instead of in E notation."""
+    options = {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})}
+    return F.regexp_replace(F.to_json(_marked(c, kind), options), r'"\\u0001([^"]*)"', "$1")

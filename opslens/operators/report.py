@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.functions.coerce import double_text
-from opslens.functions.numbers import count_text, fixed, rounded
+from opslens.functions.numbers import count_text, fixed, json_text, rounded
 from opslens.operators.kpis import DECLINE_PERCENT, HIGH_DELAY_RATE, HIGH_RETURN_RATE, KPI_COLUMNS
 from opslens.operators.groups import one_row_per_group
 
@@ -60,9 +60,9 @@ def payload(kpis: DataFrame, checks: DataFrame, excluded: Sequence[str], standar
 
 
 def payload_json(payloads: DataFrame, by: Sequence[str] = (), pretty: bool = False) -> DataFrame:
-    """The payload as JSON text, NULL fields kept."""
-    options = {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})}
-    return payloads.select(*by, F.to_json("payload", options).alias("payload"))
+    """The payload as JSON text, NULL fields kept, numbers written out."""
+    text = json_text(F.col("payload"), payloads.schema["payload"].dataType, pretty)
+    return payloads.select(*by, text.alias("payload"))
 
 
 def recommended_actions(risks: Column, delay: Column, returns: Column, change: Column) -> Column:

@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
+from opslens.functions.numbers import json_text
+
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, at_once: int = 4) -> None:
     """Write each table as Parquet to its own folder; a few jobs run side by side, as most are small."""
@@ -17,10 +19,15 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, at_once: int = 4)
         list(pool.map(write, tables.items()))
 
 
-def write_json(payloads: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write payload structs as JSON, one document per line, NULL fields kept."""
-    columns = [c for c in payloads.columns if c != "payload"]
-    payloads.select(*columns, "payload.*").write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_json(payloads: DataFrame, path: str, mode: str = "overwrite", pretty: bool = False) -> None:
+    """Write payload structs as JSON, one document per row, NULL fields kept, numbers written out.
+
+    Documents take one line each; ``pretty`` ones are indented over several.
+    """
+    keys = [c for c in payloads.columns if c != "payload"]
+    document = payloads.select(F.struct(*[F.col(f"`{c}`") for c in keys], "payload.*").alias("value"))
+    text = json_text(F.col("value"), document.schema["value"].dataType, pretty)
+    document.select(text.alias("value")).write.mode(mode).text(path)
 
 
 def write_report(reports: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite") -> None:

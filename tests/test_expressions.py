@@ -115,6 +115,12 @@ def test_money_sum_of_large_amounts(spark):
     assert column(spark, [math.inf, 1.0], "double").agg(money_sum(F.col("x")).alias("s")).first().s == math.inf
 
 
+def test_money_sum_refuses_what_it_cannot_hold(spark):
+    with pytest.raises(Exception, match="amount out of range"):
+        column(spark, [1e22, 1.0], "double").agg(money_sum(F.col("x")).alias("s")).first()
+    assert column(spark, [1e-11, 1e-11], "double").agg(money_sum(F.col("x")).alias("s")).first().s == 2e-11
+
+
 def quantiles(spark, frame, p, by):
     df = spark.createDataFrame(frame)
     counts = df.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -137,3 +143,17 @@ def test_quantile_per_group_beyond_the_sketch(spark):
     expected = frame.groupby("g", dropna=False)["v"].quantile(0.75)
     assert {r.g if isinstance(r.g, str) else None: r.quantile for r in found.itertuples()} == {
         (g if isinstance(g, str) else None): pytest.approx(q, rel=1e-12) for g, q in expected.items()}
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("1/5/2026 3:15 PM", "2026-01-05 15:15:00"), ("01/05/26", "2026-01-05 00:00:00"), ("1/5/69", "1969-01-05 00:00:00"),
+    ("Jan 5 2026", "2026-01-05 00:00:00"), ("jan 5, 2026", "2026-01-05 00:00:00"), ("JAN 5, 2026", "2026-01-05 00:00:00"),
+    ("2026.01.05", "2026-01-05 00:00:00"), ("5 January 2026 10:00", "2026-01-05 10:00:00"),
+    ("Jan 5, 2026 10:00", "2026-01-05 10:00:00"), ("05-Jan-26", "2026-01-05 00:00:00"), ("Mon, 05 Jan 2026", "2026-01-05 00:00:00"),
+    ("2026/01/05T10:00:00", "2026-01-05 10:00:00"), ("1/5/2026 10:00:00.250", "2026-01-05 10:00:00.250000"),
+    ("12/31/2025 12:05 am", "2025-12-31 00:05:00"), ("12/31/2025 12:05 pm", "2025-12-31 12:05:00"), ("2026-01-05T10:00:00Z", "2026-01-05 10:00:00"),
+    ("2026-01-05 10:00:00+02:00", "2026-01-05 08:00:00"), ("20260105", "2026-01-05 00:00:00"), ("Sept 9, 2025", "2025-09-09 00:00:00"),
+    ("10:00", None), ("13/45/2026", None), ("Janx 5 2026", None), ("1/5/2026 13:00 PM", None), ("", None), ("5", None), ("2026", None)])
+def test_date_layouts(spark, text, expected):
+    found = spark.createDataFrame([(text,)], "t string").select(to_ts(F.col("t"))).first()[0]
+    assert (str(found) if found else None) == expected
