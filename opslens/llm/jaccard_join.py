@@ -173,13 +173,14 @@ def _extender(known, threshold: int):
             out = []
             for node, n, tokens, whole in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens", "whole")), strict=True):
                 own = np.array(tokens, np.int64)
-                often = np.isin(own, frequent)
+                at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
+                often = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
                 length = n - (n * threshold + 99) // 100 + 2
                 rare = own[~often][:length]
                 if len(rare) < length and not whole:
                     out.append((node, n, [], [], True))
                     continue
-                added = rare[~np.isin(rare, own[:length])]
+                added = np.setdiff1d(rare, own[:length], assume_unique=True)
                 last = own[often][: length - len(rare)]
                 out.append((node, n, added.tolist(), last.tolist(), False))
             yield pa.RecordBatch.from_pylist(
