@@ -36,8 +36,10 @@ from opslens.llm.staging import staged
 
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
-#: Components of a token above which it is frequent, and holders up to which candidates are paired directly.
-FREQUENT = 12
+#: Components of a token above which it is frequent.
+FREQUENT = 24
+#: Holders of a key up to which candidates are paired directly; the sets of more are compared in blocks.
+DIRECT = 64
 #: Frequent tokens known to every task at most, the most frequent first; the others count as rare and are compared in blocks.
 KNOWN = 200_000
 #: Holders in a side of a block.
@@ -235,8 +237,9 @@ def _block_links(threshold: int):
         """Links between two blocks of documents, or within one, that hold them together: no more than there are documents."""
         rows = rows.sort_values("node", ignore_index=True)
         n, left = rows["n"].to_numpy(), rows["left"].to_numpy()
-        sizes = rows["tokens"].map(len).to_numpy()
-        tokens, inverse, times = np.unique(np.concatenate(rows["tokens"].to_list()), return_inverse=True, return_counts=True)
+        sets = shingle_sets(rows["text"].to_list())
+        sizes = np.array([len(s) for s in sets])
+        tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(len(rows)), sizes)
         shared = times[inverse] > 1  # only tokens of several documents count in an intersection
         column = np.cumsum(times > 1) - 1
@@ -271,9 +274,9 @@ def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold:
         "key", "node", "n", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"),
         "node", "n", "component")
-    texts = _texts(slim, nodes, holders.select("node").distinct())
-    sets = staged(texts.mapInArrow(_whole_sets, "node long, n long, tokens array<long>, whole boolean").select("node", "tokens"), "block-sets")
-    return staged(sides.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "block-links")
+    texts = staged(_texts(slim, nodes, holders.select("node").distinct()), "block-texts")  # smaller than their sets
+    met = sides.join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "a long, b long")
+    return staged(met.distinct(), "block-links")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -327,7 +330,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
         F.count("*").alias("of"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("component", "family")])
     open_keys = sums.where("min_component <> max_component and min_family <> max_family").select("key", "pair", "of")
     holders = staged(placed_now.join(open_keys, ["key", "pair"]), "holders")
-    few, many = holders.where(F.col("of") <= FREQUENT), holders.where(F.col("of") > FREQUENT)
+    few, many = holders.where(F.col("of") <= DIRECT), holders.where(F.col("of") > DIRECT)
     pairs = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "candidates")
     links = links.unionByName(_verified(slim, nodes, pairs, threshold))
     if not many.isEmpty():

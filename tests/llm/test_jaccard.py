@@ -63,8 +63,9 @@ def corpus():
     return [*rows, (len(rows), None), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("frequent, known, block", [(12, 200_000, 256), (2, 200_000, 4), (2, 5, 3)])
-def test_components_of_near_copies(spark, monkeypatch, frequent, known, block):
+@pytest.mark.parametrize("frequent, direct, known, block", [(24, 64, 200_000, 256), (2, 2, 200_000, 4), (2, 2, 5, 3)])
+def test_components_of_near_copies(spark, monkeypatch, frequent, direct, known, block):
+    monkeypatch.setattr(j, "DIRECT", direct)
     monkeypatch.setattr(j, "FREQUENT", frequent)
     monkeypatch.setattr(j, "KNOWN", known)
     monkeypatch.setattr(j, "BLOCK", block)
