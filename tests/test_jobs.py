@@ -275,3 +275,45 @@ def test_refresh_of_events(spark, sf_dir, tmp_path):
     events.where("date >= '2024-01-15'").write.mode("append").parquet(source)
     second = refresh(spark, job)
     assert first.row_count < second.row_count == events.count()
+
+
+def held(folder):
+    """Every text in every file below a folder."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    found = set()
+    for path in pathlib.Path(folder).rglob("*"):
+        if path.suffix == ".parquet":
+            found |= {str(v) for row in pq.ParquetFile(path).read().to_pylist() for v in row.values()}
+        elif path.is_file() and path.suffix in (".json", ".txt", ""):
+            found.add(path.read_text(errors="replace"))
+    return "\n".join(found)
+
+
+def test_nothing_stays_of_a_column_that_turned_sensitive(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "1.csv", "date,revenue,supplier\n2026-01-05,10,Jane Roe\n")
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
+    refresh(spark, job)
+    assert "Jane Roe" in held(tmp_path / "out")
+    write(source / "2.csv", "supplier,units,revenue,date\njane@x.co,3,5,2026-01-06\n")
+    row = refresh(spark, job)
+    assert (row.row_count, row.total_revenue) == (2, 15.0)
+    assert "Jane Roe" not in held(tmp_path / "out") and "jane@x.co" not in held(tmp_path / "out")
+    assert "Jane Roe" not in held(tmp_path / "private" / "typed")
+    with pytest.raises(ValueError, match="private folder"):
+        refresh_stream(spark, ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "out" / "p")))
+
+
+def test_a_failed_run_leaves_the_last_one_in_place(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01-05", "10", "a")], "date string, revenue string, product string")
+    job = ReportingJob(source=df, destination=str(tmp_path))
+    run_pipeline(spark, job)
+    bad = ReportingJob(source=df.selectExpr("date", "raise_error('lost') as revenue", "product"), destination=str(tmp_path))
+    with pytest.raises(Exception, match="lost"):
+        run_pipeline(spark, bad)
+    assert spark.read.parquet(job.table("kpis")).first().total_revenue == 10.0
+    assert len(glob.glob(f"{tmp_path}/runs/*")) == 1
