@@ -8,6 +8,10 @@ from opslens.llm import decontamination, jaccard_join, mixing, queries, token_fi
 from opslens.llm.staging import shared_folder, staged, table
 
 
+#: Near copies share four fifths of their runs of five words.
+NEAR_WIDTH, NEAR_THRESHOLD = 5, 80
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
     return toxicity.clean(docs, queries.toxicity_model(spark, docs, sf_dir))
@@ -15,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    return jaccard_join.deduplicated(docs)
+    return jaccard_join.deduplicated(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
 
 
 def reject_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

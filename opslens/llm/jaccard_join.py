@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from opslens.llm.components import components
-from opslens.llm.shingles import digest, shingle_sets
+from opslens.llm.shingles import WIDTH, digest, shingle_sets
 from opslens.llm.staging import staged
 
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
@@ -61,13 +61,13 @@ def prefix_length(n: Column, threshold: int) -> Column:
     return n - F.floor((n * threshold + 99) / 100) + 2
 
 
-def _sketcher(threshold: int):
+def _sketcher(threshold: int, width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for at, texts in _portions(batch.column(2)):
                 rows = []
-                for own in shingle_sets(texts):
+                for own in shingle_sets(texts, width):
                     n = len(own)
                     prefix = n - (n * threshold + 99) // 100 + 2
                     tokens = own[: prefix + prefix // 2 + 8] if n >= least_size(threshold) else own[:0]
@@ -139,13 +139,13 @@ def _texts(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(named, same).select("node", "text").dropDuplicates(["node"])
 
 
-def _reaching(threshold: int):
+def _reaching(threshold: int, width: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i, (s, t) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = shingle_sets([s.as_py(), t.as_py()])
+                x, y = shingle_sets([s.as_py(), t.as_py()], width)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= threshold * (len(x) + len(y) - common):
                     keep.append(i)
@@ -154,7 +154,7 @@ def _reaching(threshold: int):
     return compare
 
 
-def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int, width: int) -> DataFrame:
     """The links among candidate pairs (a, b) of nodes."""
     shown = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens"))
     may = _may_reach(F.col("a_n"), F.col("a_tokens"), F.col("b_n"), F.col("b_tokens"), threshold)
@@ -164,7 +164,7 @@ def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     texts = staged(_texts(slim, nodes, wanted), "near-texts")
     both = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b"))
-    return staged(both.select("a", "b", "s", "t").mapInArrow(_reaching(threshold), "a long, b long"), "links")
+    return staged(both.select("a", "b", "s", "t").mapInArrow(_reaching(threshold, width), "a long, b long"), "links")
 
 
 def _extender(known, threshold: int):
@@ -195,18 +195,21 @@ def _extender(known, threshold: int):
 _EXTENDED = "node long, n long, added array<long>, last array<long>, short boolean"
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = batch.column(0)
-        for at, texts in _portions(batch.column(1)):
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [nodes.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), pa.array([True] * len(sets))],
-                names=["node", "n", "tokens", "whole"])
+def _whole_sets(width: int):
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0)
+            for at, texts in _portions(batch.column(1)):
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays(
+                    [nodes.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), pa.array([True] * len(sets))],
+                    names=["node", "n", "tokens", "whole"])
+
+    return sets_of
 
 
-def _extended(slim: DataFrame, nodes: DataFrame, entries: DataFrame, frequent: DataFrame, threshold: int) -> DataFrame:
+def _extended(slim: DataFrame, nodes: DataFrame, entries: DataFrame, frequent: DataFrame, threshold: int, width: int) -> DataFrame:
     """Index entries (key, node, n) that the frequent tokens' going last adds: further rare tokens of the documents whose prefix
     held frequent ones, and pairs of frequent tokens where these do not suffice."""
     tokens = np.sort(np.array([r.token for r in frequent.collect()], np.int64))  # KNOWN at most
@@ -215,7 +218,7 @@ def _extended(slim: DataFrame, nodes: DataFrame, entries: DataFrame, frequent: D
     rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
     first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
     short = first.where("short").select("node")
-    again = _texts(slim, nodes, short).select("node", "text").mapInArrow(_whole_sets, "node long, n long, tokens array<long>, whole boolean")
+    again = _texts(slim, nodes, short).select("node", "text").mapInArrow(_whole_sets(width), "node long, n long, tokens array<long>, whole boolean")
     second = staged(again.mapInArrow(_extender(known, threshold), _EXTENDED), "extended-whole")
     both = first.where("not short").unionByName(second)
     added = both.select("node", "n", F.explode("added").alias("key"))
@@ -232,21 +235,21 @@ def _direct(holders: DataFrame, threshold: int) -> DataFrame:
     return met.where(_sizes_fit(F.col("a_n"), F.col("b_n"), threshold)).select("a", "b").distinct()
 
 
-def _block_links(threshold: int):
+def _block_links(threshold: int, width: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between two blocks of documents, or within one, that hold them together: no more than there are documents."""
         rows = rows.sort_values("node", ignore_index=True)
         n, left = rows["n"].to_numpy(), rows["left"].to_numpy()
-        sets = shingle_sets(rows["text"].to_list())
+        sets = shingle_sets(rows["text"].to_list(), width)
         sizes = np.array([len(s) for s in sets])
         tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(len(rows)), sizes)
         shared = times[inverse] > 1  # only tokens of several documents count in an intersection
         column = np.cumsum(times > 1) - 1
         common = np.zeros((len(rows), len(rows)), np.float32)
-        width = int((times > 1).sum())
-        for start in range(0, width, 4096):
-            part = np.zeros((len(rows), min(4096, width - start)), np.float32)
+        several = int((times > 1).sum())
+        for start in range(0, several, 4096):
+            part = np.zeros((len(rows), min(4096, several - start)), np.float32)
             here = shared & (column[inverse] >= start) & (column[inverse] < start + 4096)
             part[doc[here], column[inverse[here]] - start] = 1
             common += part @ part.T
@@ -264,7 +267,7 @@ def _block_links(threshold: int):
     return compare
 
 
-def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold: int, width: int) -> DataFrame:
     """The links that join the components of (key, node, n, component) with a key in common: the holders of a key are dealt into
     blocks, and each pair of blocks is compared by whole sets in a task of its own, 2 * BLOCK documents or so."""
     sizes = holders.groupBy("key").agg(F.count("*").alias("of"))
@@ -275,14 +278,14 @@ def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold:
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"),
         "node", "n", "component")
     texts = staged(_texts(slim, nodes, holders.select("node").distinct()), "block-texts")  # smaller than their sets
-    met = sides.join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "a long, b long")
+    met = sides.join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold, width), "a long, b long")
     return staged(met.distinct(), "block-links")
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their sketches, nodes (one for each distinct set), and links between nodes."""
     slim = _slim(docs, doc_id, text)
-    sketches = staged(slim.mapInArrow(_sketcher(threshold), _SKETCH), "sketches")
+    sketches = staged(slim.mapInArrow(_sketcher(threshold, width), _SKETCH), "sketches")
     classes = sketches.where("n > 0")
     labels = classes.groupBy("high", "low").agg(F.min("doc_id").alias("label"))
     single = classes.dropDuplicates(["high", "low"]).join(labels, ["high", "low"])
@@ -294,7 +297,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
     held = staged(entries.join(several.select("token", "first"), "token"), "held-tokens")
     fit = held.where("node <> first.node").where(_sizes_fit(F.col("n"), F.col("first.n"), threshold))
     stars = staged(fit.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _verified(slim, nodes, stars, threshold)
+    links = _verified(slim, nodes, stars, threshold, width)
 
     components_now = staged(components(links), "components")
 
@@ -310,13 +313,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
                .select(F.col("token").alias("key"), F.lit(False).alias("pair"), "node", "n"))
     families = holders.select("node", F.col("node").alias("family")).where("false")
     if not frequent.isEmpty():
-        more = _extended(slim, nodes, held, frequent, threshold)
+        more = _extended(slim, nodes, held, frequent, threshold, width)
         # documents of little but frequent tokens: each goes to its most shared pair, and all that meet there are compared
         pairs = with_components(more.where("pair"))
         shared = pairs.groupBy("key").agg(F.countDistinct("component").alias("times")).where("times > 1")
         chosen = pairs.join(shared, "key").groupBy("node", "n", "component").agg(F.max(F.struct("times", "key")).alias("most"))
         members = staged(chosen.select(F.col("most.key").alias("key"), "node", "n", "component"), "families")
-        links = links.unionByName(_in_blocks(members, slim, nodes, threshold))
+        links = links.unionByName(_in_blocks(members, slim, nodes, threshold, width))
         components_now = staged(components(links), "components")
         families = members.select("node", F.col("key").alias("family"))
         # a token that an extended prefix adds may stand in other prefixes too
@@ -332,22 +335,23 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
     holders = staged(placed_now.join(open_keys, ["key", "pair"]), "holders")
     few, many = holders.where(F.col("of") <= DIRECT), holders.where(F.col("of") > DIRECT)
     pairs = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(_verified(slim, nodes, pairs, threshold))
+    links = links.unionByName(_verified(slim, nodes, pairs, threshold, width))
     if not many.isEmpty():
         keys = many.withColumn("key", F.xxhash64("key", "pair")).select("key", "node", "n", "component")
-        links = links.unionByName(_in_blocks(keys, slim, nodes, threshold))
+        links = links.unionByName(_in_blocks(keys, slim, nodes, threshold, width))
     return sketches, nodes, links
 
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_components(
+        docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """A row (doc_id, text_hash, n_shingles, component_id) for each row of ``docs``.
 
-    n_shingles is the size of the text's set of 3-word shingles. component_id is the smallest doc_id that links lead to, links
+    n_shingles is the size of the text's set of shingles of ``width`` words. component_id is the smallest doc_id that links lead to, links
     joining sets with 100 * intersection >= threshold * union. Null texts, and texts without words, have no shingles and are
     their own component. Rows of equal sets are linked, so repeated rows share a component. Null ids are passed over in
     the minimum unless a component has no others. Other columns are not read. An empty table gives an empty result.
     """
-    sketches, nodes, links = _classes(docs, doc_id, text, threshold)
+    sketches, nodes, links = _classes(docs, doc_id, text, threshold, width)
     found = components(links).join(nodes.select("node", "label"), "node")
     least = found.groupBy("component").agg(F.min("label").alias("least"))
     linked = found.join(least, "component").select("node", "least")
@@ -358,10 +362,11 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def deduplicated(
+        docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One row of ``docs`` for each component, with its own columns: of the smallest id, then of the smallest text hash. Rows
     without shingles or without an id are all kept."""
-    found = near_components(docs, doc_id=doc_id, text=text, threshold=threshold)
+    found = near_components(docs, doc_id=doc_id, text=text, threshold=threshold, width=width)
     heads = (found.where("n_shingles > 0 and doc_id is not null").groupBy("component_id")
              .agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select("head.*"))
     heads = staged(heads, "heads")

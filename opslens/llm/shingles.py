@@ -7,7 +7,7 @@ import numpy as np
 WIDTH = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_FACTORS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_FACTORS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))  # taken in turns
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -26,9 +26,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes (as signed numbers) of its runs of WIDTH words; of fewer words, the hash of them
-    all; none of a text without words. Words are split at ASCII white space, A to Z count as a to z."""
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words."""
+    n = len(words) - width + 1
+    runs = words[: max(0, n)] * _FACTORS[0]
+    for k in range(1, width if n > 0 else 1):
+        runs = _mixed(runs) + words[k : n + k] * _FACTORS[k % len(_FACTORS)]
+    return _mixed(runs)
+
+
+def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes (as signed numbers) of its runs of ``width`` words; of fewer words, the hash of
+    them all; none of a text without words. Words are split at ASCII white space, A to Z count as a to z."""
     if not texts:
         return []
     raw = b"\n".join([t.encode("utf-8", "surrogatepass").lower() for t in texts]) + b"\n"
@@ -41,20 +50,10 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _up[: len(data)])])
     words = _mixed((sums[ends] - sums[starts]) * _down[starts] + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1)]))
-    runs = np.zeros(0, np.uint64)
-    if len(words) >= WIDTH:
-        runs = words[: len(words) - WIDTH + 1] * _FACTORS[0]
-        for k in range(1, WIDTH):
-            runs = _mixed(runs) + words[k : len(words) - WIDTH + 1 + k] * _FACTORS[k]
-        runs = _mixed(runs)
+    runs = _runs(words, width)
     found = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= WIDTH:
-            own = runs[a : b - WIDTH + 1]
-        elif b > a:
-            own = _mixed((words[a:b] * _FACTORS[0]).sum(keepdims=True) if b - a == 1 else _mixed(words[a : a + 1] * _FACTORS[1]) + words[a + 1 : b] * _FACTORS[2])
-        else:
-            own = runs[:0]
+        own = runs[a : b - width + 1] if b - a >= width else _runs(words[a:b], b - a) if b > a else runs[:0]
         found.append(np.unique(own.view(np.int64)))
     return found
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from opslens.llm import jaccard_join as j
 from opslens.llm.components import components
 from opslens.llm.shingles import shingle_sets
@@ -94,3 +95,31 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(51)}, **{1000 + i: 1000 for i in range(80)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_leaves_no_near_copies_of_five_words(spark, monkeypatch):
+    """The pipeline's stage against all pairs at 5 words and 0.8, through blocks and frequent tokens too."""
+    for name, value in (("DIRECT", 2), ("FREQUENT", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(7)
+    rows = [(i, t) for i, t in dict(corpus()).items()]
+    for _ in range(30):  # one changed word of 50: 0.80 of five-word runs, 0.88 of three-word runs
+        base = [f"v{rng.randrange(900)}" for _ in range(50)]
+        edited = list(base)
+        edited[rng.randrange(10, 40)] = "changed"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    rows += [(len(rows) + k, t) for k, t in enumerate(("a b c d", "a b c d", "a b c", "a b c e"))]
+    fives = {}
+    for i, t in rows:
+        w = words(t)
+        fives[i] = frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    component = {i: i for i in fives}
+    for a in sorted(fives):
+        for b in range(a):
+            common = len(fives[a] & fives[b])
+            if common and 100 * common >= 80 * len(fives[a] | fives[b]) and component[a] != component[b]:
+                least, gone = sorted((component[a], component[b]))
+                component = {i: least if c == gone else c for i, c in component.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect())
+    assert kept == sorted(i for i, c in component.items() if i == c)
