@@ -6,9 +6,9 @@ C characters and T tags below it, of them LC characters and LT tags in links, an
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 An element's sum is the sum of its children's densities. The element of the largest sum is the core of the article. The
-smallest density on the path from it to the body is the page's threshold. The article is the core and those
-ancestors below the body that hold more blocks reaching the threshold; an element named article or main around the core is the
-article itself. Elements that are never text of an article (by name, role or class) leave the tree first.
+smallest density on the path from it to the body is the page's threshold. The article is the core with those elements beside it,
+and beside its ancestors, that reach the threshold, up to the first ancestor beside which none does; what does not reach it
+stays out, but for headings directly above and text in between. An element named article or main around the core is the article itself. Elements that are never text of an article (by name, role or class) leave the tree first.
 """
 
 from __future__ import annotations
@@ -242,14 +242,55 @@ def article(root: Node) -> Node | None:
         n = n.parent
     if named is not None:
         return named
-    n = core
-    while n.parent is not None and n is not root:
-        others = [c for c in n.parent.elements() if c is not n and c.chars]
-        loose = any(isinstance(c, str) and c.strip() for c in n.parent.children)
-        if n.parent is root and not loose and not any(c.density >= threshold or c.name in HEADINGS for c in others):
-            break
+    n, top, ended = core, core, False
+    while n is not root:
+        held = _joined(n, threshold, core, ended)
+        if len(held) > 1:
+            top = n.parent
+        elif any(isinstance(c, Node) and c.chars for c in n.parent.children if c is not n):
+            ended = True  # nothing beside it belongs to the article: further up only headings do
+        n.parent.children = held
         n = n.parent
-    return n
+    return top
+
+
+def _mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
+def _joined(node: Node, threshold: float, core: Node, ended: bool) -> list:
+    """The children of a node's parent that belong to the article: the node, with elements that reach the threshold, text
+    between them, loose text next to them, and headings directly above. ``ended``: only headings do."""
+    children = [c for c in node.parent.children if isinstance(c, Node) and c.chars or isinstance(c, str) and c.strip() or c is node]
+    inline = lambda c: isinstance(c, str) or c.name not in BLOCKS
+    heading = lambda c: isinstance(c, Node) and (c.name in HEADINGS or c.chars and sum(h.chars for h in _headings(c)) == c.chars)
+    own = next(i for i, c in enumerate(children) if c is node)
+    leaf = lambda c: not any(x.name in BLOCKS for x in c.elements())
+    plain = lambda c: not _mostly_links(c) and (c.name in ("ul", "ol", "dl", "table", "blockquote", "hr") or leaf(c))
+    first = last = own
+    if not ended:  # paragraphs beside a paragraph are its fellows, whatever their density
+        reach = [i for i, c in enumerate(children) if i == own or isinstance(c, Node) and c.name in BLOCKS and (
+            leaf(node) and (heading(c) or plain(c)) or not heading(c) and c.density >= threshold)]
+        first, last = reach[0], reach[-1]
+        while last + 1 < len(children) and inline(children[last + 1]):
+            last += 1
+        while first and inline(children[first - 1]):
+            first -= 1
+    at = first  # headings above, with single lines such as the author's between them and the text
+    while at and (heading(children[at - 1]) or not inline(children[at - 1]) and not _mostly_links(children[at - 1])
+                  and leaf(children[at - 1])):
+        at -= 1
+        if heading(children[at]):
+            first = at
+    plenty = (core.chars - core.link_chars) / max(1, core.tags) / 2
+
+    def belongs(i: int, c: Node | str) -> bool:
+        if i == own or inline(c) or heading(c) or c.density >= threshold:
+            return True
+        # in between: single lines, lists and tables, and parts with half as much text a tag as the core
+        return plain(c) or not _mostly_links(c) and (c.chars - c.link_chars) / max(1, c.tags) >= plenty
+
+    return [c for i, c in enumerate(children) if first <= i <= last and belongs(i, c)]
 
 
 def _menu(node: Node) -> bool:

@@ -32,6 +32,27 @@ def test_shapes(name):
     page, text = PAGES[name]
     assert main_text(page) == text
 
+SIDE = "<div><h3>More</h3><p>Shoes <a href=s>Buy cheap shoes here</a></p><p>Win <a href=c>a car of your own</a></p><p>Ten <a href=t>tricks to know</a></p></div>"
+LINKS = "<div><p><a href=a>One other story</a></p><p><a href=b>Two other stories</a></p></div>"
+WRAPPED = {
+    "side columns": (f"<div>{SIDE}<div><h1>Top</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{LINKS}</div>", f"Top\n{LONG}\n{LONG}\n{LONG}"),
+    "title above": (f"<div><div>{LINKS}</div><div><h1>Top</h1><div>by me</div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{SIDE}</div></div>",
+                    f"Top\nby me\n{LONG}\n{LONG}\n{LONG}"),
+    "parts": (f"<div><div><div><h2>A</h2><p>{LONG}</p><p>{LONG}</p></div><div><h2>B</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div>{SIDE}{LINKS}</div>",
+              f"A\n{LONG}\n{LONG}\nB\n{LONG}\n{LONG}\n{LONG}"),
+    "advert between parts": (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Buy</p><p>now</p></div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div>",
+                             "\n".join([LONG] * 5)),
+    "one rich paragraph": (f"<div><p>{LONG} {LONG} {LONG} <b>{LONG}</b> <i>{LONG}</i> <b>{LONG}</b></p><p>Short.</p><ul><li>one<li>two</ul><p>End.</p>{SIDE}</div>",
+                           f"{' '.join([LONG] * 6)}\nShort.\none\ntwo\nEnd."),
+    "single wrappers": (f"<div><div><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div><div><p>{LONG}</p><p>{LONG}</p></div></div>{SIDE}</div>", "\n".join([LONG] * 5)),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_pages_without_article(name):
+    page, text = WRAPPED[name]
+    assert main_text(page) == text
+
 
 def test_deep_and_broken_pages():
     assert main_text("<div>" * 5000 + LONG + "</div>" * 5000) == LONG
