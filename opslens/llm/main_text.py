@@ -8,7 +8,7 @@ C characters and T tags below it, of them LC characters and LT tags in links, an
 An element's sum is the sum of its children's densities. The element of the largest sum is the core of the article. The
 smallest density on the path from it to the body is the page's threshold. The article is the core with those elements beside it,
 and beside its ancestors, that reach the threshold, up to the first ancestor beside which none does; what does not reach it
-stays out, but for headings directly above and text in between. An element named article or main around the core is the article itself. Elements that are never text of an article (by name, role or class) leave the tree first.
+stays out, but for headings directly above and text in between. An element named article or main around the core is the article itself. Elements that are never text of an article (by name, role or class) leave the tree first, unless the article would go with them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp")
 #: Elements that never belong to the article.
 DROPPED = frozenset(
-    "script style noscript template iframe object embed svg math canvas audio video head title nav footer aside form button "
+    "script style noscript template iframe object embed svg math canvas audio video head title nav footer aside button "
     "input select option textarea label fieldset dialog menu noembed noframes map applet".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -153,21 +153,76 @@ def _apart(node: Node) -> bool:
     return any(WORDS.search(BESIDE.sub("", a.get(x, ""))) for x in ("class", "id"))
 
 
+#: Words of what may outweigh a short article: spared only if next to nothing else is on the page.
+FOREIGN = re.compile(r"comment|repl(?:y|ies)|respond|disqus|discussion|cookie|consent|gdpr|popup|pop-up|modal|overlay|newsletter|legal|disclaimer|copyright|footer", re.IGNORECASE)
+
+
+def _weigh(root: Node) -> dict[int, tuple[int, bool]]:
+    """For each element its characters outside links, and whether an article or main stands below it."""
+    found: dict[int, tuple[int, bool]] = {}
+    for n in _post_order(root):
+        chars, holds = 0, False
+        for c in n.children:
+            if isinstance(c, Node):
+                more, named = found[id(c)]
+                chars += more
+                holds = holds or named or c.name in ARTICLE
+            else:
+                chars += len("".join(c.split()))
+        found[id(n)] = (0 if n.name in ("a", "title", "select", "button", "textarea") else chars, holds)
+    return found
+
+
+def _leaving(root: Node) -> set[int]:
+    """The elements to take out. One that holds the page's only article or main, or most of its text outside links, stays,
+    and what stands in it is looked at by itself."""
+    weight = _weigh(root)
+    whole = weight[id(root)][0]
+    leaving: dict[int, tuple[Node, bool]] = {}
+    named, gone, waiting = False, 0, [(root, False)]
+    while waiting:
+        node, inside = waiting.pop()
+        for c in node.elements():
+            own_header = bool(c.attrs) and bool(OWN_HEADER.search(c.attrs.get("class", "")))
+            header = c.name == "header" or own_header
+            if (not inside and not own_header) if header else _apart(c):
+                leaving[id(c)] = (c, inside)
+                gone += weight[id(c)][0]
+            else:
+                named = named or c.name in ARTICLE
+                waiting.append((c, inside or c.name in ARTICLE))
+        if waiting:
+            continue
+
+        def spared(c: Node) -> bool:
+            chars, holds = weight[id(c)]
+            if holds and not named:
+                return chars > 0
+            foreign = c.attrs and FOREIGN.search(f"{c.attrs.get('class', '')} {c.attrs.get('id', '')}") or c.name in ("dialog", "nav", "footer", "aside")
+            return 2 * chars > whole and (not foreign or not named and 10 * (whole - gone) < whole)
+
+        kept = max((x for x in leaving.values() if spared(x[0])), key=lambda x: weight[id(x[0])][0], default=None)
+        if kept is not None:
+            del leaving[id(kept[0])]
+            gone -= weight[id(kept[0])][0]
+            named = named or kept[0].name in ARTICLE
+            waiting.append((kept[0], kept[1] or kept[0].name in ARTICLE))
+    return set(leaving)
+
+
 def prune(root: Node) -> None:
     """Take everything out that never is text of an article. A header inside an article keeps its headings alone."""
+    leaving = _leaving(root)
     waiting = [(root, False)]
     while waiting:
         node, inside = waiting.pop()
         kept = []
         for c in node.children:
             if isinstance(c, Node):
-                own_header = bool(c.attrs) and bool(OWN_HEADER.search(c.attrs.get("class", "")))
-                if c.name == "header" or own_header:
-                    if not inside and not own_header:
-                        continue
-                    c.children = _headings(c)
-                elif _apart(c):
+                if id(c) in leaving:
                     continue
+                if inside and c.name == "header" or c.attrs and OWN_HEADER.search(c.attrs.get("class", "")):
+                    c.children = _headings(c)
                 waiting.append((c, inside or c.name in ARTICLE))
             kept.append(c)
         node.children = kept

@@ -54,6 +54,30 @@ def test_wrapped_pages_without_article(name):
     assert main_text(page) == text
 
 
+WRAPPERS = (
+    "<form id=aspnetForm><input name=q>{}</form>", "<div id='content-sidebar-wrap'>{}</div>", "<div class='layout sidebar-right'>{}</div>",
+    "<div class='container comments-open'>{}</div>", "<div id=page class=search><div class='widget menu'>{}</div></div>", "<header>{}</header>",
+    "<form><div class='layout sidebar-left'>{}</div><button>Go</button></form>", "<div style='visibility: hidden'>{}</div>", "<aside>{}</aside>")
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_of_the_article_stay(wrapper):
+    other = f"<div class=sidebar><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div>"
+    inside = f"<h1>Top</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+    text = f"Top\n{LONG}\n{LONG}\n{LONG}"
+    assert main_text(wrapper.format(f"<article>{inside}</article>{other}") + "<footer>us</footer>") == text
+    assert main_text(wrapper.format(f"<main>{inside}</main>") + f"<div>{LONG}</div>") == text
+    assert main_text(wrapper.format(f"<div class=post>{inside}</div>{other}") + "<footer>us</footer>") == text
+
+
+def test_comments_longer_than_the_article_go():
+    comments = f"<div class=comments>{f'<p>{LONG}</p>' * 5}</div>"
+    assert main_text(f"<div><h1>Top</h1><p>{LONG}</p><p>{LONG}</p></div>{comments}") == f"Top\n{LONG}\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</p></article><aside><article>{comments}</article></aside>") == LONG
+    assert main_text(f"<article><p>Short.</p></article><footer>{LONG}</footer>") == "Short."
+    assert main_text(f"<form><label>Mail</label><input><p>{LONG}</p><select><option>no</select></form>") == LONG
+
+
 def test_deep_and_broken_pages():
     assert main_text("<div>" * 5000 + LONG + "</div>" * 5000) == LONG
     assert main_text("</p></div><<>><p" + "<p>x") and main_text("<") == "" and main_text("a < b") == "a < b"
