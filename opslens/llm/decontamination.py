@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are compared by their letters and digits in lower case. A benchmark item is cut into overlapping patterns of up to
-WINDOW characters, so a passage of an item is found too. A pattern of m characters that occurs with at most e edits leaves
+WINDOW characters, STRIDE apart, so a passage of an item is found too: one of WINDOW + STRIDE - 1 characters or more holds a
+whole pattern, and one of WINDOW characters all but STRIDE / 2 characters of one, which count as edits. A pattern of m characters that occurs with at most e edits leaves
 m - q + 1 - q * e of its q-grams in place, and all of these lie on neighbouring diagonals (place in the document minus
 place in the pattern), e + 1 of them at most. Shared q-grams are counted in bands of 2 (e + 1) diagonals that overlap by half, so
 that one band holds them all; bands that reach the count are aligned within the band, and those with at most e edits stay.
@@ -20,6 +21,7 @@ from pyspark.sql.functions import pandas_udf
 
 Q = 10
 WINDOW = 100
+STRIDE = 10
 #: Edits allowed for each character of a pattern.
 ERROR_RATE = 0.06
 #: Items with fewer letters and digits than this are no passages.
@@ -29,9 +31,11 @@ BLOCK = 4_000_000
 CHUNK = 150_000
 #: Candidates aligned together.
 TOGETHER = 256
-#: q-grams in more patterns than this are left out of the count where enough others remain.
+#: q-grams in more places of items than this are left out of the count where enough others remain.
 COMMON, ENOUGH = 32, 8
 MATCHES = "array<struct<item_id: long, start: long, end: long, edits: long, patterns: long>>"
+#: Patterns whose q-grams are counted together at first.
+RUN = 2 * (WINDOW // STRIDE + 2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
 
@@ -81,48 +85,70 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Patterns:
-    """Patterns of some items, and an index of their q-grams."""
+    """Patterns of some items, and an index of the items' q-grams."""
 
     items: np.ndarray
-    codes: list[np.ndarray]
+    letters: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
     budget: np.ndarray
     least: np.ndarray
     table: np.ndarray
     grams: np.ndarray
     first: np.ndarray
-    owner: np.ndarray
     place: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Patterns:
-        ids, codes = [], []
+        ids, starts, sizes, letters, base = [], [], [], [], 0
         for item, text in items:
             points, _ = normalized(text or "")
             n = len(points)
             if n < SHORTEST:
                 continue
-            starts = [0] if n <= WINDOW else sorted({*range(0, n - WINDOW + 1, WINDOW // 2), n - WINDOW})
-            ids += [item] * len(starts)
-            codes += [points[a : a + WINDOW] for a in starts]
-        sizes = np.array([len(c) for c in codes], np.int64)
+            own = [0] if n <= WINDOW else sorted({*range(0, n - WINDOW + 1, STRIDE), n - WINDOW})
+            ids += [item] * len(own)
+            starts += [base + a for a in own]
+            sizes += [min(n, WINDOW)] * len(own)
+            letters.append(points)
+            base += n
+        starts, sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
         budget = np.floor(sizes * ERROR_RATE).astype(np.int64)
-        grams = [_grams(c) for c in codes]
-        owner = np.repeat(np.arange(len(codes)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if codes else np.zeros(0, np.int64)
-        flat = np.concatenate(grams) if codes else np.zeros(0, np.uint64)
+        grams = [_grams(x) for x in letters]
+        bases = np.cumsum([0] + [len(x) for x in letters])[:-1]
+        place = np.concatenate([at + np.arange(len(g)) for at, g in zip(bases, grams, strict=True)]) if letters else np.zeros(0, np.int64)
+        flat = np.concatenate(grams) if letters else np.zeros(0, np.uint64)
         distinct, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
         common = times[inverse] > COMMON
-        kept = np.bincount(owner[~common], minlength=len(codes))
-        rare_only = kept - Q * budget >= ENOUGH
-        keep = ~(common & rare_only[owner])
-        flat, owner, place = flat[keep], owner[keep], place[keep]
+
+        def counted(places: np.ndarray) -> np.ndarray:
+            """How many of some ascending places of q-grams each pattern holds."""
+            return np.searchsorted(places, starts + sizes - Q, side="right") - np.searchsorted(places, starts)
+
+        # a common q-gram stays where some pattern that holds it needs it
+        needy = np.flatnonzero(counted(place[~common]) - Q * budget < ENOUGH)
+        needed = np.zeros(base + 1, np.int64)
+        np.add.at(needed, starts[needy], 1)
+        np.add.at(needed, starts[needy] + sizes[needy] - Q + 1, -1)
+        keep = ~common | (np.cumsum(needed)[place] > 0)
+        flat, place = flat[keep], place[keep]
+        least = np.maximum(1, counted(place) - Q * budget)
         order = np.argsort(flat, kind="stable")
-        flat, owner, place = flat[order], owner[order], place[order]
+        flat, place = flat[order], place[order]
         distinct, first = np.unique(flat, return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[_slot(distinct)] = True
-        least = np.maximum(1, np.bincount(owner, minlength=len(codes)) - Q * budget)
-        return cls(np.array(ids, np.int64), codes, budget, least, table, distinct, np.append(first, len(flat)), owner, place)
+        whole = np.concatenate(letters) if letters else np.zeros(0, np.uint32)
+        return cls(np.array(ids, np.int64), whole, starts, sizes, budget, least, table, distinct, np.append(first, len(flat)), place)
+
+    def code(self, pattern: int) -> np.ndarray:
+        """The letters of a pattern."""
+        return self.letters[self.starts[pattern] : self.starts[pattern] + self.sizes[pattern]]
+
+    @property
+    def codes(self) -> list[np.ndarray]:
+        """The letters of all patterns."""
+        return [self.code(p) for p in range(len(self.starts))]
 
     def candidates(self, points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, pattern, lowest diagonal of the band) with enough shared q-grams. ``doc``: document of each place;
@@ -139,22 +165,40 @@ class Patterns:
         many = self.first[where + 1] - self.first[where]
         ends = np.cumsum(many)
         entry = np.arange(ends[-1]) + np.repeat(self.first[where] - (ends - many), many)
-        pattern = self.owner[entry]
-        place = np.repeat(at, many)
-        diagonal = place - self.place[entry]
+        place, inside = np.repeat(at, many), self.place[entry]
+        # the patterns that hold a place of an item stand together
+        low = np.searchsorted(self.starts + self.sizes, inside + Q)
+        high = np.searchsorted(self.starts, inside, side="right")
+        # patterns that hold a place together number WINDOW / STRIDE + 2 at most, so a count over a run of patterns that is
+        # too small for any of them settles them all
+        run = low // RUN
+        keys, number, counts = np.unique(doc[place] * (len(self.starts) // RUN + 2) + run, return_inverse=True, return_counts=True)
+        near = counts.copy()
+        for step in (-1, 1):
+            beside = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+            near += np.where(keys[beside] == keys + step, counts[beside], 0)
+        open_ = near[number] >= self.least.min()
+        place, inside, low, high = place[open_], inside[open_], low[open_], high[open_]
+        many = high - low
+        ends = np.cumsum(many)
+        if not len(ends) or not ends[-1]:
+            return none
+        pattern = np.arange(ends[-1]) + np.repeat(low - (ends - many), many)
+        place, inside = np.repeat(place, many), np.repeat(inside, many) - self.starts[pattern]
+        diagonal = place - inside
         shift = int(self.budget.max()) + len(points) + WINDOW  # keeps band numbers positive
         width = self.budget[pattern] + 1
         found = []
         for half in (0, 1):
             band = ((diagonal + WINDOW) // width + half) // 2
-            key = (doc[place] * len(self.codes) + pattern) * (2 * shift) + band
+            key = (doc[place] * len(self.starts) + pattern) * (2 * shift) + band
             # a q-gram of the pattern counts once in a band
-            keys, counts = np.unique(_distinct(key, self.place[entry]), return_counts=True)
-            own = (keys // (2 * shift)) % len(self.codes)
+            keys, counts = np.unique(_distinct(key, inside), return_counts=True)
+            own = (keys // (2 * shift)) % len(self.starts)
             enough = counts >= self.least[own]
             keys, own = keys[enough], own[enough]
-            low = (2 * (keys % (2 * shift)) - half) * (self.budget[own] + 1) - WINDOW
-            found.append((keys // (2 * shift) // len(self.codes), own, low))
+            lowest = (2 * (keys % (2 * shift)) - half) * (self.budget[own] + 1) - WINDOW
+            found.append((keys // (2 * shift) // len(self.starts), own, lowest))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -209,7 +253,7 @@ def align(patterns: list[np.ndarray], texts: list[np.ndarray], lows: list[int],
 def find(texts: list[str], patterns: Patterns) -> list[list[dict]]:
     """For each text, the items found in it: item_id, start and end (code points), fewest edits and patterns found."""
     found: list[dict] = [{} for _ in texts]
-    if not len(patterns.codes):
+    if not len(patterns.starts):
         return [[] for _ in texts]
     width = 2 * (int(patterns.budget.max()) + 1)
     held, size, base = [], 0, 0
@@ -225,7 +269,7 @@ def find(texts: list[str], patterns: Patterns) -> list[list[dict]]:
             waiting.append((base + d, p, low - int(starts[d]), *parts[d]))
 
     def verify() -> None:
-        aligned = align([patterns.codes[x[1]] for x in waiting], [x[3] for x in waiting], [x[2] for x in waiting], width)
+        aligned = align([patterns.code(x[1]) for x in waiting], [x[3] for x in waiting], [x[2] for x in waiting], width)
         for (d, p, _, _, places), (edits, a, b) in zip(waiting, aligned.tolist(), strict=True):
             if edits > patterns.budget[p] or b <= a:
                 continue

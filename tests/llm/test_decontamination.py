@@ -58,6 +58,20 @@ def test_places_and_clean_texts():
     assert [m["item_id"] for m in d.find([half], held)[0]] == [7]
 
 
+def test_parts_from_the_middle_at_every_offset():
+    rng = random.Random(6)
+    item = prose(rng, 60)
+    letters = "".join(map(chr, d.normalized(item)[0]))
+    held = d.Patterns.of([(1, prose(rng, 40)), (2, item), (3, prose(rng, 9))])
+    around = "".join(prose(rng, 30).split()), "".join(prose(rng, 30).split())
+    part = lambda a, n: letters[a : a + n]
+    texts = [around[0] + part(a, 100) + around[1] for a in range(len(letters) - 99)]
+    assert all([m["item_id"] for m in found] == [2] for found in d.find(texts, held))
+    longer = [around[0] + damaged(rng, part(a, 109), 6) + around[1] for a in range(len(letters) - 108)]
+    assert all([m["item_id"] for m in found] == [2] for found in d.find(longer, held))
+    assert not any(d.find([around[0] + part(a, 60) + around[1] for a in range(0, 300, 7)], held))
+
+
 def test_frames(spark, odd, nothing, monkeypatch):
     rng = random.Random(5)
     items = [(k, prose(rng, 25)) for k in range(6)]
