@@ -5,12 +5,17 @@ prefix hashes, so spans compare in constant time and the longest common extensio
 
 A fingerprint holds the length and hash of a text, and hashes of its prefixes and suffixes of geometrically growing lengths.
 Whether two texts share a prefix is monotone in its length, so two fingerprints give the longest common prefix and
-suffix, down to the next smaller grid length, by binary search; their share of the longer text is the likeness.
+suffix, down to the next smaller grid length, by binary search.
+
+It also holds the spans between anchors: places that the characters before them make anchors, so an edit changes the spans it
+touches and no others. The likeness is the share of the longer text that the common prefix, the common suffix and the common spans cover.
+Longer texts have longer spans, so that there are some hundreds at most; a text keeps the spans of the next longer class too.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,11 @@ STEPS = 6
 #: Code points hashed together.
 CHUNK = 1_000_000
 HEX = 8
+#: Texts of fewer code points have no spans.
+SPANNED = 64
+#: Characters of a span are about 2 ** LEVEL, twice that for each doubling from 2 ** FINE characters on.
+LEVEL, FINE = 5, 12
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
 
 class _Powers:
@@ -85,6 +95,35 @@ def grid(n: int) -> np.ndarray:
     return steps[steps <= n]
 
 
+def level(n: int) -> int:
+    """The class of the spans of a text of ``n`` code points."""
+    return LEVEL + max(0, n.bit_length() - FINE)
+
+
+def _anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places after which a span may end, and the hash of the eight characters before each."""
+    mixed = points
+    for step, factor in zip((1, 2, 4), _MIX, strict=False):
+        mixed = np.concatenate([mixed[:step], mixed[:-step] * factor + mixed[step:]])
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[3]
+    at = np.flatnonzero(mixed >> np.uint64(64 - LEVEL) == 0)
+    return at + 1, mixed[at]
+
+
+def _cuts(places: np.ndarray, hashes: np.ndarray, n: int, of: int) -> np.ndarray:
+    """Bounds of the spans of class ``of`` of a text, from 0 to ``n``; none is shorter than a quarter of the usual length but
+    the last."""
+    cuts, least = places[hashes >> np.uint64(64 - of) == 0], 1 << (of - 2)
+    if len(cuts) and (cuts[0] < least or (np.diff(cuts) < least).any()):
+        kept, last = [], 0
+        for c in cuts.tolist():
+            if c - last >= least:
+                kept.append(c)
+                last = c
+        cuts = np.array(kept, np.int64)
+    return np.concatenate([[0], cuts, [n]])
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """Fingerprints of some texts, hashed together."""
     if not texts:
@@ -111,22 +150,72 @@ def fingerprints(texts: list[str]) -> list[str]:
             left = sizes[doc] - length
             back = (sums[ends[doc]] - sums[ends[doc] - length]) % prime * _powers.down[k][left] % prime
             edges = np.stack([front, back], axis=1).astype(">u4")
+            spans, bounds = _spans(points, sums, starts, sizes)
     found = []
     for i, n in enumerate(sizes.tolist()):
         own = edges[first[i] : first[i] + many[i]]
-        found.append(f"{n}.{int(totals[0][i]):08x}{int(totals[1][i]):08x}.{own[:, 0].tobytes().hex()}.{own[:, 1].tobytes().hex()}")
+        found.append(f"{n}.{int(totals[0][i]):08x}{int(totals[1][i]):08x}.{own[:, 0].tobytes().hex()}.{own[:, 1].tobytes().hex()}"
+                     f".{spans[bounds[2 * i] : bounds[2 * i + 1]].tobytes().hex()}.{spans[bounds[2 * i + 1] : bounds[2 * i + 2]].tobytes().hex()}")
+    return found
+
+
+def _spans(points: np.ndarray, sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, length) of the spans of each text, of its own class and of the next longer one; and where each begins."""
+    places, hashes = _anchors(points)
+    first, last = np.searchsorted(places, starts + HEX), np.searchsorted(places, starts + sizes)
+    begins, ends, bases, many = [], [], [], [0]
+    for a, b, start, n in zip(first.tolist(), last.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+        own = level(n)
+        for of in (own, own + 1):
+            # texts below half of the next class differ too much from those in it
+            if n < SPANNED or of > own and n < 1 << (FINE - 1):
+                many.append(0)
+                continue
+            cuts = _cuts(places[a:b] - start, hashes[a:b], n, of)
+            begins.append(cuts[:-1])
+            ends.append(cuts[1:])
+            bases.append(np.full(len(cuts) - 1, start))
+            many.append(len(cuts) - 1)
+    if not begins:
+        return np.zeros((0, 2), ">u4"), np.zeros(len(many), np.int64)
+    begin, end, base = np.concatenate(begins), np.concatenate(ends), np.concatenate(bases)
+    prime = np.uint64(PRIMES[0])
+    hashed = (sums[base + end] - sums[base + begin]) % prime * _powers.down[0][begin] % prime
+    return np.stack([hashed, (end - begin).astype(np.uint64)], axis=1).astype(">u4"), np.cumsum(many)
+
+
+def _listed(x: list[str], of: int) -> list[str]:
+    """The spans of class ``of`` of a fingerprint's parts; none where it has no such class."""
+    own = level(int(x[0]))
+    part = x[4] if of == own else x[5] if of == own + 1 else ""
+    return [part[i : i + 2 * HEX] for i in range(0, len(part), 2 * HEX)]
+
+
+def _covered(spans: list[str], n: int, head: int, tail: int, common: Counter) -> int:
+    """Characters of a text in common spans, in its first ``head`` or in its last ``tail`` characters."""
+    left, at, found = dict(common), 0, 0
+    for s in spans:
+        end = at + int(s[HEX:], 16)
+        if left.get(s, 0):
+            left[s] -= 1
+            found += end - at
+        else:
+            found += min(end - at, max(0, min(end, head) - at) + max(0, end - max(at, n - tail)))
+        at = end
     return found
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that the common prefix and suffix of two fingerprinted texts cover; 1 for equal texts."""
+    """Share of the longer text that the common prefix, the common suffix and the common spans of two fingerprinted texts cover; 1
+    for equal texts. Texts below SPANNED code points, and one of less than half the length of the other at a class
+    border, are compared by prefix and suffix alone."""
     x, y = a.split("."), b.split(".")
     if x[:2] == y[:2]:
         return 1.0
     n, m = int(x[0]), int(y[0])
     if not n or not m:
         return 0.0
-    lengths, common = grid(min(n, m)), 0
+    lengths, ends = grid(min(n, m)), []
     for part in (2, 3):
         low, high = 0, len(lengths)
         while low < high:
@@ -136,8 +225,14 @@ def likeness(a: str, b: str) -> float:
                 low = mid
             else:
                 high = mid - 1
-        common += int(lengths[low - 1]) if low else 0
-    return min(common, n, m) / max(n, m)
+        ends.append(int(lengths[low - 1]) if low else 0)
+    covered = min(sum(ends), n, m)
+    of = max(level(n), level(m))
+    own, others = _listed(x, of), _listed(y, of)
+    if not set(own).isdisjoint(others):
+        common = Counter(own) & Counter(others)
+        covered = min(_covered(own, n, *ends, common), _covered(others, m, *ends, common))
+    return covered / max(n, m)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:

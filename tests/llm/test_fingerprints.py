@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 
 from hypothesis import given, settings, strategies as st
 
@@ -32,6 +33,23 @@ def test_likeness_follows_common_ends(a, b):
     assert likeness(x, y) == (min(down(front) + down(back), len(a), len(b)) / max(len(a), len(b)) if steps else 0.0)
 
 
+def test_likeness_of_scattered_edits():
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(n))
+    for words, least in ((150, 0.6), (600, 0.85), (620, 0.85), (640, 0.85), (3000, 0.9), (20_000, 0.9)):
+        text = prose(words)
+        cut = len(text) // 10
+        edited = text[:cut] + "X" + text[cut + 1 : -cut] + " and more" + text[-cut:]  # an edit near each end
+        a, b, other = fingerprints([text, edited, prose(words)])
+        assert least < likeness(a, b) < 1 and likeness(a, b) == likeness(b, a) and likeness(a, other) < 0.05
+        assert fingerprints([edited])[0] == b and len(a) < 40_000
+    # a move keeps most spans, and so does a length just over the border of a class
+    text = prose(1200)[:4090]
+    a, b, c = fingerprints([text, text[2000:] + text[:2000], "Y" + text[:3000] + "123456789" + text[3000:] + "Z"])
+    assert likeness(a, b) > 0.85 and likeness(a, c) > 0.8
+    assert len(fingerprints(["word " * 30_000])[0]) < 40_000
+
+
 def brute(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     for k, (i, t) in enumerate(order):
