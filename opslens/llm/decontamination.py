@@ -24,8 +24,10 @@ WINDOW = 100
 STRIDE = 10
 #: Edits allowed for each character of a pattern.
 ERROR_RATE = 0.06
-#: Items with fewer letters and digits than this are no passages.
+#: Items with fewer letters and digits than this are found unedited only, and as whole words; with fewer than Q not at all.
 SHORTEST = 30
+#: Scripts that put no spaces between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Characters of a block of items, which every task holds, and of documents compared together.
 BLOCK = 4_000_000
 CHUNK = 150_000
@@ -104,7 +106,7 @@ class Patterns:
         for item, text in items:
             points, _ = normalized(text or "")
             n = len(points)
-            if n < SHORTEST:
+            if n < Q:
                 continue
             own = [0] if n <= WINDOW else sorted({*range(0, n - WINDOW + 1, STRIDE), n - WINDOW})
             ids += [item] * len(own)
@@ -113,7 +115,7 @@ class Patterns:
             letters.append(points)
             base += n
         starts, sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
-        budget = np.floor(sizes * ERROR_RATE).astype(np.int64)
+        budget = np.where(sizes < SHORTEST, 0, np.floor(sizes * ERROR_RATE)).astype(np.int64)
         grams = [_grams(x) for x in letters]
         bases = np.cumsum([0] + [len(x) for x in letters])[:-1]
         place = np.concatenate([at + np.arange(len(g)) for at, g in zip(bases, grams, strict=True)]) if letters else np.zeros(0, np.int64)
@@ -177,7 +179,8 @@ class Patterns:
         for step in (-1, 1):
             beside = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
             near += np.where(keys[beside] == keys + step, counts[beside], 0)
-        open_ = near[number] >= self.least.min()
+        fewest = np.minimum.reduceat(self.least, np.arange(0, len(self.least), RUN))
+        open_ = near[number] >= np.minimum(fewest, np.append(fewest[1:], fewest[-1]))[run]
         place, inside, low, high = place[open_], inside[open_], low[open_], high[open_]
         many = high - low
         ends = np.cumsum(many)
@@ -250,6 +253,13 @@ def align(patterns: list[np.ndarray], texts: list[np.ndarray], lows: list[int],
     return found
 
 
+def _whole_words(points: np.ndarray, places: np.ndarray, a: int, b: int) -> bool:
+    """Whether a part of a text begins and ends where words do, or in a script that does not show it."""
+    unspaced = lambda c: any(x <= c <= y for x, y in UNSPACED)
+    return ((a == 0 or places[a - 1] < places[a] - 1 or unspaced(points[a]))
+            and (b == len(places) or places[b] > places[b - 1] + 1 or unspaced(points[b - 1])))
+
+
 def find(texts: list[str], patterns: Patterns) -> list[list[dict]]:
     """For each text, the items found in it: item_id, start and end (code points), fewest edits and patterns found."""
     found: list[dict] = [{} for _ in texts]
@@ -270,9 +280,11 @@ def find(texts: list[str], patterns: Patterns) -> list[list[dict]]:
 
     def verify() -> None:
         aligned = align([patterns.code(x[1]) for x in waiting], [x[3] for x in waiting], [x[2] for x in waiting], width)
-        for (d, p, _, _, places), (edits, a, b) in zip(waiting, aligned.tolist(), strict=True):
+        for (d, p, _, points, places), (edits, a, b) in zip(waiting, aligned.tolist(), strict=True):
             if edits > patterns.budget[p] or b <= a:
                 continue
+            if patterns.sizes[p] < SHORTEST and not _whole_words(points, places, a, b):
+                continue
             first, last, item = int(places[a]), int(places[b - 1]) + 1, int(patterns.items[p])
             seen = found[d].setdefault(item, {"item_id": item, "start": first, "end": last, "edits": edits, "patterns": set()})
             seen |= {"start": min(seen["start"], first), "end": max(seen["end"], last), "edits": min(seen["edits"], edits)}
@@ -317,7 +329,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     points of the text (from the first to the last pattern found), the fewest edits of a pattern, and how many
     patterns were found.
 
-    Null and empty texts match nothing, nor do items with fewer than SHORTEST letters and digits. Items without an id are
+    Null and empty texts match nothing, nor do items with fewer than Q letters and digits (see ``not_searched``); those with fewer
+    than SHORTEST match unedited, as whole words. Items without an id are
     reported as -1; repeated items count once for each id. Documents of equal text get equal matches. An input column
     named matches gives way. Without items every array is empty.
     """
@@ -336,6 +349,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def not_searched(benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row (item_id, n_letters) for each benchmark item that is too short to be searched for."""
+    @pandas_udf("long")
+    def letters(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(normalized(t or "")[0]) for t in texts], dtype="int64")
+
+    counted = benchmark.select(F.col(item_id).cast("long").alias("item_id"), letters(F.col(item_text).cast("string")).alias("n_letters"))
+    return counted.where(F.col("n_letters") < Q)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in whose text no item was found, with their own columns."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")

@@ -72,6 +72,20 @@ def test_parts_from_the_middle_at_every_offset():
     assert not any(d.find([around[0] + part(a, 60) + around[1] for a in range(0, 300, 7)], held))
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    rng = random.Random(9)
+    items = [(1, "Who wrote Faust?"), (2, "\u4eca\u5929\u7684\u5929\u6c14\u600e\u4e48\u6837\u554a\u4f60"), (3, "two by two"), (4, prose(rng, 40)), (5, "abcdefghi")]
+    held = d.Patterns.of(items)
+    texts = ["Quiz: who  wrote faust", "whowrote Faust, again", "xwho wrote faust", "who wrote fausts", "who wrote faxst", "x" + items[1][1] + "x",
+             items[3][1] + " who wrote Faust", "abcdefghi", prose(rng, 300)]
+    assert [[m["item_id"] for m in found] for found in d.find(texts, held)] == [[1], [1], [], [], [], [2], [1, 4], [], []]
+    many = [(k, f"item {k} {k * k} and {k + 7}") for k in range(300)]
+    found = d.find([t for _, t in many], d.Patterns.of([*many, *items]))
+    assert all(k in [m["item_id"] for m in own] for k, own in enumerate(found))
+    bench = spark.createDataFrame([*items, (6, None)], "item_id long, text string")
+    assert sorted(map(tuple, d.not_searched(bench).collect())) == [(3, 8), (5, 9), (6, 0)]
+
+
 def test_frames(spark, odd, nothing, monkeypatch):
     rng = random.Random(5)
     items = [(k, prose(rng, 25)) for k in range(6)]
