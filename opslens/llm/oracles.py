@@ -74,6 +74,38 @@ select conv_id, count(*) as n_turns,
 from escaped group by conv_id
 """
 
+WARC = r"""
+with sized as (
+  select page_id, coalesce(html, '') as body, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages)
+select page_id, payload_bytes::bigint as payload_bytes,
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([32768, 1024, 32, 1], lambda p:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::bigint, 5))::bigint // p) % 32 + 1)::bigint, 1)), '')), '')
+         as payload_digest,
+       case when page_id = max(page_id) over same then 'response' else 'revisit' end as record_type,
+       case when page_id <> max(page_id) over same then max(page_id) over same end as refers_to
+from sized window same as (partition by body)
+"""
+
+
+def clusters_sql(k: int = 8, dim: int = 64, rounds: int = 10, scale: int = 1024, prefix: str = "3:") -> str:
+    """All rounds one after the other, by distances to every centroid."""
+    near = """(select vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, c := c)) as b
+               from kept, c{r} group by vec_id, v)"""
+    steps = [f"""kept as (
+      select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+      where len(embedding) = {dim} and len(list_filter(embedding, lambda x: isfinite(x::double))) = {dim}),
+    c0 as (select (row_number() over (order by sha256('{prefix}' || vec_id)) - 1)::int as c, v as cv from kept
+           order by sha256('{prefix}' || vec_id) limit {k})"""]
+    for r in range(rounds):
+        steps.append(f"""a{r} as materialized {near.format(r=r)},
+    m{r} as (select c, list(floor(s / n)::bigint order by i) as cv from (
+        select b.c as c, i, sum(v[i])::double as s, count(*) as n from a{r}, range(1, {dim + 1}) t(i) group by all) group by c),
+    c{r + 1} as materialized (select c, coalesce(m{r}.cv, c{r}.cv) as cv from c{r} left join m{r} using (c))""")
+    return f"""with {", ".join(steps)}, last as {near.format(r=rounds)}
+    select vec_id, b.c as cluster, b.d as distance, (sum(b.d) over (partition by b.c))::bigint as cluster_inertia,
+           (sum(b.d) over ())::bigint as inertia, sha256(array_to_string(cv, ',')) as centroid_sha256
+    from last join c{rounds} on b.c = c{rounds}.c"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the query's name."""
@@ -81,4 +113,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_mix_sources": MIX.format(columns="doc_id, size, source_size, target, copies * size as taken, copies"),
         "op7_shards": SHARDS,
         "op9_chat": CHAT,
+        "op11_warc": WARC,
+        "op13_centroid_clusters": clusters_sql(),
     }

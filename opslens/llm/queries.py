@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, decontamination, edit_counts, fingerprints, jaccard_join, main_text, mixing, sharding, token_files, toxicity
+from opslens.llm import (
+    bisectors, chat, decontamination, edit_counts, fingerprints, jaccard_join, main_text, mixing, periodic_runs, sharding, token_files,
+    toxicity, warc)
 from opslens.llm.staging import shared_folder, staged, table
 
 
@@ -103,7 +105,27 @@ def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), vocabulary())
 
 
-QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op4_toxicity, op5_mix_sources, op6_fingerprints, op7_shards, op8_near_copies, op9_chat, op10_edited_counts)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as read back from the archives written for them: first one gzip stream an archive, then a member a record."""
+    streams, members = shared_folder(spark, "warc-streams"), shared_folder(spark, "warc-members")
+    warc.write_streams(table(spark, sf_dir, "pages"), streams)
+    warc.normalised(spark, streams, members)
+    return warc.pages_of(spark, members).drop("url")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, of which one in ten has runs planted."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.with_runs(docs, periodic_runs.planted(F.col("doc_id"), F.col("text")), ["doc_id"]))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of each vector."""
+    return bisectors.clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_main_text, op2_benchmark_passages, op3_token_files, op4_toxicity, op5_mix_sources, op6_fingerprints, op7_shards, op8_near_copies, op9_chat, op10_edited_counts,
+           op11_warc, op12_periodic_runs, op13_centroid_clusters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
