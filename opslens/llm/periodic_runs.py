@@ -24,6 +24,8 @@ from opslens.llm.staging import packed, unpacked
 LEAST, TIMES = 24, 3
 #: Below this lag a k-gram of the first class fixes its run's period by itself.
 SHORT = LEAST // TIMES
+#: Rows handed back at once, so that a task holds few collapsed texts.
+PORTION = 500
 
 RUN = "struct<start: long, length: long, period: long>"
 
@@ -168,7 +170,7 @@ def with_runs(docs: DataFrame, text: Column | None = None, keep: Sequence[str] |
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
         fields = lambda r: dict(zip(("start", "length", "period"), r)) if r else None
-        for batch in batches:
+        for batch in (b.slice(at, PORTION) for b in batches for at in range(0, b.num_rows, PORTION)):
             runs, best, kept = [], [], []
             for value in batch.column("search"):
                 words = words_of(value.as_py())
