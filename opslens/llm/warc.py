@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opslens.llm.staging import staged
+
 #: An archive is closed when its records reach this many bytes before compression.
 ARCHIVE_BYTES = 12 << 20
 #: Records of a common payload are dealt over so many keys.
@@ -145,7 +147,7 @@ def with_references(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("key"),
                        F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     common = own.groupBy("key").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = common.select("key", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = staged(common.drop("n"), "warc-common").select("key", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return own.join(dealt, ["key", "salt"], "left").select(
         "page_id", "url", "payload", F.when(~F.col("newest").eqNullSafe(F.col("page_id")), F.col("newest")).alias("refers_to"))
 
