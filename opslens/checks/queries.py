@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.checks.fixture import PEOPLE, SAFE_COLUMNS, STRICT_COLUMNS, ops
-from opslens.functions.coerce import is_blank, is_delayed, is_truthy, to_number, to_ts
+from opslens.functions.coerce import is_blank, is_delayed, is_truthy, to_number
+from opslens.functions.dates import elect_dates, to_ts
 from opslens.functions.numbers import rounded
 from opslens.operators import dashboard, kpis as k, privacy, quality, report, star, text_scan
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
@@ -139,7 +140,33 @@ def _date_coercion(spark, sf_dir):
         written = F.when(F.col("o_orderkey") % 13 == i, F.date_format("d", layout)).otherwise(written)
     return dates.select("o_orderkey", written.alias("raw")).select(
         "o_orderkey", to_ts(F.col("raw")).cast("date").alias("parsed"),
-        to_ts(F.col("raw"), single_format="M/d/yyyy").cast("date").alias("parsed_strict"))
+        to_ts(F.col("raw"), reading="M/d/yyyy").cast("date").alias("parsed_strict"))
+
+
+def _day_first(spark, sf_dir):
+    """Order dates as a European and as an American file would write them, some with a clock time, some unreadable."""
+    dates = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
+    written = lambda layout: F.when(F.col("o_orderkey") % 19 == 0, "unknown").otherwise(F.date_format("d", layout))
+    return dates.select("o_orderkey", written("d/M/yyyy").alias("slashes"), written("dd.MM.yyyy HH:mm").alias("dots"),
+                        written("M/d/yyyy").alias("american"), F.when(F.col("o_orderkey") % 2 == 0, written("d.M.yy")).otherwise(
+                            written("d MMM yyyy")).alias("mixed"))
+
+
+DATE_COLUMNS = ("slashes", "dots", "american", "mixed")
+
+
+def _date_coercion_day_first(spark, sf_dir):
+    """The same dates read back from each of these columns."""
+    table = _day_first(spark, sf_dir)
+    dates = elect_dates(table, DATE_COLUMNS)
+    return table.select("o_orderkey", *[to_ts(F.col(c), reading=dates[c]).cast("date").alias(c) for c in DATE_COLUMNS])
+
+
+def _date_readings(spark, sf_dir):
+    """What the election finds for each of these columns."""
+    found = elect_dates(_day_first(spark, sf_dir), DATE_COLUMNS)
+    return spark.createDataFrame([(c, r.layout, r.day_first, r.plain) for c, r in found.items()],
+                                 "column_name string, layout string, day_first boolean, plain boolean")
 
 
 def _blank_and_flag(spark, sf_dir):
@@ -457,6 +484,8 @@ def queries() -> dict[str, Query]:
         "csv_roundtrip": _csv_roundtrip,
         "numeric_coercion": _numeric_coercion,
         "date_coercion": _date_coercion,
+        "date_coercion_day_first": _date_coercion_day_first,
+        "date_readings": _date_readings,
         "blank_and_flag": _blank_and_flag,
         "risk_flags": _risk_flags,
         "recommended_actions": _recommended_actions,

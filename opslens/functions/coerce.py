@@ -1,4 +1,4 @@
-"""Expressions that read dirty values: numbers, dates, flags, blanks.
+"""Expressions that read dirty values: numbers, flags, blanks.
 
 Nothing here raises on bad input; what cannot be read becomes NULL.
 """
@@ -16,26 +16,6 @@ TRUTHY = ("1", "true", "yes", "y")
 # Words that mark a fulfilment status as delayed.
 DELAY_WORDS = ("delay", "late", "exception")
 
-# Readable date layouts by name, and the shape a text in that layout has. Month comes before day.
-_CLOCK = r"([ T]\s*\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(\s*[AaPp][Mm])?)?"
-_MONTH = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|"
-          r"Nov(?:ember)?|Dec(?:ember)?)")
-_WEEKDAY = r"(?i)^(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?,?\s+"
-DATE_SHAPES: dict[str, str] = {
-    "iso": r"^\d{4}-",
-    "yyyy/M/d": rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_CLOCK}$",
-    "yyyy.M.d": rf"^\d{{4}}\.\d{{1,2}}\.\d{{1,2}}{_CLOCK}$",
-    "M/d/yyyy": rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}$",
-    "M/d/yy": rf"^\d{{1,2}}/\d{{1,2}}/\d{{2}}{_CLOCK}$",
-    "M-d-yyyy": rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}{_CLOCK}$",
-    "yyyyMMdd": r"^\d{8}$",
-    "MMM d, yyyy": rf"(?i)^{_MONTH}\.? \d{{1,2}},? \d{{4}}{_CLOCK}$",
-    "d MMM yyyy": rf"(?i)^\d{{1,2}} {_MONTH} \d{{4}}{_CLOCK}$",
-    "d-MMM-yyyy": rf"(?i)^\d{{1,2}}-{_MONTH}-\d{{4}}{_CLOCK}$",
-    "d-MMM-yy": rf"(?i)^\d{{1,2}}-{_MONTH}-\d{{2}}{_CLOCK}$",
-}
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-
 
 def is_number_text(c: Column) -> Column:
     """True where a text reads as a number."""
@@ -53,54 +33,6 @@ def to_number(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     return F.lit(None).cast("double")
 
 
-def _clock_at_end(text: Column) -> tuple[Column, Column]:
-    """A text without the clock time at its end, and that time on a 24-hour clock with a blank in front (empty if there is
-    none)."""
-    shape = r"[ T]\s*(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?:\s*([AaPp])[Mm])?$"
-    part = lambda k: F.regexp_extract(text, shape, k)
-    hour, half = part(1).try_cast("int"), F.lower(part(3))
-    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-    clock = F.when(part(2) == "", "").otherwise(F.concat(F.lit(" "), hour.cast("string"), part(2)))
-    return F.regexp_replace(text, shape, ""), clock
-
-
-def _year_month_day(date: Column) -> Column:
-    """A date in any layout as year-month-day.
-
-    Each layout is rewritten by one replacement. They are nested, so ``date`` stands in the plan once however many layouts
-    there are. Two-digit years up to 68 are of this century.
-    """
-    for shape, to in (
-            (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})$", "$1-$2-$3"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-            (rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})$", "$3-$1-$2"), (rf"(?i)^(\d{{1,2}})([ -]){_MONTH}\2(\d{{2,4}})$", "$4-$3-$1"),
-            (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{2}|\d{4})$", "$4-$1-$3"),
-            (r"^([0-5]\d|6[0-8])(-.*)$", "20$1$2"), (r"^(\d{2})(-.*)$", "19$1$2")):
-        date = F.regexp_replace(date, shape, to)
-    named = F.split(date, "-")
-    month = F.lower(F.substring(F.get(named, F.lit(1)), 1, 3))
-    number = (F.position(month, F.lit(_MONTHS)) + 2) / 3
-    written = F.concat(named[0], F.lit("-"), number.cast("int").cast("string"), F.lit("-"), named[2])
-    return F.when(date.rlike(r"^\d{4}-[A-Za-z]+-\d{1,2}$"), written).otherwise(date)
-
-
-def to_ts(c: Column, dtype: T.DataType = T.StringType(), single_format: str | None = None) -> Column:
-    """Read a column as TIMESTAMP; what no layout fits becomes NULL.
-
-    ``single_format`` names the one layout to accept, as when a file's first value decides it.
-    """
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return c.cast("timestamp")
-    if isinstance(dtype, (T.IntegralType, T.StringType)):
-        text = F.trim(c.cast("string"))
-        date, clock = _clock_at_end(F.regexp_replace(text, _WEEKDAY, ""))
-        day = _year_month_day(date)
-        # The cast alone would read "10:00" as today; what starts with a year may carry an offset.
-        whole = F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(day, clock)).when(text.rlike(r"^\d{4}-"), text)
-        read = whole.try_cast("timestamp")
-        return F.when(text.rlike(DATE_SHAPES[single_format]), read) if single_format else read
-    return F.lit(None).cast("timestamp")
-
-
 def is_truthy(c: Column) -> Column:
     """True for the accepted flag spellings; missing is false."""
     return F.coalesce(F.lower(c.cast("string")).isin(*TRUTHY), F.lit(False))

@@ -26,6 +26,11 @@ CONCEPT_CANDIDATES: dict[str, tuple[str, ...]] = {
 ConceptMap = Mapping[str, str | None]
 
 
+def date_columns(columns: Sequence[str]) -> list[str]:
+    """Columns whose header announces a date."""
+    return [c for c in columns if any(part in normalize_header(c) for part in CONCEPT_CANDIDATES["date"])]
+
+
 def normalize_header(name: str) -> str:
     return str(name).strip().lower().replace(" ", "_")
 

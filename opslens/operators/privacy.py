@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from opslens.functions.coerce import is_number_text, plain_text
+from opslens.functions.dates import DateReading, layout_facts, readings
+from opslens.operators.columns import date_columns
 
 BASELINE = "PII Baseline"
 HIPAA = "HIPAA-aware"
@@ -268,6 +270,14 @@ def find_sensitive(df: DataFrame, standard: str = BASELINE, mode: str = "full",
     ``all_reasons=False`` skips value tests for columns whose header already decides. Columns in
     ``skip`` are left alone.
     """
+    return scan_columns(df, standard, mode, order_by, sample_size, skip, all_reasons, with_dates=False)[0]
+
+
+def scan_columns(df: DataFrame, standard: str = BASELINE, mode: str = "full", order_by: Sequence[str] | None = None,
+                 sample_size: int = 50, skip: Sequence[str] = (),
+                 all_reasons: bool = True, with_dates: bool = True) -> tuple[dict[str, list[str]], dict[str, DateReading]]:
+    """What ``find_sensitive`` finds, and in the same pass how each date column is read (see ``elect_dates``;
+    none if ``with_dates`` is off)."""
     if mode not in ("full", "sample"):
         raise ValueError(f"unknown scan mode {mode!r}")
     if mode == "sample" and not order_by:
@@ -276,12 +286,14 @@ def find_sensitive(df: DataFrame, standard: str = BASELINE, mode: str = "full",
     by_header = header_reasons(columns, standard)
     tested = columns if all_reasons else [c for c in columns if c not in by_header]
     tests = _rule_tests(df, tested) if mode == "full" else {}
-    facts = _one_pass(df, {**tests, **_identifier_facts(df, tested)})
+    laid_out, layouts = layout_facts(df, date_columns(df.columns) if with_dates else ())
+    facts = _one_pass(laid_out, {**tests, **_identifier_facts(df, tested), **layouts})
     if mode == "full":
         hits = {pair for pair in tests if facts[pair]}
     else:
         hits = _sample_hits(df, tested, order_by, sample_size) if tested else set()
-    return combine(columns, by_header, hits, identifier_columns(df, tested, facts))
+    found = combine(columns, by_header, hits, identifier_columns(df, tested, facts))
+    return found, readings({name: facts[name] for name in layouts})
 
 
 def scan(df: DataFrame, standard: str = BASELINE, **options) -> DataFrame:

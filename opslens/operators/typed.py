@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslens.functions.coerce import is_delayed, is_truthy, to_number, to_ts
+from opslens.functions.coerce import is_delayed, is_truthy, to_number
+from opslens.functions.dates import DateReading, to_ts
 from opslens.operators.columns import ConceptMap
 
 # Names of the typed columns. No normal header holds a space, so these cannot meet a source column.
@@ -46,11 +47,11 @@ def key_columns(df: DataFrame, concepts: ConceptMap) -> list[Column]:
     return [F.col(f"`{found[c]}`").alias(name) for c, name in _KEYS.items() if found.get(c)]
 
 
-def read_columns(df: DataFrame, concepts: ConceptMap, single_format: str | None = None) -> dict[str, Column]:
-    """The mapped columns whose text has to be read: name -> expression."""
+def read_columns(df: DataFrame, concepts: ConceptMap, dates: Mapping[str, DateReading] | None = None) -> dict[str, Column]:
+    """The mapped columns whose text has to be read: name -> expression. ``dates`` tells how a date column is read."""
     found = _mapped(df, concepts)
     readers = {
-        TS: ("date", lambda c, t: to_ts(c, t, single_format=single_format)),
+        TS: ("date", lambda c, t: to_ts(c, t, (dates or {}).get(found["date"]))),
         UNITS: ("units", to_number),
         REVENUE: ("revenue", to_number),
         INVENTORY: ("inventory", to_number),
@@ -64,8 +65,9 @@ def read_columns(df: DataFrame, concepts: ConceptMap, single_format: str | None
     }
 
 
-def typed(df: DataFrame, concepts: ConceptMap, by: Sequence[str] = (), single_format: str | None = None) -> Operations:
-    """Project ``df`` to the group keys and the typed columns of the mapped concepts."""
+def typed(df: DataFrame, concepts: ConceptMap, by: Sequence[str] = (),
+          dates: Mapping[str, DateReading] | None = None) -> Operations:
+    """Project ``df`` to the group keys and the typed columns of the mapped concepts; ``dates`` as ``elect_dates`` finds it."""
     rows = df.select(*[F.col(f"`{b}`") for b in by], *key_columns(df, concepts),
-                     *read_columns(df, concepts, single_format).values())
+                     *read_columns(df, concepts, dates).values())
     return Operations(rows, _mapped(df, concepts), tuple(by))

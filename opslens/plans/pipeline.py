@@ -9,9 +9,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from opslens.functions.dates import DateReading
 from opslens.operators import dashboard, kpis as k, quality, report, star
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
-from opslens.operators.privacy import BASELINE, find_sensitive, findings_table
+from opslens.operators.privacy import BASELINE, findings_table, scan_columns
 from opslens.operators.typed import Operations, key_columns, read_columns
 from opslens.plans import run_log
 from opslens.sources.runs import current_run, new_run, publish_run, remove, run_folder
@@ -84,19 +85,21 @@ class SafeModel:
     findings: dict[str, list[str]]
     columns: list[str]
     concepts: dict[str, str | None]
+    dates: dict[str, DateReading]
 
     def rows(self, table: DataFrame, *more: str) -> DataFrame:
         """The safe columns, the typed readings of them, and ``more`` columns as they are."""
         safe = table.select(*[F.col(f"`{c}`") for c in (*self.columns, *more)])
-        return safe.select("*", *read_columns(safe, self.concepts).values())
+        return safe.select("*", *read_columns(safe, self.concepts, self.dates).values())
 
 
-def safe_model(job: ReportingJob, columns: Sequence[str], findings: dict[str, list[str]]) -> SafeModel:
+def safe_model(job: ReportingJob, columns: Sequence[str], findings: dict[str, list[str]],
+               dates: dict[str, DateReading]) -> SafeModel:
     exposed = [b for b in job.by if b in findings]
     if exposed:
         raise ValueError(f"group keys {exposed} hold sensitive data under {job.privacy_standard}")
     safe = [c for c in columns if c not in findings]
-    return SafeModel(findings, safe, infer_columns([c for c in safe if c not in job.by]))
+    return SafeModel(findings, safe, infer_columns([c for c in safe if c not in job.by]), dates)
 
 
 def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: DataFrame, run: str) -> str:
@@ -112,7 +115,7 @@ def publish(spark: SparkSession, job: ReportingJob, model: SafeModel, staged: Da
     tables = {
         "sensitive_columns": findings_table(spark, model.findings).toDF("column", "why_flagged"),
         "concepts": concept_table(spark, concepts).toDF("concept", "column"),
-        **star.star_schema(staged.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*by, *model.columns))]), concepts, by),
+        **star.star_schema(staged.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*by, *model.columns))]), concepts, by, model.dates),
         "summary_cards": dashboard.summary_cards(pack, len(model.findings), len(model.columns), by),
         "kpi_cards": dashboard.kpi_cards(pack, by),
     }
@@ -161,7 +164,7 @@ def run_pipeline(spark: SparkSession, job: ReportingJob) -> Row:
             raw = job.source if isinstance(job.source, DataFrame) else read_table(
                 spark, job.source, job.source_type, **job.source_options)
             table = normalize_columns(raw)
-            model = safe_model(job, table.columns, find_sensitive(table, job.privacy_standard, **job.scan))
+            model = safe_model(job, table.columns, *scan_columns(table, job.privacy_standard, **job.scan))
             # The source is parsed once more, here; everything after reads these columns from Parquet.
             staged = saved(model.rows(table), f"{run_folder(job.destination, run)}/safe_operations")
             return publish(spark, job, model, staged, run)

@@ -9,7 +9,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from opslens.functions.coerce import double_text, is_blank, is_delayed, is_truthy, label, to_number, to_ts
+from opslens.functions.coerce import double_text, is_blank, is_delayed, is_truthy, label, to_number
+from opslens.functions.dates import DateReading, elect_dates, to_ts
 from opslens.functions.numbers import fixed, money_sum, money_text, percent_text, rounded
 from opslens.functions.quantile import exact_quantile
 
@@ -54,7 +55,7 @@ def test_dates(spark):
 
 def test_dates_in_one_layout(spark):
     df = column(spark, ["2026-01-05", "01/06/2026"])
-    assert results(df, to_ts(F.col("x"), single_format="iso").cast("string")) == ["2026-01-05 00:00:00", None]
+    assert results(df, to_ts(F.col("x"), reading="iso").cast("string")) == ["2026-01-05 00:00:00", None]
 
 
 def test_dates_from_whole_numbers(spark):
@@ -153,7 +154,36 @@ def test_quantile_per_group_beyond_the_sketch(spark):
     ("2026/01/05T10:00:00", "2026-01-05 10:00:00"), ("1/5/2026 10:00:00.250", "2026-01-05 10:00:00.250000"),
     ("12/31/2025 12:05 am", "2025-12-31 00:05:00"), ("12/31/2025 12:05 pm", "2025-12-31 12:05:00"), ("2026-01-05T10:00:00Z", "2026-01-05 10:00:00"),
     ("2026-01-05 10:00:00+02:00", "2026-01-05 08:00:00"), ("20260105", "2026-01-05 00:00:00"), ("Sept 9, 2025", "2025-09-09 00:00:00"),
+    ("Jan 2026", "2026-01-01 00:00:00"), ("May 5th, 2026", "2026-05-05 00:00:00"), ("Jan-05-2026", "2026-01-05 00:00:00"),
+    ("Mon Jan 5 10:00:00 2026", "2026-01-05 10:00:00"), ("2026-01-05 10:00 UTC", "2026-01-05 10:00:00"), ("2nd March 2026", "2026-03-02 00:00:00"),
+    ("1/5/2026 10:00 +0200", "2026-01-05 08:00:00"), ("2026-01-05T10:00:00.5+02:00", "2026-01-05 08:00:00.500000"), ("\u0001|||", None), ("1/5-2026", None),
     ("10:00", None), ("13/45/2026", None), ("Janx 5 2026", None), ("1/5/2026 13:00 PM", None), ("", None), ("5", None), ("2026", None)])
 def test_date_layouts(spark, text, expected):
     found = spark.createDataFrame([(text,)], "t string").select(to_ts(F.col("t"))).first()[0]
     assert (str(found) if found else None) == expected
+
+
+def test_elected_readings(spark):
+    columns = {
+        "eu": ["13/01/2026", "05/01/2026", "x", None], "us": ["01/13/2026", "05/01/2026", "1/2/2026", ""], "dots": ["5.1.2026 10:00", "31.1.2026 11:00", None, None],
+        "unclear": ["1/2/2026", "3/4/2026", None, None], "iso": ["2026-01-05", "2026-12-31", None, "?"], "clocks": ["2026-01-05T10:00:00Z", "2026-01-05", None, None],
+        "both": ["13/01/2026", "14/01/2026", "1/15/2026", "2/1/2026"], "short": ["13/01/26", "1/2/26", None, None], "none": ["x", "", None, None]}
+    df = spark.createDataFrame(list(zip(range(4), *columns.values())), ", ".join(["i int", *(f"{c} string" for c in columns)]))
+    found = elect_dates(df, list(columns))
+    assert found == {
+        "eu": DateReading("d/M/yyyy", True, True), "us": DateReading("M/d/yyyy", False, True), "dots": DateReading("d.M.yyyy", True, False),
+        "unclear": DateReading("M/d/yyyy", False, True), "iso": DateReading("yyyy-M-d", False, True), "clocks": DateReading("yyyy-M-d", False, False),
+        "both": DateReading("d/M/yyyy", True, True), "short": DateReading("d/M/yy", True, False), "none": DateReading(None, False, False)}
+    read = lambda c: results(df, to_ts(F.col(c), reading=found[c]).cast("string"))
+    assert read("eu") == ["2026-01-13 00:00:00", "2026-01-05 00:00:00", None, None]
+    assert read("us") == ["2026-01-13 00:00:00", "2026-05-01 00:00:00", "2026-01-02 00:00:00", None]
+    assert read("dots") == ["2026-01-05 10:00:00", "2026-01-31 11:00:00", None, None]
+    assert read("clocks") == ["2026-01-05 10:00:00", "2026-01-05 00:00:00", None, None]
+    assert read("both") == ["2026-01-13 00:00:00", "2026-01-14 00:00:00", None, "2026-01-02 00:00:00"]
+    assert read("short") == ["2026-01-13 00:00:00", "2026-02-01 00:00:00", None, None]
+    assert elect_dates(df.select(F.lit(1).alias("n")), ["n"]) == {}
+
+
+def test_a_reader_holds_its_pattern_once(spark):
+    plan = column(spark, ["1/5/2026"]).select(to_ts(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
