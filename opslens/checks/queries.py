@@ -13,13 +13,13 @@ from opslens.checks.fixture import PEOPLE, SAFE_COLUMNS, STRICT_COLUMNS, ops
 from opslens.functions.coerce import is_blank, is_delayed, is_truthy, to_number
 from opslens.functions.dates import elect_dates, to_ts
 from opslens.functions.numbers import rounded
-from opslens.operators import dashboard, kpis as k, privacy, quality, report, star, text_scan
+from opslens.operators import dashboard, kpis as k, partials, privacy, quality, report, star, text_scan
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
 from opslens.plans.pipeline import ReportingJob, run_pipeline
 from opslens.sources.runs import RUNS, listed, run_folder
-from opslens.sources.staging import shared_folder
+from opslens.sources.staging import saved, shared_folder
 from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
 
@@ -43,9 +43,9 @@ def _operations(spark, sf_dir, *needed: str, columns: Sequence[str] = SAFE_COLUM
 
 
 def _staged(spark, sf_dir, by: Sequence[str] = ()) -> Operations:
-    """The same, kept by Spark while a query reads it many times; nothing is left on disk behind it."""
+    """The same, summed in one pass by every key that metrics use; order ids are counted from the source when asked for."""
     found = _operations(spark, sf_dir, by=by)
-    return replace(found, rows=found.rows.persist())
+    return partials.with_sums(found, saved(partials.partials(found), _folder(spark, "sums")))
 
 
 def _kpi_columns(needed: str, *columns: str) -> Query:

@@ -40,11 +40,21 @@ def money_sum(x: Column) -> Column:
     Amounts are added as decimals with 14 places; what lies beyond them is rounded. A finite amount of 10^22 or more is an
     error. Infinite amounts make an infinite sum. NULL amounts count as nothing, a group without amounts sums to 0.
     """
+    amount, endless = money_parts(x)
+    return money_total(F.sum(amount), F.sum(endless))
+
+
+def money_parts(x: Column) -> tuple[Column, Column]:
+    """The two parts of an amount that can be summed exactly: the finite one as a decimal, an infinite one as it is."""
     size = F.abs(x)
     amount = (F.when(size < _LARGEST, x.try_cast(f"decimal(38,{_PLACES})"))
               .when(size < float("inf"), F.raise_error(F.concat(F.lit("amount out of range: "), x.cast("string"))).cast(f"decimal(38,{_PLACES})")))
-    endless = F.sum(F.when(size == float("inf"), x))
-    return F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)) + F.coalesce(endless, F.lit(0.0))
+    return amount, F.when(size == float("inf"), x)
+
+
+def money_total(amounts: Column, endless: Column) -> Column:
+    """The amount that sums of both parts make."""
+    return F.coalesce(amounts.cast("double"), F.lit(0.0)) + F.coalesce(endless, F.lit(0.0))
 
 
 def money_text(x: Column) -> Column:

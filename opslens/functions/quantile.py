@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ACCURACY = 10_000
 _SALTS = 32
-_SLICES = 4096
+_DIGIT = 16
 
 
 def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], *spread_on: str) -> DataFrame:
@@ -33,63 +32,60 @@ def attach(df: DataFrame, lookup: DataFrame, by: Sequence[str], *spread_on: str)
     return left.join(right, on).drop("__salt", "__slot", *keys)
 
 
-def _joined(df: DataFrame, facts: DataFrame, by: Sequence[str], spread_on: str) -> DataFrame:
-    """``df`` with the group's row of ``facts`` as the struct ``__f``."""
-    packed = facts.select(*by, F.struct(*[c for c in facts.columns if c not in by]).alias("__f"))
-    return attach(df, packed, by, spread_on)
+def order_key(x: Column) -> Column:
+    """A DOUBLE as a whole number of 64 bits that keeps its order; different values have different numbers.
+
+    The exponent stands in the upper bits and the rest of the value below it; negative values have the negative number.
+    """
+    size = F.abs(x)
+    tiny, places = F.lit(2.0 ** -1022), float(1 << 52)
+    guess = F.greatest(F.least(F.floor(F.log2(size)).cast("int"), F.lit(1023)), F.lit(-1022))
+    # The logarithm is rounded, so next to a power of two it may be one off.
+    exponent = guess + F.when(size < F.pow(F.lit(2.0), guess), -1).when(size / F.pow(F.lit(2.0), guess) >= 2, 1).otherwise(0)
+    part = size / F.pow(F.lit(2.0), exponent) - 1
+    number = F.shiftleft((exponent + 1023).cast("bigint"), 52) + (part * places).cast("bigint")
+    number = (F.when(size < tiny, (size / tiny * places).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52))
+              .otherwise(number))
+    return F.when(x < 0, -number).otherwise(number)
 
 
-def exact_quantile(counts: DataFrame, rows: DataFrame, value: str, p: float, by: Sequence[str] = (),
-                   alias: str = "quantile") -> DataFrame:
+def exact_quantile(counts: DataFrame, value: str, p: float, by: Sequence[str] = (), alias: str = "quantile") -> DataFrame:
     """Linearly interpolated quantile of ``value``, one row per group.
 
-    ``counts`` holds (by..., value, n), ``rows`` the values themselves. Values are cut into three zones by a sketch's bracket
-    around the wanted rank. The zones are counted exactly, so the rank's zone is known whatever the sketch is worth. That
-    zone is cut into equal slices, which are counted as well, and only the slice that holds the rank is put in order.
-    The value behind the rank is the smallest one above.
+    ``counts`` holds (by..., value, n). The value is found digit by digit: values become ordered whole numbers, and each of
+    four passes counts the next 16 bits of those that share the digits found so far, takes the digit that holds the rank,
+    and notes the smallest value behind it. So a pass puts 65,536 counts of a group in order at most, whatever the values,
+    and all passes read the same counts.
     """
     if not by:
-        whole = lambda df: df.withColumn("__all", F.lit(0))
-        return exact_quantile(whole(counts), whole(rows), value, p, ("__all",), alias).drop("__all")
-    v, f = F.col(value), F.col("__f")
-    margin = 2 / _ACCURACY
-    ends = F.percentile_approx(
-        value, F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))), F.lit(_ACCURACY))
-    known = counts.where(v.isNotNull())
-    bracket = rows.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("size"), ends.alias("ends"), F.min(value).alias("least"), F.max(value).alias("most"))
-    bracket = bracket.withColumns({
-        "lo": F.col("ends")[0], "hi": F.col("ends")[1], "rank": (F.col("size") - 1) * F.lit(p), "at": F.floor((F.col("size") - 1) * F.lit(p))}).drop("ends")
-    marked = _joined(known, bracket, by, value)
-    zone = F.when(v < f["lo"], 0).when(v <= f["hi"], 1).otherwise(2)
-    zones = marked.groupBy(*by).agg(
-        F.first("__f").alias("b"), *[F.coalesce(F.sum(F.when(zone == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)])
-    at = F.col("b.at")
-    below, inside = at < F.col("n0"), at < F.col("n0") + F.col("n1")
-    facts = zones.select(
-        *by, "b.rank", "b.at", "b.lo", "b.hi", F.when(below, 0).when(inside, 1).otherwise(2).alias("zone"),
-        F.when(below, 0).when(inside, F.col("n0")).otherwise(F.col("n0") + F.col("n1")).alias("before"),
-        F.when(below, F.col("b.least")).when(inside, F.col("b.lo")).otherwise(F.col("b.hi")).alias("start"),
-        F.when(below, F.col("b.lo")).when(inside, F.col("b.hi")).otherwise(F.col("b.most")).alias("stop"))
-    chosen = _joined(known, facts, by, value)
-    here = F.when(v < f["lo"], 0).when(v <= f["hi"], 1).otherwise(2) == f["zone"]
-    part = (v - f["start"]) / (f["stop"] - f["start"])
-    slice_of = F.when((f["stop"] > f["start"]) & (part >= 0), F.least(F.floor(part * _SLICES), F.lit(_SLICES - 1))).otherwise(0)
-    sliced = chosen.where(here).withColumn("__slice", F.coalesce(slice_of.cast("long"), F.lit(0)))
-    slices = sliced.groupBy(*by, "__slice").agg(F.sum("n").alias("__n"), F.first("__f").alias("__s"))
-    ahead = F.sum("__n").over(Window.partitionBy(*by).orderBy("__slice"))  # _SLICES rows of a group at most
-    held = slices.withColumn("__upto", F.col("__s.before") + ahead).where(
-        (F.col("__upto") > F.col("__s.at")) & (F.col("__upto") - F.col("__n") <= F.col("__s.at")))
-    picked = held.select(*by, F.col("__slice").alias("slice"), (F.col("__upto") - F.col("__n")).alias("before"), "__s.at", "__s.rank")
-    last = _joined(sliced.drop("__f"), picked, by, value).where(F.col("__slice") == f["slice"])
-    running = f["before"] + F.sum("n").over(Window.partitionBy(*by).orderBy(value))
-    found = last.withColumn("__upto", running).where((F.col("__upto") > f["at"])).groupBy(*by).agg(
-        F.min(F.struct(v.alias("low"), F.col("__upto").alias("upto"), f["rank"].alias("rank"))).alias("__p")).select(*by, "__p.*")
-    # the next value above, wherever it lies
-    above = _joined(known, found, by, value).groupBy(*by).agg(
-        F.first("__f").alias("__f"), F.min(F.when(v > f["low"], v)).alias("next"))
-    high = F.when(f["upto"] > F.ceil(f["rank"]), f["low"]).otherwise(F.col("next"))
-    return above.select(*by, _between(f["low"], F.coalesce(high, f["low"]), f["rank"] - F.floor(f["rank"])).alias(alias))
+        return exact_quantile(counts.withColumn("__all", F.lit(0)), value, p, ("__all",), alias).drop("__all")
+    v = F.col(value)
+    # every pass reads the same columns, so Spark shuffles the counts once
+    known = counts.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.cast("double").alias("__v"), "n").groupBy(*by, "__v").agg(F.sum("n").alias("__n"))
+    known = known.withColumn("__k", order_key(F.col("__v")))
+    found = None
+    for shift in range(64 - _DIGIT, -1, -_DIGIT):
+        here = known
+        if found is not None:
+            here = attach(known, found.select(*by, F.struct("prefix", "before", "at", "rank", "next").alias("__f")), by, "__k")
+            here = here.where(F.shiftright("__k", shift + _DIGIT) == F.col("__f.prefix"))
+        digit = F.shiftright("__k", shift).alias("prefix")
+        counted = here.groupBy(*by, digit).agg(F.sum("__n").alias("n"), F.min("__v").alias("least"), *(
+            [] if found is None else [F.first("__f").alias("f")]))
+        group = Window.partitionBy(*by)
+        in_order = group.orderBy("prefix")
+        if found is None:
+            rank = (F.sum("n").over(group) - 1) * F.lit(p)
+            facts = {"rank": rank, "at": F.floor(rank), "start": F.lit(0).cast("bigint"), "behind": F.lit(None).cast("double")}
+        else:
+            facts = {"rank": F.col("f.rank"), "at": F.col("f.at"), "start": F.col("f.before"), "behind": F.col("f.next")}
+        placed = counted.withColumns({**facts, "upto": F.sum("n").over(in_order), "following": F.lead("least").over(in_order)})
+        upto = F.col("start") + F.col("upto")
+        found = placed.where((upto > F.col("at")) & (upto - F.col("n") <= F.col("at"))).select(
+            *by, "prefix", (upto - F.col("n")).alias("before"), "at", "rank",
+            F.coalesce("following", "behind").alias("next"), F.col("least").alias("low"), upto.alias("upto"))
+    high = F.when(F.col("upto") > F.ceil("rank"), F.col("low")).otherwise(F.col("next"))
+    return found.select(*by, _between(F.col("low"), F.coalesce(high, F.col("low")), F.col("rank") - F.floor("rank")).alias(alias))
 
 
 def _between(low: Column, high: Column, part: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslens.functions.coerce import plain_text
-from opslens.functions.numbers import count_text, fixed, money_sum, money_text, percent_text
+from opslens.functions.numbers import count_text, fixed, money_text, percent_text
 from opslens.operators import typed as t
-from opslens.operators.kpis import revenue_of, supplier_delays, top_by_revenue
+from opslens.operators.kpis import supplier_delays, top_by_revenue
+from opslens.operators.partials import cells, grouped, kind, revenue_in, rows_in
 from opslens.operators.typed import Operations
 
 CHART_BARS = 10
@@ -22,8 +23,7 @@ def product_chart(ops: Operations) -> DataFrame:
 def weekly_trend(ops: Operations) -> DataFrame:
     """Revenue per week, labelled by the Sunday it ends on; empty weeks in between show 0."""
     sunday = F.date_add(F.date_trunc("week", F.col(t.TS)).cast("date"), 6)
-    weeks = ops.rows.groupBy(*ops.by, sunday.alias("week_end")).agg(
-        money_sum(revenue_of(ops)).alias("revenue"))
+    weeks = cells(ops, t.TS).groupBy(*ops.by, sunday.alias("week_end")).agg(revenue_in(ops).alias("revenue"))
     # Rows without a date form a week of their own, whose empty sequence drops it below.
     following = F.lead("week_end").over(Window.partitionBy(*ops.by).orderBy("week_end"))
     until = F.coalesce(F.date_sub(following, 7), F.col("week_end"))
@@ -35,9 +35,8 @@ def weekly_trend(ops: Operations) -> DataFrame:
 
 def status_mix(ops: Operations) -> DataFrame:
     """Rows per fulfilment status, most frequent first; missing statuses are left out."""
-    counts = ops.rows.where(F.col(t.STATUS).isNotNull()).groupBy(*ops.by, t.STATUS).agg(
-        F.count(F.lit(1)).alias("count"))
-    text = plain_text(F.col(t.STATUS), ops.rows.schema[t.STATUS].dataType)
+    counts = grouped(cells(ops, t.STATUS).where(F.col(t.STATUS).isNotNull()), ops.by, t.STATUS).agg(rows_in().alias("count"))
+    text = plain_text(F.col(t.STATUS), kind(ops, t.STATUS))
     return counts.orderBy(*ops.by, F.desc("count"), t.STATUS).select(*ops.by, text.alias("status"), "count")
 
 

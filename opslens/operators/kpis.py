@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslens.functions.coerce import double_text, label
 from opslens.functions.numbers import money_sum, rounded
 from opslens.functions.quantile import attach, exact_quantile
-from opslens.operators import typed as t
+from opslens.operators import partials as p, typed as t
 from opslens.operators.groups import one_row_per_group, ranked_list, top_rows
+from opslens.operators.partials import cells, grouped, kind, revenue_in, rows_in, share_of, total
 from opslens.operators.typed import Operations
 
 TOP = 5
 LATE_SHARE = 0.75
+SLOTS = 32
 
 # Thresholds of the risk rules.
 DECLINE_PERCENT = -5
@@ -36,26 +38,21 @@ LIST_TYPES = {
 }
 
 
-def revenue_of(ops: Operations) -> Column:
-    """Revenue per row: unreadable counts as 0, and without a revenue column everything is 0."""
-    return F.coalesce(F.col(t.REVENUE), F.lit(0.0)) if ops.has("revenue") else F.lit(0.0)
-
-
-def _label(ops: Operations, column: str) -> Column:
-    return label(F.col(column), ops.rows.schema[column].dataType)
+def _label(ops: Operations, key: str) -> Column:
+    return label(F.col(key), kind(ops, key))
 
 
 def totals(ops: Operations) -> DataFrame:
     """Date range, revenue, row counts and rates, one row per group, in a single pass."""
     missing = F.lit(None)
     dated, flagged, with_status = ops.has("date"), ops.has("return_flag"), ops.has("shipping_status")
-    sums = ops.rows.groupBy(*ops.by).agg(
-        F.count(F.lit(1)).alias("n"),
-        money_sum(revenue_of(ops)).alias("revenue"),
-        (F.min(t.TS) if dated else F.max(missing.cast("timestamp"))).alias("first_ts"),
-        (F.max(t.TS) if dated else F.max(missing.cast("timestamp"))).alias("last_ts"),
-        (F.avg(F.col(t.RETURNED).cast("double")) if flagged else F.max(missing.cast("double"))).alias("returned"),
-        (F.avg(F.col(t.DELAYED).cast("double")) if with_status else F.max(missing.cast("double"))).alias("delayed"),
+    sums = grouped(cells(ops), ops.by).agg(
+        rows_in().alias("n"),
+        revenue_in(ops).alias("revenue"),
+        (total(p.FIRST) if dated else F.max(missing.cast("timestamp"))).alias("first_ts"),
+        (total(p.LAST) if dated else F.max(missing.cast("timestamp"))).alias("last_ts"),
+        (share_of(p.RETURNED) if flagged else F.max(missing.cast("double"))).alias("returned"),
+        (share_of(p.DELAYED) if with_status else F.max(missing.cast("double"))).alias("delayed"),
     )
     day = lambda c: F.col(c).cast("date").cast("string")
     return sums.select(
@@ -70,16 +67,18 @@ def totals(ops: Operations) -> DataFrame:
     )
 
 
+def _days_counted(ops: Operations, *keys: str) -> DataFrame:
+    return grouped(cells(ops, *keys, t.DAYS), ops.by, *keys, t.DAYS).agg(rows_in().alias("n"))
+
+
 def delay_threshold(ops: Operations) -> DataFrame:
     """75th percentile of delivery days (missing days count as 0), one row per group."""
-    counts = ops.rows.groupBy(*ops.by, t.DAYS).agg(F.count(F.lit(1)).alias("n"))
-    return exact_quantile(counts, ops.rows, t.DAYS, LATE_SHARE, ops.by, "p75_days")
+    return exact_quantile(_days_counted(ops), t.DAYS, LATE_SHARE, ops.by, "p75_days")
 
 
 def _long_deliveries(ops: Operations, *keys: str) -> DataFrame:
     """Rows counted per (group, keys, days) with a flag for days above the group's threshold."""
-    counts = ops.rows.groupBy(*ops.by, *keys, t.DAYS).agg(F.count(F.lit(1)).alias("n"))
-    limit = delay_threshold(ops)
+    counts, limit = _days_counted(ops, *keys), delay_threshold(ops)
     if ops.by:
         return attach(counts, limit, ops.by, *keys, t.DAYS).withColumn("late", F.col(t.DAYS) > F.col("p75_days"))
     return counts.withColumn("late", F.col(t.DAYS) > limit.scalar())
@@ -95,9 +94,9 @@ def delay_rate_by_duration(ops: Operations) -> DataFrame:
 
 def supplier_delays(ops: Operations, k: int | None = TOP) -> DataFrame:
     """Delay rate per supplier, worst first: (by..., supplier, delay_rate, rank)."""
-    known = Operations(ops.rows.where(F.col(t.SUPPLIER).isNotNull()), ops.concepts, ops.by)
     if ops.has("shipping_status"):
-        rates = known.rows.groupBy(*ops.by, t.SUPPLIER).agg(F.avg(F.col(t.DELAYED).cast("double")).alias("delay_rate"))
+        known = cells(ops, t.SUPPLIER).where(F.col(t.SUPPLIER).isNotNull())
+        rates = grouped(known, ops.by, t.SUPPLIER).agg(share_of(p.DELAYED).alias("delay_rate"))
     else:
         late = _long_deliveries(ops, t.SUPPLIER).where(F.col(t.SUPPLIER).isNotNull())
         rates = late.groupBy(*ops.by, t.SUPPLIER).agg(_late_share().alias("delay_rate"))
@@ -108,8 +107,8 @@ def supplier_delays(ops: Operations, k: int | None = TOP) -> DataFrame:
 
 def top_by_revenue(ops: Operations, key: str, name: str, k: int = TOP, keep_null: bool = True) -> DataFrame:
     """Largest revenue sums per key: (by..., name, revenue, rank). Ties go to the smaller key."""
-    rows = ops.rows if keep_null else ops.rows.where(F.col(key).isNotNull())
-    sums = rows.groupBy(*ops.by, key).agg(money_sum(revenue_of(ops)).alias("revenue"))
+    found = cells(ops, key) if keep_null else cells(ops, key).where(F.col(key).isNotNull())
+    sums = grouped(found, ops.by, key).agg(revenue_in(ops).alias("revenue"))
     best = top_rows(sums, ops.by, [F.desc("revenue"), F.col(key).asc_nulls_last()], k)
     return best.select(*ops.by, _label(ops, key).alias(name), "revenue", "rank")
 
@@ -124,8 +123,7 @@ def top_categories(ops: Operations, k: int = TOP) -> DataFrame:
 
 def inventory_risks(ops: Operations, k: int = TOP) -> DataFrame:
     """Products with the least stock: (by..., product, inventory_on_hand, rank); unknown stock last."""
-    least = ops.rows.where(F.col(t.PRODUCT).isNotNull()).groupBy(*ops.by, t.PRODUCT).agg(
-        F.min(t.INVENTORY).alias("least"))
+    least = grouped(cells(ops, t.PRODUCT).where(F.col(t.PRODUCT).isNotNull()), ops.by, t.PRODUCT).agg(total(p.STOCK).alias("least"))
     low = top_rows(least, ops.by, [F.asc_nulls_last("least"), F.col(t.PRODUCT).asc()], k)
     return low.select(*ops.by, _label(ops, t.PRODUCT).alias("product"),
                       F.col("least").try_cast("bigint").alias("inventory_on_hand"), "rank")
@@ -134,24 +132,23 @@ def inventory_risks(ops: Operations, k: int = TOP) -> DataFrame:
 def weekly_change(ops: Operations) -> DataFrame:
     """Revenue of the seven days up to the latest date against the seven before, one row per group.
 
-    The bounds are exact instants: [latest - 6 days, latest] and [latest - 13 days, latest - 6 days).
+    The bounds are exact instants: [latest - 6 days, latest] and [latest - 13 days, latest - 6 days). Rows are read once and
+    summed per instant. A group's instants are dealt into slots, and each slot keeps those within 13 days of its own latest
+    one, which no later one can bring back; so what meets in one place is two weeks of a group, not its history.
     """
-    rows = ops.rows.withColumn("_amount", revenue_of(ops))
     six, thirteen = F.expr("interval 144 hours"), F.expr("interval 312 hours")
-    if ops.by:
-        # Summed per instant first, so a group with most of the rows is small before it meets its latest date.
-        daily = rows.groupBy(*ops.by, t.TS).agg(money_sum(F.col("_amount")).alias("_amount"))
-        dated = attach(daily, rows.groupBy(*ops.by).agg(F.max(t.TS).alias("latest")), ops.by, t.TS)
-    else:
-        dated = rows.withColumn("latest", rows.agg(F.max(t.TS)).scalar())
-        if ops.stored:
-            # Two weeks of a stored date column can be found without reading the rest.
-            dated = dated.where(F.col(t.TS) >= F.col("latest") - thirteen)
+    by = [F.col(f"`{b}`") for b in ops.by] or [F.lit(0)]
+    instants = grouped(cells(ops, t.TS), ops.by, t.TS).agg(rows_in().alias("n"), revenue_in(ops).alias("amount"))
+    slot = F.pmod(F.xxhash64(t.TS), F.lit(SLOTS))
+    latest = lambda *keys: F.max(t.TS).over(Window.partitionBy(*by, *keys))
+    within = lambda df: df.where(F.col(t.TS).isNull() | (F.col(t.TS) >= F.col("latest") - thirteen))
+    recent = within(instants.withColumn("slot", slot).withColumn("latest", latest("slot")))
+    dated = within(recent.withColumn("latest", latest()))
     since = lambda days: F.col(t.TS) >= F.col("latest") - days
-    sums = dated.groupBy(*ops.by).agg(
-        F.count(t.TS).alias("n"),
-        money_sum(F.when(since(six), F.col("_amount"))).alias("cur"),
-        money_sum(F.when(since(thirteen) & ~since(six), F.col("_amount"))).alias("prev"))
+    sums = grouped(dated, ops.by).agg(
+        F.coalesce(F.sum(F.when(F.col(t.TS).isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
+        money_sum(F.when(since(six), F.col("amount"))).alias("cur"),
+        money_sum(F.when(since(thirteen) & ~since(six), F.col("amount"))).alias("prev"))
     change = F.when(F.col("prev") != 0, (F.col("cur") - F.col("prev")) / F.col("prev") * 100)
     seen = lambda c: F.when(F.col("n") > 0, c)
     return sums.select(

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from opslens.functions.coerce import is_blank
-from opslens.operators import typed as t
+from opslens.operators import partials as p, typed as t
 from opslens.operators.groups import one_row_per_group
 from opslens.operators.typed import Operations
 
@@ -26,32 +25,23 @@ PASS = "Pass"
 CHECK_TYPE = "array<struct<check:string,severity:string,rows_impacted:bigint,detail:string>>"
 
 
-def _row_conditions(ops: Operations) -> dict[str, Column]:
-    """Condition of every check that looks at one row at a time."""
-    conditions = {}
-    if ops.has("date"):
-        conditions[DATES] = F.col(t.TS).isNull()
-    if ops.has("revenue"):
-        conditions[NO_REVENUE] = F.col(t.REVENUE).isNull()
-        conditions[NEGATIVE_REVENUE] = F.col(t.REVENUE) < 0
-    if ops.has("units"):
-        conditions[UNITS] = F.col(t.UNITS).isNull() | (F.col(t.UNITS) < 0)
-    if ops.has("product"):
-        conditions[NO_PRODUCT] = is_blank(F.col(t.PRODUCT))
-    return conditions
+def _row_checks(ops: Operations) -> dict[str, str]:
+    """The cell of every check that looks at one row at a time."""
+    found = {DATES: ("date", p.BAD_DATES), NO_REVENUE: ("revenue", p.NO_REVENUE), NEGATIVE_REVENUE: ("revenue", p.NEGATIVE),
+             UNITS: ("units", p.BAD_UNITS), NO_PRODUCT: ("product", p.NO_PRODUCT)}
+    return {check: cell for check, (concept, cell) in found.items() if ops.has(concept)}
 
 
 def duplicate_rows(ops: Operations) -> DataFrame:
     """Rows whose identifier occurs more than once, one row per group; missing ids equal each other."""
-    ids = ops.rows.groupBy(*ops.by, t.ORDER_ID).agg(F.count(F.lit(1)).alias("n"))
-    return ids.groupBy(*ops.by).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(DUPLICATES))
+    ids = p.grouped(p.cells(ops, t.ORDER_ID), ops.by, t.ORDER_ID).agg(p.rows_in().alias("n"))
+    return p.grouped(ids, ops.by).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(DUPLICATES))
 
 
 def check_counts(ops: Operations) -> DataFrame:
     """Row count and one count per applicable check, one row per group."""
-    conditions = _row_conditions(ops)
-    counts = ops.rows.groupBy(*ops.by).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+    counts = p.grouped(p.cells(ops), ops.by).agg(p.rows_in().alias("rows"), *[
+        F.coalesce(p.total(cell), F.lit(0)).alias(name) for name, cell in _row_checks(ops).items()])
     if not ops.has("order_id"):
         return counts
     return one_row_per_group([counts, duplicate_rows(ops)], ops.by)

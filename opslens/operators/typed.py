@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,9 +15,10 @@ from opslens.operators.columns import ConceptMap
 TS, ORDER_ID, PRODUCT, CATEGORY = "typed ts", "typed order_id", "typed product", "typed category"
 SUPPLIER, STATUS, UNITS, REVENUE = "typed supplier", "typed status", "typed units", "typed revenue"
 INVENTORY, DAYS, RETURNED, DELAYED = "typed inventory", "typed days", "typed returned", "typed delayed"
+CHANNEL = "typed channel"
 
 # Concepts used as they come: concept -> name.
-_KEYS = {"order_id": ORDER_ID, "product": PRODUCT, "category": CATEGORY, "supplier": SUPPLIER,
+_KEYS = {"order_id": ORDER_ID, "product": PRODUCT, "category": CATEGORY, "channel": CHANNEL, "supplier": SUPPLIER,
          "shipping_status": STATUS}
 
 
@@ -25,13 +26,13 @@ _KEYS = {"order_id": ORDER_ID, "product": PRODUCT, "category": CATEGORY, "suppli
 class Operations:
     """Typed rows, the concept map they were read under, and the keys results are grouped by.
 
-    ``stored`` says that the typed columns lie in files, so that filters on them are worth pushing down.
+    ``sums`` holds, by the keys they were summed by, sums to read instead of rows (see ``operators/partials.py``).
     """
 
     rows: DataFrame
     concepts: ConceptMap
     by: tuple[str, ...] = ()
-    stored: bool = False
+    sums: Mapping[tuple[str, ...], DataFrame] = field(default_factory=dict)
 
     def has(self, *concepts: str) -> bool:
         return all(self.concepts.get(c) for c in concepts)

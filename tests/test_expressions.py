@@ -12,7 +12,7 @@ from pyspark.sql import functions as F, types as T
 from opslens.functions.coerce import double_text, is_blank, is_delayed, is_truthy, label, to_number
 from opslens.functions.dates import DateReading, elect_dates, to_ts
 from opslens.functions.numbers import fixed, money_sum, money_text, percent_text, rounded
-from opslens.functions.quantile import exact_quantile
+from opslens.functions.quantile import exact_quantile, order_key
 
 
 def column(spark, values, kind="string"):
@@ -125,7 +125,7 @@ def test_money_sum_refuses_what_it_cannot_hold(spark):
 def quantiles(spark, frame, p, by):
     df = spark.createDataFrame(frame)
     counts = df.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
-    return exact_quantile(counts, df, "v", p, by).toPandas()
+    return exact_quantile(counts, "v", p, by).toPandas()
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 100, 101, 4000])
@@ -185,5 +185,24 @@ def test_elected_readings(spark):
 
 
 def test_a_reader_holds_its_pattern_once(spark):
-    plan = column(spark, ["1/5/2026"]).select(to_ts(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    plan = column(spark, ["1/5/2026"]).select(to_ts(F.col("x")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_order_keys_keep_the_order_and_tell_values_apart(spark):
+    rng = random.Random(4)
+    near = [math.nextafter(2.0 ** e, to) for e in range(-1073, 1023, 7) for to in (0, math.inf)]
+    values = sorted({0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, *near, *(2.0 ** e for e in range(-1074, 1024)),
+                     *(rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(3000)), *(rng.random() for _ in range(3000))})
+    values = sorted({*values, *(-v for v in values)})
+    keys = results(column(spark, values, "double"), order_key(F.col("x")))
+    assert all(a < b for a, b in zip(keys, keys[1:]))
+    assert results(column(spark, [0.0, -0.0], "double"), order_key(F.col("x"))) == [0, 0]
+
+
+@pytest.mark.parametrize("values", [[-1e300, -5.0, 5e-324, 0.0, 1e300], [math.inf, 1.0, 2.0], [-math.inf, 1.0, 1.0], [7.25] * 9, [1.0, 1.0 + 2 ** -52]])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.75, 1.0])
+def test_quantile_of_wide_values(spark, values, p):
+    found = quantiles(spark, pd.DataFrame({"v": values}), p, [])["quantile"][0]
+    expected = pd.Series(values).quantile(p)
+    assert found == expected or math.isnan(expected)  # pandas multiplies infinite steps by 0

@@ -2,12 +2,13 @@
 
 import json
 import random
+from dataclasses import replace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.operators import dashboard, kpis as k, quality, report, star
+from opslens.operators import dashboard, kpis as k, partials, quality, report, star
 from opslens.operators.columns import infer_columns
 from opslens.operators.typed import typed
 
@@ -131,11 +132,31 @@ def test_week_without_earlier_revenue_or_dates(spark):
     assert tuple(row) == (None, None, None)
 
 
-def test_stored_rows_give_the_same_weeks(spark, tmp_path):
-    ops = operations(spark, frame(5))
-    ops.rows.write.parquet(str(tmp_path / "rows"))
-    stored = type(ops)(spark.read.parquet(str(tmp_path / "rows")), ops.concepts, (), stored=True)
-    assert k.weekly_change(stored).collect() == k.weekly_change(ops).collect()
+@pytest.mark.parametrize("status", [True, False])
+@pytest.mark.parametrize("by", [(), ("tenant",)])
+def test_sums_of_batches_give_what_their_rows_give(spark, tmp_path, status, by):
+    data = frame(5, 700)
+    drop = () if status else ("status",)
+    whole = operations(spark, data, by, drop)
+    for i in range(3):
+        batch = operations(spark, data.iloc[i::3], by, drop)
+        partials.partials(batch).write.mode("append").parquet(str(tmp_path / "sums"))
+        partials.id_counts(batch).write.mode("append").parquet(str(tmp_path / "ids"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    summed = partials.with_sums(replace(whole, rows=whole.rows.where("raise_error('rows are not read') is null")), read("sums"), read("ids"))
+    same = lambda f: sorted(map(repr, f(summed).collect())) == sorted(map(repr, f(whole).collect()))
+    assert same(k.kpis) and same(quality.validate) and same(dashboard.weekly_trend) and same(dashboard.product_chart)
+    assert same(dashboard.supplier_chart) and (not status or same(dashboard.status_mix))
+
+
+def test_instants_of_a_long_history_in_one_group(spark):
+    day = 86_400
+    df = spark.range(400_000).select(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 97).alias("date"), F.lit("1").alias("revenue"))
+    row = k.weekly_change(typed(df, infer_columns(df.columns))).first()
+    latest = 399_999 * 97
+    cur = sum(1 for i in range(380_000, 400_000) if i * 97 >= latest - 6 * day)
+    prev = sum(1 for i in range(380_000, 400_000) if latest - 13 * day <= i * 97 < latest - 6 * day)
+    assert (row.current_week_revenue, row.previous_week_revenue) == (cur, prev)
 
 
 def flags(spark, change=None, delay=None, returns=None, stock=()):
