@@ -18,7 +18,7 @@ from opslens.operators.columns import concept_table, infer_columns, normalize_co
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
 from opslens.plans.pipeline import ReportingJob, run_pipeline
-from opslens.sources.runs import RUNS, listed, run_folder
+from opslens.sources.runs import RUNS, commit_numbers, current_commit, listed, run_folder, table_path
 from opslens.sources.staging import saved, shared_folder
 from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
@@ -359,7 +359,7 @@ def _job_rerun_stricter(spark, sf_dir):
     stricter = replace(job, privacy_standard=privacy.GDPR)
     run_pipeline(spark, stricter)
     runs = listed(spark, f"{job.destination}/{RUNS}")
-    tables = [name for name in listed(spark, run_folder(job.destination, runs[-1])) if name not in ("payload", "report")]
+    tables = [name for name in listed(spark, run_folder(job.destination, runs[-1])) if name not in ("payload", "report", "sums")]
     return _counts(spark, stricter, tables).union(spark.range(1).select(F.lit("runs"), F.lit(len(runs)).cast("long")))
 
 
@@ -419,7 +419,7 @@ def _refresh_turns_sensitive(spark, sf_dir):
         refresh_stream(spark, job).awaitTermination()
     names = lambda df: F.lit(",".join(sorted(df.columns)))
     fact, flagged = spark.read.parquet(job.table(star.FACT)), spark.read.parquet(job.table("sensitive_columns"))
-    held = len(listed(spark, f"{job.destination}/{RUNS}")) + len(listed(spark, f"{job.private}/typed"))
+    held = len(listed(spark, f"{job.destination}/{RUNS}")) + len(listed(spark, f"{job.private}/sums"))
     return spark.read.parquet(job.table("kpis")).select(
         "row_count", "total_revenue", names(fact).alias("fact_columns"),
         flagged.agg(F.array_join(F.sort_array(F.collect_list("column")), ",").alias("c")).scalar().alias("sensitive"),

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.functions.coerce import plain_text
 from opslens.functions.dates import DateReading, to_ts
+from opslens.operators import typed as t
 from opslens.operators.columns import ConceptMap
+from opslens.operators.partials import N, cells, grouped, kind
+from opslens.operators.typed import Operations
 
 # Concepts in the column order of the fact table, and the dimension of each keyed concept.
 FACT_CONCEPTS = (
@@ -53,6 +56,22 @@ def dim_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*_keys(by), text.alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()
 
 
+def dimensions(ops: Operations) -> dict[str, DataFrame]:
+    """The dimensions of operations whose keys may be summed already; each column keeps its source's name."""
+    tables = {}
+    if ops.has("date"):
+        days = grouped(cells(ops, t.TS).select(*_keys(ops.by), F.col(t.TS).cast("date").alias("date"), F.col(f"`{N}`")), ops.by, "date")
+        found = days.agg(F.count("date").alias("n")).where("n > 0")
+        tables[DIM_DATE] = found.select(*_keys(ops.by), "date", F.date_format("date", "yyyy-MM").alias("month"), F.weekofyear("date").alias("week"))
+    keys = {"product": t.PRODUCT, "category": t.CATEGORY, "channel": t.CHANNEL, "supplier": t.SUPPLIER}
+    for name, concept in DIMENSIONS.items():
+        if ops.has(concept):
+            key = keys[concept]
+            text = plain_text(F.col(key), kind(ops, key))
+            tables[name] = cells(ops, key).where(F.col(key).isNotNull()).select(*_keys(ops.by), text.alias(ops.concepts[concept])).distinct()
+    return tables
+
+
 def star_schema(df: DataFrame, concepts: ConceptMap, by: Sequence[str] = (),
                 dates: Mapping[str, DateReading] | None = None) -> dict[str, DataFrame]:
     """All tables of the model by name; a dimension without a mapped column is absent. ``dates`` as ``elect_dates`` finds it."""

@@ -21,6 +21,7 @@ RUN_LOG_SCHEMA = (
     "dataset string, business_area string, privacy_standard string, schedule string, last_run timestamp, "
     "status string, run_seconds double, output string"
 )
+STEP_LOG_SCHEMA = "run string, position int, step string, started timestamp, seconds double, status string"
 
 
 def latest_runs(log: DataFrame) -> DataFrame:
