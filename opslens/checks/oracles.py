@@ -19,6 +19,12 @@ CARD_REASON = "sample values may contain payment-card-like numbers"
 POSTAL_REASON = "sample values look like postal/address information"
 KEY_REASON = "high-cardinality identifier-like field"
 
+STEPS = (
+    "ingest_source_data", "normalize_column_names", "scan_sensitive_fields", "exclude_or_mask_sensitive_fields",
+    "validate_data_quality", "build_analytics_ready_model", "compute_business_metrics", "generate_safe_ai_payload",
+    "generate_report", "publish_or_export_report",
+)
+
 MODES = {
     "baseline": "PII Baseline", "hipaa": "HIPAA-aware", "gdpr": "GDPR-aware", "pci": "PCI-aware",
     "strict": "Strict: PII + HIPAA + GDPR + PCI",
@@ -374,6 +380,51 @@ def by_region(name: str) -> str:
     return typed(select[name])
 
 
+def after_drops() -> str:
+    """What readers find after the last of three drops: the same as over all rows at once."""
+    check = lambda name, count: f"union all select 'check', '{name}', cast(({count}) as double) "
+    return typed(
+        f"select 'top product' as what, coalesce(product, 'nan') as name, {r('v', 2)} as value from "
+        "(select product, sum(rev) as v from t group by product order by v desc, product limit 5) "
+        + check("Invalid or missing dates", "select count(*) from t where ts is null")
+        + check("Duplicate transaction/order IDs", "select coalesce(sum(c), 0) from (select count(*) as c from t group by transaction_id having count(*) > 1)")
+        + check("Missing revenue values", "select count(*) from t where read_revenue is null")
+        + check("Negative revenue values", "select count(*) from t where read_revenue < 0")
+        + check("Invalid unit quantities", "select count(*) from t where units is null or units < 0")
+        + check("Missing product names", "select count(*) from t where product is null or trim(product) = ''")
+        + "union all select 'facts', null, cast(count(*) as double) from t "
+        "union all select 'dates', null, cast(count(distinct cast(ts as date)) as double) from t")
+
+
+def masked_people(key: str = "a key for tests") -> str:
+    """HMAC by its definition, over the same values."""
+    pad = lambda byte: "".join(f"\\x{b ^ byte:02X}" for b in key.encode().ljust(64, b"\0"))
+    hmac = lambda x: f"sha256('{pad(0x5C)}'::blob || unhex(sha256('{pad(0x36)}'::blob || encode({x}))))"
+    word = lambda x: f"'x' || substr({hmac(x)}, 1, 16)"
+    people = ", ".join(f"{sql.format(text='varchar')} as {c}" for c, sql in PEOPLE.items())
+    # column -> (its digits, how many, their groups); eight rounds change the left and the right half in turn
+    numbers = {"ssn": ("replace(substr(tax_note, 4), '-', '')", 9, (3, 2, 4), "-"), "card": ("replace(card_no, ' ', '')", 16, (4, 4, 4, 4), " "),
+               "area": ("zip_area", 5, (5,), "")}
+    half = lambda n: (n // 2, n - n // 2)
+    steps = "select *, " + ", ".join(f"substr({x}, 1, {half(n)[0]})::bigint as {c}_a, substr({x}, {half(n)[0] + 1})::bigint as {c}_b"
+                                     for c, (x, n, _, _) in numbers.items()) + " from people"
+    for i in range(8):
+        own, other = "ab" if i % 2 == 0 else "ba"
+        turned = ", ".join(f"({c}_{own} + ('0x' || substr({hmac(f'{i!r}::varchar || {chr(39)}:{n}:{chr(39)} || {c}_{other}::varchar')}, 1, 15))::bigint) "
+                           f"% {10 ** half(n)[i % 2]} as {c}_{own}" for c, (_, n, _, _) in numbers.items())
+        kept = ", ".join(f"{c}_{other}" for c in numbers)
+        steps = f"select {', '.join(PEOPLE)}, {kept}, {turned} from ({steps})"
+
+    def written(c):
+        _, n, groups, between = numbers[c]
+        text = f"lpad({c}_a::varchar, {half(n)[0]}, '0') || lpad({c}_b::varchar, {half(n)[1]}, '0')"
+        return f" || '{between}' || ".join(f"substr({text}, {sum(groups[:k]) + 1}, {g})" for k, g in enumerate(groups))
+
+    return (f"with people as (select {people} from customer) "
+            f"select {word('member_ref')} as member_ref, {word('order_id')} as order_id, invoice_id, 'no ' || {written('ssn')} as tax_note, tax_near, "
+            f"{written('card')} as card_no, batch_no, {written('area')} as zip_area, area_no from ({steps})")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "kpi_revenue": typed("select total_revenue, avg_order_value, row_count, order_count from totals", "," + totals()),
@@ -482,6 +533,17 @@ def oracle_sql() -> dict[str, str]:
         "job_with_sample": f"select * from ({sample_findings()}) where \"column\" <> 'contact'",
         "job_payload": typed("select total_revenue, row_count, return_rate, cast(9 as bigint) as headings from totals", "," + totals()),
         "refresh_turns_sensitive": turned_sensitive(),
+        "refresh_three_drops": after_drops(),
+        "job_two_writers": typed(
+            f"select 'between' as seen, count(*) as row_count, {r('sum(rev)', 2)} as total_revenue, cast(4 as bigint) as kept from t where supplier is not null "
+            f"union all select 'after', count(*), {r('sum(rev)', 2)}, 4 from t"),
+        "job_slow_reader": typed("select 'slow' as reader, count(*) as n from t union all select 'new', count(*) from t where supplier is not null"),
+        "step_log": "select cast(row_number() over () - 1 as integer) as position, step, 'done' as status, true as timed from (select unnest(["
+                    + ", ".join(f"'{step}'" for step in STEPS) + "]) as step)",
+        "masked_columns": masked_people(),
+        "masked_job": "select count(*) as n, count(distinct l_orderkey) as order_ids, count(distinct c_name) as names, "
+                      "count(distinct c_custkey) as contacts, cast(0 as bigint) as raw from lineitem left join orders on l_orderkey = o_orderkey "
+                      "left join customer on o_custkey = c_custkey",
         "csv_inferred_types": "select cast(o_orderkey as bigint) as k, cast(o_orderkey as bigint) + 1000000000000000000 as id19, "
                               "cast(cast(o_orderkey as hugeint) + 10000000000000000000000000 as varchar) as id26, "
                               "cast(cast(o_totalprice as decimal(18,2)) as varchar) as price from orders",

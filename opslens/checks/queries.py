@@ -15,10 +15,11 @@ from opslens.functions.dates import elect_dates, to_ts
 from opslens.functions.numbers import rounded
 from opslens.operators import dashboard, kpis as k, partials, privacy, quality, report, star, text_scan
 from opslens.operators.columns import concept_table, infer_columns, normalize_columns
+from opslens.operators.masking import masked
 from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
-from opslens.plans.pipeline import ReportingJob, run_pipeline
-from opslens.sources.runs import RUNS, commit_numbers, current_commit, listed, run_folder, table_path
+from opslens.plans.pipeline import STEP_LOG, STEPS, ReportingJob, Run, run_pipeline
+from opslens.sources.runs import RUNS, commit_numbers, listed, run_folder
 from opslens.sources.staging import saved, shared_folder
 from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
@@ -26,6 +27,7 @@ from opslens.streaming.refresh import refresh_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGION = ("region",)
+MASK_KEY = "a key for tests"
 EXCLUDED = ("order_id", "customer_name", "contact")
 MODES = {
     "baseline": privacy.BASELINE, "hipaa": privacy.HIPAA, "gdpr": privacy.GDPR, "pci": privacy.PCI,
@@ -363,6 +365,55 @@ def _job_rerun_stricter(spark, sf_dir):
     return _counts(spark, stricter, tables).union(spark.range(1).select(F.lit("runs"), F.lit(len(runs)).cast("long")))
 
 
+def _job_two_writers(spark, sf_dir):
+    """A run that began first and is committed last, and one that came between: what readers find, and what is kept."""
+    whole = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "writers"))
+    first, second = Run(spark, whole), Run(spark, replace(whole, source=whole.source.where("supplier is not null")))
+    for step in STEPS[:-1]:
+        getattr(first, step)()
+    second.work()
+    between = spark.read.parquet(whole.table("kpis")).select(F.lit("between").alias("seen"), "row_count", "total_revenue")
+    between = spark.createDataFrame(between.collect(), between.schema)
+    getattr(first, STEPS[-1])()
+    kept = F.lit(len(commit_numbers(spark, whole.destination)) + len(listed(spark, f"{whole.destination}/{RUNS}"))).cast("long")
+    after = spark.read.parquet(whole.table("kpis")).select(F.lit("after"), "row_count", "total_revenue")
+    return between.union(after).withColumn("kept", kept)
+
+
+def _job_slow_reader(spark, sf_dir):
+    """A reader that opened the fact table before the next run was published, and one that opens it after."""
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "readers"))
+    run_pipeline(spark, job)
+    opened = spark.read.parquet(job.table(star.FACT))
+    run_pipeline(spark, replace(job, source=job.source.where("supplier is not null")))
+    count = lambda name, df: df.agg(F.lit(name).alias("reader"), F.count(F.lit(1)).alias("n"))
+    return count("slow", opened).union(count("new", spark.read.parquet(job.table(star.FACT))))
+
+
+def _step_log(spark, sf_dir):
+    """The steps that a run logs, in order."""
+    job = ReportingJob(source=ops(spark, sf_dir, ("order_date", "revenue")), destination=_folder(spark, "steps"))
+    run_pipeline(spark, job)
+    return spark.read.parquet(job.table(STEP_LOG)).select("position", "step", "status", (F.col("seconds") >= 0).alias("timed"))
+
+
+def _masked_columns(spark, sf_dir):
+    """Customers with their sensitive columns masked under a key."""
+    table = _people(spark, sf_dir)
+    return masked(table, privacy.find_sensitive(table, privacy.STRICT), MASK_KEY)
+
+
+def _masked_job(spark, sf_dir):
+    """The job with sensitive columns masked: order ids and names can be counted and joined, but not read."""
+    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "masked"), mask_key=MASK_KEY)
+    run_pipeline(spark, job)
+    rows = spark.read.parquet(job.table("safe_operations"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("order_id").alias("order_ids"), F.count_distinct("customer_name").alias("names"),
+        F.count_distinct("contact").alias("contacts"),
+        F.count_if(F.col("contact").contains("buyer") | F.col("contact").contains("example") | F.col("customer_name").contains("Customer")).alias("raw"))
+
+
 def _job_with_sample(spark, sf_dir):
     """The job with a privacy scan of the first values only, one column left alone."""
     scan = {"mode": "sample", "order_by": ["transaction_id", "contact", "revenue"], "skip": ["contact"]}
@@ -404,6 +455,25 @@ def _refresh_job(spark, sf_dir):
         "previous_week_revenue")
 
 
+def _refresh_three_drops(spark, sf_dir):
+    """The operations arriving in three drops of uneven size: checks and lists after the last one."""
+    folder = _folder(spark, "drops")
+    table = ops(spark, sf_dir)
+    job = ReportingJob(source=f"{folder}/in", destination=f"{folder}/out", source_type="parquet", private=f"{folder}/private")
+    part = F.crc32(F.col("transaction_id").cast("binary")) % 10
+    for low, high in ((0, 6), (6, 9), (9, 10)):
+        table.where((part >= low) & (part < high)).write.mode("append").parquet(job.source)
+        refresh_stream(spark, job).awaitTermination()
+    pack = spark.read.parquet(job.table("kpis"))
+    ranked = pack.select(F.posexplode("top_products").alias("position", "p")).select(
+        F.lit("top product").alias("what"), "p.product", F.col("p.revenue").alias("value"))
+    checks = spark.read.parquet(job.table("checks")).select(F.explode("checks").alias("c")).select(
+        F.lit("check"), "c.check", F.col("c.rows_impacted").cast("double"))
+    facts = spark.read.parquet(job.table(star.FACT)).agg(F.lit("facts"), F.lit(None), F.count(F.lit(1)).cast("double"))
+    dates = spark.read.parquet(job.table(star.DIM_DATE)).agg(F.lit("dates"), F.lit(None), F.count(F.lit(1)).cast("double"))
+    return ranked.union(checks).union(facts).union(dates).toDF("what", "name", "value")
+
+
 def _refresh_turns_sensitive(spark, sf_dir):
     """Two drops with semicolons, the second with its columns in another order and one more, whose notes hold addresses:
     what readers find then."""
@@ -419,7 +489,8 @@ def _refresh_turns_sensitive(spark, sf_dir):
         refresh_stream(spark, job).awaitTermination()
     names = lambda df: F.lit(",".join(sorted(df.columns)))
     fact, flagged = spark.read.parquet(job.table(star.FACT)), spark.read.parquet(job.table("sensitive_columns"))
-    held = len(listed(spark, f"{job.destination}/{RUNS}")) + len(listed(spark, f"{job.private}/sums"))
+    sums = [part for layout in listed(spark, f"{job.private}/sums") for part in listed(spark, f"{job.private}/sums/{layout}")]
+    held = len(listed(spark, f"{job.destination}/{RUNS}")) + len(sums)
     return spark.read.parquet(job.table("kpis")).select(
         "row_count", "total_revenue", names(fact).alias("fact_columns"),
         flagged.agg(F.array_join(F.sort_array(F.collect_list("column")), ",").alias("c")).scalar().alias("sensitive"),
@@ -507,6 +578,12 @@ def queries() -> dict[str, Query]:
         "job_with_sample": _job_with_sample,
         "job_payload": _job_payload,
         "refresh_turns_sensitive": _refresh_turns_sensitive,
+        "refresh_three_drops": _refresh_three_drops,
+        "job_two_writers": _job_two_writers,
+        "job_slow_reader": _job_slow_reader,
+        "step_log": _step_log,
+        "masked_columns": _masked_columns,
+        "masked_job": _masked_job,
         "csv_inferred_types": _csv_inferred_types,
         "privacy_rules": _privacy_rules,
         "fact_operations_by_region": _star_by_region(star.FACT),

@@ -1,8 +1,9 @@
 """Sensitive values replaced by pseudonyms under a key, as an alternative to leaving columns out.
 
 A pseudonym is taken from the HMAC (SHA-256) of the value, so equal values stay equal within and across tables masked under
-one key, and can be joined; without the key they cannot be guessed and tried. Numbers keep their digits' places and the
-signs between, other values become "x" and 16 digits of the HMAC. In free text only the sensitive spans are replaced.
+one key, and can be joined; without the key they cannot be guessed and tried. Numbers keep how many digits they have and the
+signs between: their digits are permuted by a Feistel network whose rounds add HMACs, so different numbers stay different.
+Other values become "x" and 16 digits of the HMAC. In free text only the sensitive spans are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ _BLOCK, _INNER, _OUTER = 64, 0x36, 0x5C
 
 #: Texts of digits and signs only, like telephone, card and account numbers.
 NUMBER_LIKE = r"^[+(]?\d[\d\s().+/-]*$"
+_ROUNDS, _LONGEST = 8, 36
 
 
 def hmac_hex(key: str, value: Column) -> Column:
@@ -30,18 +32,49 @@ def hmac_hex(key: str, value: Column) -> Column:
 
 
 def pseudonym(key: str, value: Column) -> Column:
-    """The replacement of a text; NULL stays NULL.
+    """The replacement of a text; NULL stays NULL."""
+    def placed(v: Column) -> Column:
+        """The new digits where the text has digits."""
+        at = lambda i: F.length(F.regexp_replace(F.substring(v["text"], F.lit(1), i + 1), r"\D", ""))
+        return F.array_join(F.transform(F.split(v["text"], ""), lambda c, i: F.when(
+            c.rlike(r"^\d$"), F.substring(v["digits"], at(i), F.lit(1))).otherwise(c)), "")
 
-    A number of few digits has few replacements, so different ones may get the same.
-    """
-    def replaced(v: Column) -> Column:
-        digits = F.translate(v["hmac"], "abcdef", "012345")
-        numbers = F.array_join(F.transform(F.split(v["text"], ""), lambda c, i: F.when(
-            c.rlike(r"^\d$"), F.substring(digits, i % 64 + 1, F.lit(1))).otherwise(c)), "")
-        return F.when(v["text"].rlike(NUMBER_LIKE), numbers).otherwise(F.concat(F.lit("x"), F.substring(v["hmac"], 1, 16)))
+    def number(text: Column) -> Column:
+        return _bound(F.struct(text.alias("text"), permuted(key, F.regexp_replace(text, r"\D", "")).alias("digits")), placed)
+
+    return F.when(value.isNotNull(), _bound(value, lambda text: F.when(text.rlike(NUMBER_LIKE), number(text)).otherwise(
+        F.concat(F.lit("x"), F.substring(hmac_hex(key, text), 1, 16)))))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def permuted(key: str, digits: Column) -> Column:
+    """A text of digits turned into another of the same length; no two into the same. Those of more than 36 digits are replaced
+    by digits of their HMAC, repeated."""
+    def rounds(d: Column) -> Column:
+        n = F.length(d)
+        left, right = F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int")
+        part = lambda start, size: F.coalesce(F.substring(d, start, size).try_cast("bigint"), F.lit(0).cast("bigint"))
+        size = lambda places: F.pow(F.lit(10.0), places).cast("bigint")
+
+        def one(state: Column, i: Column) -> Column:
+            a, b, even = state["a"], state["b"], i % 2 == 0
+            told = F.concat_ws(":", i.cast("string"), n.cast("string"), F.when(even, b).otherwise(a).cast("string"))
+            added = F.conv(F.substring(hmac_hex(key, told), 1, 15), 16, 10).cast("bigint")
+            turned = lambda x, places: (x + added) % size(places)
+            return F.struct(F.when(even, turned(a, left)).otherwise(a).alias("a"), F.when(even, b).otherwise(turned(b, right)).alias("b"))
+
+        start = F.struct(part(F.lit(1), left).alias("a"), part(left + 1, right).alias("b"))
+        written = lambda x, places: F.lpad(x.cast("string"), places, F.lit("0"))
+        mixed = F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, one, lambda s: F.concat(
+            F.when(left > 0, written(s["a"], left)).otherwise(""), written(s["b"], right)))
+        long = F.rpad(F.lit(""), n, F.translate(hmac_hex(key, d), "abcdef", "012345"))
+        return F.when(n <= _LONGEST, mixed).otherwise(long)
 
-    bound = F.transform(F.array(F.struct(value.alias("text"), hmac_hex(key, value).alias("hmac"))), replaced)[0]
-    return F.when(value.isNotNull(), bound)
+    return _bound(digits, rounds)
 
 
 def masked_spans(key: str, text: Column, rules: Sequence[str]) -> Column:
@@ -53,7 +86,7 @@ def masked_spans(key: str, text: Column, rules: Sequence[str]) -> Column:
             F.coalesce(b, F.lit("")), F.coalesce(pseudonym(key, f), F.lit("")))), "")
 
     parts = F.struct(F.split(text, pattern).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.when(text.isNotNull(), F.transform(F.array(parts), joined)[0])
+    return F.when(text.isNotNull(), _bound(parts, joined))
 
 
 def masked(df: DataFrame, findings: Mapping[str, Sequence[str]], key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, sinks, the reporting job, the run log and the refresh."""
 
+import dataclasses
 import datetime
 import glob
 import json
@@ -8,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.checks.fixture import OPS_COLUMNS, ops
+from opslens.operators.masking import masked, permuted
 from opslens.operators.privacy import find_sensitive
 from opslens.operators.quality import CHECKS
 from opslens.plans.pipeline import STEPS, ReportingJob, run_pipeline
 from opslens.plans.run_log import RUN_LOG_SCHEMA, latest_runs, run_table
+from opslens.sources.runs import clean, commit_numbers, current_run, latest_commit, listed, new_run, publish_run, put_if_absent
 from opslens.sources.staging import shared_folder
 from opslens.sources.tables import NA_TOKENS, check_csv, csv_faults, preview, read_csv, read_csv_files, read_table
 from opslens.streaming.refresh import refresh_stream
@@ -317,3 +320,127 @@ def test_a_failed_run_leaves_the_last_one_in_place(spark, tmp_path):
         run_pipeline(spark, bad)
     assert spark.read.parquet(job.table("kpis")).first().total_revenue == 10.0
     assert len(glob.glob(f"{tmp_path}/runs/*")) == 1
+
+
+def test_a_third_drop_reads_no_earlier_row(spark, sf_dir, tmp_path):
+    """Earlier raw rows and facts are made unreadable; sums and commits tell all that is needed."""
+    table, source = ops(spark, sf_dir), str(tmp_path / "in")
+    job = ReportingJob(source=source, destination=str(tmp_path / "out"), private=str(tmp_path / "private"), source_type="parquet")
+    parts = [table.where(f"hash(transaction_id) % 3 = {k}") for k in (0, 1, 2)] + [table.where("hash(transaction_id) % 3 < 0")]
+    for part in parts[:2]:
+        part.write.mode("append").parquet(source)
+        refresh(spark, job)
+    for pattern in ("private/history", "out/facts"):
+        for path in glob.glob(f"{tmp_path}/{pattern}/**/*.parquet", recursive=True):
+            open(path, "wb").close()
+    parts[2].union(parts[3]).write.mode("append").parquet(source)
+    found = refresh(spark, job)
+    whole = ReportingJob(source=table, destination=str(tmp_path / "whole"))
+    run_pipeline(spark, whole)
+    assert found == spark.read.parquet(whole.table("kpis")).first()
+    for name in ("checks", "dim_date", "dim_product", "dim_channel", "weekly_trend", "status_mix"):
+        rows = lambda j: sorted(map(str, spark.read.parquet(j.table(name)).collect()))
+        assert rows(job) == rows(whole)
+
+
+def test_refresh_reads_dates_anew_when_the_day_turns_out_to_come_first(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "1.csv", "date,revenue\n05/01/2026,10\n")
+    job = ReportingJob(source=str(source), destination=str(tmp_path / "out"), private=str(tmp_path / "private"))
+    assert refresh(spark, job).date_range.end == "2026-05-01"
+    write(source / "2.csv", "date,revenue\n13/01/2026,5\n")
+    row = refresh(spark, job)
+    assert (row.date_range.start, row.date_range.end, row.current_week_revenue) == ("2026-01-05", "2026-01-13", 5.0)
+    assert {str(r.date) for r in spark.read.parquet(job.table("fact_operations")).select(F.col("date").cast("date")).collect()} == {"2026-01-05", "2026-01-13"}
+
+
+def test_superseded_runs_stay_for_their_readers(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01-05", "10", "a")], "date string, revenue string, product string")
+    job = ReportingJob(source=df, destination=str(tmp_path))
+    for _ in range(3):
+        run_pipeline(spark, job)
+    assert len(listed(spark, f"{tmp_path}/runs")) == 3 and commit_numbers(spark, str(tmp_path)) == [1, 2, 3]
+    run_pipeline(spark, dataclasses.replace(job, retention=0.0))
+    assert len(listed(spark, f"{tmp_path}/runs")) == 1 and commit_numbers(spark, str(tmp_path)) == [4]
+    clean(spark, str(tmp_path), 0.0)
+    assert spark.read.parquet(job.table("kpis")).first().row_count == 1
+
+
+def test_only_one_writer_gets_a_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: put_if_absent(spark, f"{tmp_path}/c/000000000001.json", str(i) * 100), range(8)))
+    assert won.count(True) == 1 and open(f"{tmp_path}/c/000000000001.json").read() == str(won.index(True)) * 100
+    with ThreadPoolExecutor(8) as pool:
+        commits = list(pool.map(lambda i: publish_run(spark, str(tmp_path / "d"), f"{i}-x", retention=99.0), range(8)))
+    assert sorted(c.number for c in commits) == list(range(1, 9))
+    assert current_run(spark, str(tmp_path / "d")) == next(c.run for c in commits if c.number == 8)
+
+
+def test_abandoned_runs_go_and_running_ones_stay(spark, tmp_path):
+    for run in ("00000000000000000005-old", new_run()):
+        spark.range(1).write.parquet(f"{tmp_path}/runs/{run}/t")
+    publish_run(spark, str(tmp_path), new_run())
+    assert len(listed(spark, f"{tmp_path}/runs")) == 1 and "old" not in listed(spark, f"{tmp_path}/runs")[0]
+    (tmp_path / "commits" / "000000000009.json").write_text('{"number": 9, "ru')
+    assert latest_commit(spark, str(tmp_path)).number == 1
+
+
+def test_masking(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("Ann", "call 555-123-4567 or a@b.co now", "4111-1111", 5, None), (None, "nothing here", "x", None, None), ("Ann", "a@b.co", "", 7, None)],
+                               "name string, note string, card string, phone int, zip string")
+    found = find_sensitive(df, "PII Baseline")
+    assert set(found) == {"name", "note", "card", "phone", "zip"}
+    rows = masked(df, found, "k").collect()
+    tag = lambda text: hmac.new(b"k", text.encode(), hashlib.sha256).hexdigest()
+
+    def digits(text):
+        d = [c for c in text if c.isdigit()]
+        n, left = len(d), len(d) // 2
+        a, b = int("".join(d[:left]) or 0), int("".join(d[left:]))
+        for i in range(8):
+            added = int(tag(f"{i}:{n}:{b if i % 2 == 0 else a}")[:15], 16)
+            a, b = ((a + added) % 10 ** left, b) if i % 2 == 0 else (a, (b + added) % 10 ** (n - left))
+        new = iter((f"{a:0{left}d}" if left else "") + f"{b:0{n - left}d}")
+        return "".join(next(new) if c.isdigit() else c for c in text)
+
+    assert [r.name for r in rows] == ["x" + tag("Ann")[:16], None, "x" + tag("Ann")[:16]]
+    assert rows[0].note == f"call {digits('555-123-4567')} or x{tag('a@b.co')[:16]} now"
+    assert rows[1].note == "nothing here" and rows[2].note == f"x{tag('a@b.co')[:16]}"
+    assert rows[0].card == digits("4111-1111") and rows[0].phone == digits("5") and rows[1].phone is None and rows[0].zip is None
+    long = "k" * 100
+    assert masked(df, found, long).first().name == "x" + hmac.new(long.encode(), b"Ann", hashlib.sha256).hexdigest()[:16]
+    with pytest.raises(ValueError, match="key"):
+        masked(df, found, "")
+    for n in (1, 2, 3, 4):
+        every = spark.range(10 ** n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        assert every.select(permuted("k", F.col("d")).alias("p")).where(f"p rlike '^[0-9]{{{n}}}$'").distinct().count() == 10 ** n
+    sizes = spark.createDataFrame([("7" * n,) for n in (18, 35, 36, 37, 200)], "d string").select("d", permuted("k", F.col("d")).alias("p"))
+    assert all(len(r.p) == len(r.d) and r.p.isdigit() and r.p != r.d for r in sizes.collect())
+
+
+def test_masked_job_keeps_ids_countable_and_leaves_nothing_raw(spark, sf_dir, tmp_path):
+    job = ReportingJob(source=ops(spark, sf_dir), destination=str(tmp_path), mask_key="secret")
+    run_pipeline(spark, job)
+    text = held(tmp_path)
+    assert "@example.com" not in text and "Customer#" not in text and "secret" not in text and "secret" not in repr(job)
+    names = spark.read.parquet(job.table("concepts")).where("concept = 'order_id'").first()
+    assert names.column == "order_id"
+    checks = {c["check"]: c["rows_impacted"] for c in spark.read.parquet(job.table("checks")).first().checks}
+    assert checks["Duplicate transaction/order IDs"] > 0
+
+
+def test_steps_are_logged_also_of_a_failed_run(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01-05", "10")], "date string, revenue string")
+    job = ReportingJob(source=df, destination=str(tmp_path))
+    run_pipeline(spark, job)
+    with pytest.raises(Exception, match="lost"):
+        run_pipeline(spark, dataclasses.replace(job, source=df.selectExpr("date", "raise_error('lost') as revenue")))
+    log = spark.read.parquet(job.table("step_log"))
+    assert [r.step for r in log.where("status = 'done'").groupBy("step").count().where("count > 0").collect()] and log.count() == 13
+    assert log.where("status = 'failed'").first().step == "scan_sensitive_fields"
