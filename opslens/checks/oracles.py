@@ -484,6 +484,7 @@ def oracle_sql() -> dict[str, str]:
         "numeric_coercion": typed("select transaction_id, units, cast(read_revenue as double) as revenue from t"),
         "date_coercion": "select o_orderkey, case when o_orderkey % 13 < 12 then cast(o_orderdate as date) end as parsed, "
                          "case when o_orderkey % 13 in (1, 10, 11) then cast(o_orderdate as date) end as parsed_strict from orders",
+        "csv_multiline": "select doc_id, nullif(text, '') as text, nullif(source, '') as source from documents",
         "date_coercion_day_first": "select o_orderkey, d as slashes, d as dots, d as american, d as mixed from "
                                    "(select o_orderkey, case when o_orderkey % 19 <> 0 then cast(o_orderdate as date) end as d from orders)",
         "date_readings": "select * from (values ('slashes', 'd/M/yyyy', true, true), ('dots', 'd.M.yyyy', true, false), "

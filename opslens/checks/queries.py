@@ -127,6 +127,14 @@ def _csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path)
 
 
+def _csv_multiline(spark, sf_dir):
+    """Texts with line breaks and quotes, one file to each of four tasks, read back in splits."""
+    path = _folder(spark, "csv-lines")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs.coalesce(4).write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv(spark, path, multi_line=True).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def _numeric_coercion(spark, sf_dir):
     return ops(spark, sf_dir, ("transaction_id", "units_sold", "revenue")).select(
         "transaction_id", to_number(F.col("units_sold")).alias("units"), to_number(F.col("revenue")).alias("revenue"))
@@ -553,6 +561,7 @@ def queries() -> dict[str, Query]:
         "concept_map": _concept_map,
         "normalized_preview": _normalized_preview,
         "csv_roundtrip": _csv_roundtrip,
+        "csv_multiline": _csv_multiline,
         "numeric_coercion": _numeric_coercion,
         "date_coercion": _date_coercion,
         "date_coercion_day_first": _date_coercion_day_first,

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from opslens.functions.coerce import is_number_text
+from opslens.sources.csv_records import records
 
 # CSV texts that mean "missing".
 NA_TOKENS = (
@@ -54,17 +55,26 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", na_
              multi_line: bool = False, infer_types: bool = False, order_column: str | None = None) -> DataFrame:
     """Read CSV with a header row, every column as text, tokens for "missing" as NULL.
 
-    Files are read in splits; ``multi_line=True`` is for quoted line breaks and reads each file whole.
+    Files are read in splits. ``multi_line=True`` is for quoted line breaks, also in splits but with one more pass that
+    counts quotes (see ``csv_records``); header names must not hold line breaks.
     ``infer_types=True`` takes one more pass and turns columns that hold only numbers into numbers.
     ``order_column`` names a column to add that sorts rows as they stand in the files, for previews and
     for samples of first values.
     """
     headers = csv_headers(spark, path, sep)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+    if multi_line:
+        paths = [path] if isinstance(path, str) else path
+        found = records(spark, paths).where((F.col("split") > 0) | (F.col("seq") > 0))  # the first record is the header
+        fields = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(headers))), {**CSV_OPTIONS, "sep": sep})
+        place = [F.struct("file", "split", F.col("seq").alias("row")).alias(order_column)] if order_column else []
+        df = missing_tokens(found.select(fields.alias("fields"), *place).select(
+            *[F.col("fields")[f"c{i}"].alias(h) for i, h in enumerate(headers)], *[F.col(f"`{order_column}`") for _ in place]))
+        return narrow_numbers(df) if infer_types else df
     # Where the names are the file's own, every file of a folder is checked against them.
     plain = all("." not in h and not h.startswith("Unnamed: ") for h in headers)
     raw = spark.read.schema(schema).options(
-        **CSV_OPTIONS, header=True, sep=sep, multiLine=multi_line, enforceSchema=not plain).csv(path)
+        **CSV_OPTIONS, header=True, sep=sep, enforceSchema=not plain).csv(path)
     if order_column:
         raw = raw.withColumn(order_column, F.struct(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),

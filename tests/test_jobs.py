@@ -46,6 +46,35 @@ def test_csv_quoted_line_breaks(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, path, multi_line=True).collect()] == [("x\ny", "1")]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_csv_quoted_line_breaks_in_many_splits(spark, tmp_path, seed):
+    import csv
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices('ab,"\n é\r', k=rng.choice([0, 1, 3, 8, 900 if seed == 3 else 40])))
+    for name in ("b.csv", "a.csv"):
+        rows = [("k", "t", "u"), *((f"{name}{i}", word(), word()) for i in range(400))]
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f, lineterminator=rng.choice(["\n", "\r\n"])).writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    try:
+        df = read_csv(spark, str(tmp_path), multi_line=True, order_column="place", na_tokens=())
+        assert df.rdd.getNumPartitions() > 8
+        found = [(r.k, r.t or "", r.u or "") for r in df.orderBy("place").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = [tuple(r) for name in ("a.csv", "b.csv") for r in list(csv.reader(open(tmp_path / name, newline="")))[1:]]
+    assert found == expected
+
+
+def test_csv_with_a_quote_that_is_never_closed(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'a,b\n1,2\n\n   \n3,"x\ny\n')
+    assert [tuple(r) for r in read_csv(spark, path, multi_line=True).collect()][0] == ("1", "2")
+    assert read_csv(spark, path, multi_line=True).count() == 2
+    assert read_csv(spark, write(tmp_path / "b.csv", "a,b\n"), multi_line=True).count() == 0
+
+
 def test_csv_rows_keep_their_file_order(spark, tmp_path):
     write(tmp_path / "b.csv", "k,size\n" + "".join(f"{i},v\n" for i in range(5000, 9000)))
     write(tmp_path / "a.csv", "k,size\n" + "".join(f"{i},v\n" for i in range(5000)))
