@@ -174,3 +174,22 @@ def test_text_scan(spark):
     assert rows[1].email_count == 2 and rows[1].phone_hit and not rows[2].email_hit and rows[3].phone_count == 0
     rates = {r.rule: r for r in text_hit_rates(df, ["text"]).collect()}
     assert rates["email"].rows_hit == 1 and rates["email"].rows == 3 and rates["ssn"].hit_rate == 0
+
+
+def test_spans_hold_the_same_values_as_the_whole_text(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from opslens.operators.privacy import VALUE_RULES, value_pattern
+    from opslens.operators.text_scan import number_spans, value_counts
+
+    rng = random.Random(7)
+    parts = ["555-123-4567", "(555) 123 4567", "+1.555.123.4567", "123-45-6789", "4111 1111 1111 1111", "12345-6789", "12345", "9", "a", "b c", " ", "#", "x@y.co", "é",
+             "_", "\n", "-", ".", "(", ")", "word", "\u0665\u0666\u0667\u0668\u0669", "\u3000", "\U0001f600", "7 - 8"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)), "no digits " * 3000 + "12345a67890 12345"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(4)
+    plain = F.struct(*[F.coalesce(F.regexp_count("t", F.lit(value_pattern(r))), F.lit(0)).alias(r) for r in VALUE_RULES])
+    rows = df.select("t", value_counts(F.col("t")).alias("spans"), plain.alias("plain"), number_spans(F.col("t")).alias("left")).collect()
+    assert all(r.spans == r.plain for r in rows)
+    assert max(len(r.left) for r in rows if r.t and r.t.startswith("no digits")) < 40
