@@ -311,6 +311,30 @@ def whole(select: str) -> str:
     return sql.replace("select *, try_cast(order_date", "select *, 'all' as g, try_cast(order_date", 1)
 
 
+def payload_text() -> str:
+    """The payload's JSON, put together by the other engine."""
+    pairs = lambda key, value, source: (f"(select list({{'{key}': coalesce(k, 'nan'), '{value}': {r('v', 4 if value == 'delay_rate' else 2)}}} order by n) "
+                                        f"from {source})")
+    stock = "(select list({'product': k, 'inventory_on_hand': cast(v as bigint)} order by n) from stock)"
+    categories = "(select category as k, sum(rev) as v, row_number() over (order by sum(rev) desc, category nulls last) as n from t group by category) where n <= 5"
+    found = ", ".join(
+        f"{{'check': '{name}', 'severity': case when {count} > 0 then '{severity}' else 'Pass' end, 'rows_impacted': {count}, 'detail': '{detail}'}}"
+        for name, severity, count, detail in CHECKS)
+    return whole(f"""
+select cast(to_json({{
+  'purpose': 'Generate a privacy-safe weekly operations report for a small business.',
+  'metrics': {{'date_range': {{'start': start_date, 'end': end_date}}, 'total_revenue': total_revenue, 'avg_order_value': avg_order_value,
+    'row_count': row_count, 'order_count': order_count, 'return_rate': return_rate, 'delay_rate': delay_rate,
+    'top_products': {pairs('product', 'revenue', 'products')}, 'top_categories': {pairs('category', 'revenue', categories)},
+    'inventory_risks': {stock}, 'supplier_delay_risks': {pairs('supplier', 'delay_rate', 'suppliers')},
+    'weekly_revenue_change_percent': weekly_revenue_change_percent, 'current_week_revenue': current_week_revenue,
+    'previous_week_revenue': previous_week_revenue, 'risk_summary': (select list(risk order by n) from flags)}},
+  'data_quality_findings': (select [{found}] from (select *, count(*) over (partition by transaction_id) as copies from t)),
+  'privacy_controls': {{'excluded_sensitive_columns': ['order_id', 'customer_name', 'contact'], 'raw_rows_sent_to_ai': false,
+    'only_aggregated_metrics_sent_to_ai': true, 'selected_privacy_standard': 'PII Baseline'}}}}) as varchar) as payload
+from totals join week using (g)""")
+
+
 def text_counts(table: str, keys: str) -> str:
     rules = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "card": CARD, "postal": POSTAL}
     counts = ", ".join(f"cast(len(regexp_extract_all(text, '{p}')) as integer) as {n}_count" for n, p in rules.items())
@@ -513,6 +537,9 @@ def oracle_sql() -> dict[str, str]:
             "'PII Baseline' as selected_privacy_standard from totals join week using (g) join products p using (g) where p.n = 1"),
         "weekly_report": whole(
             "select section, cast(row_number() over (order by a, b) - 1 as integer) as seq, line from lines"),
+        "payload_json": payload_text(),
+        "report_footer": "select unnest(['', '---', 'Generated by prototype on ' || (select strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') from events) "
+                         "|| ' UTC. Uses synthetic or user-provided data in-memory only.']) as line",
         "weekly_report_by_region": typed(
             "select region, string_agg(line, chr(10) order by a, b) as report from lines group by region", pack("region")),
         "kpi_by_region": typed(

@@ -20,6 +20,7 @@ from opslens.operators.typed import Operations, typed
 from opslens.plans import run_log
 from opslens.plans.pipeline import STEP_LOG, STEPS, ReportingJob, Run, run_pipeline
 from opslens.sources.runs import RUNS, commit_numbers, listed, run_folder
+from opslens.sources.sinks import read_report, write_report
 from opslens.sources.staging import saved, shared_folder
 from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
@@ -230,8 +231,10 @@ def _kpi_cards(spark, sf_dir):
 
 
 def _summary_cards(spark, sf_dir):
+    table = ops(spark, sf_dir)
+    flagged = privacy.find_sensitive(table, all_reasons=False)
     pack = k.totals(_operations(spark, sf_dir, "revenue", "shipping_status"))
-    return dashboard.summary_cards(pack, len(EXCLUDED), len(SAFE_COLUMNS))
+    return dashboard.summary_cards(pack, len(flagged), len(table.columns) - len(flagged))
 
 
 def _payloads(spark, sf_dir, by=()):
@@ -266,7 +269,18 @@ def _weekly_report(spark, sf_dir):
 
 
 def _weekly_report_by_region(spark, sf_dir):
-    return report.report_text(_payloads(spark, sf_dir, REGION), REGION)
+    """The reports of all regions, each looked up by its key in the store they were written to."""
+    path = _folder(spark, "reports")
+    write_report(report.report_text(_payloads(spark, sf_dir, REGION), REGION), path, REGION)
+    keys = [r["region"] for r in spark.read.parquet(path).select("region").distinct().collect()]
+    return reduce(DataFrame.union, [read_report(spark, path, region=key) for key in keys])
+
+
+def _report_footer(spark, sf_dir):
+    """The report's last lines, made at the time of the last event."""
+    made_at = _table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp")).scalar()
+    lines = report.report_lines(_payloads(spark, sf_dir).withColumn("made_at", made_at), footer=True, made_at=F.col("made_at"))
+    return lines.where("section = 'Footer'").select("line")
 
 
 def _kpi_by_region(spark, sf_dir):
@@ -574,6 +588,7 @@ def queries() -> dict[str, Query]:
         "payload_json": _payload_json,
         "payload_values": _payload_values,
         "weekly_report": _weekly_report,
+        "report_footer": _report_footer,
         "weekly_report_by_region": _weekly_report_by_region,
         "kpi_by_region": _kpi_by_region,
         "run_log_latest": _run_log_latest,

@@ -128,7 +128,7 @@ def _sections(p: Column) -> dict[str, tuple[Column, bool]]:
     }
 
 
-def _line_array(payload_column: Column, sections: Sequence[str], footer: bool) -> Column:
+def _line_array(payload_column: Column, sections: Sequence[str], footer: bool, made_at: Column | None = None) -> Column:
     line = lambda section, text: F.struct(F.lit(section).alias("section"), text.alias("line"))
     each = lambda section, texts: F.transform(texts, lambda text: line(section, text))
     blank = lambda section: F.array(line(section, F.lit("")))
@@ -141,21 +141,21 @@ def _line_array(payload_column: Column, sections: Sequence[str], footer: bool) -
         blocks.append(F.when(F.size(lines) > 0, block).otherwise(nothing) if optional else block)
     if footer:
         made = F.concat(F.lit(FOOTER_START), F.date_format(
-            F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            F.to_utc_timestamp(F.current_timestamp() if made_at is None else made_at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
             F.lit(FOOTER_END))
         blocks.append(F.array(line("Footer", F.lit("")), line("Footer", F.lit("---")), line("Footer", made)))
     return F.concat(*blocks)
 
 
 def report_lines(payloads: DataFrame, by: Sequence[str] = (), sections: Sequence[str] = SECTIONS,
-                 footer: bool = False) -> DataFrame:
-    """The report as rows (by..., section, seq, line)."""
-    lines = payloads.select(*by, F.posexplode(_line_array(F.col("payload"), sections, footer)).alias("seq", "l"))
+                 footer: bool = False, made_at: Column | None = None) -> DataFrame:
+    """The report as rows (by..., section, seq, line). ``made_at`` is the time its footer tells, now if not given."""
+    lines = payloads.select(*by, F.posexplode(_line_array(F.col("payload"), sections, footer, made_at)).alias("seq", "l"))
     return lines.select(*by, "l.section", "seq", "l.line")
 
 
 def report_text(payloads: DataFrame, by: Sequence[str] = (), sections: Sequence[str] = SECTIONS,
-                footer: bool = False) -> DataFrame:
+                footer: bool = False, made_at: Column | None = None) -> DataFrame:
     """The report as one Markdown text per group."""
-    lines = _line_array(F.col("payload"), sections, footer)
+    lines = _line_array(F.col("payload"), sections, footer, made_at)
     return payloads.select(*by, F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))

@@ -4,6 +4,7 @@ import dataclasses
 import datetime
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from opslens.operators.quality import CHECKS
 from opslens.plans.pipeline import STEPS, ReportingJob, run_pipeline
 from opslens.plans.run_log import RUN_LOG_SCHEMA, latest_runs, run_table
 from opslens.sources.runs import clean, commit_numbers, current_run, latest_commit, listed, new_run, publish_run, put_if_absent
+from opslens.sources.sinks import export_reports, read_report, write_report
 from opslens.sources.staging import shared_folder
 from opslens.sources.tables import NA_TOKENS, check_csv, csv_faults, preview, read_csv, read_csv_files, read_table
 from opslens.streaming.refresh import refresh_stream
@@ -198,7 +200,21 @@ def test_job_for_many_businesses(spark, sf_dir, tmp_path):
     job = ReportingJob(source=ops(spark, sf_dir, OPS_COLUMNS + ("region",)), destination=str(tmp_path), by=("region",))
     run_pipeline(spark, job)
     assert spark.read.parquet(job.table("kpis")).count() == 5
-    assert len(glob.glob(job.table("report/region=*"))) == 5
+    assert read_report(spark, job.table("report"), region="ASIA").first().report.startswith("# Privacy-Safe Weekly")
+
+
+def test_store_of_many_reports(spark, tmp_path):
+    path = str(tmp_path / "store")
+    reports = spark.range(20_000).select(F.when(F.col("id") > 0, F.concat(F.lit("tenant "), F.col("id"))).alias("tenant"), (F.col("id") % 3).alias("area"),
+                                         F.repeat(F.lit("line\n"), 60).alias("report"))
+    write_report(reports, path, ("tenant", "area"))
+    assert len(glob.glob(f"{path}/*.parquet")) <= 4 and spark.read.parquet(path).count() == 20_000
+    assert [tuple(r)[:2] for r in read_report(spark, path, tenant="tenant 777").collect()] == [("tenant 777", 0)]
+    assert read_report(spark, path, tenant=None).count() == 1 and read_report(spark, path, tenant="none").count() == 0
+    plan = read_report(spark, path, tenant="tenant 777")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tenant,tenant 777)" in plan
+    export_reports(reports.where("tenant in ('tenant 1', 'tenant 2')"), str(tmp_path / "files"), ("tenant",))
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{tmp_path}/files/tenant=*")) == ["tenant=tenant 1", "tenant=tenant 2"]
 
 
 def test_job_over_awkward_headers(spark, tmp_path):
