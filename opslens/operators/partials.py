@@ -17,7 +17,8 @@ from opslens.functions.numbers import money_parts, money_total
 from opslens.operators import typed as t
 from opslens.operators.typed import Operations
 
-N, AMOUNT, ENDLESS, FIRST, LAST = "cell n", "cell amount", "cell endless", "cell first", "cell last"
+N, FIRST, LAST = "cell n", "cell first", "cell last"
+MONEY = ("cell money upper", "cell money lower", "cell money other", "cell money endless")
 RETURNED, DELAYED, STOCK = "cell returned", "cell delayed", "cell stock"
 BAD_DATES, NO_REVENUE, NEGATIVE, BAD_UNITS, NO_PRODUCT = (f"cell {x}" for x in ("bad dates", "no revenue", "negative", "bad units", "no product"))
 SET = "cell set"
@@ -33,7 +34,7 @@ def _cells(ops: Operations) -> dict[str, Column]:
     cells = {N: F.lit(1).cast("bigint")}
     if ops.has("revenue"):
         revenue = F.col(t.REVENUE)
-        cells[AMOUNT], cells[ENDLESS] = money_parts(revenue)
+        cells |= dict(zip(MONEY, money_parts(revenue)))
         cells |= {NO_REVENUE: count(revenue.isNull()), NEGATIVE: count(revenue < 0)}
     if ops.has("date"):
         cells |= {FIRST: F.col(t.TS), LAST: F.col(t.TS), BAD_DATES: count(F.col(t.TS).isNull())}
@@ -70,7 +71,7 @@ def rows_in() -> Column:
 
 def revenue_in(ops: Operations) -> Column:
     """Exact sum of revenue; 0 without a revenue column."""
-    return money_total(total(AMOUNT), total(ENDLESS)) if ops.has("revenue") else F.lit(0.0)
+    return money_total(*[total(part) for part in MONEY]) if ops.has("revenue") else F.lit(0.0)
 
 
 def share_of(name: str) -> Column:
