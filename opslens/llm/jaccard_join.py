@@ -7,16 +7,16 @@ of documents with equal sets, in these steps:
 1.  Each document gives the smallest of its token hashes (more than its prefix holds), its set's size and digest.
 2.  Tokens that stand in several prefixes link each holder with the token's first holder as a candidate. Groups of near
     copies, however large, come together here with one candidate for each document and token, not one for each pair.
-3.  Only tokens that still hold several components can link more. Those with many components (passages that unrelated
-    documents share) are the frequent class: they go last in the order, so prefixes that hold them are extended by rarer tokens,
-    and only where the rarer tokens run out are pairs of frequent tokens indexed.
-4.  Documents of little but frequent tokens (large groups of copies that are not all alike) go to their most shared pair each,
-    and those that meet there are compared by whole sets, block by block; only the links that hold a block's components
-    together leave it, never all pairs.
-5.  What is left open gives candidates between components: of a token or pair with few holders directly, of the others
-    block by block again.
-
-A candidate is first held against what both visible prefixes prove about the difference of the sets, which nearly all false
+3.  Only documents of tokens that still hold several components can have further links. Their whole sets are counted and put
+    in order anew, rarest tokens first. Tokens of one document alone stand in front: a document with too many of them to
+    reach the threshold with anything has none of the others left in its prefix, and its place in the order bounds the
+    sizes of sets it may reach.
+4.  Each token's holders are held against the one with the fewest tokens of its own, the nearest to what they are copies of.
+5.  What is left open meets by keys: a token of the rare class by itself, and for the frequent class pairs of tokens of the
+    prefix that is extended by one. Only holders of different components are paired, and a key's largest component never
+    with itself.
+
+A candidate is first held against what both sketches prove about the difference of the sets, which nearly all false
 ones fail; the others are compared by the whole texts' sets. No step sends a token's holders to one task.
 """
 
@@ -36,14 +36,10 @@ from opslens.llm.staging import staged
 
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
-#: Components of a token above which it is frequent.
+#: Holders of a token above which it is frequent and counts in pairs only.
 FREQUENT = 24
-#: Holders of a key up to which candidates are paired directly; the sets of more are compared in blocks.
-DIRECT = 64
-#: Frequent tokens known to every task at most, the most frequent first; the others count as rare and are compared in blocks.
-KNOWN = 200_000
-#: Holders in a side of a block.
-BLOCK = 256
+#: Holders of a key that meet in one task, about.
+SLOT = 512
 #: Bits of the filter that picks the documents whose texts are fetched.
 FILTER_BITS = 1 << 24
 CHUNK = 1_000_000
@@ -167,119 +163,80 @@ def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     return staged(both.select("a", "b", "s", "t").mapInArrow(_reaching(threshold, width), "a long, b long"), "links")
 
 
-def _extender(known, threshold: int):
-    """Prefixes with the frequent tokens last. ``whole``: the tokens are all of the set, not its smallest alone."""
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value
-        for batch in batches:
-            out = []
-            for node, n, tokens, whole in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens", "whole")), strict=True):
-                own = np.array(tokens, np.int64)
-                at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
-                often = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
-                length = n - (n * threshold + 99) // 100 + 2
-                rare = own[~often][:length]
-                if len(rare) < length and not whole:
-                    out.append((node, n, [], [], True))
-                    continue
-                added = np.setdiff1d(rare, own[:length], assume_unique=True)
-                last = own[often][: length - len(rare)]
-                out.append((node, n, added.tolist(), last.tolist(), False))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("node", "n", "added", "last", "short"), r, strict=True)) for r in out], schema=pa.schema([
-                    ("node", pa.int64()), ("n", pa.int64()), ("added", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("short", pa.bool_())]))
-
-    return extend
-
-
-_EXTENDED = "node long, n long, added array<long>, last array<long>, short boolean"
-
-
 def _whole_sets(width: int):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0)
             for at, texts in _portions(batch.column(1)):
                 sets = shingle_sets(texts, width)
+                flat, offsets = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), pa.array([True] * len(sets))],
-                    names=["node", "n", "tokens", "whole"])
+                    [nodes.slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
+                    names=["node", "tokens"])
 
     return sets_of
 
 
-def _extended(slim: DataFrame, nodes: DataFrame, entries: DataFrame, frequent: DataFrame, threshold: int, width: int) -> DataFrame:
-    """Index entries (key, node, n) that the frequent tokens' going last adds: further rare tokens of the documents whose prefix
-    held frequent ones, and pairs of frequent tokens where these do not suffice."""
-    tokens = np.sort(np.array([r.token for r in frequent.collect()], np.int64))  # KNOWN at most
-    known = slim.sparkSession.sparkContext.broadcast(tokens)
-    touched = entries.join(F.broadcast(frequent), "token", "left_semi").select("node").distinct()
-    rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
-    first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
-    short = first.where("short").select("node")
-    again = _texts(slim, nodes, short).select("node", "text").mapInArrow(_whole_sets(width), "node long, n long, tokens array<long>, whole boolean")
-    second = staged(again.mapInArrow(_extender(known, threshold), _EXTENDED), "extended-whole")
-    both = first.where("not short").unionByName(second)
-    added = both.select("node", "n", F.explode("added").alias("key"))
-    pairs = F.flatten(F.transform("last", lambda x, i: F.transform(
-        F.slice("last", i + 2, F.size("last")), lambda y: F.xxhash64(x, y))))
-    combined = both.where("size(last) > 1").select("node", "n", F.explode(pairs).alias("key"))
-    return staged(added.withColumn("pair", F.lit(False)).unionByName(combined.withColumn("pair", F.lit(True))).select("key", "pair", "node", "n"), "added-entries")
-
-
-def _direct(holders: DataFrame, threshold: int) -> DataFrame:
-    """Pairs between the components of keys with few holders."""
-    side = lambda c: holders.select("key", "pair", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_component"), F.col("family").alias(f"{c}_family"))
-    met = side("a").join(side("b"), ["key", "pair"]).where("a < b and a_component <> b_component and a_family <> b_family")
-    return met.where(_sizes_fit(F.col("a_n"), F.col("b_n"), threshold)).select("a", "b").distinct()
-
-
-def _block_links(threshold: int, width: int):
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between two blocks of documents, or within one, that hold them together: no more than there are documents."""
-        rows = rows.sort_values("node", ignore_index=True)
-        n, left = rows["n"].to_numpy(), rows["left"].to_numpy()
-        sets = shingle_sets(rows["text"].to_list(), width)
-        sizes = np.array([len(s) for s in sets])
-        tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        shared = times[inverse] > 1  # only tokens of several documents count in an intersection
-        column = np.cumsum(times > 1) - 1
-        common = np.zeros((len(rows), len(rows)), np.float32)
-        several = int((times > 1).sum())
-        for start in range(0, several, 4096):
-            part = np.zeros((len(rows), min(4096, several - start)), np.float32)
-            here = shared & (column[inverse] >= start) & (column[inverse] < start + 4096)
-            part[doc[here], column[inverse[here]] - start] = 1
-            common += part @ part.T
-        union = n[:, None] + n[None, :] - common
-        own = left.all()
-        linked = (100 * common >= threshold * union) & (own | (left[:, None] != left[None, :]))
-        group = rows["component"].to_numpy().copy()
-        found = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            if group[i] != group[j]:
-                found.append((rows["node"][i], rows["node"][j]))
-                group[group == group[j]] = group[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return compare
-
-
-def _in_blocks(holders: DataFrame, slim: DataFrame, nodes: DataFrame, threshold: int, width: int) -> DataFrame:
-    """The links that join the components of (key, node, n, component) with a key in common: the holders of a key are dealt into
-    blocks, and each pair of blocks is compared by whole sets in a task of its own, 2 * BLOCK documents or so."""
-    sizes = holders.groupBy("key").agg(F.count("*").alias("of"))
-    dealt = (holders.join(sizes, "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK))
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    sides = dealt.select(
-        "key", "node", "n", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"),
-        "node", "n", "component")
-    texts = staged(_texts(slim, nodes, holders.select("node").distinct()), "block-texts")  # smaller than their sets
-    met = sides.join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(threshold, width), "a long, b long")
-    return staged(met.distinct(), "block-links")
+def _reach(n: Column, place: Column, threshold: int) -> tuple[Column, Column]:
+    """The least and largest size of a set that may reach the threshold with one of ``n`` tokens, if all tokens before
+    ``place`` are not shared."""
+    least = F.ceil(n * threshold / 100).cast("long")
+    return least, (F.floor((n - place) * (100 + threshold) / threshold) - n).cast("long")
+
+
+def _met(a: str, b: str) -> Column:
+    """Whether the sizes of two holders lie in each other's reach."""
+    inside = lambda x, y: F.col(f"{y}.n").between(F.col(f"{x}.least"), F.col(f"{x}.most"))
+    return inside(a, b) & inside(b, a)
+
+
+def _ordered(slim: DataFrame, nodes: DataFrame, open_nodes: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(node, n, alone, tokens) of some documents: how many of their tokens no other of them has, and the others that stand in
+    the prefix, as (holders, token, place), rarest first. Both the counts and the order are over whole sets."""
+    texts = _texts(slim, nodes, open_nodes)
+    sets = staged(texts.select("node", "text").mapInArrow(_whole_sets(width), "node long, tokens array<long>"), "open-sets")
+    entries = sets.select("node", F.explode("tokens").alias("token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    found = entries.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
+    sized = found.join(nodes.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("tokens"))
+    visible = F.greatest(prefix_length(F.col("n"), threshold) - F.col("alone"), F.lit(0)).cast("int")
+    prefix = F.transform(F.slice("tokens", 1, visible), lambda x, i: F.struct(
+        x["holders"].alias("holders"), x["token"].alias("token"), (F.col("alone") + i).alias("place")))
+    return staged(sized.select("node", "n", "alone", prefix.alias("tokens")).where("size(tokens) > 0"), "ordered")
+
+
+def _keys(ordered: DataFrame, threshold: int) -> DataFrame:
+    """(key, node, n, least, most): each rare token by itself, and each pair of frequent ones, of the extended prefixes; the
+    sizes that a partner found by the key may have."""
+    def within(rows: DataFrame, place: Column) -> DataFrame:
+        least, most = _reach(F.col("n"), place, threshold)
+        return rows.select("key", "node", "n", least.alias("least"), most.alias("most")).where("least <= most")
+
+    rare = ordered.select("node", "n", F.explode(F.filter("tokens", lambda x: x["holders"] <= FREQUENT)).alias("x"))
+    single = within(rare.withColumn("key", F.xxhash64("x.token")), F.col("x.place"))
+    often = ordered.withColumn("often", F.filter("tokens", lambda x: x["holders"] > FREQUENT)).where("size(often) > 1")
+    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.struct(
+        F.xxhash64(x["token"], y["token"]).alias("key"), y["place"].alias("place")))))
+    both = often.select("node", "n", F.explode(pairs).alias("x"))
+    # of the tokens before the second one only the first is shared
+    return single.unionByName(within(both.withColumn("key", F.col("x.key")), F.col("x.place") - 1))
+
+
+def _candidates(holders: DataFrame) -> DataFrame:
+    """Pairs of (key, node, n, least, most, component) that share a key and lie in different components.
+
+    A key's largest component is not paired with itself, so a key costs as many pairs as it has holders of other
+    components times all its holders whose sizes fit. Holders are dealt over slots, and the others repeated in each, so no
+    task gets all of a key.
+    """
+    held = holders.groupBy("key", "component").agg(F.count("*").alias("own"))
+    main = held.groupBy("key").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("of"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("key", F.col("main.component").alias("main"), F.ceil(F.col("of") / SLOT).alias("slots"))
+    known = staged(holders.join(main, "key"), "holders")
+    others = known.where("component <> main").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    everyone = known.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+    met = others.alias("x").join(everyone.alias("y"), ["key", "slot"]).where(_met("x", "y")).where("x.component <> y.component")
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -298,48 +255,32 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     fit = held.where("node <> first.node").where(_sizes_fit(F.col("n"), F.col("first.n"), threshold))
     stars = staged(fit.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verified(slim, nodes, stars, threshold, width)
-
-    components_now = staged(components(links), "components")
-
-    def with_components(rows: DataFrame) -> DataFrame:
-        return rows.join(components_now, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    placed = staged(with_components(held.select("token", "node", "n")), "placed-tokens")
-    open_tokens = placed.groupBy("token").agg(F.countDistinct("component").alias("components")).where("components > 1")
-    open_tokens = staged(open_tokens, "open-tokens")
-    frequent = open_tokens.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token")
-    frequent = staged(frequent, "frequent-tokens")
-    holders = (placed.join(open_tokens.select("token"), "token", "left_semi").join(F.broadcast(frequent), "token", "left_anti")
-               .select(F.col("token").alias("key"), F.lit(False).alias("pair"), "node", "n"))
-    families = holders.select("node", F.col("node").alias("family")).where("false")
-    if not frequent.isEmpty():
-        more = _extended(slim, nodes, held, frequent, threshold, width)
-        # documents of little but frequent tokens: each goes to its most shared pair, and all that meet there are compared
-        pairs = with_components(more.where("pair"))
-        shared = pairs.groupBy("key").agg(F.countDistinct("component").alias("times")).where("times > 1")
-        chosen = pairs.join(shared, "key").groupBy("node", "n", "component").agg(F.max(F.struct("times", "key")).alias("most"))
-        members = staged(chosen.select(F.col("most.key").alias("key"), "node", "n", "component"), "families")
-        links = links.unionByName(_in_blocks(members, slim, nodes, threshold, width))
-        components_now = staged(components(links), "components")
-        families = members.select("node", F.col("key").alias("family"))
-        # a token that an extended prefix adds may stand in other prefixes too
-        others = entries.withColumnRenamed("token", "key").join(more.where("not pair").select("key").distinct(), "key", "left_semi")
-        met = others.select("key", F.lit(False).alias("pair"), "node", "n").unionByName(more)
-        holders = holders.unionByName(met.select("key", "pair", "node", "n")).distinct()
-    # nothing more is to be found where all holders are of one component, or of one family
-    placed_now = with_components(holders).join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    placed_now = staged(placed_now, "placed-holders")
-    sums = placed_now.groupBy("key", "pair").agg(
-        F.count("*").alias("of"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("component", "family")])
-    open_keys = sums.where("min_component <> max_component and min_family <> max_family").select("key", "pair", "of")
-    holders = staged(placed_now.join(open_keys, ["key", "pair"]), "holders")
-    few, many = holders.where(F.col("of") <= DIRECT), holders.where(F.col("of") > DIRECT)
-    pairs = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(_verified(slim, nodes, pairs, threshold, width))
-    if not many.isEmpty():
-        keys = many.withColumn("key", F.xxhash64("key", "pair")).select("key", "node", "n", "component")
-        links = links.unionByName(_in_blocks(keys, slim, nodes, threshold, width))
-    return sketches, nodes, links
+    now = staged(components(links), "components")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    spread = placed(held.select("token", "node"))
+    open_tokens = spread.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    open_nodes = staged(held.join(open_tokens, "token", "left_semi").select("node").distinct(), "open-nodes")
+    if open_nodes.isEmpty():
+        return sketches, nodes, links
+    # any link not found yet is between two of these, so one order of tokens for them alone is enough
+    ordered = _ordered(slim, nodes, open_nodes, threshold, width)
+    keyed = placed(ordered.select("node", "n", "alone", F.explode("tokens").alias("x")))
+    least, most = _reach(F.col("n"), F.col("x.place"), threshold)
+    keyed = staged(keyed.select(F.col("x.token").alias("token"), "node", "n", "alone", "component", least.alias("least"), most.alias("most")), "open-entries")
+    # the centre of a token's holders is the one with the fewest tokens of its own: copies are nearest to what they are copies of
+    centre = keyed.groupBy("token").agg(F.min(F.struct("alone", "node", "n", "least", "most", "component")).alias("y"))
+    near = keyed.select("token", F.struct("node", "n", "least", "most", "component").alias("x")).join(centre, "token")
+    near = near.where("x.component <> y.component").where(_met("x", "y"))
+    more = staged(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "centre-pairs")
+    links = links.unionByName(_verified(slim, nodes, more, threshold, width))
+    now = staged(components(links), "components")
+    pairs = _candidates(staged(placed(_keys(ordered, threshold)), "placed-keys"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
+    pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+    return sketches, nodes, links.unionByName(_verified(slim, nodes, pairs, threshold, width))
 
 
 def near_components(

@@ -64,12 +64,10 @@ def corpus():
     return [*rows, (len(rows), None), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("frequent, direct, known, block", [(24, 64, 200_000, 256), (2, 2, 200_000, 4), (2, 2, 5, 3)])
-def test_components_of_near_copies(spark, monkeypatch, frequent, direct, known, block):
-    monkeypatch.setattr(j, "DIRECT", direct)
+@pytest.mark.parametrize("frequent, slot", [(24, 512), (2, 4), (0, 3)])
+def test_components_of_near_copies(spark, monkeypatch, frequent, slot):
     monkeypatch.setattr(j, "FREQUENT", frequent)
-    monkeypatch.setattr(j, "KNOWN", known)
-    monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "SLOT", slot)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.near_components(docs).collect())
@@ -98,8 +96,8 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_stage_leaves_no_near_copies_of_five_words(spark, monkeypatch):
-    """The pipeline's stage against all pairs at 5 words and 0.8, through blocks and frequent tokens too."""
-    for name, value in (("DIRECT", 2), ("FREQUENT", 2), ("BLOCK", 4)):
+    """The pipeline's stage against all pairs at 5 words and 0.8, through slots and frequent tokens too."""
+    for name, value in (("FREQUENT", 2), ("SLOT", 4)):
         monkeypatch.setattr(j, name, value)
     rng = random.Random(7)
     rows = [(i, t) for i, t in dict(corpus()).items()]
@@ -123,3 +121,38 @@ def test_stage_leaves_no_near_copies_of_five_words(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect())
     assert kept == sorted(i for i, c in component.items() if i == c)
+
+
+def family(n, edits, seed=1):
+    """Documents around one base, each with words replaced by common ones."""
+    rng = random.Random(seed)
+    vocabulary = [f"c{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(edits if edits >= 0 else rng.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_families_of_mixed_distances(spark):
+    rows = family(300, -1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_work_on_a_family_grows_with_its_size(spark, monkeypatch):
+    """Documents alike but below the threshold: candidates stay in proportion."""
+    made = {}
+    for n in (250, 1000):
+        counted = []
+        original = j._verified
+        monkeypatch.setattr(j, "_verified", lambda slim, nodes, pairs, *rest: counted.append(pairs.count()) or original(slim, nodes, pairs, *rest))
+        rows = family(n, 7)
+        found = j.near_components(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct().count()
+        monkeypatch.setattr(j, "_verified", original)
+        made[n] = sum(counted)
+        assert found > 0.9 * n
+    assert made[1000] < 6 * made[250] + 1000
