@@ -7,12 +7,16 @@ of documents with equal sets, in these steps:
 1.  Each document gives the smallest of its token hashes (more than its prefix holds), its set's size and digest.
 2.  Tokens that stand in several prefixes link each holder with the token's first holder as a candidate. Groups of near
     copies, however large, come together here with one candidate for each document and token, not one for each pair.
-3.  Only documents of tokens that still hold several components can have further links. Their whole sets are counted and put
-    in order anew, rarest tokens first. Tokens of one document alone stand in front: a document with too many of them to
-    reach the threshold with anything has none of the others left in its prefix, and its place in the order bounds the
-    sizes of sets it may reach.
-4.  Each token's holders are held against the one with the fewest tokens of its own, the nearest to what they are copies of.
-5.  What is left open meets by keys: a token of the rare class by itself, and for the frequent class pairs of tokens of the
+3.  Only tokens that still hold several components can link more. Those with many components (passages that unrelated
+    documents share) are the frequent class: they go last in the order, so prefixes that hold them are extended by rarer tokens,
+    read from the text where the smallest hashes do not suffice. Tokens of few holders then pair these directly.
+4.  Documents whose prefix still holds frequent tokens, or tokens of many holders, are left (large groups of copies that are
+    not all alike). Their whole sets are counted and put in order anew, rarest tokens first. Tokens of one document alone
+    stand in front: a document with too many of them to reach the threshold with anything has none of the others left in its
+    prefix, and the place of a token in the order bounds the sizes of sets that can be reached by it.
+5.  Each of these tokens' holders are held against the one with the fewest tokens of its own, the nearest to what they are
+    copies of.
+6.  What is left open meets by keys: a token of the rare class by itself, and for the frequent class pairs of tokens of the
     prefix that is extended by one. Only holders of different components are paired, and a key's largest component never
     with itself.
 
@@ -38,6 +42,10 @@ from opslens.llm.staging import staged
 THRESHOLD = 90
 #: Holders of a token above which it is frequent and counts in pairs only.
 FREQUENT = 24
+#: Frequent tokens known to every task at most, the most frequent first; documents of the others are put in order by whole sets.
+KNOWN = 200_000
+#: Holders of a rare token up to which its candidates are paired directly.
+DIRECT = 64
 #: Holders of a key that meet in one task, about.
 SLOT = 512
 #: Bits of the filter that picks the documents whose texts are fetched.
@@ -177,6 +185,47 @@ def _whole_sets(width: int):
     return sets_of
 
 
+def _extender(known, threshold: int):
+    """Prefixes with the frequent tokens last: the rare tokens that this adds, and how many frequent ones are left. ``whole``: the
+    tokens are all of the set, not its smallest alone; where the smallest do not suffice the row is ``short``."""
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = known.value
+        for batch in batches:
+            out = []
+            for node, n, tokens, whole in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens", "whole")), strict=True):
+                own = np.array(tokens, np.int64)
+                at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
+                often = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+                length = n - (n * threshold + 99) // 100 + 2
+                rare = own[~often][:length]
+                short = len(rare) < length and not whole
+                added = [] if short else np.setdiff1d(rare, own[:length], assume_unique=True).tolist()
+                out.append((node, n, added, 0 if short else min(length - len(rare), int(often.sum())), short))
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("node", "n", "added", "left", "short"), r, strict=True)) for r in out], schema=pa.schema([
+                    ("node", pa.int64()), ("n", pa.int64()), ("added", pa.list_(pa.int64())), ("left", pa.int64()), ("short", pa.bool_())]))
+
+    return extend
+
+
+_EXTENDED = "node long, n long, added array<long>, left long, short boolean"
+
+
+def _extended(slim: DataFrame, nodes: DataFrame, held: DataFrame, frequent: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(node, n, added, left) of the documents whose prefix holds frequent tokens: the rare tokens that come into it when those
+    go last, and how many frequent ones stay in it."""
+    tokens = np.sort(np.array([r.token for r in frequent.collect()], np.int64))  # KNOWN at most
+    known = slim.sparkSession.sparkContext.broadcast(tokens)
+    touched = held.join(frequent, "token", "left_semi").select("node").distinct()
+    rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
+    first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
+    short = first.where("short").select("node")
+    sets = _texts(slim, nodes, short).select("node", "text").mapInArrow(_whole_sets(width), "node long, tokens array<long>")
+    again = sets.select("node", F.size("tokens").cast("long").alias("n"), "tokens", F.lit(True).alias("whole"))
+    second = staged(again.mapInArrow(_extender(known, threshold), _EXTENDED), "extended-whole")
+    return first.where("not short").unionByName(second).drop("short")
+
+
 def _reach(n: Column, place: Column, threshold: int) -> tuple[Column, Column]:
     """The least and largest size of a set that may reach the threshold with one of ``n`` tokens, if all tokens before
     ``place`` are not shared."""
@@ -239,6 +288,13 @@ def _candidates(holders: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _direct(holders: DataFrame, threshold: int) -> DataFrame:
+    """Pairs between the components of tokens with few holders."""
+    side = lambda c: holders.select("token", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_component"))
+    met = side("a").join(side("b"), "token").where("a < b and a_component <> b_component")
+    return met.where(_sizes_fit(F.col("a_n"), F.col("b_n"), threshold)).select("a", "b").distinct()
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their sketches, nodes (one for each distinct set), and links between nodes."""
     slim = _slim(docs, doc_id, text)
@@ -260,11 +316,29 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    spread = placed(held.select("token", "node"))
-    open_tokens = spread.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    open_nodes = staged(held.join(open_tokens, "token", "left_semi").select("node").distinct(), "open-nodes")
+    def of_several(rows: DataFrame) -> DataFrame:
+        """Tokens that several components hold, and how many holders they have."""
+        sums = placed(rows.select("token", "node")).groupBy("token").agg(
+            F.count("*").alias("of"), F.countDistinct("component").alias("components"))
+        return sums.where("components > 1")
+
+    open_tokens = staged(of_several(held), "open-tokens")
+    frequent = staged(open_tokens.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token"), "frequent-tokens")
+    extended = _extended(slim, nodes, held, frequent, threshold, width)
+    added = extended.select("node", "n", F.explode("added").alias("token"))
+    # a token that an extended prefix adds may stand in other prefixes too
+    others = entries.join(added.select("token").distinct(), "token", "left_semi")
+    rest = held.join(open_tokens, "token", "left_semi").join(frequent, "token", "left_anti").select("token", "node", "n")
+    rare = staged(added.select("token", "node", "n").unionByName(others.select("token", "node", "n")).unionByName(rest).distinct(), "rare-tokens")
+    keys = staged(of_several(rare), "rare-keys")
+    few = placed(rare.join(keys.where(F.col("of") <= DIRECT).select("token"), "token", "left_semi"))
+    direct = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "direct-pairs")
+    links = links.unionByName(_verified(slim, nodes, direct, threshold, width))
+    hot = rare.join(keys.where(F.col("of") > DIRECT), "token", "left_semi").select("node")
+    open_nodes = staged(hot.unionByName(extended.where("left > 1").select("node")).distinct(), "open-nodes")
     if open_nodes.isEmpty():
         return sketches, nodes, links
+    now = staged(components(links), "components")
     # any link not found yet is between two of these, so one order of tokens for them alone is enough
     ordered = _ordered(slim, nodes, open_nodes, threshold, width)
     keyed = placed(ordered.select("node", "n", "alone", F.explode("tokens").alias("x")))
@@ -278,7 +352,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     links = links.unionByName(_verified(slim, nodes, more, threshold, width))
     now = staged(components(links), "components")
     pairs = _candidates(staged(placed(_keys(ordered, threshold)), "placed-keys"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
+    tried = stars.unionByName(direct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
     pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
     return sketches, nodes, links.unionByName(_verified(slim, nodes, pairs, threshold, width))
 

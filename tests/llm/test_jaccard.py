@@ -64,9 +64,11 @@ def corpus():
     return [*rows, (len(rows), None), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("frequent, slot", [(24, 512), (2, 4), (0, 3)])
-def test_components_of_near_copies(spark, monkeypatch, frequent, slot):
+@pytest.mark.parametrize("frequent, direct, known, slot", [(24, 64, 200_000, 512), (2, 2, 200_000, 4), (2, 2, 5, 3)])
+def test_components_of_near_copies(spark, monkeypatch, frequent, direct, known, slot):
+    monkeypatch.setattr(j, "DIRECT", direct)
     monkeypatch.setattr(j, "FREQUENT", frequent)
+    monkeypatch.setattr(j, "KNOWN", known)
     monkeypatch.setattr(j, "SLOT", slot)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -97,7 +99,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_stage_leaves_no_near_copies_of_five_words(spark, monkeypatch):
     """The pipeline's stage against all pairs at 5 words and 0.8, through slots and frequent tokens too."""
-    for name, value in (("FREQUENT", 2), ("SLOT", 4)):
+    for name, value in (("DIRECT", 2), ("FREQUENT", 2), ("SLOT", 4)):
         monkeypatch.setattr(j, name, value)
     rng = random.Random(7)
     rows = [(i, t) for i, t in dict(corpus()).items()]
