@@ -38,6 +38,8 @@ SAMPLE = 2000
 #: Characters scored together, and words whose margins a worker keeps.
 CHUNK = 2_000_000
 KEPT = 500_000
+#: Words whose subsequences or features are held at once.
+PORTION = 2000
 THRESHOLD = 0.7
 #: Margin from which a word surely counts as toxic.
 SURE = 0.6
@@ -158,14 +160,20 @@ def disguised(word: str) -> list[str]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Linear support vector machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    v = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
+    size = x.shape[1] + 1
+    v = np.zeros(size)
+    penalty = ridge * np.eye(size)
     penalty[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x @ v) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve(penalty + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active])
+        left, right = penalty.copy(), np.zeros(size)
+        for at in range(0, len(x), PORTION):  # sums over portions, so that no copy of all features is made
+            own = np.concatenate([x[at : at + PORTION], np.ones((len(x[at : at + PORTION]), 1))], axis=1, dtype=np.float64)
+            labels = y[at : at + PORTION]
+            active = labels * (own @ v) < 1
+            weighed = own[active] * weight[at : at + PORTION][active, None]
+            left += weighed.T @ own[active]
+            right += weighed.T @ labels[active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - v).max() < 1e-6:
             break
         v = new
@@ -186,8 +194,8 @@ class Model:
             return np.zeros(0)
         found = np.empty(len(words))
         order = np.argsort([len(w) for w in words], kind="stable")  # words of like length together
-        for i in range(0, len(words), 20_000):
-            own = order[i : i + 20_000]
+        for i in range(0, len(words), PORTION):
+            own = order[i : i + PORTION]
             codes, weights = _codes([words[k] for k in own])
             found[own] = (_normalized(codes, weights) * self.direction[codes]).sum(axis=1) + self.bias
         return found
@@ -326,10 +334,10 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     values, vectors = np.linalg.eigh(kernel + 1e-6 * np.eye(len(landmarks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     known = set(words)
-    virtual = features(sorted({v for k in strong for v in disguised(words[k])} - known), spread) @ root
+    virtual = features(sorted({v for k in strong for v in disguised(words[k])} - known), spread) @ root.astype(np.float32)
     positive, negative = list(strong), list(clean)
     for step in range(2):
-        x = features([words[k] for k in [*positive, *negative]], spread) @ root
+        x = features([words[k] for k in [*positive, *negative]], spread) @ root.astype(np.float32)
         labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         times = np.concatenate([bad[positive], 1.0 + np.log1p(good[negative])])
         weight = np.where(labels > 0, times / times[labels > 0].sum(), times / times[labels < 0].sum()) * len(labels) / 2
@@ -355,13 +363,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` labelled texts of each class, taken by a hash of the id. Labels without an id or
-    a label, or without a text, play no part; an id labelled twice counts as often."""
+    """A model fitted on at most ``sample`` labelled ids of each class, taken by a hash of the id, and on four times as many of
+    their texts, taken by a hash of id and text. Labels without an id or a label, or without a text, play no part; an id
+    labelled twice counts as often."""
     named = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     by_hash = lambda k: named.where(f"label = {k}").orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
     chosen = by_hash(0).unionByName(by_hash(1))  # 2 * sample rows at most
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    found = rows.join(F.broadcast(chosen), "id").orderBy("id", "label", F.md5("text")).limit(4 * sample).toPandas()
+    found = rows.join(F.broadcast(chosen), "id").orderBy(
+        F.md5(F.concat_ws("/", F.col("id").cast("string"), "text")), "label").limit(4 * sample).toPandas()
     return fit(found["text"].tolist(), found["label"].tolist())
 
 
