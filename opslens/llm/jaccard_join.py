@@ -9,7 +9,8 @@ of documents with equal sets, in these steps:
     copies, however large, come together here with one candidate for each document and token, not one for each pair.
 3.  Only tokens that still hold several components can link more. Those with many components (passages that unrelated
     documents share) are the frequent class: they go last in the order, so prefixes that hold them are extended by rarer tokens,
-    read from the text where the smallest hashes do not suffice. Tokens of few holders then pair these directly.
+    read from the text where the smallest hashes do not suffice; tokens that turn out frequent then join the class in a second
+    round. Tokens of few holders then pair these directly.
 4.  Documents whose prefix still holds frequent tokens, or tokens of many holders, are left (large groups of copies that are
     not all alike). Their whole sets are counted and put in order anew, rarest tokens first. Tokens of one document alone
     stand in front: a document with too many of them to reach the threshold with anything has none of the others left in its
@@ -42,8 +43,9 @@ from opslens.llm.staging import staged
 THRESHOLD = 90
 #: Holders of a token above which it is frequent and counts in pairs only.
 FREQUENT = 24
-#: Frequent tokens known to every task at most, the most frequent first; documents of the others are put in order by whole sets.
-KNOWN = 200_000
+#: Frequent tokens that join the class in a round at most, the most frequent first, and rounds; documents of tokens that turn
+#: out frequent after them are put in order by whole sets.
+KNOWN, ROUNDS = 200_000, 2
 #: Holders of a rare token up to which its candidates are paired directly.
 DIRECT = 64
 #: Holders of a key that meet in one task, about.
@@ -211,12 +213,10 @@ def _extender(known, threshold: int):
 _EXTENDED = "node long, n long, added array<long>, left long, short boolean"
 
 
-def _extended(slim: DataFrame, nodes: DataFrame, held: DataFrame, frequent: DataFrame, threshold: int, width: int) -> DataFrame:
-    """(node, n, added, left) of the documents whose prefix holds frequent tokens: the rare tokens that come into it when those
-    go last, and how many frequent ones stay in it."""
-    tokens = np.sort(np.array([r.token for r in frequent.collect()], np.int64))  # KNOWN at most
-    known = slim.sparkSession.sparkContext.broadcast(tokens)
-    touched = held.join(frequent, "token", "left_semi").select("node").distinct()
+def _extended(slim: DataFrame, nodes: DataFrame, touched: DataFrame, frequent: np.ndarray, threshold: int, width: int) -> DataFrame:
+    """(node, n, added, left) of documents whose prefix holds frequent tokens (sorted): the rare tokens that come into it when
+    those go last, and how many frequent ones stay in it."""
+    known = slim.sparkSession.sparkContext.broadcast(frequent)
     rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
     first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
     short = first.where("short").select("node")
@@ -323,19 +323,30 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
         return sums.where("components > 1")
 
     open_tokens = staged(of_several(held), "open-tokens")
-    frequent = staged(open_tokens.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token"), "frequent-tokens")
-    extended = _extended(slim, nodes, held, frequent, threshold, width)
-    added = extended.select("node", "n", F.explode("added").alias("token"))
-    # a token that an extended prefix adds may stand in other prefixes too
-    others = entries.join(added.select("token").distinct(), "token", "left_semi")
-    rest = held.join(open_tokens, "token", "left_semi").join(frequent, "token", "left_anti").select("token", "node", "n")
-    rare = staged(added.select("token", "node", "n").unionByName(others.select("token", "node", "n")).unionByName(rest).distinct(), "rare-tokens")
-    keys = staged(of_several(rare), "rare-keys")
+    rare = staged(held.join(open_tokens, "token", "left_semi").select("token", "node", "n"), "rare-tokens")
+    keys, known, extended = open_tokens, np.zeros(0, np.int64), None
+    for _ in range(ROUNDS):
+        found = keys.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token")
+        frequent = staged(found, "frequent-tokens")
+        new = np.array([r.token for r in frequent.collect()], np.int64)  # KNOWN at most a round
+        if not len(new):
+            break
+        known = np.union1d(known, new)
+        touched = staged(rare.join(frequent, "token", "left_semi").select("node").distinct(), "touched")
+        again = _extended(slim, nodes, touched, known, threshold, width)
+        extended = staged(again if extended is None else extended.join(touched, "node", "left_anti").unionByName(again), "extended-all")
+        # rare tokens that extended prefixes add may stand in other prefixes too, and be frequent in their turn
+        added = extended.select(F.explode("added").alias("token"), "node", "n")
+        others = entries.join(added.select("token").distinct(), "token", "left_semi").select("token", "node", "n")
+        kept = rare.join(frequent, "token", "left_anti")
+        rare = staged(kept.unionByName(added).unionByName(others).distinct(), "rare-tokens")
+        keys = staged(of_several(rare), "rare-keys")
     few = placed(rare.join(keys.where(F.col("of") <= DIRECT).select("token"), "token", "left_semi"))
     direct = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "direct-pairs")
     links = links.unionByName(_verified(slim, nodes, direct, threshold, width))
     hot = rare.join(keys.where(F.col("of") > DIRECT), "token", "left_semi").select("node")
-    open_nodes = staged(hot.unionByName(extended.where("left > 1").select("node")).distinct(), "open-nodes")
+    left = hot if extended is None else hot.unionByName(extended.where("left > 1").select("node"))
+    open_nodes = staged(left.distinct(), "open-nodes")
     if open_nodes.isEmpty():
         return sketches, nodes, links
     now = staged(components(links), "components")
