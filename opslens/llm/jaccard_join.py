@@ -53,6 +53,8 @@ SLOT = 512
 #: Bits of the filter that picks the documents whose texts are fetched.
 FILTER_BITS = 1 << 24
 CHUNK = 1_000_000
+#: Rows of a batch that are turned into Python objects at once.
+ROWS = 256
 
 _SKETCH = "doc_id long, text_hash long, n long, high long, low long, tokens array<long>"
 
@@ -91,7 +93,8 @@ def _sketcher(threshold: int, width: int):
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Texts in runs of about CHUNK characters, with the place of the first."""
     held, size, start = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
+    texts = (t for at in range(0, len(column), ROWS) for t in column.slice(at, ROWS).to_pylist())
+    for i, t in enumerate(texts):
         held.append(t or "")
         size += len(held[-1])
         if size > CHUNK:
@@ -192,7 +195,7 @@ def _extender(known, threshold: int):
     tokens are all of the set, not its smallest alone; where the smallest do not suffice the row is ``short``."""
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = known.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
             for node, n, tokens, whole in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens", "whole")), strict=True):
                 own = np.array(tokens, np.int64)
