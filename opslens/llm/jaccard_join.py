@@ -52,7 +52,7 @@ DIRECT = 64
 SLOT = 512
 #: Bits of the filter that picks the documents whose texts are fetched.
 FILTER_BITS = 1 << 24
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Rows of a batch that are turned into Python objects at once.
 ROWS = 256
 
@@ -223,9 +223,15 @@ def _extended(slim: DataFrame, nodes: DataFrame, touched: DataFrame, frequent: n
     rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
     first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
     short = first.where("short").select("node")
-    sets = _texts(slim, nodes, short).select("node", "text").mapInArrow(_whole_sets(width), "node long, tokens array<long>")
-    again = sets.select("node", F.size("tokens").cast("long").alias("n"), "tokens", F.lit(True).alias("whole"))
-    second = staged(again.mapInArrow(_extender(known, threshold), _EXTENDED), "extended-whole")
+    sets, extend = _whole_sets(width), _extender(known, threshold)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # both in one worker
+        for batch in sets(batches):
+            n = pa.array(np.diff(np.asarray(batch.column("tokens").offsets)), pa.int64())
+            yield from extend([pa.RecordBatch.from_arrays(
+                [batch.column("node"), n, batch.column("tokens"), pa.array([True] * len(n))], names=["node", "n", "tokens", "whole"])])
+
+    second = staged(_texts(slim, nodes, short).select("node", "text").mapInArrow(again, _EXTENDED), "extended-whole")
     return first.where("not short").unionByName(second).drop("short")
 
 
