@@ -29,8 +29,8 @@ IRREGULAR = re.sub(r"\\u(....)", r"\\x{\1}", f"[{DOUBTFUL}\\t\\v\\f\\r]|[ \\n][
 #: A stop or comma behind a letter, which is always a piece of its own: words with and without one count as one word.
 STOP = r"(\pL)([.,])( |$)"
 #: Characters encoded together, and pieces kept; both bound a worker's memory.
-CHUNK = 4_000_000
-KEPT = 1_500_000
+CHUNK = 1_000_000
+KEPT = 400_000
 #: Stands before a piece that no space belongs to.
 MARK = "\x00"
 
@@ -94,7 +94,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pieces are text; ``encode`` cuts texts at added tokens itself
+        self.added = {token.content: i for i, token in self.tokenizer.get_added_tokens_decoder().items() if token.content}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -205,8 +207,31 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (ids of some texts one after the other, their numbers of ids); a very long text comes in parts, all but
-        the last with the number -1 and alone. Null texts are empty."""
-        for some in _portions(pc.fill_null(texts.cast(pa.large_string()), "")):
+        the last with the number -1 and alone. Null texts are empty. A string that the vocabulary names as an added token has
+        that token's id, as in the tokenizers library, and the text on both sides of it is encoded by itself."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = [i for i, t in enumerate(texts.to_pylist()) if self._cut.search(t)] if self._cut and any(
+            pc.any(pc.match_substring(texts, token)).as_py() for token in self.added) else []
+        at = 0
+        for i in cut:
+            yield from self._plain(texts.slice(at, i - at))
+            yield from self._with_added(texts[i].as_py())
+            at = i + 1
+        yield from self._plain(texts.slice(at))
+
+    def _with_added(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of one text that holds added tokens, in parts."""
+        for part in self._cut.split(text):
+            if part in self.added:
+                yield np.array([self.added[part]], np.uint32), np.array([-1])
+            elif part:
+                for ids, _ in self._plain(pa.array([part], pa.large_string())):
+                    yield ids, np.array([-1])
+        yield np.zeros(0, np.uint32), np.array([0])
+
+    def _plain(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of texts in which no added token counts as one."""
+        for some in _portions(texts):
             if len(some) == 1 and len(text := some[0].as_py()) > CHUNK:
                 *head, tail = chunks(text)
                 for part in head:
