@@ -36,10 +36,12 @@ LANDMARKS = 200
 #: Labelled texts that a model is fitted on at most, of each class; taken by a hash of the id.
 SAMPLE = 2000
 #: Characters scored together, and words whose margins a worker keeps.
-CHUNK = 2_000_000
-KEPT = 500_000
+CHUNK = 1_000_000
+KEPT = 200_000
 #: Words whose subsequences or features are held at once.
 PORTION = 2000
+#: Texts of a batch that are turned into other forms at once.
+ROWS = 500
 THRESHOLD = 0.7
 #: Margin from which a word surely counts as toxic.
 SURE = 0.6
@@ -384,7 +386,8 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series(scorer.scores(pa.array(texts, pa.large_string(), from_pandas=True)))
+            own = [scorer.scores(pa.array(texts.iloc[at : at + ROWS], pa.large_string(), from_pandas=True)) for at in range(0, len(texts), ROWS)]
+            yield pd.Series(np.concatenate(own) if own else np.zeros(0))
 
     return docs.withColumn("score", score(F.col(text).cast("string")))
 
