@@ -37,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 
 from opslens.llm.components import components
 from opslens.llm.shingles import WIDTH, digest, shingle_sets
-from opslens.llm.staging import staged
+from opslens.llm.staging import staged, tidy
 
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
@@ -173,7 +173,7 @@ def _verified(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     texts = staged(_texts(slim, nodes, wanted), "near-texts")
     both = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b"))
-    return staged(both.select("a", "b", "s", "t").mapInArrow(_reaching(threshold, width), "a long, b long"), "links")
+    return staged(both.select("a", "b", "s", "t").mapInArrow(tidy(_reaching(threshold, width)), "a long, b long"), "links")
 
 
 def _whole_sets(width: int):
@@ -221,7 +221,7 @@ def _extended(slim: DataFrame, nodes: DataFrame, touched: DataFrame, frequent: n
     those go last, and how many frequent ones stay in it."""
     known = slim.sparkSession.sparkContext.broadcast(frequent)
     rows = nodes.join(touched, "node", "left_semi").select("node", "n", "tokens", (F.size("tokens") >= F.col("n")).alias("whole"))
-    first = staged(rows.mapInArrow(_extender(known, threshold), _EXTENDED), "extended")
+    first = staged(rows.mapInArrow(tidy(_extender(known, threshold)), _EXTENDED), "extended")
     short = first.where("short").select("node")
     sets, extend = _whole_sets(width), _extender(known, threshold)
 
@@ -231,7 +231,7 @@ def _extended(slim: DataFrame, nodes: DataFrame, touched: DataFrame, frequent: n
             yield from extend([pa.RecordBatch.from_arrays(
                 [batch.column("node"), n, batch.column("tokens"), pa.array([True] * len(n))], names=["node", "n", "tokens", "whole"])])
 
-    second = staged(_texts(slim, nodes, short).select("node", "text").mapInArrow(again, _EXTENDED), "extended-whole")
+    second = staged(_texts(slim, nodes, short).select("node", "text").mapInArrow(tidy(again), _EXTENDED), "extended-whole")
     return first.where("not short").unionByName(second).drop("short")
 
 
@@ -252,7 +252,7 @@ def _ordered(slim: DataFrame, nodes: DataFrame, open_nodes: DataFrame, threshold
     """(node, n, alone, tokens) of some documents: how many of their tokens no other of them has, and the others that stand in
     the prefix, as (holders, token, place), rarest first. Both the counts and the order are over whole sets."""
     texts = _texts(slim, nodes, open_nodes)
-    sets = staged(texts.select("node", "text").mapInArrow(_whole_sets(width), "node long, tokens array<long>"), "open-sets")
+    sets = staged(texts.select("node", "text").mapInArrow(tidy(_whole_sets(width)), "node long, tokens array<long>"), "open-sets")
     entries = sets.select("node", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     found = entries.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
@@ -307,7 +307,7 @@ def _direct(holders: DataFrame, threshold: int) -> DataFrame:
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their sketches, nodes (one for each distinct set), and links between nodes."""
     slim = _slim(docs, doc_id, text)
-    sketches = staged(slim.mapInArrow(_sketcher(threshold, width), _SKETCH), "sketches")
+    sketches = staged(slim.mapInArrow(tidy(_sketcher(threshold, width)), _SKETCH), "sketches")
     classes = sketches.where("n > 0")
     labels = classes.groupBy("high", "low").agg(F.min("doc_id").alias("label"))
     single = classes.dropDuplicates(["high", "low"]).join(labels, ["high", "low"])

@@ -248,3 +248,8 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+def forget(path: str) -> None:
+    """Drop the worker's encoder, so that workers hold nothing of it between stages."""
+    _encoders.pop(path, None)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from opslens.llm.pieces import encoder
+from opslens.llm.pieces import encoder, forget
+from opslens.llm.staging import tidy
 from opslens.llm.wavelet import WaveletMatrix
 
 END_ID = 0
@@ -69,6 +70,7 @@ def _packer(path: str, shard_ids: int):
                         shard, ids, doc_ids, sizes, held = shard + 1, [], [], [], 0
         if doc_ids:
             yield _row(shard, ids, doc_ids, sizes)
+        forget(path)
 
     return pack
 
@@ -83,7 +85,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranges = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    (ranges.mapInArrow(_packer(tokenizer, shard_ids), FILE_SCHEMA)
+    (ranges.mapInArrow(tidy(_packer(tokenizer, shard_ids)), FILE_SCHEMA)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(folder))
 
 
@@ -120,7 +122,7 @@ def documents(shards: DataFrame) -> DataFrame:
     # one row per shard of SHARD_IDS ids passes through one task
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = shards.select("shard", "n").select("shard", before.alias("ahead"))
-    rows = shards.mapInArrow(_documents, "shard long, place long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.mapInArrow(tidy(_documents), "shard long, place long, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, "shard").withColumn("start", F.col("start") + F.col("ahead")).drop("ahead")
 
 

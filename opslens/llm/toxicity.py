@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from opslens.llm.staging import give_back_memory
+
 DECAY = 0.6
 SPAN = 6
 #: Letters of a word that are compared at once; longer words are cut into overlapping parts.
@@ -388,6 +390,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         for texts in batches:
             own = [scorer.scores(pa.array(texts.iloc[at : at + ROWS], pa.large_string(), from_pandas=True)) for at in range(0, len(texts), ROWS)]
             yield pd.Series(np.concatenate(own) if own else np.zeros(0))
+        give_back_memory()
 
     return docs.withColumn("score", score(F.col(text).cast("string")))
 
