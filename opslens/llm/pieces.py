@@ -29,8 +29,8 @@ IRREGULAR = re.sub(r"\\u(....)", r"\\x{\1}", f"[{DOUBTFUL}\\t\\v\\f\\r]|[ \\n][
 #: A stop or comma behind a letter, which is always a piece of its own: words with and without one count as one word.
 STOP = r"(\pL)([.,])( |$)"
 #: Characters encoded together, and pieces kept; both bound a worker's memory.
-CHUNK = 1_000_000
-KEPT = 400_000
+CHUNK = 4_000_000
+KEPT = 1_500_000
 #: Stands before a piece that no space belongs to.
 MARK = "\x00"
 
@@ -248,8 +248,3 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
-
-
-def forget(path: str) -> None:
-    """Drop the worker's encoder, so that workers hold nothing of it between stages."""
-    _encoders.pop(path, None)

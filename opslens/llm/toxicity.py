@@ -38,12 +38,12 @@ LANDMARKS = 200
 #: Labelled texts that a model is fitted on at most, of each class; taken by a hash of the id.
 SAMPLE = 2000
 #: Characters scored together, and words whose margins a worker keeps.
-CHUNK = 1_000_000
-KEPT = 200_000
+CHUNK = 2_000_000
+KEPT = 500_000
 #: Words whose subsequences or features are held at once.
 PORTION = 2000
 #: Texts of a batch that are turned into other forms at once.
-ROWS = 500
+ROWS = 5000
 THRESHOLD = 0.7
 #: Margin from which a word surely counts as toxic.
 SURE = 0.6
