@@ -8,7 +8,8 @@ C characters and T tags below it, of them LC characters and LT tags in links, an
 An element's sum is the sum of its children's densities. The element of the largest sum is the core of the article. The
 smallest density on the path from it to the body is the page's threshold. The article is the core with those elements beside it,
 and beside its ancestors, that reach the threshold, up to the first ancestor beside which none does; what does not reach it
-stays out, but for headings directly above and text in between. An element named article or main around the core is the article itself. Elements that are never text of an article (by name, role or class) leave the tree first, unless the article would go with them.
+stays out, but for headings directly above and text in between. An element named article or main around the core is
+the article itself, with those beside it that have half as much text a tag as the core. Elements that are never text of an article (by name, role or class) leave the tree first, unless the article would go with them.
 """
 
 from __future__ import annotations
@@ -51,11 +52,15 @@ WORDS = re.compile(
 #: Classes that only say what stands beside, and those of an article's own header.
 BESIDE = re.compile(r"\S*(?<![a-z])(?:has|with|no|without)[-_]\S+", re.IGNORECASE)
 OWN_HEADER = re.compile(r"(?:^|\s)\S*(?:entry|post|article|story|content|single)[-_]+(?:header|head)(?=$|\s)", re.IGNORECASE)
+#: Words that may as well name a subject: inside an article such an element is weighed, not dropped.
+SUBJECTS = re.compile(r"(?:^|(?<=[\s_-]))(?:legal|poll|survey|ratings?|feedback|discussion|search|social|rail|menu)(?=$|[\s_-])", re.IGNORECASE)
+CONTROLS = frozenset("form input select option textarea button".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 ARTICLE = frozenset(["article", "main"])
+#: A quote opens a value only after an equals sign; one that nothing closes opens none.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"
-    r"<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"
+    r"<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|=)*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 
@@ -153,6 +158,26 @@ def _apart(node: Node) -> bool:
     return any(WORDS.search(BESIDE.sub("", a.get(x, ""))) for x in ("class", "id"))
 
 
+def _subject(node: Node, within: Node, weight: dict[int, tuple[int, bool]]) -> bool:
+    """Whether an element inside an article is a part of it although a word of its class or id may stand for something else: no
+    other word does, it holds no controls, and it has half as much text a tag as the article, most of it no comments and the like."""
+    own = {x: SUBJECTS.sub("", v) if x in ("class", "id") else v for x, v in node.attrs.items()}
+    if own == node.attrs or _apart(Node(node.name, own, None)):
+        return False
+    tags, foreign, waiting = 1, 0, node.elements()
+    while waiting:
+        c = waiting.pop()
+        if c.name in CONTROLS:
+            return False
+        tags += 1
+        if _apart(c) and not SUBJECTS.search(f"{c.attrs.get('class', '')} {c.attrs.get('id', '')}"):
+            foreign += weight[id(c)][0]
+        else:
+            waiting += c.elements()
+    chars = weight[id(node)][0]
+    return 2 * foreign < chars and 2 * chars * len(_post_order(within)) >= tags * weight[id(within)][0]
+
+
 #: Words of what may outweigh a short article: spared only if next to nothing else is on the page.
 FOREIGN = re.compile(r"comment|repl(?:y|ies)|respond|disqus|discussion|cookie|consent|gdpr|popup|pop-up|modal|overlay|newsletter|legal|disclaimer|copyright|footer", re.IGNORECASE)
 
@@ -178,19 +203,19 @@ def _leaving(root: Node) -> set[int]:
     and what stands in it is looked at by itself."""
     weight = _weigh(root)
     whole = weight[id(root)][0]
-    leaving: dict[int, tuple[Node, bool]] = {}
-    named, gone, waiting = False, 0, [(root, False)]
+    leaving: dict[int, tuple[Node, Node | None]] = {}
+    named, gone, waiting = False, 0, [(root, None)]
     while waiting:
         node, inside = waiting.pop()
         for c in node.elements():
             own_header = bool(c.attrs) and bool(OWN_HEADER.search(c.attrs.get("class", "")))
             header = c.name == "header" or own_header
-            if (not inside and not own_header) if header else _apart(c):
+            if (not inside and not own_header) if header else _apart(c) and not (inside and _subject(c, inside, weight)):
                 leaving[id(c)] = (c, inside)
                 gone += weight[id(c)][0]
             else:
                 named = named or c.name in ARTICLE
-                waiting.append((c, inside or c.name in ARTICLE))
+                waiting.append((c, c if c.name in ARTICLE else inside))
         if waiting:
             continue
 
@@ -206,7 +231,7 @@ def _leaving(root: Node) -> set[int]:
             del leaving[id(kept[0])]
             gone -= weight[id(kept[0])][0]
             named = named or kept[0].name in ARTICLE
-            waiting.append((kept[0], kept[1] or kept[0].name in ARTICLE))
+            waiting.append((kept[0], kept[0] if kept[0].name in ARTICLE else kept[1]))
     return set(leaving)
 
 
@@ -259,11 +284,11 @@ def measure(root: Node) -> list[Node]:
                 n.chars += c.chars
                 n.tags += c.tags + 1
                 n.link_chars += c.link_chars
-                n.link_tags += c.link_tags + (c.name == "a")
+                n.link_tags += 1 if c.name == "a" else c.link_tags
             else:
                 n.chars += len("".join(c.split()))
         if n.name == "a":
-            n.link_chars, n.link_tags = n.chars, max(1, n.link_tags)
+            n.link_chars, n.link_tags = n.chars, 1
     body_chars, body_links = max(1, root.chars), root.link_chars
     for n in order:
         c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, max(1, n.link_tags)
@@ -278,11 +303,11 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def article(root: Node) -> Node | None:
-    """The element that holds the main text; None if the page has no text."""
+def article(root: Node) -> list[Node]:
+    """The element that holds the main text, with the articles beside it that are alike; nothing if the page has no text."""
     order = measure(root)
     if not root.chars:
-        return None
+        return []
     core = max(reversed(order), key=lambda n: n.total)  # of equal sums the outer one
     if core.total <= 0:
         core = root
@@ -296,7 +321,7 @@ def article(root: Node) -> Node | None:
             named = n
         n = n.parent
     if named is not None:
-        return named
+        return [c for c in named.parent.elements() if c is named or c.name in ARTICLE and not _mostly_links(c) and _plain_chars(c) >= _plain_chars(core) / 2]
     n, top, ended = core, core, False
     while n is not root:
         held = _joined(n, threshold, core, ended)
@@ -306,7 +331,12 @@ def article(root: Node) -> Node | None:
             ended = True  # nothing beside it belongs to the article: further up only headings do
         n.parent.children = held
         n = n.parent
-    return top
+    return [top]
+
+
+def _plain_chars(node: Node) -> float:
+    """Characters outside links for each tag."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
 
 
 def _mostly_links(node: Node) -> bool:
@@ -337,13 +367,13 @@ def _joined(node: Node, threshold: float, core: Node, ended: bool) -> list:
         at -= 1
         if heading(children[at]):
             first = at
-    plenty = (core.chars - core.link_chars) / max(1, core.tags) / 2
+    plenty = _plain_chars(core) / 2
 
     def belongs(i: int, c: Node | str) -> bool:
         if i == own or inline(c) or heading(c) or c.density >= threshold:
             return True
         # in between: single lines, lists and tables, and parts with half as much text a tag as the core
-        return plain(c) or not _mostly_links(c) and (c.chars - c.link_chars) / max(1, c.tags) >= plenty
+        return plain(c) or not _mostly_links(c) and _plain_chars(c) >= plenty
 
     return [c for i, c in enumerate(children) if first <= i <= last and belongs(i, c)]
 
@@ -354,7 +384,9 @@ def _menu(node: Node) -> bool:
 
 
 def blocks(node: Node) -> list[str]:
-    """The texts of an element's blocks in page order, white space made single spaces."""
+    """The texts of an element's blocks in page order, white space made single spaces. Menus stay in where the page names its
+    article, as a list of sources may be one."""
+    named = node.name in ARTICLE
     found: list[str] = []
     line: list[str] = []
 
@@ -373,7 +405,7 @@ def blocks(node: Node) -> list[str]:
             line.append(x)
         elif x.name == "br":
             line.append(" ")
-        elif x is node or not _menu(x):
+        elif x is node or named or not _menu(x):
             block = x.name in BLOCKS
             if block:
                 end()
@@ -389,8 +421,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     prune(root)
-    found = article(root)
-    return "\n".join(blocks(found)) if found is not None else ""
+    return "\n".join(b for part in article(root) for b in blocks(part))
 
 
 @pandas_udf(T.StringType())

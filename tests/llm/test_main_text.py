@@ -98,3 +98,68 @@ def test_given_pages(spark, sf_dir):
         inside = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.DOTALL)[1]
         lines = re.sub(r"<[^>]*>", " ", re.sub(r"</?(p|h1)>", "\n", inside)).split("\n")
         assert r.text == "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in lines) if x)
+
+
+IN_ARTICLE = f"<article><h1>T</h1><p>{LONG}</p>%s<p>{LONG}</p></article>"
+COMMENTS = f"<div class=comment><p>{LONG}</p></div>"
+FAULTY = {
+    "stray quote": (f'<p class="x"">{LONG}</p><p>{LONG}</p>', f"{LONG}\n{LONG}"),
+    "apostrophe without quotes": (f"<article><p>{LONG}</p><p title=Don't>{LONG}</p><p>{LONG}</p><p title='x'>End</p></article>", "\n".join([LONG] * 3 + ["End"])),
+    "quote that nothing closes": (f'<article><p>{LONG}</p><p class="x>{LONG}</p></article>', f"{LONG}\n{LONG}"),
+    "signs in values": (f'<article><p><img alt="a > b" src=x>{LONG}</p><p title = "<p>no</p>">{LONG}</p></article>', f"{LONG}\n{LONG}"),
+    "empty comments": (f"<article><p>{LONG}</p><!--><p>{LONG}</p><!---><p>{LONG}<!-- no --!></p><p>{LONG}</p><!-- no --></article>", "\n".join([LONG] * 4)),
+    "several articles": (f"<article><h1>A</h1><p>{LONG}</p><p>{LONG}</p></article><article><h1>B</h1><p>{LONG}</p></article><article class=teaser><p>{LONG}</p></article>"
+                         f"<article><p><a href=a>One other story</a></p></article>", f"A\n{LONG}\n{LONG}\nB\n{LONG}"),
+    "sources": (IN_ARTICLE % "<h2>Sources</h2><ul><li><a href=a>First</a><li><a href=b>Second</a><li><a href=c>Third</a></ul>",
+                f"T\n{LONG}\nSources\nFirst\nSecond\nThird\n{LONG}"),
+    "subjects": (IN_ARTICLE % f"<section class=legal><h2>Law</h2><p>{LONG}</p></section><div class=poll-results><p>{LONG}</p></div><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>",
+                 f"T\n{LONG}\nLaw\n{LONG}\n{LONG}\nDiscussion\n{LONG}\n{LONG}"),
+    "a discussion of readers": (IN_ARTICLE % f"<section id=discussion><h2>Discussion</h2>{COMMENTS}{COMMENTS}</section>", f"T\n{LONG}\n{LONG}"),
+    "a search form": (IN_ARTICLE % f"<div class=search><form><input name=q><p>{LONG}</p></form></div><div class='social share'><p>{LONG}</p></div>", f"T\n{LONG}\n{LONG}"),
+    "a subject outside the article": (f"<div class=legal><p>{LONG}</p></div>" + IN_ARTICLE % "", f"T\n{LONG}\n{LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", FAULTY)
+def test_faulty_pages_and_parts_of_articles(name):
+    page, text = FAULTY[name]
+    assert main_text(page) == text
+
+
+def slow_density(node, body):
+    """Density of an element from its definition, its whole text gathered anew."""
+    import math
+
+    def gathered(n, in_link):
+        for c in n.children:
+            if isinstance(c, str):
+                yield len("".join(c.split())), 0, in_link, 0
+            else:
+                yield 0, 1, in_link or c.name == "a", c.name == "a" and not in_link
+                yield from gathered(c, in_link or c.name == "a")
+
+    def of(n):
+        seen = list(gathered(n, n.name == "a"))
+        return sum(x[0] for x in seen), sum(x[1] for x in seen), sum(x[0] for x in seen if x[2]), sum(x[3] for x in seen)
+
+    c, t, lc, lt = of(node)
+    whole, _, linked, _ = of(body)
+    if not c:
+        return 0.0
+    t, lt = max(1, t), max(1, lt)
+    base = math.log(c / max(1, c - lc) * lc + linked / max(1, whole) * c + math.e)
+    ratio = c / max(1, lc) * t / lt
+    return c / t * (max(0.0, math.log(ratio) / math.log(base)) if base > 1 else max(1.0, math.log(ratio) + 1))
+
+
+def test_densities_against_their_definition(spark):
+    from opslens.llm.main_text import measure, prune, tree
+
+    pages = [p for p, _ in (*PAGES.values(), *WRAPPED.values(), *FAULTY.values())]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect() if r.html][::5]
+    for page in pages:
+        root = tree(page)
+        prune(root)
+        for n in measure(root):
+            assert n.density == pytest.approx(slow_density(n, root)), (n.name, page[:80])
+            assert n.total == pytest.approx(sum(slow_density(c, root) for c in n.elements()))
