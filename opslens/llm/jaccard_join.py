@@ -37,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 
 from opslens.llm.components import components
 from opslens.llm.shingles import WIDTH, digest, shingle_sets
-from opslens.llm.staging import staged, tidy
+from opslens.llm.staging import make_room, staged, tidy
 
 #: Threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
@@ -71,6 +71,7 @@ def prefix_length(n: Column, threshold: int) -> Column:
 
 def _sketcher(threshold: int, width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for at, texts in _portions(batch.column(2)):

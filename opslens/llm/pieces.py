@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from opslens.llm.staging import kept_in_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space that pieces are cut at.
@@ -240,11 +242,6 @@ class PieceEncoder:
             yield self._together(some)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept_in_worker(("encoder", path), lambda: PieceEncoder(path))

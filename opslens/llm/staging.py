@@ -24,6 +24,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What an operation keeps in a Python worker between its tasks. Workers serve one operation after the other, so what another
+    has kept there goes first."""
+    if key not in _kept:
+        make_room()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def make_room() -> None:
+    """Drop what operations have kept in this worker."""
+    if _kept:
+        _kept.clear()
+        give_back_memory()
+
+
 def give_back_memory() -> None:
     """Return memory that is no longer used to the system: Python workers live on between tasks."""
     gc.collect()

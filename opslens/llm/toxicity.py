@@ -16,19 +16,19 @@ product of subsequence counts, so scoring a word takes one pass over its subsequ
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from opslens.llm.staging import give_back_memory
+from opslens.llm.staging import give_back_memory, make_room
 
 DECAY = 0.6
 SPAN = 6
@@ -38,12 +38,10 @@ LANDMARKS = 200
 #: Labelled texts that a model is fitted on at most, of each class; taken by a hash of the id.
 SAMPLE = 2000
 #: Characters scored together, and words whose margins a worker keeps.
-CHUNK = 2_000_000
-KEPT = 500_000
+CHUNK = 1_000_000
+KEPT = 200_000
 #: Words whose subsequences or features are held at once.
 PORTION = 2000
-#: Texts of a batch that are turned into other forms at once.
-ROWS = 5000
 THRESHOLD = 0.7
 #: Margin from which a word surely counts as toxic.
 SURE = 0.6
@@ -274,12 +272,11 @@ class Scorer:
 
     def summaries(self, texts: pa.Array) -> np.ndarray:
         """Summaries of texts, worked out in portions."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        upto = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(texts))]))
+        upto = np.cumsum(np.concatenate([[0], np.asarray(pc.fill_null(pc.binary_length(texts), 0))]))
         found, at = [], 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK, side="right")) - 1)
-            distinct, numbers, sizes = tokens(texts.slice(at, end - at))
+            distinct, numbers, sizes = tokens(pc.fill_null(texts.slice(at, end - at).cast(pa.large_string()), ""))
             margins = self._token_margins(distinct)
             found.append(summary(margins[numbers], sizes))
             at = end
@@ -379,20 +376,20 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     return fit(found["text"].tolist(), found["label"].tolist())
 
 
-def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """All rows with a column ``score``, the probability of their text being toxic (0 to 1). Null texts count as empty; empty
-    texts have a score like any others. An input column named score gives way. Texts of any length are scored whole."""
+def scored(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
+    """All rows with a column ``name``, the probability of their text being toxic (0 to 1). Null texts count as empty; empty
+    texts have a score like any others. An input column of that name gives way. Texts of any length are scored whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make_room()
         scorer = Scorer(shared.value)
         for texts in batches:
-            own = [scorer.scores(pa.array(texts.iloc[at : at + ROWS], pa.large_string(), from_pandas=True)) for at in range(0, len(texts), ROWS)]
-            yield pd.Series(np.concatenate(own) if own else np.zeros(0))
+            yield pa.array(scorer.scores(texts), pa.float64())
         give_back_memory()
 
-    return docs.withColumn("score", score(F.col(text).cast("string")))
+    return docs.withColumn(name, score(F.col(f"`{text}`").cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -402,5 +399,6 @@ def held_out(doc_id: Column) -> Column:
 
 def clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their own columns."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    return scored(docs.select(whole, F.col(f"`{text}`").alias("text")), model).where(F.col("score") < threshold).select("whole.*")
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in map("score_{}".format, itertools.count()) if n not in taken)
+    return scored(docs, model, text=text, name=name).where(F.col(name) < threshold).drop(name)
