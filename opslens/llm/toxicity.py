@@ -6,7 +6,8 @@ characters put in, left out or doubled stays near its plain form. A text is the
 inside words taken out and spaced-out letters put together, and a sentence is as toxic as its words make it.
 
 Learning is multiple-instance: a sentence is labelled, its words are not. First the words that labelled toxic texts hold far more
-often than others stand for their label; landmarks are these and words of the other texts; a linear machine is trained on the
+often than others, in three unlike texts or more, stand for their label, with forms of them that have a character put in; where no
+word does clearly, the ten that come nearest; landmarks are these and words of the other texts; a linear machine is trained on the
 Nyström features of the words; then words of clean texts on the wrong side, and the best word of each toxic text that has none,
 join the training words, and it is trained again. A logistic model over a text's word margins gives the score.
 
@@ -44,9 +45,16 @@ KEPT = 200_000
 PORTION = 2000
 THRESHOLD = 0.7
 #: Margin from which a word surely counts as toxic.
-SURE = 0.6
-#: Weight of disguised forms of toxic words in training, against the words.
-VIRTUAL = 0.05
+SURE = 0.7
+#: Weight of disguised forms of toxic words in training, against the words, and characters put into them.
+VIRTUAL = 0.15
+PUT_IN = "xqe0"
+#: Of eight smallest hashes of two texts' words, those that must agree for the texts to count as copies.
+SAME = 5
+#: Times the machine is trained; before each but the first, words on the wrong side join.
+ROUNDS = 2
+#: Words taken to stand for the label where none does clearly.
+FEW = 10
 
 _CLASSES = 64
 _START, _END = 1, 2
@@ -153,11 +161,36 @@ def features(words: list[str], spread: Spread) -> np.ndarray:
 
 
 def disguised(word: str) -> list[str]:
-    """A word with a letter doubled, or a sign's worth of another letter put in, at places spread over it."""
+    """A word with one character put in at each place inside it: the one before it once more, or one of few others."""
     if len(word) < 4:
         return []
-    places = range(1, len(word), max(1, len(word) // 4))
-    return [word[:i] + c + word[i:] for i in places for c in (word[i - 1], "x", "0")]
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in dict.fromkeys(word[i - 1] + PUT_IN)]
+
+
+def families(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts the smallest number of a text alike, from (text, word) pairs. Texts are alike that agree in SAME of
+    eight smallest hashes of their words, or are like one that is."""
+    group = np.arange(n)
+    if not len(doc):
+        return group
+    order = np.argsort(doc, kind="stable")
+    own, starts = np.unique(doc[order], return_index=True)
+    rng = np.random.default_rng(1)
+    least = [np.minimum.reduceat(rng.permutation(int(word.max()) + 1)[word[order]], starts) for _ in range(8)]
+    for chosen in itertools.combinations(range(8), SAME):
+        _, number = np.unique(np.stack([least[i] for i in chosen]), axis=1, return_inverse=True)
+        number = number.reshape(-1)
+        while True:  # the smallest number of each class of texts with the same two hashes, until nothing changes
+            smallest = np.full(number.max() + 1, n)
+            np.minimum.at(smallest, number, group[own])
+            lower = np.minimum(group[own], smallest[number])
+            lower = np.minimum(lower, group[lower])
+            if (lower == group[own]).all():
+                break
+            group[own] = lower
+    while (group[group] != group).any():
+        group = group[group]
+    return group
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -317,13 +350,17 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     words, doc, word = _bags(texts)
     n_bad, n_good = int(y.sum()), int((~y).sum())
     bad = np.bincount(word[y[doc]], minlength=len(words))
+    # copies of one toxic text count once for its words
+    of_bad = np.unique(np.stack([families(doc[y[doc]], word[y[doc]], len(texts))[doc[y[doc]]], word[y[doc]]]), axis=1)
+    apiece = np.bincount(of_bad[1], minlength=len(words))
     good = np.bincount(word[~y[doc]], minlength=len(words))
     # how many standard errors a word's rate among toxic texts lies above its rate among others
     p = (bad + good + 1) / (n_bad + n_good + 2)
     apart = (bad / n_bad - good / n_good) / np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good))
     names = np.array(words, object)
     by = lambda *keys: np.lexsort((names.astype(str), *keys))
-    strong = [k for k in by(-apart) if bad[k] >= 3 and apart[k] > 4 and bad[k] / n_bad > 4 * good[k] / n_good][:LANDMARKS]
+    strong = [k for k in by(-apart) if apiece[k] >= 3 and apart[k] > 4 and bad[k] / n_bad > 4 * good[k] / n_good][:LANDMARKS]
+    strong = strong or [k for k in by(-apart)[:FEW] if apart[k] > 0]
     if not strong:
         return flat
     common = by(-good)[: int((good > 0).sum())]
@@ -337,7 +374,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     known = set(words)
     virtual = features(sorted({v for k in strong for v in disguised(words[k])} - known), spread) @ root.astype(np.float32)
     positive, negative = list(strong), list(clean)
-    for step in range(2):
+    for step in range(ROUNDS):
         x = features([words[k] for k in [*positive, *negative]], spread) @ root.astype(np.float32)
         labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         times = np.concatenate([bad[positive], 1.0 + np.log1p(good[negative])])
@@ -346,7 +383,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         shade = np.full(len(virtual), VIRTUAL * weight[labels > 0].sum() / max(1, len(virtual)))
         v = _machine(np.concatenate([x, virtual]), np.append(labels, np.ones(len(virtual))), np.append(weight, shade))
         model = Model(spread.direction(root @ v[:-1]), float(v[-1]), np.zeros(6))
-        if step == 1:
+        if step == ROUNDS - 1:
             break
         margin = model.margins(words)
         # words of clean texts on the wrong side, and the best word of each toxic text that has none
