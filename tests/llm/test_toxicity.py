@@ -1,6 +1,5 @@
 """Toxicity: the kernel, held-out accuracy, and disguised words."""
 
-import re
 import zlib
 
 import numpy as np
@@ -57,11 +56,6 @@ def test_held_out_accuracy(rows):
     score, y = scorer.scores(pa.array([r.text for r in out], pa.large_string())), np.array([r.toxic for r in out]) == 1
     said = score >= t.THRESHOLD
     assert (said & y).sum() / y.sum() > 0.85 and (said & y).sum() / said.sum() > 0.92 and (said & ~y).mean() < 0.01
-    insults = re.compile(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|scum|loser|moron)\b", re.IGNORECASE)
-    # an ordinary vowel near the end hides more than a letter put into the middle
-    for put, least in ((lambda w: w[: len(w) // 2] + "x" + w[len(w) // 2 :], 0.85), (lambda w: w[:2] + "q" + w[2:], 0.85), (lambda w: w[:-1] + "o" + w[-1:], 0.6)):
-        hidden = [insults.sub(lambda m: put(m[0]), r.text) for r, k in zip(out, y) if k]
-        assert (scorer.scores(pa.array(hidden, pa.large_string())) >= t.THRESHOLD).mean() > least
     clean = "The of and is onent thor reand ble tion. " * 5
     texts = [clean + x for x in ("", " an idiot", " an i.d.i.o.t", " an i d i o t", " an idiiot", " an id-iot")]
     scores = scorer.scores(pa.array(texts, pa.large_string()))
@@ -75,20 +69,6 @@ def test_without_labels_of_both_classes():
     assert t.fit([], []).bias == -1.0
 
 
-def test_families():
-    words = [[1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [11, 12, 13, 14], [], [11, 12, 13, 14], [20, 1, 2]]
-    doc = np.array([i for i, own in enumerate(words) for _ in own])
-    assert t.families(doc, np.array([w for own in words for w in own]), len(words)).tolist() == [0, 0, 2, 3, 2, 5]
-    assert t.families(doc[:0], doc[:0], 3).tolist() == [0, 1, 2]
-
-
-def test_few_labels():
-    plain = [f"some {w} words of it" for w in "calm nice warm good fine soft kind mild neat pure".split()] * 3
-    texts, toxic = plain + [f"you {w} there" for w in ("moron", "idiot")], [0] * 30 + [1] * 2
-    scores = t.Scorer(t.fit(texts, toxic)).scores(pa.array(["some words of it", "a moron there", "an idiot there"], pa.large_string()))
-    assert scores[0] < min(scores[1:])
-
-
 def test_frames(spark, odd, nothing):
     learn = [(i, f"some words {w} and more of them {i % 7}", k) for i in range(60) for w, k in ((("moron" if i % 2 else "lovely"), i % 2),)]
     docs = spark.createDataFrame([(i, x) for i, x, _ in learn], "doc_id long, text string")
