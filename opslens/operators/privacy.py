@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from opslens.functions.coerce import is_number_text, plain_text
 from opslens.functions.dates import DateReading, layout_facts, readings
@@ -186,20 +187,58 @@ def _one_pass(df: DataFrame, aggregates: Mapping[tuple[str, str], Column]) -> di
 
 def _sample_hits(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  sample_size: int) -> set[tuple[str, str]]:
-    """The pairs that match the first values of each column, read as one text joined by spaces. One scan: the values of a
-    row are stacked, and each task keeps the first of each column before anything is shuffled."""
+    """The pairs that match the first values of each column, read as one text joined by spaces. The first rows of the table hold
+    them for most columns; the first rows with a value of the others are looked at next, and so on. Each task keeps its least
+    rows; the whole is never sorted."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    order = [F.col(f"`{o}`").alias(f"o{j}") for j, o in enumerate(order_by)]
-    cells = [F.struct(F.lit(i).alias("i"), plain_text(F.col(f"`{c}`"), types[c]).alias("text")) for i, c in enumerate(columns)]
-    stacked = df.select(*order, F.explode(F.array(*cells)).alias("cell")).select(
-        "cell.i", F.struct(*[f"o{j}" for j in range(len(order))], F.col("cell.text").alias("text")).alias("value"))
+    keys = [f"o{j}" for j in range(len(order_by))]
+    rows = df.select(*[F.col(f"`{o}`").alias(k) for k, o in zip(keys, order_by)],
+                     *[plain_text(F.col(f"`{c}`"), types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+    left, hits = list(range(len(columns))), set()
+    while left:
+        found = _joined_rules(_first_cells(rows, keys, left, sample_size * max(10, len(left))), keys, sample_size)
+        done = set(left) if _WHOLE in found else {i for i, r in found.items() if r["n"] == sample_size}
+        if not done:  # too many rows share a key
+            found, done = _joined_rules(_first_of_each(rows, keys, left, sample_size), keys, sample_size), set(left)
+        hits |= {(columns[i], rule) for i in done & found.keys() for rule, (_, needed, _) in VALUE_RULES.items()
+                 if found[i][rule] and (not needed or any(part in columns[i].lower() for part in needed))}
+        left = [i for i in left if i not in done]
+    return hits
+
+
+#: Stands for a column where all rows have been looked at.
+_WHOLE = -1
+
+
+def _first_cells(rows: DataFrame, keys: Sequence[str], left: Sequence[int], n: int) -> DataFrame:
+    """(keys..., i, text) of the first ``n`` rows that have a value in any of these columns. Of rows that share the last key some may
+    be cut off, so none of them counts."""
+    # Rows without a value go last. A filter on all these columns would make the planner look for each of its forms.
+    empty = reduce(Column.__and__, [F.col(f"c{i}").isNull() for i in left])
+    first = rows.select(*keys, *[f"c{i}" for i in left], empty.alias("empty")).orderBy("empty", *keys).limit(n)
+    every = Window.partitionBy()
+    placed = first.select("*", ((F.count(F.lit(1)).over(every) < n) | F.bool_or("empty").over(every)).alias("whole"),
+                          (F.rank().over(Window.orderBy(*[F.desc_nulls_last(k) for k in keys])) == 1).alias("last"))
+    cells = [F.struct(F.lit(i).alias("i"), F.when(F.col("whole") | ~F.col("last"), F.col(f"c{i}")).alias("text")) for i in left]
+    told = F.struct(F.lit(_WHOLE).alias("i"), F.when(F.col("whole"), F.lit("")).alias("text"))
+    return placed.select(*keys, F.explode(F.array(*cells, told)).alias("cell")).select(*keys, "cell.i", "cell.text").where("text is not null")
+
+
+def _first_of_each(rows: DataFrame, keys: Sequence[str], left: Sequence[int], sample_size: int) -> DataFrame:
+    """The same for the first values of each of these columns, in a scan for each."""
+    parts = [rows.where(F.col(f"c{i}").isNotNull()).select(*keys, F.lit(i).alias("i"), F.col(f"c{i}").alias("text"))
+             .orderBy(*keys, "text").limit(sample_size) for i in left]
+    return reduce(DataFrame.union, parts)
+
+
+def _joined_rules(cells: DataFrame, keys: Sequence[str], sample_size: int) -> dict[int, Row]:
+    """By column: how many of its first values there are, and which rules they match when joined."""
+    value = F.struct(*keys, "text")
     place = F.row_number().over(Window.partitionBy("i").orderBy("value"))
-    first = stacked.where("value.text is not null").withColumn("place", place).where(F.col("place") <= sample_size)
-    texts = first.groupBy("i").agg(F.array_join(
+    first = cells.select("i", value.alias("value")).withColumn("place", place).where(F.col("place") <= sample_size)
+    texts = first.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.array_join(
         F.transform(F.array_sort(F.collect_list("value")), lambda v: v["text"]), " ").alias("joined"))
-    found = texts.select("i", *[value_match(F.col("joined"), rule).alias(rule) for rule in VALUE_RULES]).collect()
-    return {(columns[r["i"]], rule) for r in found for rule, (_, needed, _) in VALUE_RULES.items()
-            if r[rule] and (not needed or any(part in columns[r["i"]].lower() for part in needed))}
+    return {r["i"]: r for r in texts.select("i", "n", *[value_match(F.col("joined"), rule).alias(rule) for rule in VALUE_RULES]).collect()}
 
 
 def identifier_facts(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, int, int, bool | None]]:

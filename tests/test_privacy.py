@@ -126,6 +126,25 @@ def test_sample_mode_reads_values_joined(spark):
         find_sensitive(df, mode="sample")
 
 
+@pytest.mark.parametrize("key", ["k", "tied"])
+def test_sample_finds_the_first_values_of_columns_filled_late(spark, key):
+    row = lambda i: (i, 1, "a", None if i < 3000 else "b@c.de" if i >= 3050 else "x", "b@c.de" if i == 2900 else None, None)
+    df = spark.createDataFrame([row(i) for i in range(4000)], "k int, tied int, always string, late string, once string, never string").repartition(3)
+    email = ["sample values look like email addresses"]
+    assert find_sensitive(df, mode="sample", order_by=[key], skip=["k"]) == ({"once": email} if key == "k" else {"late": email, "once": email})
+    assert find_sensitive(df, mode="sample", order_by=[key], skip=["k"], sample_size=51) == {"late": email, "once": email}
+
+
+def test_a_sample_sorts_no_whole_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from opslens.operators.privacy import _first_cells
+
+    cells = _first_cells(spark.range(10 ** 6).select(F.col("id").alias("o0"), F.col("id").cast("string").alias("c0")).repartition(3), ["o0"], [0], 500)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=500" in plan and plan.count("Sort [") == 1  # of these 500
+
+
 def test_high_cardinality_identifiers(spark):
     rows = [(f"K{i}", f"K{i % 20}", str(i), f"K{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "key_a string, key_b string, key_c string, other string")
