@@ -29,6 +29,7 @@ _SHAPE = (
     rf"|(?<n7>{_MONTH}) +(?<d7>\d{{1,2}}) (?<h7>\d{{1,2}})(?<c7>:\d{{2}}:\d{{2}}) (?<y7>\d{{4}})"
     r")(?:[ T]\s*(?<h>\d{1,2})(?<c>:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?:\s*(?<half>[AP])M)?"
     r"(?:\s*(?:(?<zone>UTC|GMT|Z)|(?<zh>[+-]\d{2}):?(?<zm>\d{2})))?)?$")
+_PLAIN_ISO = r"^\d{4}-\d{1,2}-\d{1,2}\z"
 _FIELDS = {
     "mark": "\u0001", "year": "${y1}${y2}${y3}${y4}${y5}${y6}${y7}", "month": "${m1}${m2}", "day": "${d1}${d2}${d4}${d5}${d7}",
     "name": "${n4}${n5}${n6}${n7}", "first": "${a}", "second": "${b}", "hour": "${h}${h7}", "clock": "${c}${c7}", "half": "${half}",
@@ -74,6 +75,11 @@ def _part(fields: Column, name: str) -> Column:
     return F.get(fields, F.lit(_PLACE[name]))
 
 
+def _whole(part: Column) -> Column:
+    """A part of digits as a whole number; NULL where it is empty. A cast of empty text would raise and catch an error for each row."""
+    return F.when(part != "", part.cast("int"))
+
+
 def _layout(fields: Column, day_first: bool) -> Column:
     """The layout's name; NULL where none fits."""
     part = lambda name: _part(fields, name)
@@ -96,7 +102,7 @@ def _instant(fields: Column, reading: DateReading) -> Column:
     number = ((F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS)) + 2) / 3).cast("int").cast("string")
     month = F.when(part("first") != "", part(one)).when(name != "", number).otherwise(part("month"))
     day = F.when(part("first") != "", part(two)).when((part("day") == "") & (name != ""), "1").otherwise(part("day"))
-    hour, half = part("hour").try_cast("int"), F.lower(part("half"))
+    hour, half = _whole(part("hour")), F.lower(part("half"))
     hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
     zone = F.when(part("zone_hour") != "", F.concat(part("zone_hour"), F.lit(":"), part("zone_minute"))).otherwise(F.upper(part("zone")))
     clock = F.when(part("clock") == "", "").otherwise(F.concat(
@@ -130,9 +136,13 @@ def to_ts(c: Column, dtype: T.DataType = T.StringType(), reading: DateReading |
 
 def _column_facts(c: Column, name: str) -> tuple[Column, dict[tuple[str, str], Column]]:
     """A column that lays a text out, and aggregates over it that count layouts."""
-    kind = _bound(_fields(F.trim(c)), lambda f: F.struct(
-        _layout(f, False).alias("layout"), (_part(f, "clock") == "").alias("whole_day"), (_part(f, "weekday") == "").alias("bare"),
-        _part(f, "first").try_cast("int").alias("first"), _part(f, "second").try_cast("int").alias("second")))
+    names = ("layout", "whole_day", "bare", "first", "second")
+    kind_of = lambda *parts: F.struct(*[part.alias(n) for n, part in zip(names, parts)])
+    text, none = F.trim(c), F.lit(None).cast("int")
+    told = _bound(_fields(text), lambda f: kind_of(
+        _layout(f, False), _part(f, "clock") == "", _part(f, "weekday") == "", _whole(_part(f, "first")), _whole(_part(f, "second"))))
+    # Plain dates of the commonest layout need no fields.
+    kind = F.when(text.rlike(_PLAIN_ISO), kind_of(F.lit(YEAR_FIRST[0]), F.lit(True), F.lit(True), none, none)).otherwise(told)
     k = F.col(f"`{name}`")
     facts = {(layout, "n"): F.count_if(k["layout"] == layout) for layout in (*YEAR_FIRST, *NUMERIC[:len(NUMERIC) // 2], *NAMED)}
     facts["all", "plain"] = F.count_if(k["layout"].isNotNull() & k["whole_day"] & k["bare"])

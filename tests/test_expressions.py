@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from opslens.functions.coerce import double_text, is_blank, is_delayed, is_truthy, label, to_number
-from opslens.functions.dates import DateReading, elect_dates, to_ts
+from opslens.functions.dates import DateReading, elect_dates, layout_facts, to_ts
 from opslens.functions.numbers import fixed, money_sum, money_text, percent_text, rounded
 from opslens.functions.quantile import exact_quantile, order_key
 
@@ -189,6 +190,14 @@ def test_a_reader_holds_its_pattern_once(spark):
     assert plan.count("regexp_replace") == 1
 
 
+def test_laying_dates_out_raises_no_errors_within_rows(spark):
+    laid_out, facts = layout_facts(column(spark, ["2026-01-05", "", "x", "2026-01-05 ", "2026-1-5\n", None]), ["x"])
+    read = column(spark, ["x"]).select(to_ts(F.col("x"), reading="MMM yyyy"))
+    assert not any(re.search(r"try_cast\([^()]* as int\)", df._jdf.queryExecution().optimizedPlan().toString()) for df in (laid_out, read))
+    counts = laid_out.agg(*[a.alias(f"{n}/{f}") for (n, f), a in facts.items()]).first().asDict()
+    assert counts["x/yyyy-M-d/n"] == 2 and counts["x/all/plain"] == 3
+
+
 def test_order_keys_keep_the_order_and_tell_values_apart(spark):
     rng = random.Random(4)
     near = [math.nextafter(2.0 ** e, to) for e in range(-1073, 1023, 7) for to in (0, math.inf)]
