@@ -21,6 +21,7 @@ _BLOCK, _INNER, _OUTER = 64, 0x36, 0x5C
 
 #: Texts of digits and signs only, like telephone, card and account numbers.
 NUMBER_LIKE = r"^[+(]?\d[\d\s().+/-]*$"
+_SIGNS = "().+/- \t\n\x0b\f\r"
 _ROUNDS, _LONGEST = 8, 36
 
 
@@ -35,9 +36,10 @@ def pseudonym(key: str, value: Column) -> Column:
     """The replacement of a text; NULL stays NULL."""
     def placed(v: Column) -> Column:
         """The new digits where the text has digits."""
-        at = lambda i: F.length(F.regexp_replace(F.substring(v["text"], F.lit(1), i + 1), r"\D", ""))
-        return F.array_join(F.transform(F.split(v["text"], ""), lambda c, i: F.when(
-            c.rlike(r"^\d$"), F.substring(v["digits"], at(i), F.lit(1))).otherwise(c)), "")
+        at = lambda i: F.length(F.translate(F.substring(v["text"], F.lit(1), i + 1), _SIGNS, ""))
+        mixed = F.array_join(F.transform(F.split(v["text"], ""), lambda c, i: F.when(
+            (c >= "0") & (c <= "9"), F.substring(v["digits"], at(i), F.lit(1))).otherwise(c)), "")
+        return F.when(F.length(v["text"]) == F.length(v["digits"]), v["digits"]).otherwise(mixed)
 
     def number(text: Column) -> Column:
         return _bound(F.struct(text.alias("text"), permuted(key, F.regexp_replace(text, r"\D", "")).alias("digits")), placed)
@@ -54,27 +56,32 @@ def _bound(value: Column, then) -> Column:
 def permuted(key: str, digits: Column) -> Column:
     """A text of digits turned into another of the same length; no two into the same. Those of more than 36 digits are replaced
     by digits of their HMAC, repeated."""
-    def rounds(d: Column) -> Column:
-        n = F.length(d)
-        left, right = F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int")
+    def rounds(v: Column) -> Column:
+        d, n, left, right = (v[x] for x in ("d", "n", "left", "right"))
         part = lambda start, size: F.coalesce(F.substring(d, start, size).try_cast("bigint"), F.lit(0).cast("bigint"))
-        size = lambda places: F.pow(F.lit(10.0), places).cast("bigint")
+        added = lambda i, half: F.conv(F.substring(hmac_hex(key, F.concat(i.cast("string"), v["told"], half.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
-        def one(state: Column, i: Column) -> Column:
-            a, b, even = state["a"], state["b"], i % 2 == 0
-            told = F.concat_ws(":", i.cast("string"), n.cast("string"), F.when(even, b).otherwise(a).cast("string"))
-            added = F.conv(F.substring(hmac_hex(key, told), 1, 15), 16, 10).cast("bigint")
-            turned = lambda x, places: (x + added) % size(places)
-            return F.struct(F.when(even, turned(a, left)).otherwise(a).alias("a"), F.when(even, b).otherwise(turned(b, right)).alias("b"))
+        def two(state: Column, i: Column) -> Column:
+            """An even round changes the left half, the odd one after it the right half."""
+            turned = (state["a"] + added(i, state["b"])) % v["left_size"]
+            return _bound(turned, lambda a: F.struct(a.alias("a"), ((state["b"] + added(i + 1, a)) % v["right_size"]).alias("b")))
 
         start = F.struct(part(F.lit(1), left).alias("a"), part(left + 1, right).alias("b"))
         written = lambda x, places: F.lpad(x.cast("string"), places, F.lit("0"))
-        mixed = F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, one, lambda s: F.concat(
+        mixed = F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 2), F.lit(2)), start, two, lambda s: F.concat(
             F.when(left > 0, written(s["a"], left)).otherwise(""), written(s["b"], right)))
         long = F.rpad(F.lit(""), n, F.translate(hmac_hex(key, d), "abcdef", "012345"))
         return F.when(n <= _LONGEST, mixed).otherwise(long)
 
-    return _bound(digits, rounds)
+    def sizes(d: Column) -> Column:
+        """What all rounds need, worked out once."""
+        n = F.length(d)
+        left = F.shiftright(n, 1)
+        size = lambda places: F.pow(F.lit(10.0), F.least(places, F.lit(_LONGEST // 2))).cast("bigint")
+        return F.struct(d.alias("d"), n.alias("n"), left.alias("left"), (n - left).alias("right"), size(left).alias("left_size"),
+                        size(n - left).alias("right_size"), F.concat(F.lit(":"), n.cast("string"), F.lit(":")).alias("told"))
+
+    return _bound(_bound(digits, sizes), rounds)
 
 
 def masked_spans(key: str, text: Column, rules: Sequence[str]) -> Column:

@@ -469,6 +469,24 @@ def test_masking(spark):
     assert all(len(r.p) == len(r.d) and r.p.isdigit() and r.p != r.d for r in sizes.collect())
 
 
+def test_masked_numbers_keep_every_sign(spark):
+    from opslens.operators.masking import pseudonym
+
+    texts = ["4111", "(555) 123-4567", "+1.5/5\t5", "12\n", "1\x0b2\f3\r4 5", "12\u0085"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pseudonym("k", F.col("t")).alias("p"),
+                                                                         permuted("k", F.regexp_replace("t", r"\D", "")).alias("d")).collect()
+    for r in rows:
+        new = iter(r.d)
+        assert r.p == "".join(next(new) if c in "0123456789" else c for c in r.t)
+
+
+def test_a_file_of_one_row_group_is_masked_by_many_tasks(spark, sf_dir):
+    from opslens.checks.queries import _masked_columns
+
+    assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1
+    assert _masked_columns(spark, sf_dir).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_masked_job_keeps_ids_countable_and_leaves_nothing_raw(spark, sf_dir, tmp_path):
     job = ReportingJob(source=ops(spark, sf_dir), destination=str(tmp_path), mask_key="secret")
     run_pipeline(spark, job)
