@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from opslens.llm.components import components
+from opslens.llm.components import components, merged
 from opslens.llm.shingles import WIDTH, digest, shingle_sets
 from opslens.llm.staging import make_room, staged, tidy
 
@@ -129,8 +129,8 @@ def _filtered(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     words = (wanted.select(F.floor(at / 63).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(text_hash, {FILTER_BITS}), 63) as int))").alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")))
     bits = np.zeros(-(-FILTER_BITS // 63), np.int64)
-    found = words.toPandas()  # a row for each word of the bitmap at most
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    found = words.toArrow()  # a row for each word of the bitmap at most
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     shared = slim.sparkSession.sparkContext.broadcast(bits)
 
     @pandas_udf("boolean")
@@ -306,7 +306,7 @@ def _direct(holders: DataFrame, threshold: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their sketches, nodes (one for each distinct set), and links between nodes."""
+    """Documents with their sketches, nodes (one for each distinct set), and the components of linked nodes."""
     slim = _slim(docs, doc_id, text)
     sketches = staged(slim.mapInArrow(tidy(_sketcher(threshold, width)), _SKETCH), "sketches")
     classes = sketches.where("n > 0")
@@ -320,8 +320,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     held = staged(entries.join(several.select("token", "first"), "token"), "held-tokens")
     fit = held.where("node <> first.node").where(_sizes_fit(F.col("n"), F.col("first.n"), threshold))
     stars = staged(fit.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _verified(slim, nodes, stars, threshold, width)
-    now = staged(components(links), "components")
+    now = staged(components(_verified(slim, nodes, stars, threshold, width)), "components")
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -338,7 +337,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     for _ in range(ROUNDS):
         found = keys.where(F.col("components") > FREQUENT).orderBy(F.desc("components"), "token").limit(KNOWN).select("token")
         frequent = staged(found, "frequent-tokens")
-        new = np.array([r.token for r in frequent.collect()], np.int64)  # KNOWN at most a round
+        new = frequent.toArrow()["token"].to_numpy()  # KNOWN at most a round
         if not len(new):
             break
         known = np.union1d(known, new)
@@ -353,13 +352,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
         keys = staged(of_several(rare), "rare-keys")
     few = placed(rare.join(keys.where(F.col("of") <= DIRECT).select("token"), "token", "left_semi"))
     direct = staged(_direct(few, threshold).join(stars, ["a", "b"], "left_anti"), "direct-pairs")
-    links = links.unionByName(_verified(slim, nodes, direct, threshold, width))
+    now = staged(merged(now, _verified(slim, nodes, direct, threshold, width)), "components")
     hot = rare.join(keys.where(F.col("of") > DIRECT), "token", "left_semi").select("node")
     left = hot if extended is None else hot.unionByName(extended.where("left > 1").select("node"))
     open_nodes = staged(left.distinct(), "open-nodes")
     if open_nodes.isEmpty():
-        return sketches, nodes, links
-    now = staged(components(links), "components")
+        return sketches, nodes, now
     # any link not found yet is between two of these, so one order of tokens for them alone is enough
     ordered = _ordered(slim, nodes, open_nodes, threshold, width)
     keyed = placed(ordered.select("node", "n", "alone", F.explode("tokens").alias("x")))
@@ -370,12 +368,11 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int, width: int
     near = keyed.select("token", F.struct("node", "n", "least", "most", "component").alias("x")).join(centre, "token")
     near = near.where("x.component <> y.component").where(_met("x", "y"))
     more = staged(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "centre-pairs")
-    links = links.unionByName(_verified(slim, nodes, more, threshold, width))
-    now = staged(components(links), "components")
+    now = staged(merged(now, _verified(slim, nodes, more, threshold, width)), "components")
     pairs = _candidates(staged(placed(_keys(ordered, threshold)), "placed-keys"))
     tried = stars.unionByName(direct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
     pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-    return sketches, nodes, links.unionByName(_verified(slim, nodes, pairs, threshold, width))
+    return sketches, nodes, staged(merged(now, _verified(slim, nodes, pairs, threshold, width)), "components")
 
 
 def near_components(
@@ -387,8 +384,8 @@ def near_components(
     their own component. Rows of equal sets are linked, so repeated rows share a component. Null ids are passed over in
     the minimum unless a component has no others. Other columns are not read. An empty table gives an empty result.
     """
-    sketches, nodes, links = _classes(docs, doc_id, text, threshold, width)
-    found = components(links).join(nodes.select("node", "label"), "node")
+    sketches, nodes, now = _classes(docs, doc_id, text, threshold, width)
+    found = now.join(nodes.select("node", "label"), "node")
     least = found.groupBy("component").agg(F.min("label").alias("least"))
     linked = found.join(least, "component").select("node", "least")
     named = nodes.select("high", "low", "node", "label").join(linked, "node", "left").select(

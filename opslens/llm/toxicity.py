@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from opslens.llm.staging import give_back_memory, make_room
+from opslens.llm.staging import give_back_memory, make_room, tidy
 
 DECAY = 0.6
 SPAN = 6
@@ -363,17 +363,31 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the model of the labelled texts in all batches."""
+    make_room()
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        toxic += batch.column(1).to_pylist()
+    model = fit(texts, toxic)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.direction.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.curve.tolist()])],
+        names=["direction", "bias", "curve"])
+
+
 def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model fitted on at most ``sample`` labelled ids of each class, taken by a hash of the id, and on four times as many of
     their texts, taken by a hash of id and text. Labels without an id or a label, or without a text, play no part; an id
-    labelled twice counts as often."""
+    labelled twice counts as often. An executor's task fits it on that sample, and the driver gets the weights alone."""
     named = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     by_hash = lambda k: named.where(f"label = {k}").orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
     chosen = by_hash(0).unionByName(by_hash(1))  # 2 * sample rows at most
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     found = rows.join(F.broadcast(chosen), "id").orderBy(
-        F.md5(F.concat_ws("/", F.col("id").cast("string"), "text")), "label").limit(4 * sample).toPandas()
-    return fit(found["text"].tolist(), found["label"].tolist())
+        F.md5(F.concat_ws("/", F.col("id").cast("string"), "text")), "label").limit(4 * sample).select("text", "label")
+    row = found.mapInArrow(tidy(_fitted), "direction binary, bias double, curve array<double>").first()
+    return Model(np.frombuffer(bytes(row.direction), np.float32), row.bias, np.array(row.curve)) if row else fit([], [])
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from opslens.llm import jaccard_join as j
+from opslens.llm import components as rounds, jaccard_join as j
 from opslens.llm.components import components
 from opslens.llm.shingles import shingle_sets
 
@@ -97,6 +97,29 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_links_merge_components(spark):
+    rng = random.Random(2)
+    of = lambda df: sorted(map(tuple, df.collect()))
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    for more in ([(rng.randrange(400), rng.randrange(400)) for _ in range(90)], [], links[:20], [(900, 901), (901, 5)]):
+        assert of(rounds.merged(components(frame(links)), frame(more))) == of(components(frame(links + more)))
+    assert of(rounds.merged(components(frame([])), frame(links))) == of(components(frame(links)))
+
+
+def test_rounds_have_short_plans(spark, monkeypatch):
+    """The driver holds the plans of all rounds and renews them at every exchange."""
+    exchanges, original = [], rounds.staged
+
+    def counted(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return original(df, name)
+
+    monkeypatch.setattr(rounds, "staged", counted)
+    assert components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).count() == 10
+    assert len(exchanges) > 4 and max(exchanges) <= 4
+
+
 def test_stage_leaves_no_near_copies_of_five_words(spark, monkeypatch):
     """The pipeline's stage against all pairs at 5 words and 0.8, through slots and frequent tokens too."""
     for name, value in (("DIRECT", 2), ("FREQUENT", 2), ("SLOT", 4)):

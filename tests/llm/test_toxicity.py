@@ -1,5 +1,6 @@
 """Toxicity: the kernel, held-out accuracy, and disguised words."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -69,6 +70,24 @@ def test_without_labels_of_both_classes():
     assert t.fit([], []).bias == -1.0
 
 
+def test_driver_does_not_fit(spark, monkeypatch):
+    learn = [(i, f"some words {'moron' if i % 2 else 'lovely'} and {i % 7} more", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in learn], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in learn], "doc_id long, toxic int")
+    order = sorted(learn, key=lambda r: hashlib.md5(f"{r[0]}/{r[1]}".encode()).hexdigest())
+    expected = t.fit([x for _, x, _ in order], [k for *_, k in order])
+
+    def fit(texts, toxic):
+        raise AssertionError("fitted by the driver")
+
+    monkeypatch.setattr(t, "fit", fit)
+    model = t.trained(docs, labels)
+    assert model.direction.any() and (model.direction == expected.direction).all()
+    assert model.bias == expected.bias and (model.curve == expected.curve).all()
+    monkeypatch.undo()
+    assert t.trained(docs.where("false"), labels).bias == -1.0 and not t.trained(docs, labels.where("toxic = 0")).direction.any()
+
+
 def test_frames(spark, odd, nothing):
     learn = [(i, f"some words {w} and more of them {i % 7}", k) for i in range(60) for w, k in ((("moron" if i % 2 else "lovely"), i % 2),)]
     docs = spark.createDataFrame([(i, x) for i, x, _ in learn], "doc_id long, text string")
