@@ -30,9 +30,10 @@ CUT = re.compile(rf"(?<=[^{SPACE}])[{SPACE}]")
 IRREGULAR = re.sub(r"\\u(....)", r"\\x{\1}", f"[{DOUBTFUL}\\t\\v\\f\\r]|[ \\n][ \\n]").replace(r"\x85\xa0", r"\x{85}\x{a0}")
 #: A stop or comma behind a letter, which is always a piece of its own: words with and without one count as one word.
 STOP = r"(\pL)([.,])( |$)"
-#: Characters encoded together, and pieces kept; both bound a worker's memory.
-CHUNK = 4_000_000
-KEPT = 1_500_000
+#: Characters encoded together, and pieces kept, of LENGTH characters on average at most; they bound a worker's memory.
+CHUNK = 500_000
+KEPT = 400_000
+LENGTH = 16
 #: Stands before a piece that no space belongs to.
 MARK = "\x00"
 
@@ -106,9 +107,31 @@ class PieceEncoder:
         self._flat = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 16, np.int64)
         self._chars = np.zeros(1 << 16, np.int64)
+        self._met = np.zeros(1 << 16, np.int32)
         self._known = 0
         self._numbered(["\n", "", MARK], plain=False)
 
+    def _forget(self) -> None:
+        """Where the pieces kept are too many or too long, keep short ones met in most portions, a quarter of the room, and
+        forget the others: most words are rare, and what is forgotten is only encoded again."""
+        if self._known <= KEPT and self._chars[: self._known].sum() <= LENGTH * KEPT:
+            return
+        met = np.where(self._chars[: self._known] <= 2 * LENGTH, self._met[: self._known], 0)
+        met[:3] = met.max() + 2  # the pieces of _clear
+        often = np.flatnonzero(met > 1)
+        if len(often) > KEPT // 4:
+            often = np.sort(np.argpartition(met, -max(KEPT // 4, 3))[-max(KEPT // 4, 3) :])
+        sizes = self._starts[often + 1] - self._starts[often]
+        ends = np.cumsum(sizes)
+        flat = self._flat[np.arange(sizes.sum()) + np.repeat(self._starts[often] - ends + sizes, sizes)]
+        keys, chars = list(self._numbers), self._chars[often]
+        self._numbers = _Numbers()
+        self._numbers.update((keys[k], i) for i, k in enumerate(often.tolist()))
+        self._known = len(often)
+        room = max(1 << 16, 2 * len(often))
+        self._starts, self._chars, self._met = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self._starts[1 : len(often) + 1], self._chars[: len(often)], self._flat = ends, chars, flat
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -135,6 +158,7 @@ class PieceEncoder:
         if self._known + len(new) >= len(self._starts):
             more = np.zeros(len(self._starts) + len(new), np.int64)
             self._starts, self._chars = np.concatenate([self._starts, more]), np.concatenate([self._chars, more])
+            self._met = np.concatenate([self._met, more.astype(np.int32)])
         self._flat[start:end] = ids
         self._starts[self._known + 1 : self._known + len(new) + 1] = start + np.cumsum(sizes)
         lengths = np.fromiter(map(len, new), np.int64, len(new))
@@ -148,18 +172,17 @@ class PieceEncoder:
         if self._numbers.new:
             new, self._numbers.new = self._numbers.new, []
             self._learn(new, plain)
+        self._met[numbers] += 1  # once for each portion, however often a piece occurs there
         return numbers
 
     def counts(self, parts: list[str]) -> np.ndarray:
         """Number of ids of each piece."""
-        if len(self._numbers) > KEPT:
-            self._clear()
+        self._forget()
         return self._sized(self._numbered([_key(p) for p in parts], plain=False))[1]
 
     def _parsed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts in order, and how many each text has."""
-        if len(self._numbers) > KEPT:
-            self._clear()
+        self._forget()
         odd = np.asarray(pc.match_substring_regex(texts, IRREGULAR))
         lines = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", f" \n {MARK}")
         lines = pc.replace_substring_regex(lines, STOP, rf"\1 {MARK}\2\3")

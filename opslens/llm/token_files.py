@@ -32,14 +32,25 @@ _FILE = pa.schema([
     ("ranks", pa.list_(pa.binary())), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_sizes", pa.binary())])
 
 
+def _blobs(parts: list[np.ndarray]) -> pa.ListArray:
+    """One row: the bytes of each part."""
+    ends = np.cumsum([0, *(p.nbytes for p in parts)]).astype(np.int32)
+    held = pa.py_buffer(np.concatenate(parts).view(np.uint8))
+    return pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), held]))
+
+
 def _row(shard: int, ids: list[np.ndarray], doc_ids: list, sizes: list[int]) -> pa.RecordBatch:
-    matrix = WaveletMatrix.build(np.concatenate(ids))
+    """A shard's row; ``ids`` is emptied, so that they are held once while the planes are built."""
+    whole = [np.concatenate(ids)]
+    ids.clear()
+    matrix = WaveletMatrix.build(whole.pop())
     missing = np.array([x is None for x in doc_ids], np.uint8)
     numbers = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    return pa.RecordBatch.from_pylist([{
-        "shard": shard, "n": matrix.n, "zeros": matrix.zeros, "planes": [p.tobytes() for p in matrix.planes],
-        "ranks": [r.astype("<u4").tobytes() for r in matrix.ranks], "doc_ids": numbers.tobytes(),
-        "doc_nulls": missing.tobytes(), "doc_sizes": np.array(sizes, "<i8").tobytes()}], schema=_FILE)
+    planes, ranks = _blobs(matrix.planes), _blobs([r.astype("<u4") for r in matrix.ranks])
+    blob = lambda x: pa.array([x.tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([
+        pa.array([shard]), pa.array([matrix.n]), pa.array([matrix.zeros], pa.list_(pa.int64())), planes, ranks, blob(numbers), blob(missing),
+        blob(np.array(sizes, "<i8"))], schema=_FILE)
 
 
 def _packer(path: str, shard_ids: int):
@@ -103,15 +114,15 @@ def matrix(row: dict) -> WaveletMatrix:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            ids = matrix(row).decode().astype("<u4")
-            sizes = np.frombuffer(row["doc_sizes"], "<i8")
+            bits = [np.frombuffer(p.as_buffer(), np.uint8) for p in batch["planes"][i].values]
+            ids = WaveletMatrix(batch["n"][i].as_py(), batch["zeros"][i].as_py(), bits, []).decode()
+            sizes = np.frombuffer(batch["doc_sizes"][i].as_buffer(), "<i8")
+            missing = np.frombuffer(batch["doc_nulls"][i].as_buffer(), np.uint8).astype(bool)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(sizes), row["shard"])), pa.array(np.arange(len(sizes))),
-                pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool)),
-                pa.array(ends - sizes), pa.array(sizes),
-                pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends - sizes, ends, strict=True)], pa.int64()),
+                pa.array(np.full(len(sizes), batch["shard"][i].as_py())), pa.array(np.arange(len(sizes))),
+                pa.array(np.frombuffer(batch["doc_ids"][i].as_buffer(), "<i8"), mask=missing), pa.array(ends - sizes), pa.array(sizes),
+                pa.array([zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends - sizes, ends, strict=True)], pa.int64()),
             ], names=["shard", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -27,7 +27,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=False)
         zeros, planes, ranks = [], [], []
         for level in range(bits - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << level)).astype(bool)
@@ -41,10 +41,10 @@ class WaveletMatrix:
     @staticmethod
     def _parted(ids: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
         """Ids with bit 0 in front, those with bit 1 behind, in order."""
-        out, low, high, zero = np.empty_like(ids), 0, zeros, ~one
+        out, low, high = np.empty_like(ids), 0, zeros
         for a in range(0, len(ids), STEP):
             part = ids[a : a + STEP]
-            at = np.flatnonzero(zero[a : a + STEP])
+            at = np.flatnonzero(~one[a : a + STEP])
             out[low : low + len(at)] = part[at]
             low += len(at)
             at = np.flatnonzero(one[a : a + STEP])
@@ -65,10 +65,10 @@ class WaveletMatrix:
         ids = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            before, low, high, zero, bit = np.empty_like(ids), 0, z, ~one, ids.dtype.type(1 << level)
+            before, low, high, bit = np.empty_like(ids), 0, z, ids.dtype.type(1 << level)
             for a in range(0, self.n, STEP):
                 part = before[a : a + STEP]
-                at = np.flatnonzero(zero[a : a + STEP])
+                at = np.flatnonzero(~one[a : a + STEP])
                 part[at] = ids[low : low + len(at)]
                 low += len(at)
                 at = np.flatnonzero(one[a : a + STEP])

@@ -1,6 +1,7 @@
 """Pieces, wavelet matrices, token files and edit-aware counts against the tokenizer and brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -59,6 +60,37 @@ def test_long_texts_come_in_parts_and_forgotten_pieces_are_learned_again(monkeyp
     assert sum(int(n.sum()) for _, n in own.measure(pa.array([long]))) == len(ids_of(long))
 
 
+def test_frequent_pieces_stay_and_long_ones_go(monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 500)
+    monkeypatch.setattr(pieces, "KEPT", 200)
+    rng = random.Random(2)
+    own = PieceEncoder(path())
+    for i in range(60):
+        text = " ".join(f"of{k} w{rng.randrange(10**6)}" for k in range(30))
+        odd = f"a\xa0whole text {i} " * 100  # one piece
+        assert [x for ids, _ in own.encode(pa.array([text, odd])) for x in ids.tolist()] == ids_of(text) + ids_of(odd)
+        assert sum(map(len, own._numbers)) < 200 * 16 + 2 * len(odd) and len(own._numbers) < 200 + 2 * 60
+        assert i < 2 or all(f"of{k}" in own._numbers for k in range(1, 30))
+
+
+def test_a_portion_and_a_shard_read_back_take_little_memory():
+    rng = np.random.default_rng(1)
+    own, words = PieceEncoder(path()), np.array([f"word{i}" for i in range(5_000)])
+    texts = pa.array([" ".join(words[rng.integers(0, 5_000, 500)]) for _ in range(2_000)])
+    tracemalloc.start()
+    for _ in own.encode(texts):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    n = 2_000_000
+    row = token_files._row(0, [rng.integers(0, 50_000, n).astype(np.uint16)], [1, None], [n // 2, n - n // 2])
+    tracemalloc.start()
+    held = list(token_files._documents(iter([row])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n and held[0].column("doc_id").to_pylist() == [1, None]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=300), st.integers(0, 70_000))
 def test_wavelet_matrix(ids, other):
