@@ -31,8 +31,8 @@ IRREGULAR = re.sub(r"\\u(....)", r"\\x{\1}", f"[{DOUBTFUL}\\t\\v\\f\\r]|[ \\n][
 #: A stop or comma behind a letter, which is always a piece of its own: words with and without one count as one word.
 STOP = r"(\pL)([.,])( |$)"
 #: Characters encoded together, and pieces kept, of LENGTH characters on average at most; they bound a worker's memory.
-CHUNK = 500_000
-KEPT = 400_000
+CHUNK = 1_000_000
+KEPT = 800_000
 LENGTH = 16
 #: Stands before a piece that no space belongs to.
 MARK = "\x00"
