@@ -73,6 +73,43 @@ def test_frequent_pieces_stay_and_long_ones_go(monkeypatch):
         assert i < 2 or all(f"of{k}" in own._numbers for k in range(1, 30))
 
 
+def test_a_word_is_encoded_once_whatever_marks_stand_behind_it(monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 300)
+    own, words, seen = PieceEncoder(path()), [f"w{i}" for i in range(40)], []
+    whole = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda texts: seen.extend(texts) or whole(texts))
+    texts = [" ".join(f"{w}{mark}" for w in words) for mark in ("", ";", ")", "!?", "\"", ":", "...", "$$$")]
+    ids = [x for found, _ in own.encode(pa.array(texts)) for x in found.tolist()]
+    assert ids == [x for t in texts for x in ids_of(t)]
+    assert sum(map(len, seen)) < 2.5 * len(texts[0])
+
+
+def test_pieces_of_many_portions_are_looked_up_together(monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 100)
+    own, rounds = PieceEncoder(path()), []
+    numbered = own._numbered
+    monkeypatch.setattr(own, "_numbered", lambda *args, **more: rounds.append(1) or numbered(*args, **more))
+    texts = [f"one two three {i} and more words of it{chr(160) * (i % 2)}." for i in range(100)]
+    assert [x for found, _ in own.encode(pa.array(texts)) for x in found.tolist()] == [x for t in texts for x in ids_of(t)]
+    assert len(rounds) <= 4
+
+
+@pytest.mark.parametrize("chunk", [5, 30, 1_000])
+def test_texts_with_added_tokens_over_many_portions(monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    end = "<|endoftext|>"
+    texts = ["some words", f"{end}a b c{end}{end}more words here", "", end, f"a long text of words {end} and words {end}", None, "x"]
+    held, found = [], []
+    for ids, counts in PieceEncoder(path()).encode(pa.array(texts)):
+        for n in counts.tolist():
+            held += ids.tolist() if n < 0 else ids[:n].tolist()
+            ids = ids[max(n, 0) :]
+            if n >= 0:
+                found.append(held)
+                held = []
+    assert found == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts] and not held
+
+
 def test_a_portion_and_a_shard_read_back_take_little_memory():
     rng = np.random.default_rng(1)
     own, words = PieceEncoder(path()), np.array([f"word{i}" for i in range(5_000)])
