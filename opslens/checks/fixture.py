@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opslens.sources.staging import CODEC, shuffles_removed
+
 _M = "((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 14)"
 
 # Column -> (tables it needs beside lineitem, SQL expression).
@@ -67,6 +69,14 @@ PEOPLE: dict[str, str] = {
 }
 
 
+#: Portions that ``staged_ops`` joins one after the other.
+PORTIONS = 4
+
+
+def _shown(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.expr(COLUMNS[c][1].format(text="string")).alias(c) for c in columns])
+
+
 def ops(spark: SparkSession, sf_dir: str, columns: Sequence[str] = OPS_COLUMNS) -> DataFrame:
     """The fixture with the columns asked for.
 
@@ -79,7 +89,36 @@ def ops(spark: SparkSession, sf_dir: str, columns: Sequence[str] = OPS_COLUMNS)
     for table, (key, pointer) in _JOINS.items():
         if table in needed:
             rows = rows.join(read(table), F.col(pointer) == F.col(key), "left")
-    return rows.select(*[F.expr(COLUMNS[c][1].format(text="string")).alias(c) for c in columns])
+    return _shown(rows, columns)
+
+
+def staged_ops(spark: SparkSession, sf_dir: str, folder: str, columns: Sequence[str] = OPS_COLUMNS) -> DataFrame:
+    """The same rows, joined once and written to a folder, for jobs that read their source several times.
+
+    Rows are dealt by order key into portions that are joined one after the other, so that the shuffle files of one are on the
+    disks at a time. Orders meet their customers before they meet the rows, which are shuffled for their part and their order only.
+    """
+    needed = {table for c in columns for table in COLUMNS[c][0]}
+
+    def joined(rows: DataFrame, table: str, other: DataFrame | None = None) -> DataFrame:
+        key, pointer = _JOINS[table]
+        return rows.join(spark.read.parquet(f"{sf_dir}/{table}.parquet") if other is None else other, F.col(pointer) == F.col(key), "left")
+
+    with shuffles_removed(spark):
+        for i in range(PORTIONS):
+            portion = lambda table, key: spark.read.parquet(f"{sf_dir}/{table}.parquet").where(F.pmod(F.xxhash64(key), F.lit(PORTIONS)) == i)
+            rows = portion("lineitem", "l_orderkey")
+            if "part" in needed:
+                rows = joined(rows, "part")
+            if "orders" in needed:
+                orders = portion("orders", "o_orderkey")
+                for table in _JOINS:
+                    if table in needed - {"orders", "part"}:
+                        orders = joined(orders, table)
+                rows = joined(rows, "orders", orders)
+            shown = _shown(rows, columns)
+            shown.write.mode("append").option("compression", CODEC).parquet(folder)
+    return spark.read.schema(shown.schema).parquet(folder)
 
 
 def ops_sql() -> str:

@@ -18,7 +18,7 @@ from opslens.operators.typed import Operations, key_columns, read_columns
 from opslens.plans import run_log
 from opslens.sources.runs import current_commit, new_run, publish_run, remove, run_folder, table_path
 from opslens.sources.sinks import write_json, write_report, write_tables
-from opslens.sources.staging import saved
+from opslens.sources.staging import saved, shuffles_removed
 from opslens.sources.tables import check_csv, read_table
 
 # The steps of a run, in order. Each is a method of ``Run``.
@@ -201,7 +201,8 @@ class Run:
         for step in STEPS:
             started, clock, status = datetime.now(timezone.utc), time.monotonic(), "failed"
             try:
-                getattr(self, step)()
+                with shuffles_removed(self.spark):
+                    getattr(self, step)()
                 status = "done"
             except BaseException:
                 remove(self.spark, self.folder)

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.functions.numbers import json_text
+from opslens.sources.staging import CODEC
 
 #: Bytes of a row group in a store of reports: what a look-up of one report reads.
 REPORT_BLOCK = 1 << 20
@@ -16,7 +17,7 @@ REPORT_BLOCK = 1 << 20
 def write_tables(tables: Mapping[str, DataFrame], folder: str, at_once: int = 4) -> None:
     """Write each table as Parquet to its own folder; a few jobs run side by side, as most are small."""
     def write(item: tuple[str, DataFrame]) -> None:
-        item[1].write.mode("overwrite").parquet(f"{folder}/{item[0]}")
+        item[1].write.mode("overwrite").option("compression", CODEC).parquet(f"{folder}/{item[0]}")
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(write, tables.items()))

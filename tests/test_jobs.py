@@ -5,11 +5,13 @@ import datetime
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.checks.fixture import OPS_COLUMNS, ops
+from opslens.checks import queries
+from opslens.checks.fixture import OPS_COLUMNS, ops, staged_ops
 from opslens.operators.masking import masked, permuted
 from opslens.operators.privacy import find_sensitive
 from opslens.operators.quality import CHECKS
@@ -507,3 +509,57 @@ def test_steps_are_logged_also_of_a_failed_run(spark, tmp_path):
     log = spark.read.parquet(job.table("step_log"))
     assert [r.step for r in log.where("status = 'done'").groupBy("step").count().where("count > 0").collect()] and log.count() == 13
     assert log.where("status = 'failed'").first().step == "scan_sensitive_fields"
+
+
+def test_staged_rows_equal_those_joined_at_once(spark, tmp_path):
+    """Also where keys repeat, are missing, or point to nothing."""
+    at = datetime.datetime(2026, 1, 5)
+    tables = {
+        "lineitem": ([(o, p, s, n, 3.0, 10.5, "R") for n, (o, p, s) in enumerate(
+            [(o, o % 5 + 1, 1) for o in range(40)] + [(None, 2, 1), (7, None, None), (7, 1, 1), (7, 1, 1), (900, 900, 9)])],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"),
+        "orders": ([(o, o % 4, at, "1-URGENT") for o in range(30)] + [(7, 2, at, "twice"), (None, 1, at, "none"), (8, None, None, None)],
+                   "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(0, "a", 0), (1, "b", 1), (1, "c", 9), (None, "d", None)], "c_custkey long, c_name string, c_nationkey int"),
+        "part": ([(1, "axe", "tool", 4), (2, "saw", "tool", 5), (2, "saw", None, 5), (None, "x", "y", 1)], "p_partkey long, p_name string, p_type string, p_size int"),
+        "nation": ([(0, 0), (1, None)], "n_nationkey int, n_regionkey int"),
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for i, columns in enumerate((OPS_COLUMNS, (*OPS_COLUMNS, "region"), ("order_id", "revenue"), ("product", "revenue"))):
+        staged, joined = staged_ops(spark, str(tmp_path), f"{tmp_path}/staged{i}", columns), ops(spark, str(tmp_path), columns)
+        assert staged.columns == joined.columns and staged.count() == joined.count() >= 45
+        assert staged.exceptAll(joined).count() == joined.exceptAll(staged).count() == 0
+
+
+@pytest.mark.parametrize("name", ["job_rerun_stricter"])
+def test_jobs_read_rows_that_are_joined_already(spark, sf_dir, monkeypatch, name):
+    """Each run reads its source more than once, and a join of large tables shuffles them all each time."""
+    seen = []
+
+    def job(source, **options):
+        seen.append((source._jdf.queryExecution().optimizedPlan().toString(), source.count(), source.inputFiles()))
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "ReportingJob", job)
+    with pytest.raises(InterruptedError):
+        queries.queries()[name](spark, sf_dir)
+    (plan, rows, files), = seen
+    assert "Join" not in plan and rows == 6000 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_a_run_leaves_no_shuffle_files_behind(spark, tmp_path):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f for folder in folders for f in glob.glob(f"{folder.getPath()}/*/shuffle_*.data")}
+    before = shuffled()
+    dates = spark.range(2000).selectExpr("id as k", "cast(date_add(date'2026-01-01', cast(id % 90 as int)) as string) as date")
+    sales = spark.range(2000).selectExpr("id as k", "cast(id as string) as revenue", "concat('p', id % 50) as product")
+    job = ReportingJob(source=dates.hint("merge").join(sales, "k").drop("k"), destination=str(tmp_path))
+    run_pipeline(spark, job)
+    assert spark.read.parquet(job.table("kpis")).first().row_count == 2000
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:  # files go a moment after their query
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
