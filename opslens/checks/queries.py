@@ -416,10 +416,11 @@ def _job_two_writers(spark, sf_dir):
 
 def _job_slow_reader(spark, sf_dir):
     """A reader that opened the fact table before the next run was published, and one that opens it after."""
-    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "readers"))
-    run_pipeline(spark, job)
-    opened = spark.read.parquet(job.table(star.FACT))
-    run_pipeline(spark, replace(job, source=job.source.where("supplier is not null")))
+    with _source(spark, sf_dir) as source:
+        job = ReportingJob(source=source, destination=_folder(spark, "readers"))
+        run_pipeline(spark, job)
+        opened = spark.read.parquet(job.table(star.FACT))
+        run_pipeline(spark, replace(job, source=job.source.where("supplier is not null")))
     count = lambda name, df: df.agg(F.lit(name).alias("reader"), F.count(F.lit(1)).alias("n"))
     return count("slow", opened).union(count("new", spark.read.parquet(job.table(star.FACT))))
 
