@@ -22,7 +22,7 @@ from opslens.plans import run_log
 from opslens.plans.pipeline import STEP_LOG, STEPS, ReportingJob, Run, run_pipeline
 from opslens.sources.runs import RUNS, commit_numbers, listed, remove, run_folder
 from opslens.sources.sinks import read_report, write_report
-from opslens.sources.staging import saved, shared_folder
+from opslens.sources.staging import saved, shared_folder, shuffles_removed
 from opslens.sources.tables import preview, read_csv
 from opslens.streaming.refresh import refresh_stream
 
@@ -401,14 +401,15 @@ def _job_rerun_stricter(spark, sf_dir):
 
 def _job_two_writers(spark, sf_dir):
     """A run that began first and is committed last, and one that came between: what readers find, and what is kept."""
-    whole = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "writers"))
-    first, second = Run(spark, whole), Run(spark, replace(whole, source=whole.source.where("supplier is not null")))
-    for step in STEPS[:-1]:
-        getattr(first, step)()
-    second.work()
-    between = spark.read.parquet(whole.table("kpis")).select(F.lit("between").alias("seen"), "row_count", "total_revenue")
-    between = spark.createDataFrame(between.collect(), between.schema)
-    getattr(first, STEPS[-1])()
+    with _source(spark, sf_dir) as source, shuffles_removed(spark):
+        whole = ReportingJob(source=source, destination=_folder(spark, "writers"))
+        first, second = Run(spark, whole), Run(spark, replace(whole, source=whole.source.where("supplier is not null")))
+        for step in STEPS[:-1]:
+            getattr(first, step)()
+        second.work()
+        between = spark.read.parquet(whole.table("kpis")).select(F.lit("between").alias("seen"), "row_count", "total_revenue")
+        between = spark.createDataFrame(between.collect(), between.schema)
+        getattr(first, STEPS[-1])()
     kept = F.lit(len(commit_numbers(spark, whole.destination)) + len(listed(spark, f"{whole.destination}/{RUNS}"))).cast("long")
     after = spark.read.parquet(whole.table("kpis")).select(F.lit("after"), "row_count", "total_revenue")
     return between.union(after).withColumn("kept", kept)
