@@ -380,8 +380,9 @@ def _counts(spark, job: ReportingJob, names: Sequence[str]) -> DataFrame:
 
 def _reporting_job(spark, sf_dir):
     """The whole job over the fixture: rows of each table it leaves behind."""
-    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "job"))
-    run_pipeline(spark, job)
+    with _source(spark, sf_dir) as source:
+        job = ReportingJob(source=source, destination=_folder(spark, "job"))
+        run_pipeline(spark, job)
     return _counts(spark, job, (
         "safe_operations", star.FACT, star.DIM_DATE, *star.DIMENSIONS, "sensitive_columns", "product_chart",
         "weekly_trend", "status_mix", "supplier_chart", "kpis", "run_log"))
