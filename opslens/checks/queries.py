@@ -461,8 +461,9 @@ def _job_with_sample(spark, sf_dir):
 
 def _job_payload(spark, sf_dir):
     """The payload and the report as a reader finds them in their files."""
-    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "payload"))
-    run_pipeline(spark, job)
+    with _source(spark, sf_dir) as source:
+        job = ReportingJob(source=source, destination=_folder(spark, "payload"))
+        run_pipeline(spark, job)
     sent = spark.read.schema("purpose string, metrics struct<total_revenue:double,row_count:bigint,return_rate:double>").json(
         job.table("payload"))
     lines = spark.read.text(job.table("report")).agg(
