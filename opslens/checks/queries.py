@@ -442,8 +442,9 @@ def _masked_columns(spark, sf_dir):
 
 def _masked_job(spark, sf_dir):
     """The job with sensitive columns masked: order ids and names can be counted and joined, but not read."""
-    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "masked"), mask_key=MASK_KEY)
-    run_pipeline(spark, job)
+    with _source(spark, sf_dir) as source:
+        job = ReportingJob(source=source, destination=_folder(spark, "masked"), mask_key=MASK_KEY)
+        run_pipeline(spark, job)
     rows = spark.read.parquet(job.table("safe_operations"))
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("order_id").alias("order_ids"), F.count_distinct("customer_name").alias("names"),
@@ -454,8 +455,9 @@ def _masked_job(spark, sf_dir):
 def _job_with_sample(spark, sf_dir):
     """The job with a privacy scan of the first values only, one column left alone."""
     scan = {"mode": "sample", "order_by": ["transaction_id", "contact", "revenue"], "skip": ["contact"]}
-    job = ReportingJob(source=ops(spark, sf_dir), destination=_folder(spark, "sample"), scan=scan)
-    run_pipeline(spark, job)
+    with _source(spark, sf_dir) as source:
+        job = ReportingJob(source=source, destination=_folder(spark, "sample"), scan=scan)
+        run_pipeline(spark, job)
     return spark.read.parquet(job.table("sensitive_columns"))
 
 

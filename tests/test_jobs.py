@@ -533,7 +533,7 @@ def test_staged_rows_equal_those_joined_at_once(spark, tmp_path):
         assert staged.exceptAll(joined).count() == joined.exceptAll(staged).count() == 0
 
 
-@pytest.mark.parametrize("name", ["job_rerun_stricter", "job_slow_reader", "job_two_writers", "reporting_job", "job_payload"])
+@pytest.mark.parametrize("name", ["job_rerun_stricter", "job_slow_reader", "job_two_writers", "reporting_job", "job_payload", "masked_job"])
 def test_jobs_read_rows_that_are_joined_already(spark, sf_dir, monkeypatch, name):
     """Each run reads its source more than once, and a join of large tables shuffles them all each time."""
     seen = []
